@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, secret_scan, token_files
+from . import exact_dedup, language_id, ngram_join, packing, secret_scan, token_files
 from .shared import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n_words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def _kind_sql(kind: str, pattern: str, keep: str | None) -> str:
     """Rows (doc_id, rank, kind, s, e): lengths of pieces and matches summed up in order."""
     p = pattern.replace("'", "''")
@@ -81,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op4_exact_dedup, op8_secret_scan, op10_packing]
+    found = [op1_token_files, op2_language_id, op4_exact_dedup, op7_ngram_join, op8_secret_scan, op10_packing]
     return {f.__name__: f for f in found}
 
 
