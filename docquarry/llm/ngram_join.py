@@ -201,7 +201,7 @@ def shared_keys(signatures: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, *, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_classes: int = 512,
 ) -> DataFrame:
-    """One row per row: doc_id, n_shingles, class_id, component_id (smallest doc_id reachable by links)."""
+    """One row per row: doc_id, text_hash, n_shingles, class_id, component_id (smallest doc_id reachable by links)."""
     work = shared_dir(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signatures = stored(rows.mapInArrow(_signatures(n_words, percent), SIGNATURES), "signatures", f"{work}/signatures")
@@ -235,10 +235,14 @@ def jaccard_components(
     least = signatures.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     of_component = components.join(least, "class_id").groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = least.join(components, "class_id", "left").join(of_component, "component", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id"))
-    return signatures.join(of_class, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signatures.join(of_class, "class_id", "left").select("doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the row of the smallest identifier of each group only; all columns stay."""
-    found = jaccard_components(docs, id_col=id_col, **options).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the row of the smallest identifier of each group only; all columns stay.
+
+    Rows without an identifier stay, and so do repeated rows (same identifier and text).
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left_anti")
