@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir, stored, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space set aside ahead, changes logged instead of whole snapshots.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -51,10 +57,9 @@ def keyed_state(records: DataFrame) -> DataFrame:
 def run_stream(stream: DataFrame, work: str) -> DataFrame:
     """Run the stream over all that is there; one row per digest as it stands at the end."""
     spark = stream.sparkSession
-    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage")
-    before = {k: spark.conf.get(k, None) for k in names}
-    spark.conf.set(names[0], ROCKSDB)
-    spark.conf.set(names[1], "true")
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         state = keyed_state(stream)
 
@@ -106,17 +111,17 @@ def exact_dedup(
         ),
         "dedup-found", f"{work}/found",
     )
-    differ = _differing(rows, found, salt_rows)
+    differ = _differing(rows, found, salt_rows, f"{work}/hits")
     if not differ.isEmpty():
         found = _split(rows, found, differ)
     return found.withColumn("kept", F.col("locator") == F.col("keep_locator"))
 
 
-def _differing(rows: DataFrame, found: DataFrame, salt_rows: int) -> DataFrame:
+def _differing(rows: DataFrame, found: DataFrame, salt_rows: int, path: str) -> DataFrame:
     """Digests under which a hit's bytes are not those of the row that stays."""
     hits = found.filter("group_size > 1")
     members = hits.select("locator", F.col("digest").alias("key"), "keep_locator", "group_size")
-    texts = rows.select("locator", "text").join(members, "locator")
+    texts = stored(rows.select("locator", "text").join(members, "locator"), "dedup-hits", path)
     n_salts = F.ceil(F.col("group_size") / salt_rows).cast("int")
     salted = texts.withColumn("salt", F.pmod(F.xxhash64("locator"), n_salts).cast("int"))
     kept = texts.filter("locator = keep_locator").select("key", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.col("text").alias("kept_text"))
