@@ -10,14 +10,21 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-
-#: The table of chunks is emptied when it holds so many.
-MAX_CHUNKS = 400_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: The table takes in so many chunks; what is new after that is forgotten with its batch.
+MAX_CHUNKS = 300_000
+#: A word and such a tail are different matches of the pattern (an apostrophe may begin a contraction).
+TAIL = "".join(c for c in string.punctuation if c != "'")
+_TAIL = frozenset(TAIL)
 #: Texts of about so many characters are worked on together.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 3_000_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
@@ -70,10 +77,10 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        self._clear()
-
-    def _clear(self) -> None:
         self.size = 0
+        #: (size, used) when the table was full; what was added to ``later`` since the last batch.
+        self.mark: tuple[int, int] | None = None
+        self.added: list[tuple[str, int]] = []
         self.first, self.later = _Table(self), _Table(self)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -82,8 +89,6 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
-        if self.size > MAX_CHUNKS:
-            self._clear()
         cut = [chunks(t) for t in texts]
         index = np.fromiter(
             chain.from_iterable(
@@ -96,32 +101,75 @@ class ChunkEncoder:
         ends = np.cumsum(n_ids)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.at[index] - (ends - n_ids), n_ids) + np.arange(total)]
+        self._forget()
         per_text = np.add.reduceat(n_ids, np.cumsum([0, *map(len, cut)])[:-1]) if cut else n_ids
         return ids, per_text
 
     def _learn(self) -> None:
-        first, later = self.first.new, self.later.new
-        self.first.new, self.later.new = [], []
-        if first:
-            got = self.tokenizer.encode_batch_fast([k for k, _ in first], add_special_tokens=False)
+        new, self.first.new = self.first.new, []
+        self._one_by_one(new, [k for k, _ in new])
+        # Words with a tail are put together from both parts; a part that is new is learnt first.
+        # A chunk that is empty or ends in white space would join the next one in one long text.
+        new, self.later.new = self.later.new, []
+        plain, spaced, whole, stems, ends, tails = [], [], [], [], [], {}
+        for pair in new:
+            key, last = pair[0], pair[0][-1:]
+            if last in _TAIL:
+                stem = key.rstrip(TAIL)
+                if stem.isalpha():
+                    whole.append(pair[1])
+                    stems.append(self.later[stem])
+                    ends.append(tails.setdefault(key[len(stem) :], len(tails)))
+                else:
+                    plain.append(pair)
+            elif not key or last.isspace():
+                spaced.append(pair)
+            else:
+                plain.append(pair)
+        plain += self.later.new
+        self.added += new + self.later.new
+        self.later.new = []
+        self._one_by_one(spaced, [f" {k}" for k, _ in spaced])
+        if plain:
+            keys, index = zip(*plain)
+            text = " " + " ".join(keys)
+            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            bytes_to = np.cumsum(self.n_bytes[flat])
+            n_bytes = np.fromiter(map(len, keys), np.int64) if text.isascii() else np.fromiter((len(k.encode()) for k in keys), np.int64)
+            stop = np.cumsum(n_bytes + 1)
+            cuts = np.searchsorted(bytes_to, stop)
+            assert (bytes_to[cuts] == stop).all(), "a token crosses two chunks"
+            self._keep(index, flat, np.diff(cuts + 1, prepend=0))
+        if whole:
+            got = self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)
+            n_tail = np.array([len(e.ids) for e in got], np.int64)
+            tail_ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+            stem, tail = np.array(stems), np.array(ends)
+            n_stem, n_end = self.count[stem], n_tail[tail]
+            # Runs of places in the pool and, behind it, in the tails: stem, tail, stem, tail ...
+            n = np.stack([n_stem, n_end], 1).reshape(-1)
+            at = np.stack([self.at[stem], self.used + (np.cumsum(n_tail) - n_tail)[tail]], 1).reshape(-1)
+            place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self._keep(whole, np.concatenate([self.pool[: self.used], tail_ids])[place], n_stem + n_end)
+        if not self.mark and self.size > MAX_CHUNKS:
+            self.mark = (self.size, self.used)
+            self.added = []
+
+    def _one_by_one(self, new: list[tuple[str, int]], texts: list[str]) -> None:
+        if new:
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             flat = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
-            self._keep([i for _, i in first], flat, np.array([len(e.ids) for e in got], np.int64))
-        if later:
-            text = [f" {k}" for k, _ in later]
-            # A chunk that ends in white space would join the next one here: those go one by one.
-            alone = np.array([t[-1].isspace() for t in text])
-            if alone.any():
-                got = self.tokenizer.encode_batch_fast([t for t, a in zip(text, alone) if a], add_special_tokens=False)
-                flat = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
-                self._keep([i for (_, i), a in zip(later, alone) if a], flat, np.array([len(e.ids) for e in got], np.int64))
-            text = [t for t, a in zip(text, alone) if not a]
-            if text:
-                flat = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, np.uint32)
-                bytes_to = np.cumsum(self.n_bytes[flat])
-                ends = np.cumsum(np.fromiter((len(t.encode()) for t in text), np.int64))
-                cuts = np.searchsorted(bytes_to, ends)
-                assert (bytes_to[cuts] == ends).all(), "a token crosses two chunks"
-                self._keep([i for (_, i), a in zip(later, alone) if not a], flat, np.diff(cuts + 1, prepend=0))
+            self._keep([i for _, i in new], flat, np.array([len(e.ids) for e in got], np.int64))
+
+    def _forget(self) -> None:
+        """Beyond MAX_CHUNKS only the chunks of the batch at hand are held."""
+        if self.mark:
+            self.size, self.used = self.mark
+            for key, _ in self.added:
+                del self.later[key]
+            for key in [k for k, i in self.first.items() if i >= self.size]:
+                del self.first[key]
+        self.added = []
 
     def _keep(self, index: list[int], flat: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
@@ -135,13 +183,19 @@ class ChunkEncoder:
         self.used += len(flat)
 
 
-def by_chars(texts: list[str | None]):
-    """(from, to) of runs of texts with about CHARS_AT_ONCE characters."""
+def by_chars(lengths: list[int]):
+    """(from, to) of runs of texts with about CHARS_AT_ONCE characters (or bytes)."""
     start = n = 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
+    for i, length in enumerate(lengths):
+        n += length
         if n >= CHARS_AT_ONCE:
             yield start, i + 1
             start, n = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def by_text(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that hold about CHARS_AT_ONCE bytes of the text in ``column``."""
+    for a, b in by_chars(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        yield batch.slice(a, b - a)

@@ -189,7 +189,7 @@ def predictor(spark, model: CrossParser):
 
         for texts in batches:
             every = texts.tolist()
-            parts = [held.value.predict(every[a:b]) for a, b in by_chars(every)]
+            parts = [held.value.predict(every[a:b]) for a, b in by_chars([len(t or '') for t in every])]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 
     return predict

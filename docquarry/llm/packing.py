@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_chars, encoder
+from .chunk_encoder import by_text, encoder
 from .shared import text_of
 
 RESTS = "pack_group int, doc_id long, row_key long, start long, length long, doc_tokens long, ids binary"
@@ -83,16 +83,16 @@ def _encode(tokenizer_path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer_path)
         for batch in batches:
-            groups, keys, rows, texts = (batch.column(i).to_pylist() for i in range(4))
-            for a, b in by_chars(texts):
-                ids, n_ids = code.encode(texts[a:b])
+            for part in by_text(batch, 3):
+                groups, keys, rows, texts = (part.column(i).to_pylist() for i in range(4))
+                ids, n_ids = code.encode(texts)
                 ends = np.cumsum(n_ids)
                 data = np.insert(ids, ends, end_id).astype("<u4").tobytes()
                 at, out = 0, []
                 for i, n in enumerate((n_ids + 1).tolist()):
                     for start in range(0, n, capacity):
                         stop = min(n, start + capacity)
-                        out.append((groups[a + i], keys[a + i], rows[a + i], start, stop - start, n, data[4 * (at + start) : 4 * (at + stop)]))
+                        out.append((groups[i], keys[i], rows[i], start, stop - start, n, data[4 * (at + start) : 4 * (at + stop)]))
                     at += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],

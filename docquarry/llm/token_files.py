@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_chars, encoder
+from .chunk_encoder import by_text, encoder
 from .shared import stored, text_of
 
 LANE = 64
@@ -147,15 +147,14 @@ def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
             return out
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in by_chars(texts):
-                ids, n_ids = code.encode(texts[a:b])
+            for part_of in by_text(batch, 1):
+                ids, n_ids = code.encode(part_of.column(1).to_pylist())
                 ends = np.cumsum(n_ids)
                 if end_id is not None:
                     ids = np.insert(ids, ends, end_id)
                     ends = ends + np.arange(1, len(ends) + 1)
                 at = 0
-                for key, end in zip(keys[a:b], ends.tolist()):
+                for key, end in zip(part_of.column(0).to_pylist(), ends.tolist()):
                     doc_ids.append(key)
                     doc_lens.append(end - at)
                     held.append(ids[at:end])
