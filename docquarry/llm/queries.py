@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, ngram_join, packing, secret_scan, token_files, url_filter
+from . import exact_dedup, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
 from .shared import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (SELECT * FROM v WHERE len(v) = (SELECT len(v) FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+      FROM (SELECT * FROM d WHERE vec_id % 50 = 0) AS q JOIN d AS x ON x.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
@@ -124,9 +140,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op4_exact_dedup, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
+    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_knn_join": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
