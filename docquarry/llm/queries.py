@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
+from . import exact_dedup, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
 from .shared import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n_words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -140,7 +144,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
+    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
     return {f.__name__: f for f in found}
 
 
