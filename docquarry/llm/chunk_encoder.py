@@ -77,6 +77,9 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
+        self._start()
+
+    def _start(self) -> None:
         self.size = 0
         #: (size, used) when the table was full; what was added to ``later`` since the last batch.
         self.mark: tuple[int, int] | None = None
@@ -89,7 +92,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
-        cut = [chunks(t) for t in texts]
+        ids, per_text = self._encode([chunks(t) for t in texts])[:2]
+        self._forget()
+        return ids, per_text
+
+    def _encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index = np.fromiter(
             chain.from_iterable(
                 chain((self.first[c[0]],), map(self.later.__getitem__, c[1:])) for c in cut
@@ -101,9 +108,8 @@ class ChunkEncoder:
         ends = np.cumsum(n_ids)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.at[index] - (ends - n_ids), n_ids) + np.arange(total)]
-        self._forget()
         per_text = np.add.reduceat(n_ids, np.cumsum([0, *map(len, cut)])[:-1]) if cut else n_ids
-        return ids, per_text
+        return ids, per_text, index
 
     def _learn(self) -> None:
         new, self.first.new = self.first.new, []
@@ -151,6 +157,9 @@ class ChunkEncoder:
             at = np.stack([self.at[stem], self.used + (np.cumsum(n_tail) - n_tail)[tail]], 1).reshape(-1)
             place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
             self._keep(whole, np.concatenate([self.pool[: self.used], tail_ids])[place], n_stem + n_end)
+        self._fill()
+
+    def _fill(self) -> None:
         if not self.mark and self.size > MAX_CHUNKS:
             self.mark = (self.size, self.used)
             self.added = []
