@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
+from . import bpe_duckdb, exact_dedup, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
 from .shared import shared_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,6 +64,14 @@ def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_duckdb.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n_words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -144,7 +152,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
+    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op6_bpe, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
     return {f.__name__: f for f in found}
 
 
