@@ -1,19 +1,545 @@
-"""Queries of the library's operators with equivalent SQL."""
+"""Queries of the library's operators over the test tables, with equivalent SQL.
+
+The tables stand in for what the operators are made for: ``documents`` for chunks, ``embeddings`` for
+their vectors (``vec_id`` = ``doc_id``, ``label`` as parent or filter key), ``conversations`` for chat
+messages, ``orders`` for jobs, ``customer`` and ``part`` for spreadsheets, ``events`` for job progress.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from docquarry.functions import ids
+from docquarry.functions import text as T
+from docquarry.operators import chunking, evaluate, metadata, mutate, retrieval
+from docquarry.plans import profile, table_qa
+from docquarry.sources import files, html, tabular
+from docquarry.streaming import jobs
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+TERMS = ["the", "oution", "stzu"]
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _one_row(spark: SparkSession, *frames: DataFrame) -> DataFrame:
+    """Aggregates of one row each side by side."""
+    columns = [F.lit(v).cast(f.schema[c].dataType).alias(c) for f in frames for c, v in f.first().asDict().items()]
+    return spark.range(1).select(*columns)
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return _t(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+
+
+# ── retrieval ───────────────────────────────────────────────────────────────
+
+_WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)"
+_BM25 = f"""
+w AS (SELECT doc_id AS id, {_WORDS} AS ws FROM documents),
+l AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS avgdl FROM w),
+p AS (SELECT id, len(ws) AS dl, term, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS term FROM w) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, l),
+f AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
+bm AS (SELECT id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM p JOIN f USING (term), l WHERE term IN ('the', 'oution', 'stzu') GROUP BY id),
+sparse AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 10)"""
+_DENSE = """
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+sc AS (SELECT vec_id AS id, label, round(list_dot_product(list_transform(embedding, lambda z: z::DOUBLE), list_transform(q, lambda z: z::DOUBLE)), 6) AS score FROM embeddings, q),
+dense AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5)"""
+
+
+@query(f"SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_words, max(len(ws))::BIGINT AS longest, round(avg(len(ws)), 6) AS mean FROM (SELECT {_WORDS} AS ws FROM documents)")
+def tokenize_stats(spark, sf_dir):
+    n = _t(spark, sf_dir, "documents").select(F.size(T.tokenize(F.col("text"))).cast("long").alias("n"))
+    return n.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_words"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query(f"WITH {_BM25} SELECT id, score, rank::INTEGER AS rank FROM sparse")
+def bm25_topk(spark, sf_dir):
+    return retrieval.lexical_topk(_t(spark, sf_dir, "documents"), TERMS, 10)
+
+
+@query(f"""
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
+  SELECT doc_id AS id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'of', 'and')))::DOUBLE AS score FROM documents) WHERE score > 0 QUALIFY rank <= 10""")
+def overlap_topk(spark, sf_dir):
+    scores = retrieval.overlap_scores(_t(spark, sf_dir, "documents"), ["the", "of", "and"])
+    return scores.orderBy(F.desc("score"), "id").limit(10).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+@query(f"WITH {_DENSE} SELECT id, score, rank::INTEGER AS rank FROM dense")
+def dense_topk(spark, sf_dir):
+    return retrieval.dense_topk(_t(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 5)
+
+
+@query(f"WITH {_DENSE} SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM sc WHERE label IN (1, 2, 3) QUALIFY rank <= 5")
+def dense_filtered_topk(spark, sf_dir):
+    scoped = _t(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 2, 3))
+    return retrieval.dense_topk(scoped, _query_vector(spark, sf_dir), 5)
+
+
+@query(f"""
+WITH {_DENSE}, top AS (SELECT * FROM sc ORDER BY score DESC, id LIMIT 20)
+SELECT label AS parent_id, max(score) AS score, any_value(n) AS n_children FROM top JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) GROUP BY label""")
+def child_parent_rollup(spark, sf_dir):
+    vectors = _t(spark, sf_dir, "embeddings")
+    hits = retrieval.dense_topk(vectors, _query_vector(spark, sf_dir), 20).join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("parent_id")), "id")
+    parents = vectors.groupBy(F.col("label").alias("parent_id")).agg(F.count("*").alias("n_children"))
+    return retrieval.roll_up(hits, parents)
+
+
+_FUSED = """
+u AS (SELECT id, rank, 0.7 AS w, 0 AS src FROM dense UNION ALL SELECT id, rank, 0.3, 1 FROM sparse),
+fused AS (SELECT id AS key, round(sum(w / (60 + rank)), 8) AS rrf, min(src * 1000 + rank) AS seen FROM u GROUP BY id),
+top AS (SELECT key, rrf, row_number() OVER (ORDER BY rrf DESC, seen, key)::INTEGER AS rank FROM fused QUALIFY rank <= 3)"""
+
+
+@query(f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT key, rrf, rank FROM top")
+def rrf_fusion(spark, sf_dir):
+    found = retrieval.hybrid_topk(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings"), TERMS, _query_vector(spark, sf_dir))
+    return found.select("key", "rrf", "rank")
+
+
+@query(f"""
+WITH {_DENSE}, c AS (SELECT id, label AS parent, row_number() OVER (ORDER BY score DESC, id) AS position FROM sc QUALIFY position <= 20),
+n AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY position) > 1 AS later FROM c)
+SELECT id, parent, position, row_number() OVER (ORDER BY later, position)::INTEGER AS rank FROM n QUALIFY rank <= 8""")
+def rerank_diversity(spark, sf_dir):
+    vectors = _t(spark, sf_dir, "embeddings")
+    top = retrieval.dense_topk(vectors, _query_vector(spark, sf_dir), 20).select("id", F.col("rank").cast("long").alias("position"))
+    return retrieval.diversify(top.join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("parent")), "id"), 8)
+
+
+@query()
+def rerank_parents(spark, sf_dir):
+    """Rerank with a fixed stand-in for the model: positions from last to first."""
+    vectors, docs = _t(spark, sf_dir, "embeddings"), _t(spark, sf_dir, "documents")
+    top = retrieval.dense_topk(vectors, _query_vector(spark, sf_dir), 8).join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("parent")), "id")
+    with_text = top.join(docs.select(F.col("doc_id").alias("id"), "text"), "id", "left")
+    return retrieval.rerank(with_text, "the", lambda q, texts, n: list(range(n))[::-1], 3)
+
+
+@query(f"""
+WITH {_BM25}
+SELECT string_agg('[C' || rank || '] source=' || source || ' page=' || 1 || ' doc_id=' || doc_id || ' chunk_id=' || doc_id || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM sparse JOIN documents ON doc_id = id WHERE rank <= 3""")
+def context_block(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    top = retrieval.lexical_topk(docs, TERMS, 3)
+    found = docs.join(F.broadcast(top.select(F.col("id").alias("doc_id"), "rank")), "doc_id").withColumns({"page": F.lit(1), "chunk_id": F.col("doc_id")})
+    return retrieval.context_block(found)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval with citations: fused candidates with their documents' snippets."""
+    docs = _t(spark, sf_dir, "documents")
+    top = retrieval.hybrid_topk(docs, _t(spark, sf_dir, "embeddings"), TERMS, _query_vector(spark, sf_dir))
+    found = top.join(docs, top["key"] == docs["doc_id"], "left")
+    return found.select(F.concat(F.lit("C"), "rank").alias("citation_id"), "rank", "key", "rrf", "source", F.substring("text", 1, 280).alias("snippet"))
+
+
+@query(f"""
+WITH {_BM25}, {_DENSE}, {_FUSED}
+SELECT 'C' || rank AS citation_id, rank, key, rrf, source, substring(text, 1, 280) AS snippet FROM top LEFT JOIN documents ON doc_id = key""")
+def hybrid_citations(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+_ANSWER = "text || ' [C' || (turn % 4) || ', C' || (conv_id % 5) || '] and [c' || (turn % 3) || ']'"
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, upper({_ANSWER}) AS answer FROM conversations),
+m AS (SELECT conv_id, turn, list_distinct(flatten(list_transform(regexp_extract_all(answer, '\\[\\s*C\\d+(?:\\s*,\\s*C\\d+)*\\s*\\]'), lambda x: regexp_extract_all(x, 'C\\d+')))) AS ids FROM a)
+SELECT conv_id, turn, array_to_string(list_sort(ids), ',') AS ids FROM m""")
+def citation_markers(spark, sf_dir):
+    answer = F.concat("text", F.lit(" [C"), F.col("turn") % 4, F.lit(", C"), F.col("conv_id") % 5, F.lit("] and [c"), F.col("turn") % 3, F.lit("]"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(retrieval.cited_ids(answer)), ",").alias("ids"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 4 IN (1, 2) THEN 'see [C' || (turn % 4) || '] end' ELSE 'see [C2] end' END AS answer FROM conversations""")
+def citation_normalisation(spark, sf_dir):
+    answer = F.concat(F.lit("see [C"), F.col("turn") % 4, F.lit(", C2, C9] end"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.normalize_markers(answer, F.array(F.lit("C1"), F.lit("C2"))).alias("answer"))
+
+
+# ── metadata ────────────────────────────────────────────────────────────────
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 4),
+u AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY back ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l WHERE text <> '')
+SELECT conv_id, turn, role, substring(text, 1, (400 - used)::INTEGER) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY back DESC)::INTEGER AS position FROM u WHERE used < 400""")
+def history_window(spark, sf_dir):
+    rows = metadata.history(_t(spark, sf_dir, "conversations"), conversation="conv_id", order=["turn"], text="text", budget=400)
+    return rows.select("conv_id", "turn", "role", "text", "position")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY conv_id")
+def history_text(spark, sf_dir):
+    last = metadata.latest_n(_t(spark, sf_dir, "conversations"), ["conv_id"], 2, F.desc("turn")).withColumn("position", F.col("turn"))
+    return metadata.history_text(last, conversation="conv_id", text="text")
+
+
+@query("""
+SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (
+  SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON c_custkey = o_custkey""")
+def latest_per_group(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    found = metadata.with_latest(_t(spark, sf_dir, "customer"), orders, ["c_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return found.select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("""
+WITH c AS (SELECT conv_id, max(turn) AS latest FROM conversations GROUP BY conv_id ORDER BY latest DESC, conv_id DESC LIMIT 1)
+SELECT conv_id, turn, role FROM conversations JOIN c USING (conv_id) ORDER BY turn DESC LIMIT 3""")
+def latest_conversation_page(spark, sf_dir):
+    messages = _t(spark, sf_dir, "conversations")
+    heads = messages.groupBy("conv_id").agg(F.max("turn").alias("at"))
+    return metadata.latest_conversation(heads, messages, 3, key="conv_id").select("conv_id", "turn", "role")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def ready_docs_semi(spark, sf_dir):
+    return metadata.with_any(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels").filter("quality = 1"), ["doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_ids_anti(spark, sf_dir):
+    return metadata.without_any(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id", "source")
+
+
+@query("""
+SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderstatus = 'F' GROUP BY n_name""")
+def scope_join_chain(spark, sf_dir):
+    orders, customers, nations = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    chain = orders.filter("o_orderstatus = 'F'").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return chain.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+SELECT r_regionkey AS user_id, count(DISTINCT n_nationkey) AS n_notebooks, count(c_custkey) AS n_documents
+FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def library_tree_counts(spark, sf_dir):
+    users = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("user_id"))
+    nation = _t(spark, sf_dir, "nation")
+    notebooks = nation.select(F.col("n_regionkey").alias("user_id"), F.col("n_nationkey").alias("notebook_id"), F.col("n_name").alias("title"))
+    documents = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("user_id"), F.col("n_nationkey").alias("notebook_id"), F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename")
+    )
+    tree = metadata.library_tree(users, notebooks, documents)
+    n_documents = F.aggregate("notebooks", F.lit(0), lambda n, x: n + F.size(x["documents"]))
+    return tree.select("user_id", F.size("notebooks").cast("long").alias("n_notebooks"), n_documents.cast("long").alias("n_documents"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS batch FROM orders")
+def batch_numbering(spark, sf_dir):
+    return metadata.numbered(_t(spark, sf_dir, "orders"), ["o_orderkey"], 32).select("o_orderkey", F.col("row_idx").cast("long").alias("row_idx"), F.col("batch").cast("long").alias("batch"))
+
+
+@query("SELECT event_id, user_id, max(event_id % 101) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS progress FROM events")
+def progress_running_max(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("p", F.col("event_id") % 101)
+    return metadata.running_maximum(events, "user_id", "p", "ts", "event_id").select("event_id", "user_id", "progress")
+
+
+@query("""
+SELECT event_id, CASE event_type_no WHEN 0 THEN (60 * r)::INTEGER WHEN 1 THEN 60 + floor(10 * r)::INTEGER ELSE 70 + floor(20 * r)::INTEGER END AS progress
+FROM (SELECT event_id, event_id % 3 AS event_type_no, (event_id % 2) / 2.0 AS r FROM events)""")
+def stage_progress(spark, sf_dir):
+    stage = F.element_at(F.array(F.lit("parsing"), F.lit("chunking"), F.lit("embedding")), (F.col("event_id") % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("event_id", metadata.stage_progress(stage, (F.col("event_id") % 2) / 2.0, jobs.STAGES).alias("progress"))
+
+
+# ── table questions ─────────────────────────────────────────────────────────
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 200")
+def group_count(spark, sf_dir):
+    return table_qa.group_count(_t(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("SELECT sum(CASE WHEN g IN ('nam', 'male', 'm') THEN 1 ELSE 0 END)::BIGINT AS Nam, sum(CASE WHEN g IN ('nu', 'female', 'f') THEN 1 ELSE 0 END)::BIGINT AS \"Nữ\" FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'nam' ELSE 'nu' END AS g FROM customer)")
+def gender_pivot(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").withColumn("Gioi_tinh", F.when(F.col("c_custkey") % 3 == 0, "Nam").otherwise("Nữ"))
+    return table_qa.gender_count(table, profile.ColumnProfile("Gioi_tinh", "Gioi_tinh", "TEXT", "gender"))
+
+
+_PART = [profile.ColumnProfile("p_partkey", "p_partkey", "INTEGER"), profile.ColumnProfile("p_name", "p_name", "TEXT"), profile.ColumnProfile("p_brand", "p_brand", "TEXT"), profile.ColumnProfile("p_size", "p_size", "INTEGER"), profile.ColumnProfile("p_retailprice", "p_retailprice", "REAL")]
+
+
+@query("SELECT count(*) AS n, sum(p_size)::BIGINT AS s, round(avg(p_retailprice), 6) AS a, min(p_size) AS lo, max(p_size) AS hi FROM part WHERE p_size >= 10 AND lower(p_brand) LIKE '%brand%'")
+def agg_filtered(spark, sf_dir):
+    held = table_qa.filters_to_condition(_PART, [{"field": "p_size", "op": "gte", "value": "10"}, {"field": "p_brand", "op": "contains", "value": "Brand"}])
+    rows = _t(spark, sf_dir, "part").filter(held)
+    return rows.agg(F.count("*").alias("n"), F.sum("p_size").alias("s"), F.round(F.avg("p_retailprice"), 6).alias("a"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 1")
+def extreme_row(spark, sf_dir):
+    table = _t(spark, sf_dir, "part").withColumn("_row_idx", F.col("p_partkey"))
+    return table_qa.extreme(table, _PART[4], "desc").select("p_partkey", "p_retailprice")
+
+
+_SEARCH = "concat_ws(' ', p_name, p_brand, p_type)"
+
+
+@query(f"SELECT p_partkey, {_SEARCH} AS search_text FROM part WHERE lower({_SEARCH}) LIKE '%brand%' AND lower({_SEARCH}) LIKE '%3%' ORDER BY p_partkey LIMIT 200")
+def multi_keyword(spark, sf_dir):
+    table = tabular.with_search_text(_t(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"]).withColumn("_row_idx", F.col("p_partkey"))
+    return table_qa.search(table, ["brand", "3"]).select("p_partkey", "search_text")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE lower('%Part 1%') OR lower(p_name) LIKE '%12%' ORDER BY p_partkey LIMIT 200")
+def contains_lookup(spark, sf_dir):
+    hit = T.contains_ignoring_case(F.col("p_name"), "Part 1") | T.contains_ignoring_case(F.col("p_name"), "12")
+    return _t(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(200).select("p_partkey", "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02 AND lower(l_returnflag) = 'r'")
+def filter_ops(spark, sf_dir):
+    schema = [profile.ColumnProfile("l_quantity", "l_quantity", "REAL"), profile.ColumnProfile("l_discount", "l_discount", "REAL"), profile.ColumnProfile("l_returnflag", "l_returnflag", "TEXT")]
+    held = table_qa.filters_to_condition(schema, [{"field": "l_quantity", "op": "gt", "value": 45}, {"field": "l_discount", "op": "lte", "value": 0.02}, {"field": "l_returnflag", "op": "equals", "value": "%R%"}])
+    return _t(spark, sf_dir, "lineitem").filter(held).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INTEGER AS place FROM (
+  SELECT "column", value, count(*) AS n FROM (SELECT 'p_brand' AS "column", p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part) WHERE value IS NOT NULL AND trim(value) <> '' GROUP BY ALL)
+QUALIFY place <= 200""")
+def value_frequency(spark, sf_dir):
+    counts = profile.unpivoted(_t(spark, sf_dir, "part"), ["p_brand", "p_type"]).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).filter("place <= 200")
+
+
+@query("""
+SELECT "column", count(*) AS n, count(value) AS non_empty, count(DISTINCT trim(regexp_replace(lower(strip_accents(value)), '[^a-z0-9]+', ' ', 'g'))) AS distinct_values FROM (
+  SELECT 'c_name' AS "column", nullif(trim(c_name), '') AS value FROM customer UNION ALL SELECT 'c_mktsegment', nullif(trim(c_mktsegment), '') FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer) GROUP BY 1""")
+def column_profile(spark, sf_dir):
+    return profile.value_statistics(_t(spark, sf_dir, "customer"), ["c_name", "c_mktsegment", "c_nationkey"])
+
+
+@query("""
+SELECT substring(value, 1, 120) AS value, first_row FROM (
+  SELECT arg_min(p_type, p_partkey) AS value, min(p_partkey) AS first_row FROM part GROUP BY trim(regexp_replace(lower(strip_accents(p_type)), '[^a-z0-9]+', ' ', 'g'))) ORDER BY first_row LIMIT 12""")
+def sample_values(spark, sf_dir):
+    return profile.sample_values(_t(spark, sf_dir, "part"), "p_type", "p_partkey")
+
+
+@query("SELECT count(*) AS n, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi, round(avg(p_size), 6) AS mean FROM part")
+def analysis_report(spark, sf_dir):
+    table = _t(spark, sf_dir, "part").withColumn("_row_idx", F.col("p_partkey"))
+    numbers = table_qa.analysis(table, _PART)["numbers"].select(F.get("p_size", F.lit(0)).alias("lo"), F.get("p_size", F.lit(1)).alias("hi"), F.round(F.get("p_size", F.lit(2)), 6).alias("mean"))
+    return _one_row(spark, table_qa.count_rows(table), numbers)
+
+
+@query("""
+SELECT b + 1 AS page, (lo + 1) || '-' || (hi + 1) AS row_range, text FROM (
+  SELECT c_custkey // 15 AS b, min(c_custkey) AS lo, max(c_custkey) AS hi,
+    '| c_custkey | c_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY 1)""")
+def row_range_pages(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row_idx"), "c_custkey", "c_name")
+    return tabular.pages_of(table, "customer").select("page", "row_range", "text")
+
+
+@query("SELECT CASE WHEN avg(CASE WHEN regexp_matches(k, '^\\d+(\\.\\d+)?$') THEN 1 ELSE 0 END) > 0.8 THEN 'bigint' ELSE 'string' END AS key_type, 'string' AS name_type FROM (SELECT c_custkey::VARCHAR AS k FROM customer)")
+def inferred_types(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"))
+    types = dict(tabular.typed(table, ["key", "name"]).dtypes)
+    return spark.range(1).select(F.lit(types["key"]).alias("key_type"), F.lit(types["name"]).alias("name_type"))
+
+
+# ── functions, sources, chunks ──────────────────────────────────────────────
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, count(*) OVER (PARTITION BY sha256(coalesce(text, ''))) AS copies FROM documents")
+def content_hashes(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", ids.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return docs.join(docs.groupBy("hash").agg(F.count("*").alias("copies")), "hash").select("doc_id", "hash", "copies")
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents")
+def normalize_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+
+
+@query("""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'),
+  '(?m)^(\\s*)[•▪‣◦]\\s+', '\\1- ', 'g'), '(?m)^(\\s*)o\\s+', '\\1- ', 'g'), '``', ''), '(?mi)^\\s*(?:(?:Page|Trang)\\s+)?\\d+\\s*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents""")
+def sanitize_regex(spark, sf_dir):
+    text = T.clean_page_numbers(T.clean_bullets(T.clean_control(F.coalesce("text", F.lit("")))))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.strip(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("text"))
+
+
+@query()
+def sanitize_markdown(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.sanitize_markdown(F.col("text")).alias("text"))
+
+
+def _strip_sql() -> str:
+    text = "coalesce(html, '')"
+    for tag in ("script", "style", "nav", "footer", "header", "aside"):
+        text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10) || chr(10), 'g')"
+    return f"SELECT page_id, regexp_replace(regexp_replace({text}, '\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages"
+
+
+@query(_strip_sql())
+def strip_tags_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", html.raw_text(F.col("html")).alias("text"))
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", html.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def md_headings(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), html.html_to_markdown(F.col("html")).alias("text"))
+    return chunking.heading_sections(pages)
+
+
+def _parents(spark, sf_dir):
+    pages = _t(spark, sf_dir, "documents").select(F.col("source"), F.col("doc_id").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return chunking.parents_of(pages)
+
+
+@query()
+def chunk_parents(spark, sf_dir):
+    return _parents(spark, sf_dir)
+
+
+@query()
+def chunk_children(spark, sf_dir):
+    return chunking.children_of(_parents(spark, sf_dir))
+
+
+@query("SELECT 0::BIGINT AS too_long, 0::BIGINT AS orphans, true AS parents_fit")
+def chunk_invariants(spark, sf_dir):
+    parents = _parents(spark, sf_dir)
+    children = chunking.children_of(parents)
+    long = children.agg(F.count_if(F.length("text") > chunking.CHILD[0]).alias("too_long"))
+    fit = parents.agg((F.max(F.length("text")) <= chunking.PARENT[0]).alias("parents_fit"))
+    lost = chunking.orphans(children, parents).agg(F.count("*").alias("orphans"))
+    return _one_row(spark, long, lost, fit)
+
+
+@query("""
+WITH s AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || doc_id)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INTEGER & 63) | 128) || h[19:20] || '-' || h[21:32] AS uuid FROM s""")
+def uuid5_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", ids.uuid5(uuid.NAMESPACE_URL, F.concat(F.lit("doc:"), "doc_id")).alias("uuid"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 10 WHEN 1 THEN greatest(0, n - 50) ELSE 5 END::BIGINT AS "start", CASE doc_id % 3 WHEN 0 THEN least(99, n - 1) ELSE n - 1 END::BIGINT AS "end",
+  CASE doc_id % 3 WHEN 0 THEN n > 10 WHEN 1 THEN n > 0 ELSE n > 5 END AS valid FROM (SELECT doc_id, n_chars AS n FROM documents)""")
+def range_header(spark, sf_dir):
+    header = F.element_at(F.array(F.lit("bytes=10-99"), F.lit("bytes=-50"), F.lit("bytes=5-")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "documents").select("doc_id", ids.range_bounds(header, F.col("n_chars")).alias("r")).select("doc_id", "r.start", "r.end", "r.valid")
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://[^/:?#@]+') AND length(url) <= 2048 AS safe FROM pages")
+def url_safety(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", files.url_is_safe(F.col("url")).alias("safe"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN make_date(2000 + (p_partkey % 20)::BIGINT, 1 + (p_partkey % 12)::BIGINT, 1 + (p_partkey % 28)::BIGINT)::TIMESTAMP END AS parsed FROM part")
+def parse_dates(spark, sf_dir):
+    y, m, d = 2000 + F.col("p_partkey") % 20, 1 + F.col("p_partkey") % 12, 1 + F.col("p_partkey") % 28
+    text = F.when(F.col("p_partkey") % 4 == 0, F.concat_ws("/", d, m, y)).when(F.col("p_partkey") % 4 == 2, F.concat_ws("-", y, m, d)).otherwise("no date")
+    return _t(spark, sf_dir, "part").select("p_partkey", T.parse_date(text).cast("timestamp_ntz").alias("parsed"))
+
+
+# ── writes, evaluation, streams ─────────────────────────────────────────────
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def soft_delete_rewrite(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source", F.lit(None).cast("timestamp").alias("delete_requested_at"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("h").alias("content_hash"))
+    job_rows = docs.select("document_id", F.lit("running").alias("status"))
+    gone = _t(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    marked, _, _ = mutate.soft_delete(docs, job_rows, docs.select("document_id"), gone)
+    return retrieval.live(marked).select(F.col("document_id").alias("doc_id"), "source")
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.doc_id2 IS NULL THEN 'old' ELSE 'new' END AS state FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM labels) AS l ON doc_id = doc_id2""")
+def version_replace(spark, sf_dir):
+    old = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("v1").alias("pipeline_version"), F.lit("old").alias("state"))
+    new = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), F.lit("v1").alias("pipeline_version"), F.lit("new").alias("state")).distinct()
+    new = new.join(old.select("document_id"), "document_id", "left_semi")
+    return mutate.replace_versions(old, new).select(F.col("document_id").alias("doc_id"), "state")
+
+
+@query("SELECT count(*) AS customers, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)) AS orders FROM customer WHERE c_nationkey >= 5")
+def cascade_delete(spark, sf_dir):
+    tables = {"customer": _t(spark, sf_dir, "customer"), "orders": _t(spark, sf_dir, "orders")}
+    gone = _t(spark, sf_dir, "nation").filter("n_nationkey < 5").select("n_nationkey")
+    left = mutate.cascade(tables, gone, [("customer", "c_nationkey", "c_custkey"), ("orders", "o_custkey", "o_orderkey")])
+    return _one_row(spark, left["customer"].agg(F.count("*").alias("customers")), left["orders"].agg(F.count("*").alias("orders")))
+
+
+@query("""
+WITH m AS (SELECT source, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT * FROM m UNION ALL SELECT '__mean__', round(avg(quality), 6), round(avg(toxic), 6) FROM m""")
+def eval_mean_row(spark, sf_dir):
+    joined = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    return mutate.with_mean_row(joined.groupBy("source").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic")), "source")
+
+
+@query("""
+WITH r AS (SELECT source AS query_id, doc_id AS item_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+g AS (SELECT source AS query_id, doc_id AS item_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1), h AS (SELECT query_id, count(*) AS hits FROM r JOIN g USING (query_id, item_id) WHERE rank <= 10 GROUP BY 1)
+SELECT query_id, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(hits, 0) / n, 6) AS recall FROM n LEFT JOIN h USING (query_id)""")
+def precision_recall_at_k(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("item_id"), "n_chars")
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "item_id")))
+    good = _t(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("item_id"))
+    return evaluate.precision_recall(ranked, docs.join(good, "item_id").select("query_id", "item_id"), 10)
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\\S+\\s*') AS ts FROM conversations)
+SELECT conv_id, turn, (len(ts) + 2)::BIGINT AS n_events FROM t""")
+def token_stream(spark, sf_dir):
+    return jobs.token_events(_t(spark, sf_dir, "conversations")).groupBy("conv_id", "turn").agg(F.count("*").alias("n_events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    counts = jobs.windowed_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -119,3 +119,8 @@ def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     offsets = sizes.withColumn("_before", before).drop("count")  # one row per partition
     out = parts.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn("row_idx", F.col("_before") + F.col("_local") - 1)
     return out.drop("_part", "_local", "_before").withColumn("batch", F.floor(F.col("row_idx") / size))
+
+
+def latest_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each group in the given order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

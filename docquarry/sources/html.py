@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -108,9 +107,13 @@ def markdown_of(page: str | None) -> str:
     return "\n".join(reader.lines).strip()
 
 
-@F.pandas_udf("string")
-def html_to_markdown(pages: pd.Series) -> pd.Series:
-    return pages.map(markdown_of)
+def html_to_markdown(page: Column) -> Column:
+    """Markdown of a page, in Arrow batches."""
+    @F.pandas_udf("string")
+    def convert(pages: pd.Series) -> pd.Series:
+        return pages.map(markdown_of)
+
+    return convert(page)
 
 
 def html_text(html: Column, ocr: Column | None = None) -> Column:
