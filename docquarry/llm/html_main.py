@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Each block element has a hidden state, inside the main content or not.  A parent's and a child's
-state are tied by a potential, a node's state and what the node looks like (tag, words of its class
+state are tied by a potential (one for each kind of parent), a node's state and what the node looks like (tag, words of its class
 and id, length of its own text, share of links, how the text ends) by others; all are estimated
 from labelled pages with add-one smoothing.  Messages are passed once from the leaves to the root
 and once back (sum-product, exact on a tree) and give each node's marginal.  The blocks of nodes
@@ -43,8 +43,12 @@ _HINT = {w: k for k, words in HINTS.items() for w in words.split()}
 _WORD = re.compile(r"[a-z]+")
 
 
+def hints_of(node: Node) -> set[str]:
+    return {_HINT[w] for w in _WORD.findall(node.names) if w in _HINT} if node.names else set()
+
+
 def features(node: Node) -> list[tuple[str, str]]:
-    hints = {_HINT[w] for w in _WORD.findall(node.names) if w in _HINT}
+    hints = hints_of(node)
     length = next(k for k, most in (("0", 0), ("s", 25), ("m", 100), ("l", 400), ("x", 1 << 60)) if node.n_text <= most)
     share = node.n_link / node.n_text if node.n_text else 0
     links = next(k for k, most in (("0", 0), ("few", 0.4), ("many", 9e9)) if share <= most)
@@ -53,10 +57,15 @@ def features(node: Node) -> list[tuple[str, str]]:
     return out + ([("hint", h) for h in sorted(hints)] or [("hint", "-")])
 
 
+#: Parents that have a potential of their own; all others share one, and so do those whose class or
+#: id names something else than content.
+PARENTS = frozenset("html div section article main ul".split())
+
+
 class DomModel:
     def __init__(self, pages: list[str]) -> None:
         counts: list[Counter] = [Counter(), Counter()]
-        edges = np.ones((2, 2))
+        edges = {k: np.ones((2, 2)) for k in [*sorted(PARENTS), "other", "marked"]}
         values: dict[str, set[str]] = {}
         for page in pages:
             nodes, _ = read(page)
@@ -66,12 +75,12 @@ class DomModel:
                 here = {"content": 1, "other": 0}.get(node.label, above)
                 state.append(here)
                 if node.parent >= 0:
-                    edges[above, here] += 1
+                    edges[self.kind(nodes[node.parent])][above, here] += 1
                 for f in features(node):
                     counts[here][f] += 1
                     values.setdefault(f[0], set()).add(f[1])
         #: P(child's state | parent's state), and the log ratio of P(feature | inside) to P(feature | outside).
-        self.edge = (edges / edges.sum(1, keepdims=True)).tolist()
+        self.edge = {k: (e / e.sum(1, keepdims=True)).tolist() for k, e in edges.items()}
         total = [Counter({k: sum(n for f, n in c.items() if f[0] == k) for k in values}) for c in counts]
         self.ratio = {}
         for kind, seen in values.items():
@@ -79,9 +88,15 @@ class DomModel:
                 p = [(counts[y][kind, v] + 1) / (total[y][kind] + len(seen)) for y in (0, 1)]
                 self.ratio[kind, v] = p[1] / p[0]
 
+    @staticmethod
+    def kind(parent: Node) -> str:
+        if hints_of(parent) - {"content"}:
+            return "marked"
+        return parent.tag if parent.tag in PARENTS else "other"
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(inside) of each node by one pass up and one pass down."""
-        e = self.edge
+        edges = [self.edge[self.kind(node)] for node in nodes]
         local = []
         for node in nodes:
             r = 1.0
@@ -92,14 +107,15 @@ class DomModel:
         up = local[:]
         message = [1.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            x = up[i]
+            x, p = up[i], nodes[i].parent
+            e = edges[p]
             m = (e[1][0] + e[1][1] * x) / (e[0][0] + e[0][1] * x)
             message[i] = m
-            p = nodes[i].parent
             up[p] = min(max(up[p] * m, 1e-100), 1e100)
         belief = up[:]
         belief[0] = up[0] * 1e-6  # the root is outside
         for i in range(1, len(nodes)):
+            e = edges[nodes[i].parent]
             x = belief[nodes[i].parent] / message[i]  # the parent without this child
             down = (e[0][1] + e[1][1] * x) / (e[0][0] + e[1][0] * x)
             belief[i] = up[i] * down

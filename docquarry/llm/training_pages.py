@@ -13,7 +13,7 @@ _SYLLABLES = "ba ke li mo nu ra se ti vo za den for mal ner pos rin sta tur wel"
 _BEFORE = ["header", "nav", "notice", "ad", "hero"]
 _AFTER = ["related", "comments", "newsletter", "share", "footer", "sidebar", "ad"]
 _WRAPPERS = [
-    ("<article>", "</article>"), ('<article class="post">', "</article>"), ("<main>", "</main>"), ('<main role="main"><article>', "</article></main>"),
+    ("<article>", "</article>"), ("<article>", "</article>"), ("<article>", "</article>"), ("<article>", "</article>"), ('<article class="post">', "</article>"), ("<main>", "</main>"), ('<main role="main"><article>', "</article></main>"),
     ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="entry-content">', "</div>"), ('<section class="story">', "</section>"),
     ('<div class="article-body">', "</div>"), ("<div>", "</div>"), ('<div id="post-12" class="post"><div class="body">', "</div></div>"),
 ]
@@ -30,6 +30,11 @@ class _Maker:
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(2, 16).capitalize() + self.random.choice([".", ".", ".", "!", "?"]) for _ in range(self.random.randint(low, high)))
 
+    def prose(self, low: int, high: int) -> str:
+        """Sentences, some with a link in them."""
+        text = self.sentences(low, high)
+        return f'{text} <a href="/x">{self.words(1, 2)}</a> {self.words(1, 6)}.' if self.random.random() < 0.2 else text
+
     def links(self, low: int, high: int) -> str:
         n = self.random.randint(low, high)
         return "<ul>" + "".join(f'<li><a href="/x">{self.words(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
@@ -41,7 +46,7 @@ class _Maker:
             "ad": ["ad", "advert", "ads", "sponsored promo"], "hero": ["banner", "promo"], "related": ["related", "recommended", "more-stories"], "comments": ["comments", "reader-comments", "responses"],
             "newsletter": ["newsletter", "subscribe", "signup", "login"], "share": ["share", "social", "share-buttons"], "footer": ["footer", "site-footer", "copyright"], "sidebar": ["sidebar", "widget", "aside rail"],
         }[kind]
-        cls = f' {r.choice(["class", "class", "id"])}="{r.choice(name)}"' if r.random() < 0.8 or kind in ("ad", "notice", "comments") else ""
+        cls = f' {r.choice(["class", "class", "id"])}="{r.choice(name)}"' if r.random() < 0.8 or kind in ("ad", "notice", "comments", "hero") else ""
         if kind == "header":
             return f"<header{cls}><h1>{w(1, 4)}</h1><p>{w(2, 8)}</p>{self.links(2, 6) if r.random() < 0.5 else ''}</header>"
         if kind == "nav":
@@ -52,7 +57,7 @@ class _Maker:
             return f"<{tag}{cls}>{inner}</{tag}>"
         if kind == "comments":
             one = lambda: f'<{t} class="comment"><p>{s(1, 4)}</p></{t}>'
-            t = r.choice(["div", "article", "li"])
+            t = r.choice(["div", "div", "div", "li", "article"])
             return f"<section{cls}><h3>{w(1, 2)}</h3>{''.join(one() for _ in range(r.randint(1, 5)))}</section>"
         if kind == "newsletter":
             return f"<form{cls}><p>{s(1, 2)}</p><label>{w(1, 3)}</label><input></form>"
@@ -71,7 +76,7 @@ class _Maker:
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9, 14])):
             kind = r.random()
             if kind < 0.72:
-                out.append(f"<p>{self.sentences(1, 8)}</p>")
+                out.append(f"<p>{self.prose(1, 8)}</p>")
             elif kind < 0.8:
                 out.append(f"<p>{self.words(1, 8)}</p>")
             elif kind < 0.87:
