@@ -7,8 +7,8 @@ only before the others, these by how often they occur; then the rest by hash.  S
 common passage comes last, most classes have no shared shingle in their prefix and are done, and
 only a zone of the shingles is ever shuffled.
 
-Trees.  A class with shared keys lives in a block: classes of the same most frequent key, at most
-about ``block_classes``.  Blocks that share a key meet.  In such a meeting each side's sets hang in a
+Trees.  A class with shared keys lives in a block of about ``block_classes`` classes at most, all of
+one group: the most frequent key among its own and those of the classes it shares a key with.  Blocks that share a key meet.  In such a meeting each side's sets hang in a
 signature tree whose nodes hold OR-combined token bitmaps and size ranges.  Both trees are
 traversed together; a pair of nodes is dropped when ``|A and B| + excess`` (tokens that share a bit)
 or a size range rules out the overlap the threshold asks for.  Leaves that remain are compared
@@ -210,10 +210,14 @@ def jaccard_components(
     postings = stored(keyed.select("class_id", F.explode("keys").alias("key")), "postings", f"{work}/postings")
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     live = postings.join(sizes, "key")
-    # The block of a class: its most frequent key, and a part of it where that has many classes.
-    home = live.groupBy("class_id").agg(F.max(F.struct("m", "key")).alias("home"))
-    n_parts = F.ceil(F.col("home.m") / block_classes).cast("int")
-    homes = stored(home.select("class_id", F.xxhash64("home.key", F.pmod(F.xxhash64("class_id"), n_parts)).alias("block")), "homes", f"{work}/homes")
+    # A class belongs with its most frequent key, or with that of a class it shares a key with, if more
+    # frequent: a large family gathers under one key.  Its block is a part of that group.
+    own = live.groupBy("class_id").agg(F.max(F.struct("m", "key")).alias("own"))
+    of_key = live.join(own, "class_id").groupBy("key").agg(F.max("own").alias("best"))
+    home = stored(live.join(of_key, "key").groupBy("class_id").agg(F.max("best").alias("home")), "home", f"{work}/home")
+    groups = home.groupBy("home").agg(F.ceil(F.count("*") / block_classes).cast("int").alias("parts"))
+    block = F.xxhash64("home.key", F.pmod(F.xxhash64("class_id"), F.col("parts")))
+    homes = stored(home.join(groups, "home").select("class_id", block.alias("block")), "homes", f"{work}/homes")
     # Blocks meet where a key joins them: (lesser, greater), each with itself too.
     at = postings.join(homes, "class_id").select("key", "block").distinct()
     meetings = at.alias("x").join(at.alias("y"), "key").filter("x.block <= y.block").select(F.col("x.block").alias("block"), F.col("y.block").alias("other")).distinct()
