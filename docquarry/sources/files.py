@@ -76,7 +76,7 @@ def pdf_pages(spark: SparkSession, path: str, reader: PdfReader) -> DataFrame:
     def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for source, content in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame([{"source": source, **page} for page in reader(content)], columns=[c.split()[0] for c in PAGES.split(", ") if " " in c][:7])
+                yield pd.DataFrame([{"source": source, **page} for page in reader(content)], columns=[c.split()[0] for c in PAGES.split(", ")])
 
     return files(spark, path, "*.pdf").select("path", "content").mapInPandas(pages, PAGES)
 
@@ -119,7 +119,7 @@ def parsed_pages(pages: DataFrame, ocr: Callable[[DataFrame], DataFrame] | None
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """key, value, sensitive of a settings file; secrets are masked."""
+    """key, value, sensitive of a settings file; secrets are masked.  (Spark skips names that begin with a dot.)"""
     lines = spark.read.text(path).filter(~strip(F.col("value")).rlike(r"^(#|$)") & F.col("value").contains("="))
     key, value = strip(F.substring_index("value", "=", 1)), strip(F.regexp_replace("value", r"^[^=]*=", ""))
     secret = key.rlike(r"(?i)(key|secret|password|token)")

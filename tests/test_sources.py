@@ -112,3 +112,36 @@ def test_sse_round_trip(spark):
     assert [r["type"] for r in events.orderBy("position").collect()] == ["status", "token", "token", "final"]
     lines = events.select(jobs.sse(F.struct("type", "payload")).alias("value")).union(spark.createDataFrame([("data: {broken",), ("noise",)], "value string"))
     assert jobs.parse_sse(lines, "type string, payload string").count() == 4
+
+
+def test_pdf_reader_hook(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF one|two")
+    reader = lambda content: [{"page": i + 1, "markdown": None, "raw": t, "images": [], "drawings": 0, "blocks": []} for i, t in enumerate(bytes(content)[5:].decode().split("|"))]
+    pages = files.pdf_pages(spark, str(tmp_path), reader)
+    assert [r["text"] for r in files.parsed_pages(pages).orderBy("page").collect()] == ["one", "two"]
+    box = one(spark, files.content_box(F.array(F.struct(F.lit(20.0).alias("x0"), F.lit(30.0).alias("y0"), F.lit(90.0).alias("x1"), F.lit(95.0).alias("y1"))), F.lit(100.0), F.lit(100.0)))
+    assert tuple(box) == (10.0, 20.0, 100.0, 100.0) and tuple(one(spark, files.scaled(F.lit(3000.0), F.lit(1000.0)))) == (1500, 500)
+
+
+def test_dispatch_and_settings(spark, tmp_path):
+    (tmp_path / "a.md").write_text("﻿# A\n\ntext")
+    (tmp_path / "b.html").write_text("<html><body>" + "<p>some words here</p>" * 20 + "</body></html>")
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "settings.env").write_text("# c\nA=1\nAPI_KEY = abcdefgh\n\n")
+    assert files.read(spark, str(tmp_path / "a.md")).first()["text"] == "# A\n\ntext"
+    assert files.read(spark, str(tmp_path / "b.html")).first()["text"].startswith("some words here")
+    assert "| 1 | 2 |" in files.read(spark, str(tmp_path / "c.csv")).first()["text"]
+    assert sorted(map(tuple, files.read_settings(spark, str(tmp_path / "settings.env")).collect())) == [("A", "1", False), ("API_KEY", "****efgh", True)]
+
+
+def test_windowed_counts_drop_late_events(spark, tmp_path):
+    from datetime import datetime
+
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for hours in ([0, 9], [0], [20]):
+        spark.createDataFrame([(h, datetime(2024, 1, 1, h, 10), "a", 1.0) for h in hours], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        counts = jobs.windowed_counts(source).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+        counts.trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    assert sorted((r["window"]["start"].hour, r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1), (9, 1)]
