@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,31 @@ WITH RECURSIVE state(word, ids) USING KEY (word) AS (
     JOIN merges AS m USING (l, r) GROUP BY word))
 SELECT word, ids FROM state ORDER BY word
 """
-DECODE_SQL = """
-SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS bytes
-FROM (SELECT word, unnest(range(1, len(ids) + 1)) AS pos, unnest(ids) AS id FROM encoded) AS t JOIN vocab AS v USING (id)
-GROUP BY word ORDER BY word
+#: The same for words of at most SHORT bytes: all states are kept until the end, which is faster and,
+#: for short words, small.
+SHORT = 48
+ENCODE_SHORT_SQL = ENCODE_SQL.replace("USING KEY (word) ", "").replace("UNION\n", "UNION ALL\n").replace(
+    "SELECT word, ids FROM state ORDER BY word", "SELECT word, arg_min(ids, len(ids)) AS ids FROM state GROUP BY word ORDER BY word"
+)
+#: Words are decoded DECODED_TOGETHER at a time: one ordered aggregate over their tokens, each word's
+#: followed by END, which no byte is written as.
+END, DECODED_TOGETHER = "\u0100", 512
+DECODE_SQL = f"""
+SELECT word // {DECODED_TOGETHER} AS part, string_agg(v.bytes, '' ORDER BY word, pos) AS bytes
+FROM (SELECT word, unnest(range(len(ids) + 1)) AS pos, unnest(ids || [-1]) AS id FROM encoded) AS t JOIN vocab AS v USING (id)
+GROUP BY part ORDER BY part
 """
 
+#: Chunks are costly here, so more of them are held.
+MAX_CHUNKS = 400_000
+#: The table of words is emptied when it has more.
+MAX_WORDS = 250_000
+
+
+def _lists(values: np.ndarray, counts) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
+
+
 _ENCODERS: dict[tuple[str, str], "DuckEncoder"] = {}
 
 
@@ -57,13 +76,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class DuckEncoder(ChunkEncoder):
+    max_chunks = MAX_CHUNKS
+
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
         import regex
 
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [
             (x, y, rank) for token, rank in self.ranks.items() for k in range(1, len(token))
             if (x := self.ranks.get(token[:k])) is not None and (y := self.ranks.get(token[k:])) is not None
@@ -71,32 +92,44 @@ class DuckEncoder(ChunkEncoder):
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": False})
         self._table("merges", [pa.array(c, pa.int32()) for c in zip(*pairs)], ["l", "r", "merged"])
         # DuckDB's ordered aggregate joins text: a byte is written as the character of its number.
-        self._table("vocab", [pa.array(list(self.ranks.values()), pa.int32()), pa.array([t.decode("latin-1") for t in self.ranks])], ["id", "bytes"])
+        self._table("vocab", [pa.array([*self.ranks.values(), -1], pa.int32()), pa.array([*(t.decode("latin-1") for t in self.ranks), END])], ["id", "bytes"])
         self.decoded: list[bytes] = []
         self._start()
+        self._no_words()
+
+    def _no_words(self) -> None:
+        """Known words in order of arrival, their ids one after another, and what these decode to."""
+        self.words: dict[str, int] = {}
+        self.word_ids, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.text: list[bytes] = []
 
     def _table(self, name: str, columns: list[pa.Array], names: list[str]) -> None:
         self.duck.register("incoming", pa.table(columns, names))
         self.duck.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.duck.unregister("incoming")
 
-    def encode_words(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        """The ids of each word and what they decode to."""
-        ids: list[list[int]] = [[] for _ in words]
-        hard = []
-        for i, word in enumerate(words):
-            if (rank := self.ranks.get(word)) is not None:
-                ids[i] = [rank]
-            else:
-                hard.append(i)
-        if hard:
-            byte = self.byte
-            start = pa.array([[byte[b] for b in words[i]] for i in hard], pa.list_(pa.int32()))
-            self._table("words", [pa.array(hard, pa.int32()), start], ["word", "ids"])
-            for word, got in self.duck.execute(ENCODE_SQL).fetchall():
-                ids[word] = got
-        self._table("encoded", [pa.array(range(len(words)), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-        return ids, [text.encode("latin-1") for _, text in self.duck.execute(DECODE_SQL).fetchall()]
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The ids of all words in order, the number of each word's, and what each word's decode to."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        n_bytes = np.fromiter(map(len, words), np.int64, len(words))
+        counts = np.ones(len(words), np.int64)
+        found = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        for sql, these in ((ENCODE_SHORT_SQL, n_bytes <= SHORT), (ENCODE_SQL, n_bytes > SHORT)):
+            hard = np.flatnonzero((whole < 0) & these)
+            if len(hard):
+                start = self.byte[np.frombuffer(b"".join([words[i] for i in hard]), np.uint8)]
+                self._table("words", [pa.array(hard, pa.int32()), _lists(start, n_bytes[hard])], ["word", "ids"])
+                lists = self.duck.sql(sql).to_arrow_table().column("ids").combine_chunks()
+                counts[hard] = np.diff(lists.offsets.to_numpy())
+                found.append((hard, lists.flatten().to_numpy()))
+        flat = np.empty(counts.sum(), np.int32)
+        starts = np.cumsum(counts) - counts
+        for index, ids in found:
+            n = counts[index]
+            flat[np.repeat(starts[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+        self._table("encoded", [pa.array(np.arange(len(words)), pa.int32()), _lists(flat, counts)], ["word", "ids"])
+        text = self.duck.sql(DECODE_SQL).to_arrow_table().column("bytes").to_pylist()
+        return flat, counts, [t.encode("latin-1") for part in text for t in part.split(END)[:-1]]
 
     def _learn(self) -> None:
         first, later = self.first.new, self.later.new
@@ -104,14 +137,16 @@ class DuckEncoder(ChunkEncoder):
         self.added += later
         if first or later:
             parts = [self.find(k) for k, _ in first] + [self.find(f" {k}") for k, _ in later]
-            number: dict[str, int] = {}
-            place = np.array([number.setdefault(w, len(number)) for w in chain.from_iterable(parts)], np.int64)
-            ids, text = self.encode_words([w.encode() for w in number])
-            n_ids = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n_ids.sum()))
-            n = n_ids[place]
-            at = (np.cumsum(n_ids) - n_ids)[place]
-            joined = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            known = self.words
+            place = np.array([known.setdefault(w, len(known)) for w in chain.from_iterable(parts)], np.int64)
+            new = list(islice(known, len(self.text), None))
+            if new:
+                flat, n_ids, text = self.encode_words([w.encode() for w in new])
+                self.word_ids, self.n_ids = np.concatenate([self.word_ids, flat]), np.concatenate([self.n_ids, n_ids])
+                self.text += text
+            n, text = self.n_ids[place], self.text
+            at = (np.cumsum(self.n_ids) - self.n_ids)[place]
+            joined = self.word_ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             ends = np.cumsum([len(p) for p in parts])
             upto = np.concatenate([[0], np.cumsum(n)])
             counts = np.diff(upto[ends], prepend=0)
@@ -135,6 +170,8 @@ class DuckEncoder(ChunkEncoder):
             at += len(c)
         self._forget()
         del self.decoded[self.size :]
+        if len(self.words) > MAX_WORDS:
+            self._no_words()
         return ids, per_text, out
 
 

@@ -66,6 +66,8 @@ class _Table(dict):
 
 
 class ChunkEncoder:
+    max_chunks = MAX_CHUNKS
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -160,7 +162,7 @@ class ChunkEncoder:
         self._fill()
 
     def _fill(self) -> None:
-        if not self.mark and self.size > MAX_CHUNKS:
+        if not self.mark and self.size > self.max_chunks:
             self.mark = (self.size, self.used)
             self.added = []
 
