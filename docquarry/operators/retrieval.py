@@ -66,20 +66,26 @@ def bm25_scores(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", te
     """id, score of the documents that hold a query term; a repeated term counts again.
 
     Okapi BM25; an inverse document frequency below zero is replaced by ``EPSILON`` times the mean over
-    the vocabulary.  Postings are restricted to the query's terms before scores are added up.
+    the vocabulary.  Only the document frequencies are shuffled; a document's score needs its own words only.
     """
-    postings, lengths = term_statistics(docs, id_col=id_col, text_col=text_col)
-    total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = total["n"], total["avgdl"] or 1.0
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = df.agg(F.avg(raw)).first()[0] or 0.0
-    idf = df.filter(F.col("term").isin(terms)).select("term", F.when(raw < 0, F.lit(EPSILON * mean)).otherwise(raw).alias("idf"))
-    weights = F.element_at(F.create_map(*[F.lit(x) for t in set(terms) for x in (t, terms.count(t))]), F.col("term"))
-    hits = postings.filter(F.col("term").isin(terms)).join(F.broadcast(idf), "term")  # one row per query term
-    tf = F.col("tf")
-    score = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl)) * weights
-    return hits.groupBy("id").agg(F.sum(score).alias("score"))
+    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
+    total = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = float(total["n"]), total["avgdl"] or 1.0
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    wanted = list(dict.fromkeys(terms))
+    # One row: the mean over the vocabulary and each query term's own value.
+    found = df.agg(F.avg(raw), *[F.max(F.when(F.col("term") == t, raw)) for t in wanted]).first()
+    mean = found[0] or 0.0
+    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
+    length = K1 * (1 - B + B * F.col("dl") / avgdl)
+    score, hit = F.lit(0.0), F.lit(False)
+    for t, value in zip(wanted, found[1:]):
+        if value is not None:
+            idf = EPSILON * mean if value < 0 else value
+            score = score + F.lit(idf * terms.count(t)) * tf(t) * (K1 + 1) / (tf(t) + length)
+            hit = hit | F.array_contains("words", t)
+    return words.filter(hit).select("id", score.alias("score"))
 
 
 def overlap_scores(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,11 +97,11 @@ def overlap_scores(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id",
 def lexical_topk(docs: DataFrame, query: str | list[str], k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, rank by BM25; where no score is above zero, by overlap."""
     terms = query if isinstance(query, list) else query_terms(docs, query)
-    best = lambda scores: scores.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    top = best(bm25_scores(docs, terms, id_col=id_col, text_col=text_col).filter("score > 0")) if terms else None
-    if top is None or top.isEmpty():
-        top = best(overlap_scores(docs, terms or [""], id_col=id_col, text_col=text_col))
-    return _ranked(top, F.desc("score"), F.col("id"))
+    best = lambda scores: scores.select("id", F.round("score", 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(k).collect()
+    top = best(bm25_scores(docs, terms, id_col=id_col, text_col=text_col)) if terms else []
+    top = top or best(overlap_scores(docs, terms or [""], id_col=id_col, text_col=text_col))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, score double, rank int"
+    return docs.sparkSession.createDataFrame([(r["id"], r["score"], i + 1) for i, r in enumerate(top)], schema)  # k rows
 
 
 def query_terms(docs: DataFrame, query: str) -> list[str]:
