@@ -19,12 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The table takes in so many chunks; what is new after that is forgotten with its batch.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 100_000
 #: A word and such a tail are different matches of the pattern (an apostrophe may begin a contraction).
 TAIL = "".join(c for c in string.punctuation if c != "'")
 _TAIL = frozenset(TAIL)
 #: Texts of about so many characters are worked on together.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 2_000_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
@@ -210,3 +210,4 @@ def by_text(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices that hold about CHARS_AT_ONCE bytes of the text in ``column``."""
     for a, b in by_chars(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -190,6 +191,7 @@ def predictor(spark, model: CrossParser):
         for texts in batches:
             every = texts.tolist()
             parts = [held.value.predict(every[a:b]) for a, b in by_chars([len(t or '') for t in every])]
+            pa.default_memory_pool().release_unused()
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 
     return predict

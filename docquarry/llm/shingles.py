@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Hashes of words are kept in a table of so many at most.
-MAX_WORDS = 500_000
+MAX_WORDS = 150_000
 
 
 class _WordHashes(dict):
