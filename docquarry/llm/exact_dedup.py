@@ -75,8 +75,9 @@ def run_stream(stream: DataFrame, work: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(f"{_ddl(state)}, batch int").parquet(f"{work}/updates")
-    # A digest appears once for each batch that touched it; the last one tells the state.
-    return updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
+    # A digest appears once for each batch that touched it; the last one tells the state.  Written, it
+    # comes to the join by a shuffle of its own, and Spark can split a large group on the other side.
+    return stored(updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size")), "dedup-state", f"{work}/state")
 
 
 def _ddl(frame: DataFrame) -> str:

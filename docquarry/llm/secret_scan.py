@@ -102,10 +102,14 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.concat(*[spans(F.col("text"), k, p, keep) for k, p, keep in WEAK]).alias("weak"),
     )
     found = stored(found, "secret-spans")
-    # Equal texts have equal spans: each text with two parts of which one is weak is linked once.
-    weak = found.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).select("text_key", F.concat("base", "weak").alias("parts")).dropDuplicates(["text_key"])
+    # Equal texts have equal spans: each text with two parts of which one is weak is linked once.  Rows
+    # without such parts, nearly all, take no part in the joins.
+    paired = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
+    weak = found.filter(paired).select("text_key", F.concat("base", "weak").alias("parts")).dropDuplicates(["text_key"])
     linked = _linked(weak, scope).groupBy("text_key").agg(F.collect_list("part").alias("linked"))
-    return found.join(linked, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("linked", F.filter("base", lambda s: F.lit(False))).alias("linked"))
+    none = F.filter("base", lambda s: F.lit(False))
+    joined = found.filter(paired).join(linked, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("linked", none).alias("linked"))
+    return joined.unionByName(found.filter(~paired).select("doc_id", "text_key", "base", none.alias("linked")))
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
