@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunk_encoder import by_text
 from .components import connected_components
 from .shared import shared_dir, stored, text_of
 from .shingles import shingle_set
@@ -49,7 +50,7 @@ def _signatures(n_words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_text(whole, 2)):
             classes, sizes, in_zone, zones, extras = [], [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), n_words)
@@ -81,7 +82,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_text(whole, 1)):
             data = [shingle_set(t.as_py(), n_words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["class_id", "tokens"])
 

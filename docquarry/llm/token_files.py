@@ -98,31 +98,29 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tup
 
 
 class BlockDecoder:
-    """Table-driven decoding: one look-up of ``max(lengths)`` bits gives a symbol and its length."""
+    """Table-driven decoding: one look-up of ``max(lengths)`` (at most 27) bits gives a symbol and its length."""
 
     def __init__(self, lengths: np.ndarray) -> None:
         order, _ = canonical_codes(lengths)
         self.width = int(lengths.max()) if len(order) else 1
         repeats = 1 << (self.width - lengths[order].astype(np.int64))
-        self.symbol = np.zeros(1 << self.width, np.uint32)
-        self.n_bits = np.ones(1 << self.width, np.int64)
-        self.symbol[: repeats.sum()] = np.repeat(order, repeats)
-        self.n_bits[: repeats.sum()] = np.repeat(lengths[order], repeats)
+        #: symbol << 5 | bits
+        self.entry = np.ones(1 << self.width, np.uint32)
+        self.entry[: repeats.sum()] = np.repeat(order.astype(np.uint32) << np.uint32(5) | lengths[order], repeats)
 
     def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         if not n:
             return np.zeros(0, np.uint32)
-        words = np.concatenate([np.frombuffer(bits, ">u4").astype(np.uint64), np.zeros(LANE * self.width // 32 + 3, np.uint64)])
-        pairs = (words[:-1] << np.uint64(32)) | words[1:]
+        words = np.concatenate([np.frombuffer(bits, ">u4").astype(np.int64), np.zeros(LANE * self.width // 32 + 3, np.int64)])
+        # The high bit of a pair may set the sign; it is masked off with what lies before the window.
+        pairs = (words[:-1] << 32) | words[1:]
         at = np.cumsum(np.frombuffer(checkpoints, "<u2").astype(np.int64))
         out = np.empty((LANE, len(at)), np.uint32)
-        mask = np.uint64((1 << self.width) - 1)
+        mask, shift = (1 << self.width) - 1, 64 - self.width
         for k in range(LANE):
-            window = (pairs[at >> 5] >> (64 - self.width - (at & 31)).astype(np.uint64)) & mask
-            window = window.astype(np.int64)
-            out[k] = self.symbol[window]
-            at += self.n_bits[window]
-        return out.T.reshape(-1)[:n]
+            out[k] = here = self.entry.take((pairs.take(at >> 5) >> (shift - (at & 31))) & mask)
+            at += here & 31
+        return out.T.reshape(-1)[:n] >> np.uint32(5)
 
 
 def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
