@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from docquarry.llm import exact_dedup, language_id, ngram_join, packing, secret_scan
 from docquarry.llm.shared import shared_dir, stored
 
+#: A worker that serves all stages keeps their tables side by side, so this one is smaller.
+MAX_CHUNKS = 100_000
+
 #: The first stage, cross-parsing with suffix automata, has no equivalent in SQL.
 ORACLE_SQL = None
 
@@ -35,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_chunks=MAX_CHUNKS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

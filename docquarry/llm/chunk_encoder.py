@@ -8,10 +8,12 @@ bounded table of those it has seen.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The table takes in so many chunks; what is new after that is forgotten with its batch.
-MAX_CHUNKS = 100_000
+MAX_CHUNKS = 300_000
 #: A word and such a tail are different matches of the pattern (an apostrophe may begin a contraction).
 TAIL = "".join(c for c in string.punctuation if c != "'")
 _TAIL = frozenset(TAIL)
@@ -27,14 +29,16 @@ _TAIL = frozenset(TAIL)
 CHARS_AT_ONCE = 2_000_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
-_ENCODERS: dict[str, "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
-def encoder(path: str) -> "ChunkEncoder":
+def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> "ChunkEncoder":
     """The encoder of this worker process for the tokenizer file at ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    key = (path, max_chunks)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(path)
+        _ENCODERS[key].max_chunks = max_chunks
+    return _ENCODERS[key]
 
 
 def chunks(text: str) -> list[str]:
@@ -51,6 +55,18 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: the many small objects of a batch form none, counts free them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class _Table(dict):
     """chunk -> index into the pool; a new chunk gets the next index and is noted in ``new``."""
 
@@ -94,9 +110,10 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
-        ids, per_text = self._encode([chunks(t) for t in texts])[:2]
-        self._forget()
-        return ids, per_text
+        with uncollected():
+            ids, per_text = self._encode([chunks(t) for t in texts])[:2]
+            self._forget()
+            return ids, per_text
 
     def _encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index = np.fromiter(

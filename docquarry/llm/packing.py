@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_text, encoder
+from .chunk_encoder import MAX_CHUNKS, by_text, encoder
 from .shared import text_of
 
 RESTS = "pack_group int, doc_id long, row_key long, start long, length long, doc_tokens long, ids binary"
@@ -79,9 +79,9 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
     return [b for b in bins if b]
 
 
-def _encode(tokenizer_path: str, end_id: int, capacity: int):
+def _encode(tokenizer_path: str, end_id: int, capacity: int, max_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer_path)
+        code = encoder(tokenizer_path, max_chunks)
         for batch in batches:
             for part in by_text(batch, 3):
                 groups, keys, rows, texts = (part.column(i).to_pylist() for i in range(4))
@@ -129,13 +129,16 @@ def _pack(capacity: int):
 
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, *, id_col: str = "doc_id",
-    text_col: str = "text", group_bytes: int = 8_000_000, seed: int = 17,
+    text_col: str = "text", group_bytes: int = 8_000_000, seed: int = 17, max_chunks: int = MAX_CHUNKS,
 ) -> DataFrame:
-    """One row per piece with its ids (little-endian unsigned 32-bit), sequence and offset there."""
+    """One row per piece with its ids (little-endian unsigned 32-bit), sequence and offset there.
+
+    ``max_chunks`` bounds the table of encoded chunks that each worker keeps.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n_groups = max(1, -(-n_bytes // group_bytes))
     row_key = F.xxhash64("doc_id", "text", F.lit(seed))
     dealt = rows.select(F.pmod(row_key, F.lit(n_groups)).cast("int").alias("pack_group"), "doc_id", row_key.alias("row_key"), "text")
-    pieces = dealt.mapInArrow(_encode(tokenizer_path, end_id, capacity), RESTS)
+    pieces = dealt.mapInArrow(_encode(tokenizer_path, end_id, capacity, max_chunks), RESTS)
     return pieces.groupBy("pack_group").applyInArrow(_pack(capacity), PIECES)
