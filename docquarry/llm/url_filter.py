@@ -2,9 +2,10 @@
 
 Rules decide where they fit (a host and its subdomains, a path's beginning; the longest rule wins).
 For other URLs, each host's paths form a tree.  Segments that are numbers or long hexadecimal
-words become wildcards at once.  A branch also becomes a wildcard if its parent has more than
-``max_children`` different branches, or if its share of blocked pages does not differ from that of
-its siblings (two-proportion z test; without any labels below the parent nothing tells them apart).
+words become wildcards at once.  A branch also becomes a wildcard if its share of blocked pages does
+not differ from that of its siblings with labels (two-proportion z test; without any labels below the
+parent nothing tells them apart).  A branch without labels beside labelled ones stands for itself, and
+the number of branches decides nothing, so no verdict depends on how many siblings a branch has.
 A path's template keeps the branches that stand for themselves.  A template is rejected when the
 smoothed share of blocked among its labelled pages, (blocked + 1) / (labelled + 2), exceeds ``reject``.
 Labelled pages are those that a rule decides.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMBER, HEX = r"^[0-9]+", r"^[0-9a-f]{8,}$"
-MAX_CHILDREN, Z, REJECT = 20, 1.96, 0.8
+Z, REJECT = 1.96, 0.8
+#: Only OP9_SQL merges by this count; the two agree where no parent with labels has more branches.
+MAX_CHILDREN = 20
 
 Rule = tuple[str, str]  # verdict, host/path
 
@@ -62,7 +65,7 @@ def generalised(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(HEX) & ~s.rlike(r"^[0-9]+$"), F.lit("{h}")).otherwise(F.regexp_replace(s, NUMBER, "{n}")))
 
 
-def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
+def templates(pages: DataFrame, z: float) -> DataFrame:
     """host, raw, template, labelled, blocked of each distinct (host, generalised path)."""
     paths = pages.groupBy("host", "raw").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
     steps = paths.select("host", "raw", "labelled", "blocked", F.posexplode("raw").alias("depth", "segment")).withColumn("parent", F.slice("raw", F.lit(1), F.col("depth")))
@@ -73,7 +76,7 @@ def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
     pooled = F.col("all_bad") / F.col("all_lab")
     apart = F.abs(bad / lab - (F.col("all_bad") - bad) / rest) > z * F.sqrt(pooled * (1 - pooled) * (1 / lab + 1 / rest))
     wild = (
-        F.when(F.col("n_children") == 1, F.lit(False)).when(F.col("n_children") > max_children, F.lit(True))
+        F.when(F.col("n_children") == 1, F.lit(False))
         .when(F.col("all_lab") == 0, F.lit(True)).when((lab == 0) | (rest == 0), F.lit(False)).otherwise(~apart)
     )
     judged = branch.join(node, ["host", "parent"]).select("host", "parent", "segment", F.when(wild, F.lit("*")).otherwise(F.col("segment")).alias("shown"))
@@ -84,14 +87,14 @@ def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url",
-    max_children: int = MAX_CHILDREN, z: float = Z, reject: float = REJECT,
+    z: float = Z, reject: float = REJECT,
 ) -> DataFrame:
     """One row per row: page_id, host, path, rule (null if none fits), verdict, template_rejected."""
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     found = rows.withColumn("found", match_rule(rules, F.col("host"), F.col("path")))
     found = found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), generalised(F.col("path")).alias("raw"))
-    trees = templates(found, max_children, z)
+    trees = templates(found, z)
     bad = trees.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).filter((F.col("b") + 1) / (F.col("n") + 2) > reject)
     rejected = trees.join(bad, ["host", "template"], "left_semi").select("host", "raw", F.lit(True).alias("rejected"))
     judged = found.join(rejected, ["host", "raw"], "left")

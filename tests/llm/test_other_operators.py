@@ -113,6 +113,21 @@ def test_url_templates(spark):
     assert url_filter.keep_allowed(frame, rules).count() == 41
 
 
+@pytest.mark.parametrize("others", [19, 20, 21, 50])
+def test_url_verdicts_do_not_depend_on_the_number_of_branches(spark, others):
+    """Beside one blocked branch any number of branches without labels, or of allowed ones."""
+    unknown = [f"http://a.com/s{k}/{i}" for k in range(others) for i in range(3)]
+    blocked = [f"http://{h}.com/de/{i}" for h in "ab" for i in range(10)] + ["http://b.com/de/x"]
+    allowed = [f"http://b.com/ok{k}/{i}" for k in range(others) for i in range(3)]
+    rules = [("block", "a.com/de/")] + [("block", f"b.com/de/{i}") for i in range(10) if i != 7] + [("allow", "b.com/ok")]
+    more = ["http://b.com/de/77"]
+    urls = unknown + blocked + allowed + more
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge_urls(frame, rules).collect()}
+    assert {got[u] for u in unknown} == {"allow"} and {got[u] for u in allowed} == {"allow"}
+    assert got["http://a.com/de/1"] == "block" and got["http://b.com/de/77"] == "block" and got["http://b.com/de/x"] == "allow"
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     import os
