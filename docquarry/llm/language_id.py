@@ -9,9 +9,10 @@ Symbols are lower-case letters (the ``n_symbols - 2`` most frequent of the sampl
 all others) and one separator for each run of anything else.  Whole texts are parsed, in segments
 of ``SEGMENT`` symbols side by side: a phrase ends at a segment's end, in every language alike.
 
-Training reads only text and language of labelled rows.  Bounds, both parameters: ``train_rows``
-rows a language, of ``TRAIN_LENGTHS`` characters each (chosen by a hash of the identifier), and
-``train_chars`` symbols a language, reached with whole rows.
+Training reads only text and language of labelled rows with a letter.  Bounds, both parameters:
+``train_rows`` rows a language (chosen by a hash of the identifier, those of ``prefer_lengths``
+characters before shorter and longer ones) and ``train_chars`` symbols a language, reached with whole
+rows; only of a longer row no more than that is taken.  So every labelled language is learned.
 
 Defined results: ``und`` with score 0 where the text is null, has no letter or no language could be
 learned; ties go to the language whose name sorts first; repeated rows get a row each.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 SEGMENT = 512
-TRAIN_LENGTHS = (100, 20_000)
+PREFER_LENGTHS = (100, 20_000)
+#: A letter to Java; what its Unicode version does not know yet is left for Python to decide.
+_LETTER = r"\p{L}\p{Cn}"
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 _IS_LETTER: list[np.ndarray] = []
 
@@ -155,28 +158,35 @@ class CrossParser:
         return pd.DataFrame({"lang": np.where(known, np.array(self.langs, object)[best], "und"), "score": np.where(known, 1 / weights.sum(0), 0.0)})
 
 
-def training_rows(docs: DataFrame, usable: Column, train_rows: int, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Texts by language of at most ``train_rows`` labelled rows each, in the order of a hash."""
+def training_rows(
+    docs: DataFrame, usable: Column, train_rows: int, train_chars: int, prefer_lengths: tuple[int, int], id_col: str, text_col: str, lang_col: str,
+) -> dict[str, list[str]]:
+    """Texts by language of at most ``train_rows`` labelled rows each, preferred lengths first, then in the order of a hash.
+
+    Runs of other characters than letters, which are one symbol, become one space before a text is cut.
+    """
     key, lang, text = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
-    fit = docs.filter(usable & lang.isNotNull() & F.length(text).between(*TRAIN_LENGTHS))
-    order = Window.partitionBy("lang").orderBy("hash", "key")
-    slim = fit.select(lang.alias("lang"), key.alias("key"), F.xxhash64(key).alias("hash"))
+    fit = docs.filter(usable & lang.isNotNull() & text.rlike(f"[{_LETTER}]"))
+    odd = ~F.length(text).between(*prefer_lengths)
+    order = Window.partitionBy("lang").orderBy("odd", "hash", "key")
+    slim = fit.select(lang.alias("lang"), odd.alias("odd"), key.alias("key"), F.xxhash64(key).alias("hash"))
     ranked = slim.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_rows)
     keys = [r["key"] for r in ranked.select("key").collect()]  # bounded: train_rows a language
     if not keys:
         return {}
-    rows = fit.filter(key.isin(keys)).select(lang.alias("lang"), text.alias("text"), F.xxhash64(key).alias("hash")).collect()
+    cut = F.substring(F.regexp_replace(text, f"[^{_LETTER}]+", " "), 1, train_chars)
+    rows = fit.filter(key.isin(keys)).select(lang.alias("lang"), odd.alias("odd"), cut.alias("text"), F.xxhash64(key).alias("hash")).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["hash"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["odd"], r["hash"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
 def fit(
     docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    train_rows: int = 100, train_chars: int = 20_000, n_symbols: int = 48,
+    train_rows: int = 100, train_chars: int = 20_000, prefer_lengths: tuple[int, int] = PREFER_LENGTHS, n_symbols: int = 48,
 ) -> CrossParser:
-    samples = training_rows(docs, usable, train_rows, id_col, text_col, lang_col)
+    samples = training_rows(docs, usable, train_rows, train_chars, prefer_lengths, id_col, text_col, lang_col)
     return CrossParser(samples, train_chars, n_symbols)
 
 

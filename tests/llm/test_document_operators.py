@@ -177,6 +177,25 @@ def test_language_id_edge_cases(spark):
     assert kept.columns == docs.columns and {1, 2, 10, 15}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+WORDS_OF = {"en": "the cat sat on that mat with his thing", "fr": "le chat est sur une table avec des choses", "de": "die katze liegt auf der matte und schläft"}
+
+
+def worded(lang, n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS_OF[lang].split()) for _ in range(n))
+
+
+@pytest.mark.parametrize("sizes", [{"en": 3, "fr": 3, "de": 3}, {"en": 100, "fr": 3, "de": 9000}])
+def test_languages_of_short_and_of_long_texts_are_learned(spark, sizes):
+    """Posts of three words, books of 9,000: each labelled language has a model; marks before a text take no room."""
+    rows = [(100 * k + i, ("- " * 30_000 if lang == "de" else "") + worded(lang, sizes[lang], i), lang) for k, lang in enumerate(sizes) for i in range(12)]
+    got = language_id.identify(documents(spark, rows=rows)).collect()
+    truth = {k: lang for k, _, lang in rows}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.9 * len(rows)
+    assert "und" not in {r["lang_pred"] for r in got}
+    assert language_id.keep_identified(documents(spark, rows=rows)).count() == len(rows)
+
+
 def test_cross_parsing_counts_phrases():
     model = language_id.CrossParser({"a": ["abracadabra"]}, 100, 32)
     bits, letters = model.entropies(["abra", "abraxabra", "zzz"])
