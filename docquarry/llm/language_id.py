@@ -5,8 +5,9 @@ is parsed against it greedily: each phrase is the longest match from where the l
 The number of phrases, times the logarithm of the sample's length, per symbol of the text
 estimates the cross entropy; the language with the fewest normalised phrases wins.
 
-Symbols are lower-case letters (the ``n_symbols - 2`` most frequent of the samples, one symbol for
-all others) and one separator for each run of anything else.  Whole texts are parsed, in segments
+Symbols are lower-case letters (all of the samples; one symbol for letters that no sample has) and one
+separator for each run of anything else.  If ``n_symbols`` is given, only the ``n_symbols - 2`` most
+frequent letters are told apart.  Transitions are kept sparse, so many scripts cost little.  Whole texts are parsed, in segments
 of ``SEGMENT`` symbols side by side: a phrase ends at a segment's end, in every language alike.
 
 Training reads only text and language of labelled rows with a letter.  Bounds, both parameters:
@@ -20,6 +21,7 @@ learned; ties go to the language whose name sorts first; repeated rows get a row
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +50,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """States as rows of a table: next state by symbol, 0 for none; state 1 is the root."""
+    """Transitions of each state, next state by symbol; state 1 is the root."""
 
     def __init__(self, symbols: list[int], n_symbols: int) -> None:
         follow: list[dict[int, int]] = [{}, {}]
@@ -75,48 +77,90 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.table = np.zeros((len(follow), n_symbols), np.int32)
-        for state, to in enumerate(follow):
+        self.follow, self.n_symbols = follow, n_symbols
+
+    @property
+    def table(self) -> np.ndarray:
+        """States as rows: next state by symbol, 0 for none."""
+        table = np.zeros((len(self.follow), self.n_symbols), np.int32)
+        for state, to in enumerate(self.follow):
             for c, n in to.items():
-                self.table[state, c] = n
+                table[state, c] = n
+        return table
+
+
+def combed(automata: list[list[dict[int, int]]], n_symbols: int) -> tuple[np.ndarray, list[int]]:
+    """Transitions of all automata in one array of (next state, owner), and the states of the roots.
+
+    A state is the place where its transitions begin, no two share one; that on symbol c is held c
+    places on, and is the state's own only if it is the owner.  State 0 is none.
+    """
+    states = [(k, i) for k, follow in enumerate(automata) for i in range(1, len(follow))]
+    states.sort(key=lambda x: -len(automata[x[0]][x[1]]))
+    room = 2 * sum(len(automata[k][i]) for k, i in states) + len(states) + n_symbols
+    used, taken, draw = bytearray(room + n_symbols), bytearray(room + n_symbols), random.Random(0).random
+    place = [[0] * len(follow) for follow in automata]
+    for k, i in states:
+        to = automata[k][i]
+        for _ in range(200):
+            at = 1 + int(draw() * (room - 1))
+            if not taken[at] and not any(used[at + c] for c in to):
+                break
+        else:  # a crowded array grows
+            at = room
+            used += bytes(n_symbols)
+            taken += bytes(n_symbols)
+            room += n_symbols
+        taken[at], place[k][i] = 1, at
+        for c in to:
+            used[at + c] = 1
+    out = np.zeros((len(used), 2), np.int32)
+    for follow, own in zip(automata, place, strict=True):
+        for i in range(1, len(follow)):
+            for c, n in follow[i].items():
+                out[own[i] + c] = own[n], own[i]
+    return out, [own[1] for own in place]
 
 
 class CrossParser:
-    """The automata of all languages in one table."""
+    """The automata of all languages in one array."""
 
-    def __init__(self, samples: dict[str, list[str]], train_chars: int, n_symbols: int) -> None:
+    def __init__(self, samples: dict[str, list[str]], train_chars: int, n_symbols: int | None = None) -> None:
         self.langs = sorted(samples)
         counts = np.zeros(0x110000, np.int64)
         for texts in samples.values():
             for t in texts:
                 counts += np.bincount(code_points(t), minlength=0x110000)
         counts[~_letters()] = 0
-        common = np.argsort(-counts, kind="stable")[: n_symbols - 2]
-        #: Symbol 0: separator; 1: a letter that is not among the common ones.
-        self.symbol = _letters().astype(np.uint8)
-        self.symbol[common] = np.where(counts[common] > 0, np.arange(2, n_symbols), self.symbol[common])
-        tables, roots, bits, base = [np.zeros((1, n_symbols), np.int32)], [], [], 1
+        known = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)][: None if n_symbols is None else n_symbols - 2]
+        n_symbols = len(known) + 2
+        #: Symbol 0: separator; 1: a letter that is not among the known ones.
+        self.symbol = _letters().astype(np.min_scalar_type(n_symbols))
+        self.symbol[known] = np.arange(2, n_symbols)
+        automata, bits = [], []
         for lang in self.langs:
             sample: list[int] = []
             for t in samples[lang]:
                 if len(sample) >= train_chars:
                     break
                 sample += self._symbols([t])[0].tolist() + [0]
-            table = SuffixAutomaton(sample, n_symbols).table[1:]
-            tables.append(np.where(table > 0, table - 1 + base, 0))
-            roots.append(base)
+            automata.append(SuffixAutomaton(sample, n_symbols).follow)
             bits.append(np.log2(len(sample) + 2))
-            base += len(table)
-        # A state is kept as the place of its row in the flat table.
-        self.next = (np.concatenate(tables) * n_symbols).astype(np.int32).reshape(-1)
-        self.roots = (np.array(roots, np.int32) * n_symbols).reshape(-1, 1)
+        steps, roots = combed(automata, n_symbols)
+        self.steps = steps.view(np.int64).reshape(-1)  # both numbers are fetched at once
+        self.roots = np.array(roots, np.int32).reshape(-1, 1)
+        first = steps[self.roots + np.arange(n_symbols)]
+        #: By language and symbol: whether the sample has it, and the state after a phrase ended before it.
+        self.seen = (first[..., 1] == self.roots).reshape(-1)
+        self.restart = np.where(self.seen, first[..., 0].reshape(-1), np.repeat(self.roots, n_symbols))
+        self.row = (np.arange(len(self.langs), dtype=np.int32) * n_symbols).reshape(-1, 1)
         self.bits = np.array(bits)
 
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts with runs of separators made one; symbols and letters per text."""
         points = [code_points(t) for t in texts]
         owner = np.repeat(np.arange(len(points)), [len(p) for p in points])
-        s = self.symbol[np.concatenate(points)] if points else np.zeros(0, np.uint8)
+        s = self.symbol[np.concatenate(points)] if points else np.zeros(0, self.symbol.dtype)
         again = np.zeros(len(s), bool)
         again[1:] = (s[1:] == 0) & (s[:-1] == 0) & (owner[1:] == owner[:-1])
         s, owner = s[~again], owner[~again]
@@ -137,13 +181,12 @@ class CrossParser:
         phrases = np.ones(state.shape, np.int32)
         for t, m in enumerate(active.tolist()):
             s = symbols[start[:m] + t].astype(np.int32)
-            here = self.next.take(state[:, :m] + s)
-            miss = here == 0
-            fresh = self.next.take(self.roots + s)
-            unseen = fresh == 0
+            now, at = state[:, :m], self.row + s
+            step = self.steps.take(now + s).view(np.int32).reshape(len(now), m, 2)
+            miss = step[..., 1] != now
             phrases[:, :m] += miss
-            phrases[:, :m] += unseen
-            state[:, :m] = np.where(miss, np.where(unseen, self.roots, fresh), here)
+            phrases[:, :m] += ~self.seen.take(at)
+            state[:, :m] = np.where(miss, self.restart.take(at), step[..., 0])
         total = np.stack([np.bincount(owner, p, len(texts)) for p in phrases]) if len(self.langs) else np.zeros((0, len(texts)))
         return total * self.bits.reshape(-1, 1) / np.maximum(n, 1), letters
 
@@ -184,7 +227,7 @@ def training_rows(
 
 def fit(
     docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    train_rows: int = 100, train_chars: int = 20_000, prefer_lengths: tuple[int, int] = PREFER_LENGTHS, n_symbols: int = 48,
+    train_rows: int = 100, train_chars: int = 20_000, prefer_lengths: tuple[int, int] = PREFER_LENGTHS, n_symbols: int | None = None,
 ) -> CrossParser:
     samples = training_rows(docs, usable, train_rows, train_chars, prefer_lengths, id_col, text_col, lang_col)
     return CrossParser(samples, train_chars, n_symbols)

@@ -196,6 +196,39 @@ def test_languages_of_short_and_of_long_texts_are_learned(spark, sizes):
     assert language_id.keep_identified(documents(spark, rows=rows)).count() == len(rows)
 
 
+def test_languages_of_many_scripts_are_told_apart(spark):
+    """Words of the same lengths in every language: only letters differ, rare scripts and 3,000 ideographs among them."""
+    first = {"en": (97, 26), "ru": (0x430, 32), "el": (0x3B1, 17), "ka": (0x10D0, 32), "th": (0x0E01, 30), "zh": (0x4E00, 3000), "yi": (0xA000, 1000)}
+
+    def text(lang, i):
+        r, (start, n) = random.Random(f"{lang}{i}"), first[lang]
+        return " ".join("".join(chr(start + r.randrange(n)) for _ in range(2 + (i * j) % 4)) for j in range(150))
+
+    rows = [(100 * k + i, text(lang, i), lang) for k, lang in enumerate(first) for i in range(60 if lang in ("en", "ru") else 12)]
+    truth = {k: lang for k, _, lang in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(documents(spark, rows=rows)).collect()} == truth
+    model = language_id.CrossParser({lang: [text(lang, i) for i in range(12)] for lang in first}, 20_000)
+    assert model.steps.nbytes < 4_000_000
+
+
+def test_sparse_transitions_equal_the_tables():
+    r = random.Random(5)
+    automata = [language_id.SuffixAutomaton([r.randrange(n) for _ in range(400)], 40) for n in (3, 40)]
+    steps, roots = language_id.combed([a.follow for a in automata], 40)
+    for a, root in zip(automata, roots, strict=True):
+        place, table, todo = {1: root}, a.table, [1]
+        while todo:
+            state = todo.pop()
+            for c in range(40):
+                to, owner = steps[place[state] + c].tolist()
+                assert (owner == place[state]) == bool(table[state, c])
+                if table[state, c]:
+                    if int(table[state, c]) not in place:
+                        todo.append(int(table[state, c]))
+                    assert place.setdefault(int(table[state, c]), to) == to
+        assert len(set(place.values())) == len(place)
+
+
 def test_cross_parsing_counts_phrases():
     model = language_id.CrossParser({"a": ["abracadabra"]}, 100, 32)
     bits, letters = model.entropies(["abra", "abraxabra", "zzz"])
