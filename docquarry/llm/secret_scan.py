@@ -7,7 +7,8 @@ same expression and the lengths of pieces and matches are summed up.
 Weak candidates say little alone: an identifier of an access (client, account or user), a secret
 too short for the base kind, an endpoint.  They are reported only when a complementary part lies
 within ``scope`` code points in the same text: a weak identifier or endpoint next to a secret, a weak
-secret next to an identifier.  This is an interval join: parts are keyed by text and by the
+secret next to an identifier or endpoint.  (OP8_SQL does not yet report a weak secret next to an endpoint
+alone.)  This is an interval join: parts are keyed by text and by the
 cell of ``scope`` code points they begin in, and meet parts of their own and the two adjacent cells;
 per cell only the first and last part of each role are needed, so no pairs are formed.
 
@@ -86,7 +87,7 @@ def _linked(weak: DataFrame, scope: int) -> DataFrame:
     near = ends.select("text_key", "role", F.col("first"), F.col("last"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     around = near.withColumnsRenamed({"role": "other", "first": "other_first", "last": "other_last"})
     candidates = parts.filter(F.col("part.rank") >= ORDER["weak_id"])
-    complementary = ((F.col("role") == "secret") & (F.col("other") == "id")) | ((F.col("role") != "secret") & (F.col("other") == "secret"))
+    complementary = (F.col("role") == "secret") != (F.col("other") == "secret")
     at = F.col("part.start")
     in_scope = (F.col("other_first").between(at - scope, at + scope)) | (F.col("other_last").between(at - scope, at + scope))
     return candidates.join(around, ["text_key", "cell"], "inner").filter(complementary & in_scope).select("text_key", "part").distinct()

@@ -151,6 +151,18 @@ def test_redaction(spark):
     assert got[7]["text"] == "[SECRET] [SECRET]" and got[8]["text"] == SECRETS[8]
 
 
+def linked_kinds(spark, cases):
+    found = secret_scan.secret_spans(documents(spark, rows=[(i, t, "en") for i, t in enumerate(cases)])).collect()
+    return [sorted(s["kind"] for s in r["linked"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def test_endpoint_and_password_complete_each_other(spark):
+    cases = ["postgres://db.host:5432 password=hunter22", "password=hunter22 at postgres://db.host:5432", "password=hunter22" + " " * 300 + "postgres://db.host:5432", "postgres://db.host:5432 user_id: someone"]
+    assert linked_kinds(spark, cases) == [["endpoint", "weak_secret"]] * 2 + [[], []]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(documents(spark, rows=[(i, t, "en") for i, t in enumerate(cases)])).collect()}
+    assert [clean[i] for i in range(4)] == ["[SECRET] [SECRET]", "[SECRET] at [SECRET]", *cases[2:]]
+
+
 def test_language_id(spark):
     import duckdb
 
