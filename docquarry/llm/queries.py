@@ -108,7 +108,7 @@ _ROLE_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in secret_
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.BASE)}),
-w AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.WEAK)}),
+w AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.SQL_WEAK)}),
 p AS (SELECT *, {_ROLE_SQL} AS role FROM (FROM b UNION ALL FROM w)),
 l AS (SELECT doc_id, rank, kind, s, e FROM p WHERE rank > 2 AND EXISTS (
         SELECT 1 FROM p AS o WHERE o.doc_id = p.doc_id AND abs(o.s - p.s) <= {secret_scan.SCOPE}

@@ -7,10 +7,13 @@ same expression and the lengths of pieces and matches are summed up.
 Weak candidates say little alone: an identifier of an access (client, account or user), a secret
 too short for the base kind, an endpoint.  They are reported only when a complementary part lies
 within ``scope`` code points in the same text: a weak identifier or endpoint next to a secret, a weak
-secret next to an identifier or endpoint.  (OP8_SQL does not yet report a weak secret next to an endpoint
-alone.)  This is an interval join: parts are keyed by text and by the
-cell of ``scope`` code points they begin in, and meet parts of their own and the two adjacent cells;
-per cell only the first and last part of each role are needed, so no pairs are formed.
+secret next to an identifier or endpoint.  The distance is the gap between the parts, from the end of
+one to the start of the other.  This is an interval join: parts, widened by ``scope`` on the side that
+completes, are keyed by text and by all cells of ``scope`` code points that they touch; per cell two
+bounds of each side are enough, so no pairs are formed.
+
+OP8_SQL is narrower: it measures from start to start, finds weak identifiers without quotes only
+(``SQL_WEAK``), and does not report a weak secret next to an endpoint alone.
 
 Defined results: null text counts as empty; repeated rows get a row each; overlapping spans of
 different kinds all stay; no spans give empty strings (and the hash of the empty string).
@@ -40,10 +43,11 @@ BASE = (
     ("hex", r"[0-9a-f]{16,}", None),
 )
 WEAK = (
-    ("weak_id", r"(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}|(?:client|account|user)_(?:id|name)\x20*[:=]\x20*[A-Za-z0-9_.@-]{4,}", None),
+    ("weak_id", rf"(?:ASIA|AIDA|AROA)[A-Z0-9]{{12,}}|(?:client|account|user)_(?:id|name){_GLUE}[A-Za-z0-9_.@-]{{4,}}", None),
     ("weak_secret", ASSIGN, rf"^(?:{_WORDS}){_GLUE}[A-Za-z0-9+/_.=-]{{6,11}}$"),
     ("endpoint", r"(?:https?|jdbc|postgres|mysql|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?", None),
 )
+SQL_WEAK = (("weak_id", r"(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}|(?:client|account|user)_(?:id|name)\x20*[:=]\x20*[A-Za-z0-9_.@-]{4,}", None), *WEAK[1:])
 ORDER = {k: i for i, k in enumerate(["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"])}
 ROLE = {"assign": "secret", "hex": "secret", "access": "id", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 SCOPE = 256
@@ -76,21 +80,21 @@ def span_text(array: Column) -> Column:
 
 def _linked(weak: DataFrame, scope: int) -> DataFrame:
     """(text_key, span) of the weak candidates with a complementary part within ``scope``."""
-    parts = weak.select("text_key", F.explode("parts").alias("part")).select(
-        "text_key", "part", F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("part.kind")).alias("role"),
-        F.floor(F.col("part.start") / scope).alias("cell"),
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("part.kind"))
+    parts = weak.select("text_key", F.explode("parts").alias("part")).withColumn("is_secret", role == "secret")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope))).alias("cell")
+    at, end = F.col("part.start"), F.col("part.end")
+    # A widened part is longer than a cell, so it covers the first or the last place of each cell that it
+    # touches: of those with the first place the one that reaches farthest stands for all, of those with
+    # the last place the one that begins first.
+    wide = parts.select("text_key", "is_secret", (at - scope).alias("from"), (end + scope).alias("to"), cells(at - scope, end + scope))
+    sides = wide.groupBy("text_key", "cell", (~F.col("is_secret")).alias("is_secret")).agg(
+        F.max(F.when(F.col("from") <= F.col("cell") * scope, F.col("to"))).alias("reach"),
+        F.min(F.when(F.col("to") >= (F.col("cell") + 1) * scope - 1, F.col("from"))).alias("from"),
     )
-    # Per text and cell, the first and last start of each role stand for all of its parts: the
-    # nearest part in a cell before is its last one, in a cell behind its first one; within one
-    # cell all parts are in scope of each other.
-    ends = parts.groupBy("text_key", "cell", "role").agg(F.min("part.start").alias("first"), F.max("part.start").alias("last"))
-    near = ends.select("text_key", "role", F.col("first"), F.col("last"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    around = near.withColumnsRenamed({"role": "other", "first": "other_first", "last": "other_last"})
-    candidates = parts.filter(F.col("part.rank") >= ORDER["weak_id"])
-    complementary = (F.col("role") == "secret") != (F.col("other") == "secret")
-    at = F.col("part.start")
-    in_scope = (F.col("other_first").between(at - scope, at + scope)) | (F.col("other_last").between(at - scope, at + scope))
-    return candidates.join(around, ["text_key", "cell"], "inner").filter(complementary & in_scope).select("text_key", "part").distinct()
+    candidates = parts.filter(F.col("part.rank") >= ORDER["weak_id"]).select("text_key", "is_secret", "part", cells(at, end))
+    in_scope = F.coalesce(at <= F.col("reach"), F.lit(False)) | F.coalesce(end >= F.col("from"), F.lit(False))
+    return candidates.join(sides, ["text_key", "cell", "is_secret"]).filter(in_scope).select("text_key", "part").distinct()
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:

@@ -163,6 +163,26 @@ def test_endpoint_and_password_complete_each_other(spark):
     assert [clean[i] for i in range(4)] == ["[SECRET] [SECRET]", "[SECRET] at [SECRET]", *cases[2:]]
 
 
+def test_links_over_the_gap_and_in_json(spark):
+    jwt = "token=" + "aB3." * 200
+    cases = [f"{jwt} user_id=someone", f"user_id=someone {jwt}", f"{jwt}{' ' * 257}user_id=someone", '{"client_id": "abcd", "password": "hunter22"}', "user_name='bob_1' passwd: 'short1'"]
+    assert linked_kinds(spark, cases) == [["weak_id"], ["weak_id"], [], ["weak_id", "weak_secret"], ["weak_id", "weak_secret"]]
+
+
+@pytest.mark.parametrize("scope", [7, 256])
+def test_links_equal_brute_force(spark, scope):
+    """Parts of random lengths at random places, several to a cell."""
+    r, kinds, cases = random.Random(scope), list(secret_scan.ORDER), []
+    for _ in range(60):
+        starts = [r.randrange(12 * scope) for _ in range(r.randrange(2, 7))]
+        cases.append([(a, k, kinds[k], a + r.choice([1, scope // 2, scope, 4 * scope])) for a, k in ((a, r.randrange(6)) for a in starts)])
+    frame = spark.createDataFrame([(str(i), c) for i, c in enumerate(cases)], "text_key string, parts array<struct<start:int,rank:int,kind:string,end:int>>")
+    got = {(x["text_key"], tuple(x["part"])) for x in secret_scan._linked(frame, scope).collect()}
+    secret = lambda p: secret_scan.ROLE[p[2]] == "secret"
+    want = {(str(i), p) for i, c in enumerate(cases) for p in c if p[1] > 2 and any(secret(o) != secret(p) and max(o[0] - p[3], p[0] - o[3]) <= scope for o in c)}
+    assert got == want and 0 < len(want) < sum(p[1] > 2 for c in cases for p in c)
+
+
 def test_language_id(spark):
     import duckdb
 
