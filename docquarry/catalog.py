@@ -258,9 +258,7 @@ def library_tree_counts(spark, sf_dir):
     documents = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").alias("user_id"), F.col("n_nationkey").alias("notebook_id"), F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename")
     )
-    tree = metadata.library_tree(users, notebooks, documents)
-    n_documents = F.aggregate("notebooks", F.lit(0), lambda n, x: n + F.size(x["documents"]))
-    return tree.select("user_id", F.size("notebooks").cast("long").alias("n_notebooks"), n_documents.cast("long").alias("n_documents"))
+    return metadata.tree_counts(metadata.tree_nodes(users, notebooks, documents))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS batch FROM orders")

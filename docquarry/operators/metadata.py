@@ -84,14 +84,31 @@ def latest_conversation(conversations: DataFrame, messages: DataFrame, n: int, *
     return last.orderBy(order)
 
 
+def tree_nodes(users: DataFrame, notebooks: DataFrame, documents: DataFrame) -> DataFrame:
+    """user → notebooks → documents, a row per node with its level (0, 1, 2) and the identifiers above it.
+
+    Documents without a notebook, or in one that is not listed, hang under ``Unfiled``.  No row or group
+    holds more than one node, so a user with most documents is spread over all tasks.
+    """
+    known = users.select("user_id")
+    filed = documents.select("user_id", F.coalesce("notebook_id", F.lit(-1)).alias("notebook_id"), "document_id", "filename").join(known, "user_id", "left_semi")
+    listed = notebooks.select("user_id", "notebook_id", F.coalesce("title", F.lit("Unfiled")).alias("title")).join(known, "user_id", "left_semi")
+    used = filed.select("user_id", "notebook_id").distinct()
+    other = used.join(listed, ["user_id", "notebook_id"], "left_anti").withColumn("title", F.lit("Unfiled"))
+    levels = [users, listed.unionByName(other), filed]
+    top, middle, leaves = (x.withColumn("level", F.lit(k)) for k, x in enumerate(levels))
+    return top.unionByName(middle, allowMissingColumns=True).unionByName(leaves, allowMissingColumns=True)
+
+
 def library_tree(users: DataFrame, notebooks: DataFrame, documents: DataFrame) -> DataFrame:
-    """user → notebooks → documents as nested arrays; documents without a notebook hang under ``Unfiled``."""
-    filed = documents.withColumn("notebook_id", F.coalesce("notebook_id", F.lit(-1)))
-    leaves = filed.groupBy("user_id", "notebook_id").agg(F.array_sort(F.collect_list(F.struct("document_id", "filename"))).alias("documents"))
-    nodes = notebooks.select("user_id", "notebook_id", "title").join(leaves, ["user_id", "notebook_id"], "full")
-    nodes = nodes.withColumn("title", F.coalesce("title", F.lit("Unfiled")))
-    branches = nodes.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("notebook_id", "title", F.coalesce("documents", F.array()).alias("documents")))).alias("notebooks"))
-    return users.join(branches, "user_id", "left")
+    """The nodes of the tree numbered from 0 as they are listed: a user, each notebook and behind it its documents."""
+    order = ["user_id", "notebook_id", "level", "document_id", "filename"]
+    return numbered(tree_nodes(users, notebooks, documents), order, 1).withColumnRenamed("row_idx", "position").drop("batch")
+
+
+def tree_counts(nodes: DataFrame) -> DataFrame:
+    """Notebooks and documents of each user, added up per task first."""
+    return nodes.groupBy("user_id").agg(F.count_if(F.col("level") == 1).alias("n_notebooks"), F.count_if(F.col("level") == 2).alias("n_documents"))
 
 
 def running_maximum(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:

@@ -60,3 +60,26 @@ def test_cascade_and_numbers(spark):
     assert left["n"].count() == 1 and [r["document_id"] for r in left["d"].collect()] == ["y"]
     rows = metadata.numbered(spark.range(100, 0, -1).toDF("k").repartition(5), ["k"], 30).orderBy("k").collect()
     assert [r["row_idx"] for r in rows] == list(range(100)) and rows[-1]["batch"] == 3
+
+
+def test_library_tree_is_rows(spark):
+    """No row or group holds a user's documents; users and notebooks without any are listed too."""
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "user_id int, name string")
+    notebooks = spark.createDataFrame([(1, 7, "N"), (1, 8, None), (2, 9, "E"), (5, 1, "none")], "user_id int, notebook_id int, title string")
+    documents = spark.createDataFrame([(1, 7, 20, "y"), (1, 7, 10, "x"), (1, None, 30, "z"), (2, 4, 40, "u"), (5, 1, 50, "v")], "user_id int, notebook_id int, document_id int, filename string")
+    tree = metadata.library_tree(users, notebooks, documents).orderBy("position").collect()
+    assert [r["position"] for r in tree] == list(range(12))
+    assert [(r["user_id"], r["notebook_id"], r["title"] or r["filename"] or r["name"]) for r in tree] == [
+        (1, None, "a"), (1, -1, "Unfiled"), (1, -1, "z"), (1, 7, "N"), (1, 7, "x"), (1, 7, "y"), (1, 8, "Unfiled"),
+        (2, None, "b"), (2, 4, "Unfiled"), (2, 4, "u"), (2, 9, "E"), (3, None, "c"),
+    ]
+    nodes = metadata.tree_nodes(users, notebooks, documents)
+    counts = metadata.tree_counts(nodes)
+    assert sorted(map(tuple, counts.collect())) == [(1, 3, 3), (2, 2, 1), (3, 0, 0)]
+
+
+def test_library_tree_counts_collects_nothing(spark):
+    from docquarry import catalog
+
+    plan = catalog.queries()["library_tree_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
