@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.shared_files import fresh_name, stored
+
 ACTIVE = ("queued", "running")
 
 
@@ -126,16 +128,17 @@ def stage_progress(stage: Column, ratio: Column, bounds: dict[str, tuple[int, in
 def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Rows numbered from 0 over the whole table, and the batch of ``size`` each falls in.
 
-    Range partitions are numbered on their own and moved on by the counts of those before, so no
-    task sees all rows.
+    The rows are written once in range partitions with their partition's number, so that what is counted
+    is what is numbered.  Partitions are numbered on their own and moved on by the counts of those
+    before; no task sees all rows.
     """
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = parts.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_before", before).drop("count")  # one row per partition
-    out = parts.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn("row_idx", F.col("_before") + F.col("_local") - 1)
-    return out.drop("_part", "_local", "_before").withColumn("batch", F.floor(F.col("row_idx") / size))
+    part, local, before = (fresh_name(n, rows) for n in ("part", "local", "before"))
+    parts = stored(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy(part).agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(part, ahead.alias(before))  # one row per partition
+    out = parts.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(*order))).join(F.broadcast(offsets), part)
+    return out.withColumn("row_idx", F.col(before) + F.col(local) - 1).drop(part, local, before).withColumn("batch", F.floor(F.col("row_idx") / size))
 
 
 def latest_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

@@ -38,11 +38,12 @@ def table_name(document_id: str, sheet: str, prefix: str = "etbl", longest: int
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, under safe names, with ``_row_idx`` in file order."""
+    """All columns as text, under safe names, with ``_row_idx`` by file and place in it (a file is one task's)."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    taken: set[str] = set()
-    named = raw.toDF(*[safe_name(c, taken) for c in raw.columns])
-    return numbered(named.withColumn("_at", F.monotonically_increasing_id()), ["_at"], BLOCK_ROWS).withColumnRenamed("row_idx", "_row_idx").drop("_at", "batch")
+    taken: set[str] = {"_row_idx", "_file", "_at", "row_idx", "batch"}
+    named = raw.select(*[F.col(quote_identifier(c)).alias(safe_name(c, taken)) for c in raw.columns], F.col("_metadata.file_path").alias("_file"))
+    placed = named.withColumn("_at", F.monotonically_increasing_id())
+    return numbered(placed, ["_file", "_at"], BLOCK_ROWS).withColumnRenamed("row_idx", "_row_idx").drop("_file", "_at", "batch")
 
 
 def filled(c: Column) -> Column:

@@ -145,3 +145,37 @@ def test_windowed_counts_drop_late_events(spark, tmp_path):
         counts = jobs.windowed_counts(source).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
         counts.trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
     assert sorted((r["window"]["start"].hour, r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 1), (9, 1)]
+
+
+def test_no_row_is_lost_in_numbering(spark, tmp_path):
+    """Wide rows in an order that sampling sees differently each time."""
+    from docquarry.operators.metadata import numbered
+
+    wide = F.repeat(F.sha2(F.col("id").cast("string"), 512), 3)
+    rows = spark.range(400_000).select(F.hash("id").alias("k"), "id", wide.alias("wide"), F.lit(1).alias("part"))
+    numbered(rows, ["k", "id"], 32).write.parquet(f"{tmp_path}/rows")
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    assert got.columns == ["k", "id", "wide", "part", "row_idx", "batch"]
+    assert tuple(got.agg(F.count("*"), F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()) == (400_000, 400_000, 0, 399_999)
+    assert got.filter("batch <> row_idx div 32").isEmpty()
+
+
+def test_a_long_csv_is_read_whole(spark, tmp_path):
+    lines = "\n".join(f'{i},{"x" * 250},"q ""{i}"""' for i in range(300_000))
+    (tmp_path / "long.csv").write_text(f"a,b b,part\n{lines}\n")
+    got = tabular.read_csv(spark, str(tmp_path / "long.csv"))
+    assert got.columns == ["a", "b_b", "part", "_row_idx"]
+    assert got.count() == 300_000 and got.filter("_row_idx <> a").isEmpty()
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from docquarry import shared_files
+
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError):
+        shared_files.shared_dir(Cluster, "x")
