@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
