@@ -5,17 +5,21 @@ from __future__ import annotations
 import html as entities
 import re
 
+#: Comments and declarations, or a tag.  A quote counts in a tag only where a value begins, right after
+#: ``=``; one that nothing closes is an ordinary character.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|</(?![A-Za-z])[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
 _SPACE = re.compile(r"\s+")
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " pre blockquote figure figcaption nav aside header footer form fieldset address details summary center menu dialog hr".split()
 )
-DROPPED = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select button option datalist".split())
+DROPPED = frozenset("script style noscript template iframe svg annotation object canvas audio video head title textarea select button option datalist".split())
+#: These end at the latest where a block begins or ends, as in a browser; the others at their end tag.
+_BROKEN_OUT = frozenset("head svg annotation select option datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
 #: An element that opens ends these, up to the nearest of the elements that hold them.
@@ -56,6 +60,15 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 nodes[stack[-1]].n_link += len(text)
 
+    none_after: dict[str, int] = {}
+
+    def has_end(tag: str, at: int) -> bool:
+        """Whether an end tag follows; an element without one is not there to be dropped."""
+        if at < none_after.get(tag, n + 1):
+            if not re.compile(rf"</{tag}\b", re.I).search(page, at):
+                none_after[tag] = min(at, none_after.get(tag, at))
+        return at < none_after.get(tag, n + 1)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -64,10 +77,13 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             break
         say(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
+        closing, rest = bool(m[1]), m[3] or ""
+        if dropped and tag in BLOCK and dropped[-1] in _BROKEN_OUT and not (closing and tag in dropped):
+            while dropped and dropped[-1] in _BROKEN_OUT:
+                dropped.pop()
         if closing:
             if dropped:
                 if tag == dropped[-1]:
@@ -85,19 +101,17 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                         break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if has_end(tag, at) else None
+            at = end.end() if end else n if tag in ("script", "style") else at
         elif tag == "br":
             say("\n")
         elif tag in DROPPED:
-            if tag not in VOID and not rest.endswith("/"):
+            if not (rest.endswith("/") and tag == "svg") and (tag in _BROKEN_OUT or has_end(tag, at)):
                 dropped.append(tag)
         elif tag == "body":
             dropped.clear()
         elif dropped or tag == "html":
-            if dropped and dropped[-1] == "head" and tag in BLOCK and tag != "html":
-                dropped.clear()  # a head that was never closed
-                at = m.start()
+            continue
         elif tag == "a":
             links += 1
         elif tag in BLOCK:

@@ -80,9 +80,14 @@ class _Maker:
             elif kind < 0.8:
                 out.append(f"<p>{self.words(1, 8)}</p>")
             elif kind < 0.87:
-                out.append(f"<h2>{self.words(1, 6)}</h2>")
-            elif kind < 0.91:
-                out.append("<ul>" + "".join(f"<li>{self.words(3, 14)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                tag = r.choice(["h2", "h2", "h3", "h3", "h4"])
+                out.append(f"<{tag}>{self.words(1, 6)}</{tag}>")
+            elif kind < 0.9:
+                tag, item = r.choice(["ul", "ol"]), r.choice([lambda: self.words(3, 14), lambda: self.sentences(1, 2)])
+                out.append(f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>")
+            elif kind < 0.915:
+                caption = r.choice([lambda: self.words(2, 9), lambda: self.sentences(1, 1)])
+                out.append(f"<figure><img src=a><figcaption>{caption()}</figcaption></figure>")
             elif kind < 0.94:
                 out.append(f"<blockquote><p>{self.sentences(1, 2)}</p></blockquote>")
             elif kind < 0.96:
