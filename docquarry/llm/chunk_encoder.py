@@ -1,93 +1,194 @@
 """Byte-level BPE encoding with the tokenizers library, each distinct chunk of text encoded once.
 
-A space that follows a non-space character always begins a new match of the byte-level
-pre-tokenizer's pattern, so a text falls there into chunks whose ids do not depend on each
-other.  Natural text repeats its chunks; a worker encodes each new chunk once and keeps a
-bounded table of those it has seen.
+The pre-tokenizer's pattern always begins a new match at certain places, whatever stands around
+them: before a space or line feed that follows no white space, between letters, digits and
+punctuation (apostrophes aside, which may begin a contraction), and behind a single line feed
+between other characters.  A batch's texts fall there into chunks whose ids do not depend on each
+other.  The cuts are found with array operations over the batch's bytes, Arrow tells the batch's
+distinct chunks, and only those go through Python.
+
+A worker keeps the ids of about ``max_chunks`` chunks, as a few flat arrays.  When there are more,
+those that no batch has met since the last time go.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-import re
-import string
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: The table takes in so many chunks; what is new after that is forgotten with its batch.
-MAX_CHUNKS = 300_000
-#: A word and such a tail are different matches of the pattern (an apostrophe may begin a contraction).
-TAIL = "".join(c for c in string.punctuation if c != "'")
-_TAIL = frozenset(TAIL)
-#: Texts of about so many characters are worked on together.
-CHARS_AT_ONCE = 2_000_000
+from .shared import release_memory
+
+MAX_CHUNKS = 600_000
+#: Texts of about so many bytes are worked on together.
+BYTES_AT_ONCE = 8_000_000
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, FEED, HIGH, MAYBE_SPACE, MAYBE_START = range(10)
+
+
+def _byte_classes() -> np.ndarray:
+    """ASCII by kind; bytes above: HIGH, or what white space beyond ASCII may end or start with."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for i in range(0x21, 0x7F):
+        kinds[i] = DIGIT if chr(i).isdigit() else LETTER if chr(i).isalpha() else MARK
+    kinds[[0x27, 0x20, 0x0A]] = APOSTROPHE, SPACE, FEED
+    kinds[0x80:] = HIGH
+    spaces = [chr(i).encode() for i in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    kinds[[s[-1] for s in spaces]] = MAYBE_SPACE
+    kinds[[s[0] for s in spaces]] = MAYBE_START
+    return kinds
+
+
+_KINDS = _byte_classes()
+#: The bytes before the last one of white space beyond ASCII.
+_BEFORE_LAST = np.isin(np.arange(256), [0xC2, 0x9A, 0xA0, 0x80, 0x81])
+_SOLID = np.isin(np.arange(10), [LETTER, DIGIT, MARK, APOSTROPHE, HIGH])
+
+
+def _pairs() -> np.ndarray:
+    """By 16 * class + next class: 1 for a cut between them, 2 for one if no white space comes before."""
+    out = np.zeros(256, np.uint8)
+    for a in range(10):
+        if _SOLID[a]:
+            out[[16 * a + SPACE, 16 * a + FEED]] = 1
+            out[16 * FEED + a] = 2
+    plain = (LETTER, DIGIT, MARK)
+    for a in plain:
+        for b in plain:
+            if a != b:
+                out[16 * a + b] = 1
+    return out
+
+
+_PAIRS = _pairs()
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[data]
+    unsure = np.flatnonzero(kinds == MAYBE_SPACE)
+    if len(unsure):
+        kinds[unsure[~_BEFORE_LAST[data[unsure - 1]]]] = HIGH
+    return kinds
+
+
+def chunk_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of texts that follow one another."""
+    kinds = classes(data)
+    cut = np.zeros(len(data) + 1, np.uint8)
+    if len(data) > 1:
+        cut[1:-1] = _PAIRS[(kinds[:-1] << 4) | kinds[1:]]
+        feeds = np.flatnonzero(cut == 2)
+        cut[feeds] = (feeds < 2) | _SOLID[kinds[feeds - 2]]
+    cut[text_starts] = 1
+    cut[-1] = 0
+    return np.flatnonzero(cut)
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts without nulls, and where each text begins and the last one ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[ends[0] : ends[-1]], ends - ends[0]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct chunks, and for each chunk its place among them."""
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return array.dictionary, array.indices.to_numpy()
+
+
+def runs(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at, at + 1 .. at + n - 1 of each pair, one after another (all below 2**31)."""
+    ends = np.cumsum(n, dtype=np.int32)
+    out = np.repeat((at - (ends - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
 
 def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> "ChunkEncoder":
     """The encoder of this worker process for the tokenizer file at ``path``."""
     key = (path, max_chunks)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path)
-        _ENCODERS[key].max_chunks = max_chunks
+        _ENCODERS[key] = ChunkEncoder(path, max_chunks)
     return _ENCODERS[key]
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before each space that follows a non-space; all but the first without that space."""
-    parts = text.split(" ")
-    if not _SPACE_AFTER_SPACE.search(text) and not text.startswith(" "):
-        return parts
-    out = [parts[0]]
-    for part in parts[1:]:
-        if out[-1] == "" or out[-1][-1].isspace():
-            out[-1] = f"{out[-1]} {part}"
-        else:
-            out.append(part)
-    return out
-
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
 
-@contextmanager
-def uncollected():
-    """No search for cycles meanwhile: the many small objects of a batch form none, counts free them."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
 
 
-class _Table(dict):
-    """chunk -> index into the pool; a new chunk gets the next index and is noted in ``new``."""
+class ChunkTable:
+    """Ids of chunks, by what ``encode_chunks`` of a subclass makes of them."""
 
-    def __init__(self, owner: "ChunkEncoder") -> None:
-        super().__init__()
-        self.owner, self.new = owner, []
+    def __init__(self, max_chunks: int) -> None:
+        self.max_chunks = max_chunks
+        self.keys, self.met = pa.array([], pa.binary()), np.zeros(0, bool)
+        self.pool, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def __missing__(self, key: str) -> int:
-        self[key] = index = self.owner.size
-        self.owner.size += 1
-        self.new.append((key, index))
-        return index
+    def encode_chunks(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys, in order, and the number of each key's."""
+        raise NotImplementedError
 
+    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The place in the table of each chunk; new ones are learned."""
+        keys, index = distinct(data, starts)
+        place = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy()
+        self.met[place[place >= 0]] = True
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = keys.take(pa.array(fresh))
+            ids, count = self.encode_chunks(new.to_pylist())
+            place = place.copy()
+            place[fresh] = len(self.keys) + np.arange(len(fresh))
+            self._add(new, ids, count)
+        return place[index]
 
-class ChunkEncoder:
-    max_chunks = MAX_CHUNKS
+    def _add(self, keys: pa.Array, ids: np.ndarray, count: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(count, dtype=np.int32) - count], dtype=np.int32)
+        self.keys, self.pool = pa.concat_arrays([self.keys, keys]), np.concatenate([self.pool, ids], dtype=np.int32)
+        self.count, self.met = np.concatenate([self.count, count], dtype=np.int32), np.concatenate([self.met, np.ones(len(keys), bool)])
 
-    def __init__(self, path: str) -> None:
+    def _forget(self) -> None:
+        """Beyond ``max_chunks`` only those that were met since the last time stay, half of the room at most."""
+        if len(self.keys) > self.max_chunks:
+            stay = np.flatnonzero(self.met)[: self.max_chunks // 2]
+            keys, ids, count = self.keys.take(pa.array(stay)), self.pool[runs(self.at[stay], self.count[stay])], self.count[stay]
+            self.keys, self.met = pa.array([], pa.binary()), np.zeros(0, bool)
+            self.pool, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+            self._add(keys, ids, count)
+            self.met[:] = False
+
+    def encode(self, column: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the number of ids of each text."""
+        data, bounds = bytes_of(pa.array(column, pa.string()) if isinstance(column, list) else column)
+        starts = chunk_starts(data, bounds[:-1][np.diff(bounds) > 0])
+        place = self.places(data, starts)
+        n_ids = self.count[place]
+        ids = self.pool[runs(self.at[place], n_ids)]
+        upto = np.concatenate([[0], np.cumsum(n_ids)])
+        per_text = np.diff(upto[np.searchsorted(starts, bounds)])
+        self._forget()
+        return ids, per_text
+
+
+class ChunkEncoder(ChunkTable):
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__(max_chunks)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -95,128 +196,83 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
-        self._start()
-
-    def _start(self) -> None:
-        self.size = 0
-        #: (size, used) when the table was full; what was added to ``later`` since the last batch.
-        self.mark: tuple[int, int] | None = None
-        self.added: list[tuple[str, int]] = []
-        self.first, self.later = _Table(self), _Table(self)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of ids of each text."""
-        with uncollected():
-            ids, per_text = self._encode([chunks(t) for t in texts])[:2]
-            self._forget()
-            return ids, per_text
-
-    def _encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        index = np.fromiter(
-            chain.from_iterable(
-                chain((self.first[c[0]],), map(self.later.__getitem__, c[1:])) for c in cut
-            ),
-            np.int64,
-        )
-        self._learn()
-        n_ids = self.count[index]
-        ends = np.cumsum(n_ids)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.at[index] - (ends - n_ids), n_ids) + np.arange(total)]
-        per_text = np.add.reduceat(n_ids, np.cumsum([0, *map(len, cut)])[:-1]) if cut else n_ids
-        return ids, per_text, index
-
-    def _learn(self) -> None:
-        new, self.first.new = self.first.new, []
-        self._one_by_one(new, [k for k, _ in new])
-        # Words with a tail are put together from both parts; a part that is new is learnt first.
-        # A chunk that is empty or ends in white space would join the next one in one long text.
-        new, self.later.new = self.later.new, []
-        plain, spaced, whole, stems, ends, tails = [], [], [], [], [], {}
-        for pair in new:
-            key, last = pair[0], pair[0][-1:]
-            if last in _TAIL:
-                stem = key.rstrip(TAIL)
-                if stem.isalpha():
-                    whole.append(pair[1])
-                    stems.append(self.later[stem])
-                    ends.append(tails.setdefault(key[len(stem) :], len(tails)))
-                else:
-                    plain.append(pair)
-            elif not key or last.isspace():
-                spaced.append(pair)
-            else:
-                plain.append(pair)
-        plain += self.later.new
-        self.added += new + self.later.new
-        self.later.new = []
-        self._one_by_one(spaced, [f" {k}" for k, _ in spaced])
-        if plain:
-            keys, index = zip(*plain)
-            text = " " + " ".join(keys)
-            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            bytes_to = np.cumsum(self.n_bytes[flat])
-            n_bytes = np.fromiter(map(len, keys), np.int64) if text.isascii() else np.fromiter((len(k.encode()) for k in keys), np.int64)
-            stop = np.cumsum(n_bytes + 1)
-            cuts = np.searchsorted(bytes_to, stop)
-            assert (bytes_to[cuts] == stop).all(), "a token crosses two chunks"
-            self._keep(index, flat, np.diff(cuts + 1, prepend=0))
-        if whole:
-            got = self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)
-            n_tail = np.array([len(e.ids) for e in got], np.int64)
-            tail_ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
-            stem, tail = np.array(stems), np.array(ends)
-            n_stem, n_end = self.count[stem], n_tail[tail]
-            # Runs of places in the pool and, behind it, in the tails: stem, tail, stem, tail ...
-            n = np.stack([n_stem, n_end], 1).reshape(-1)
-            at = np.stack([self.at[stem], self.used + (np.cumsum(n_tail) - n_tail)[tail]], 1).reshape(-1)
-            place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            self._keep(whole, np.concatenate([self.pool[: self.used], tail_ids])[place], n_stem + n_end)
-        self._fill()
-
-    def _fill(self) -> None:
-        if not self.mark and self.size > self.max_chunks:
-            self.mark = (self.size, self.used)
-            self.added = []
-
-    def _one_by_one(self, new: list[tuple[str, int]], texts: list[str]) -> None:
-        if new:
-            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            flat = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
-            self._keep([i for _, i in new], flat, np.array([len(e.ids) for e in got], np.int64))
 
-    def _forget(self) -> None:
-        """Beyond MAX_CHUNKS only the chunks of the batch at hand are held."""
-        if self.mark:
-            self.size, self.used = self.mark
-            for key, _ in self.added:
-                del self.later[key]
-            for key in [k for k, i in self.first.items() if i >= self.size]:
-                del self.first[key]
-        self.added = []
-
-    def _keep(self, index: list[int], flat: np.ndarray, counts: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.size > len(self.at):
-            self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
-        self.pool[self.used : self.used + len(flat)] = flat
-        where = np.array(index, np.int64)
-        self.at[where] = self.used + np.cumsum(counts) - counts
-        self.count[where] = counts
-        self.used += len(flat)
-
-
-def by_chars(lengths: list[int]):
-    """(from, to) of runs of texts with about CHARS_AT_ONCE characters (or bytes)."""
+        # A single match of the pattern needs no pattern: line feeds part such words, their bytes named as in tokens.
+        self.parted = Tokenizer.from_file(path)
+        self.parted.encode_special_tokens = True
+        self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.named = np.zeros(256, np.uint32)
+        self.named[[i for i in range(256) if i not in shown]] = 0x100 + np.arange(256 - len(shown))
+        self.named[shown] = shown
+
+    def encode_chunks(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Single words, then chunks that may follow one another (each kind as one text), then all others."""
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        n = np.fromiter(map(len, keys), np.int64, len(keys))
+        last = np.cumsum(n) - 1
+        first = last - n + 1
+        kinds = classes(data)
+        spaced = kinds[first] == SPACE
+        head = np.where(spaced, np.minimum(first + 1, last), first)
+        words = _alike(data, kinds, first, head)
+        joined = _SOLID[kinds[head]] & _SOLID[kinds[last]] & ~words
+        counts = np.zeros(len(keys), np.int64)
+        found = []
+        where = np.flatnonzero(words)
+        if len(where):
+            text = np.full(n[where].sum() + len(where), 0x0A, np.uint32)
+            text[np.repeat(np.arange(len(where)), n[where]) + np.arange(n[where].sum())] = self.named[data[runs(first[where], n[where])]]
+            found.append((where, self._split(self.parted, text.tobytes().decode("utf-32-le"), n[where], np.zeros(len(where), np.int64), counts, where)))
+        where = np.flatnonzero(joined)
+        if len(where):
+            feeds = (~spaced[where]).astype(np.int64)
+            text = b"".join([b"\n" + keys[i] if f else keys[i] for i, f in zip(where.tolist(), feeds.tolist())]).decode()
+            found.append((where, self._split(self.tokenizer, text, n[where] + feeds, feeds, counts, where)))
+        where = np.flatnonzero(~(joined | words))
+        if len(where):
+            got = self.tokenizer.encode_batch_fast([keys[i].decode() for i in where.tolist()], add_special_tokens=False)
+            counts[where] = [len(e.ids) for e in got]
+            found.append((where, np.fromiter(chain.from_iterable(e.ids for e in got), np.int32)))
+        return in_order(found, counts), counts
+
+    def _split(self, tokenizer, text: str, n_bytes: np.ndarray, skip: np.ndarray, counts: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Ids of one text without the first ``skip`` of each run of ``n_bytes``; sets the runs' counts."""
+        flat = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        bytes_to, stop = np.cumsum(self.n_bytes[flat]), np.cumsum(n_bytes)
+        ends = np.searchsorted(bytes_to, stop)
+        assert (bytes_to[ends] == stop).all(), "a token crosses two chunks"
+        begin = np.concatenate([[0], ends[:-1] + 1]) + skip
+        counts[where] = ends + 1 - begin
+        return flat[runs(begin, counts[where])]
+
+
+def _alike(data: np.ndarray, kinds: np.ndarray, first: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether a chunk, but for one space before it, has only letters (ASCII, Latin-1), only digits or only punctuation."""
+    kinds = kinds.copy()
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    letter = (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)  # not the signs of multiplication and division
+    kinds[lead[letter]] = kinds[lead[letter] + 1] = LETTER
+    kinds[first] = kinds[head]
+    least, most = np.minimum.reduceat(kinds, first), np.maximum.reduceat(kinds, first)
+    return (least == most) & (least >= LETTER) & (least <= MARK)
+
+
+def in_order(found: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> np.ndarray:
+    """Runs of ``counts`` ids, given in parts (which runs, their ids), one after another."""
+    out = np.empty(counts.sum(), np.int32)
+    at = np.cumsum(counts) - counts
+    for index, ids in found:
+        out[runs(at[index], counts[index])] = ids
+    return out
+
+
+def by_size(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with about BYTES_AT_ONCE bytes (or characters)."""
     start = n = 0
     for i, length in enumerate(lengths):
         n += length
-        if n >= CHARS_AT_ONCE:
+        if n >= BYTES_AT_ONCE:
             yield start, i + 1
             start, n = i + 1, 0
     if start < len(lengths):
@@ -224,7 +280,7 @@ def by_chars(lengths: list[int]):
 
 
 def by_text(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices that hold about CHARS_AT_ONCE bytes of the text in ``column``."""
-    for a, b in by_chars(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+    """The batch in slices that hold about BYTES_AT_ONCE bytes of the text in ``column``."""
+    for a, b in by_size(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    release_memory()

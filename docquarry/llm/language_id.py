@@ -16,7 +16,9 @@ characters before shorter and longer ones) and ``train_chars`` symbols a languag
 rows; only of a longer row no more than that is taken.  So every labelled language is learned.
 
 Defined results: ``und`` with score 0 where the text is null, has no letter or no language could be
-learned; ties go to the language whose name sorts first; repeated rows get a row each.
+learned; ties go to the language whose name sorts first; repeated rows get a row each; an empty table
+gives no rows; very long texts are parsed whole.  Other columns are not read; ``keep_identified`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .chunk_encoder import by_size
+from .shared import fresh_name, release_memory
+
 SEGMENT = 512
 PREFER_LENGTHS = (100, 20_000)
 #: A letter to Java; what its Unicode version does not know yet is left for Python to decide.
@@ -239,12 +243,10 @@ def predictor(spark, model: CrossParser):
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from .chunk_encoder import by_chars
-
         for texts in batches:
             every = texts.tolist()
-            parts = [held.value.predict(every[a:b]) for a, b in by_chars([len(t or '') for t in every])]
-            pa.default_memory_pool().release_unused()
+            parts = [held.value.predict(every[a:b]) for a, b in by_size([len(t or '') for t in every])]
+            release_memory()
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 
     return predict
@@ -267,5 +269,6 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` without the rows that come out as ``und``; a null language is filled with the prediction."""
     model = fit(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     predict = predictor(docs.sparkSession, model)
-    rows = docs.withColumn("_p", predict(F.col(f"`{text_col}`").cast("string"))).filter(F.col("_p.lang") != "und")
-    return rows.select(*[F.coalesce(f"`{c}`", "_p.lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    p = fresh_name("p", docs)
+    rows = docs.withColumn(p, predict(F.col(f"`{text_col}`").cast("string"))).filter(F.col(p)["lang"] != "und")
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.col(p)["lang"]).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,29 +1,28 @@
 """Packing documents into training sequences by first-fit decreasing.
 
-Texts become ids; each document is cut into whole sequences and one rest.  Documents are dealt
-at random (a seeded hash) into groups of about ``group_bytes`` of text, so a group's size does
-not follow the input's.  Within a group the rests go, longest first, into the first bin with
+Documents are dealt at random (a seeded hash) into groups of about ``group_bytes`` of text, so a
+group's size does not follow the input's; texts are the only thing that is shuffled.  Within a group
+texts become ids, each document is cut into whole sequences and one rest, and the rests go, longest first, into the first bin with
 room, which a tournament tree over the bins' capacities finds in log time.  Cutting is free:
 afterwards the emptiest bins of a group give their ids to the gaps of the fullest ones, which
 leaves one bin per group with padding.
 
 Defined results: null text counts as empty and has its end id only; repeated rows are packed
-each; an empty table gives no pieces.  Other columns of the input are not read.
+each; an empty table gives no pieces.  A very long text is one group's, and is cut into as many
+sequences as it takes.  Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_encoder import MAX_CHUNKS, by_text, encoder
-from .shared import text_of
+from .chunk_encoder import MAX_CHUNKS, by_size, encoder, runs
+from .shared import release_memory, text_of
 
-RESTS = "pack_group int, doc_id long, row_key long, start long, length long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -79,50 +78,43 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
     return [b for b in bins if b]
 
 
-def _encode(tokenizer_path: str, end_id: int, capacity: int, max_chunks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer_path, max_chunks)
-        for batch in batches:
-            for part in by_text(batch, 3):
-                groups, keys, rows, texts = (part.column(i).to_pylist() for i in range(4))
-                ids, n_ids = code.encode(texts)
-                ends = np.cumsum(n_ids)
-                data = np.insert(ids, ends, end_id).astype("<u4").tobytes()
-                at, out = 0, []
-                for i, n in enumerate((n_ids + 1).tolist()):
-                    for start in range(0, n, capacity):
-                        stop = min(n, start + capacity)
-                        out.append((groups[i], keys[i], rows[i], start, stop - start, n, data[4 * (at + start) : 4 * (at + stop)]))
-                    at += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["pack_group", "doc_id", "row_key", "start", "length", "doc_tokens", "ids"],
-                )
-
-    return run
+def _encoded(tokenizer_path: str, end_id: int, max_chunks: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with its end id, and how many each text has."""
+    code, parts, counts = encoder(tokenizer_path, max_chunks), [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for a, b in by_size(pc.binary_length(texts).to_pylist()):
+        ids, n_ids = code.encode(texts.slice(a, b - a))
+        parts.append(np.insert(ids, np.cumsum(n_ids), end_id).astype("<u4"))
+        counts.append(n_ids + 1)
+    return np.concatenate(parts), np.concatenate(counts)
 
 
-def _pack(capacity: int):
+def _pack(tokenizer_path: str, end_id: int, capacity: int, max_chunks: int):
     def run(table: pa.Table) -> pa.Table:
-        names = ("doc_id", "row_key", "start", "length", "doc_tokens", "ids")
-        doc_ids, keys, starts, lengths, totals, data = (table.column(n).to_pylist() for n in names)
         group = table.column("pack_group")[0].as_py()
         # The order of the rows must not depend on how the shuffle delivered them.
-        order = sorted(range(len(starts)), key=lambda i: (keys[i], starts[i], totals[i]))
-        bins = [[(i, 0, capacity)] for i in order if lengths[i] == capacity]
-        rests = [i for i in order if lengths[i] < capacity]
+        table = table.take(pc.sort_indices(table, [("row_key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]))
+        ids, n = _encoded(tokenizer_path, end_id, max_chunks, table.column("text").combine_chunks())
+        doc_at, n_full = np.cumsum(n) - n, n // capacity
+        # Whole sequences come first, each in one of its own.
+        row = np.repeat(np.arange(len(n)), n_full)
+        start = capacity * (np.arange(len(row)) - np.repeat(np.cumsum(n_full) - n_full, n_full))
+        rests = np.flatnonzero(n % capacity)
         by_bin: dict[int, list[tuple[int, int, int]]] = {}
-        for i, at in zip(rests, first_fit_decreasing([lengths[i] for i in rests], capacity)):
-            by_bin.setdefault(at, []).append((i, 0, lengths[i]))
-        bins += fill_gaps(list(by_bin.values()), capacity)
-        out = []
-        for n, items in enumerate(bins):
-            offset = 0
-            for i, start, length in items:
-                out.append((doc_ids[i], starts[i] + start, length, data[i][4 * start : 4 * (start + length)], totals[i], (group << 32) + n, offset))
-                offset += length
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for i, size, at in zip(rests.tolist(), (n[rests] % capacity).tolist(), first_fit_decreasing((n[rests] % capacity).tolist(), capacity)):
+            by_bin.setdefault(at, []).append((i, int(n_full[i]) * capacity, size))
+        pieces = [(i, s, length, len(row) + k) for k, items in enumerate(fill_gaps(list(by_bin.values()), capacity)) for i, s, length in items]
+        more = np.array(pieces, np.int64).reshape(-1, 4).T
+        row, start, length, sequence = (np.concatenate(x) for x in zip((row, start, np.full(len(row), capacity), np.arange(len(row))), more))
+        before = np.cumsum(length) - length
+        offset = before - before[np.searchsorted(sequence, sequence)]
+        data = ids[runs(doc_at[row] + start, length)].tobytes()
+        ends = pa.py_buffer(np.append(before, len(data) // 4).astype(np.int32) * 4)
+        columns = [
+            table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(length),
+            pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(data)]), pa.array(n[row]), pa.array((group << 32) + sequence), pa.array(offset),
+        ]
+        release_memory()
+        return pa.table(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -140,5 +132,4 @@ def pack(
     n_groups = max(1, -(-n_bytes // group_bytes))
     row_key = F.xxhash64("doc_id", "text", F.lit(seed))
     dealt = rows.select(F.pmod(row_key, F.lit(n_groups)).cast("int").alias("pack_group"), "doc_id", row_key.alias("row_key"), "text")
-    pieces = dealt.mapInArrow(_encode(tokenizer_path, end_id, capacity, max_chunks), RESTS)
-    return pieces.groupBy("pack_group").applyInArrow(_pack(capacity), PIECES)
+    return dealt.groupBy("pack_group").applyInArrow(_pack(tokenizer_path, end_id, capacity, max_chunks), PIECES)

@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIR: list[str] = []
+from docquarry.shared_files import fresh_name, shared_dir, stored
 
+__all__ = ["fresh_name", "release_memory", "shared_dir", "stored", "table", "text_of"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
+_TRIM: list = []
 
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL_DIR:
-            _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="docquarry-"))
-        base = _LOCAL_DIR[0]
-    return f"{base.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def stored(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``frame`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = frame.sparkSession
-    path = path or shared_dir(spark, name)
-    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system, as its executor shares a limit with it."""
+    pa.default_memory_pool().release_unused()
+    if not _TRIM:
+        _TRIM.append(getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0))  # glibc only
+    _TRIM[0](0)
 
 
 def text_of(text_col: str = "text") -> Column:

@@ -14,8 +14,8 @@ and, for each ``LANE`` ids, a checkpoint (bits since the one before).  Decoding
 (symbol, count, bits); the canonical codes follow from it.
 
 Defined results: null text counts as empty; an empty text still has its end id; repeated or
-null doc_ids are kept as rows of their own (nulls first); an empty table gives no blocks.
-Other columns of the input are not read.
+null doc_ids are kept as rows of their own (nulls first); an empty table gives no blocks.  A very
+long text makes a longer block.  Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunk_encoder import by_text, encoder
+from .chunk_encoder import by_text, encoder, largest_id
 from .shared import stored, text_of
 
 LANE = 64
@@ -123,7 +123,7 @@ class BlockDecoder:
         return out.T.reshape(-1)[:n] >> np.uint32(5)
 
 
-def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
+def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         block, start = 0, 0
@@ -134,7 +134,7 @@ def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, doc_ids, doc_lens, held, n_held
-            data = np.concatenate(held).astype("<u4").tobytes()
+            data = np.concatenate(held).astype(width).tobytes()
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
                  pa.array([doc_ids], pa.list_(pa.int64())), pa.array([doc_lens], pa.list_(pa.int64())), pa.array([data], pa.binary())],
@@ -146,7 +146,7 @@ def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
 
         for batch in batches:
             for part_of in by_text(batch, 1):
-                ids, n_ids = code.encode(part_of.column(1).to_pylist())
+                ids, n_ids = code.encode(part_of.column(1))
                 ends = np.cumsum(n_ids)
                 if end_id is not None:
                     ids = np.insert(ids, ends, end_id)
@@ -166,25 +166,28 @@ def _plain_blocks(tokenizer_path: str, end_id: int | None, block_ids: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for data in batch.column(0):
-            got = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
-            if len(got) > len(total):
-                got, total = total, got
-            total[: len(got)] += got
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "count"])
+def _count(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                got = np.bincount(np.frombuffer(data.as_buffer(), width))
+                if len(got) > len(total):
+                    got, total = total, got
+                total[: len(got)] += got
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "count"])
 
+    return run
 
-def _coded_blocks(lengths: np.ndarray):
+
+def _coded_blocks(lengths: np.ndarray, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, codes = canonical_codes(lengths)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                bits, marks = encode_block(np.frombuffer(row.column(5)[0].as_buffer(), "<u4"), codes, lengths)
+                bits, marks = encode_block(np.frombuffer(row.column(5)[0].as_buffer(), width), codes, lengths)
                 yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([bits], pa.binary()), pa.array([marks], pa.binary())], [*batch.schema.names[:5], "bits", "checkpoints"])
 
     return run
@@ -212,11 +215,15 @@ def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, *, id_col: str = "doc_id",
     text_col: str = "text", max_bits: int = MAX_BITS, block_ids: int = 1 << 18,
 ) -> str:
-    """Encode all texts and write ``path``/codebook and ``path``/blocks in ascending order of ``id_col``."""
+    """Encode all texts and write ``path``/codebook and ``path``/blocks in ascending order of ``id_col``.
+
+    The plain ids of the first pass go to the shared folder, in 16 bits each where all ids fit.
+    """
     spark = docs.sparkSession
+    width = "<u2" if max(end_id or 0, largest_id(tokenizer_path)) < 1 << 16 else "<u4"
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    plain = stored(ordered.mapInArrow(_plain_blocks(tokenizer_path, end_id, block_ids), PLAIN), "token-blocks", f"{path}/plain")
-    counts = plain.select("ids").mapInArrow(_count, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
+    plain = stored(ordered.mapInArrow(_plain_blocks(tokenizer_path, end_id, block_ids, width), PLAIN), "token-ids")
+    counts = plain.select("ids").mapInArrow(_count(width), "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
     # One row per symbol of the vocabulary at most.
     rows = counts.orderBy("symbol").collect()
     total = np.zeros(rows[-1]["symbol"] + 1 if rows else 1, np.int64)
@@ -225,7 +232,7 @@ def write_token_files(
     lengths = code_lengths(total, max_bits)
     book = [(int(s), int(total[s]), int(lengths[s])) for s in np.flatnonzero(lengths)]
     spark.createDataFrame(book, CODEBOOK).coalesce(1).write.parquet(f"{path}/codebook")
-    plain.mapInArrow(_coded_blocks(lengths), CODED).write.option("compression", "none").partitionBy("part").parquet(f"{path}/blocks")
+    plain.mapInArrow(_coded_blocks(lengths, width), CODED).write.option("compression", "none").partitionBy("part").parquet(f"{path}/blocks")
     return path
 
 
