@@ -12,7 +12,8 @@ Large groups are cut into ``salt_rows`` rows before they meet the retained text.
 
 Defined results: null text equals empty text; the row with the largest identifier stays (null
 identifiers last; of repeated rows with one identifier, the one with the largest locator);
-an empty table gives an empty result.  Columns besides identifier and text are not read.
+an empty table gives an empty result; very long texts are hashed and compared whole.  Columns besides
+identifier and text are not read, whatever their names.
 
 Everything here is DataFrame and Structured Streaming API; no Python runs on executors.
 """
@@ -21,10 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored, text_of
+from .shared import fresh_name, shared_dir, stored, text_of
 
 #: State on disk; no space set aside ahead, changes logged instead of whole snapshots.
 STATE_STORE = {
@@ -39,12 +41,25 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _locator(frame: DataFrame) -> Column:
+    meta = frame.metadataColumn("_metadata")
+    return F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
+def located(frame: DataFrame) -> DataFrame:
+    """``frame`` if it reads Parquet files, whose rows have a place; else a copy of it that does."""
+    try:
+        frame.select(_locator(frame).alias("place"))
+    except AnalysisException:
+        return stored(frame, "located")
+    return frame
+
+
 def _records(frame: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """doc_id, locator (file, row in it), text, digest of a frame that reads files."""
-    meta = frame.metadataColumn("_metadata")
     return frame.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias("locator"),
+        _locator(frame).alias("locator"),
         text_of(text_col).alias("text"),
     ).withColumn("digest", digest(F.col("text")))
 
@@ -90,11 +105,12 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, locator, keep_id, keep_locator, group_size, kept, digest.
 
-    ``docs`` must read files.  Its records (no texts) are written to the shared folder and streamed
-    from there, ``files_per_batch`` files in a micro-batch (all in one where it is None).
+    Rows that do not come from Parquet files are written to the shared folder first.  Records (no texts) are
+    written to the shared folder and streamed from there, ``files_per_batch`` files in a micro-batch (all in one where it is None).
     """
     spark = docs.sparkSession
     work = shared_dir(spark, "exact-dedup")
+    docs = located(docs)
     rows = _records(docs, id_col, text_col, digest)
     slim = ["doc_id", "locator", "digest"]
     spool = f"{work}/records"
@@ -139,8 +155,8 @@ def _split(rows: DataFrame, found: DataFrame, differ: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that a copy with a larger identifier replaces; all columns stay."""
-    dropped = exact_dedup(docs, **options).filter("NOT kept").select(F.col("locator").alias("_dropped"))
-    meta = docs.metadataColumn("_metadata")
-    here = docs.withColumn("_dropped", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
-    return here.join(dropped, "_dropped", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows that a copy with a larger identifier replaces; all columns stay, whatever their names."""
+    docs = located(docs)
+    place = fresh_name("place", docs)
+    dropped = exact_dedup(docs, **options).filter("NOT kept").select(F.col("locator").alias(place))
+    return docs.withColumn(place, _locator(docs)).join(dropped, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

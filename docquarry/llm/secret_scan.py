@@ -16,8 +16,9 @@ OP8_SQL is narrower: it measures from start to start, finds weak identifiers wit
 (``SQL_WEAK``), and does not report a weak secret next to an endpoint alone.
 
 Defined results: null text counts as empty; repeated rows get a row each; overlapping spans of
-different kinds all stay; no spans give empty strings (and the hash of the empty string).
-Other columns of the input are not read.  Only DataFrame functions are used.
+different kinds all stay; no spans give empty strings (and the hash of the empty string); an empty
+table gives no rows; very long texts are scanned whole.  Other columns of the input are not read;
+``redact`` keeps them, whatever their names.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_of
+from .shared import fresh_name, stored, text_of
 
 
 def _either_case(word: str) -> str:
@@ -122,10 +123,11 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     Overlapping spans become one mask.  A column ``n_chars`` follows the new text.
     """
-    found = secret_spans(docs, id_col=id_col, text_col=text_col, scope=scope).select("text_key", F.array_sort(F.concat("base", "linked")).alias("_spans"))
-    found = found.filter(F.size("_spans") > 0).dropDuplicates(["text_key"]).withColumnRenamed("text_key", "_text_key")
+    key, all_spans, changed = (fresh_name(n, docs) for n in ("text_key", "spans", "clean"))
+    found = secret_spans(docs, id_col=id_col, text_col=text_col, scope=scope).select("text_key", F.array_sort(F.concat("base", "linked")).alias(all_spans))
+    found = found.filter(F.size(all_spans) > 0).dropDuplicates(["text_key"]).toDF(key, all_spans)
     text = text_of(text_col)
-    joined = docs.withColumn("_text_key", F.sha2(text, 256)).join(found, "_text_key", "left")
+    joined = docs.withColumn(key, F.sha2(text, 256)).join(found, key, "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -133,15 +135,15 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col("_spans").isNull(), F.col(f"`{text_col}`")).otherwise(clean)
-    out = joined.withColumn("_clean", new)
+    clean = F.aggregate(all_spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.col(all_spans).isNull(), F.col(f"`{text_col}`")).otherwise(clean)
+    out = joined.withColumn(changed, new)
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("_clean").alias(c))
+            columns.append(F.col(changed).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema[c].dataType)).alias(c))
+            columns.append(F.when(F.col(all_spans).isNull(), F.col("n_chars")).otherwise(F.length(changed).cast(docs.schema[c].dataType)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)

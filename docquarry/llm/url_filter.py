@@ -15,7 +15,8 @@ all pages is as small as its distinct paths.  Only rejected paths are joined bac
 
 Defined results: a null URL or one without ``://`` has an empty host and path and is allowed;
 repeated rows get a row each; ties between rules of one length go to the one whose text sorts first.
-Other columns are not read.  Only DataFrame functions are used.
+An empty table gives no rows; very long URLs are read whole.  Other columns are not read; ``keep_allowed``
+keeps them, whatever their names.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh_name, stored
+
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMBER, HEX = r"^[0-9]+", r"^[0-9a-f]{8,}$"
@@ -105,5 +108,7 @@ def judge_urls(
 def keep_allowed(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", id_col: str = "page_id", **options) -> DataFrame:
     """``pages`` without the URLs that are blocked; rows stay as they are (matched by identifier and URL)."""
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    blocked = judge_urls(pages, rules, id_col=id_col, url_col=url_col, **options).filter("verdict = 'block'").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    return pages.join(blocked, (host == F.col("_host")) & (path == F.col("_path")), "left_anti")
+    blocked = judge_urls(pages, rules, id_col=id_col, url_col=url_col, **options).filter("verdict = 'block'")
+    its_host, its_path = fresh_name("host", pages), fresh_name("path", pages)
+    blocked = blocked.select(F.col("host").alias(its_host), F.col("path").alias(its_path)).distinct()
+    return pages.join(blocked, (host == F.col(its_host)) & (path == F.col(its_path)), "left_anti")
