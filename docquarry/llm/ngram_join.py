@@ -7,19 +7,23 @@ only before the others, these by how often they occur; then the rest by hash.  S
 common passage comes last, most classes have no shared shingle in their prefix and are done, and
 only a zone of the shingles is ever shuffled.
 
-Trees.  A class with shared keys lives in a block of about ``block_classes`` classes at most, all of
-one group: the most frequent key among its own and those of the classes it shares a key with.  Blocks that share a key meet.  In such a meeting each side's sets hang in a
-signature tree whose nodes hold OR-combined token bitmaps and size ranges.  Both trees are
-traversed together; a pair of nodes is dropped when ``|A and B| + excess`` (tokens that share a bit)
-or a size range rules out the overlap the threshold asks for.  Leaves that remain are compared
-token by token, unless links found before already connect them.  A large group is thus spread over
-many meetings of bounded size, and yields a spanning set of links instead of all pairs.
-
-Connected components of the links give the groups.
+Trees.  A class with shared keys lives in a block of about ``block_classes`` classes at most (and of
+bounded bytes), all of one group: the most frequent key among its own and those of the classes it
+shares a key with.  A block's sets hang in a signature tree whose nodes hold OR-combined token bitmaps
+and size ranges.  The tree is traversed against itself, or two blocks' trees together; a pair of nodes
+is dropped when ``|A and B| + excess`` (tokens that share a bit) or a size range rules out the overlap
+the threshold asks for.  Leaves that remain are compared token by token, unless links found before
+already connect them.
+
+Rounds.  Classes are linked within their blocks first, which gives each a label; then one class of
+each label meets those of the group's other blocks.  In a family of copies that leaves one label, and
+the work grows with the family's size.  Only what is unsettled then meets between blocks: classes with
+a common key and different labels.  Connected components of the links between labels give the groups.
 
 Defined results: null text counts as empty; a document without words has no shingles, links with
 nothing and is its own component; rows with equal sets are in one component, repeated rows too;
-an empty table gives an empty result.  Shingles are told apart by 64-bit hashes.
+an empty table gives an empty result.  Very long texts are compared whole.  Other columns are not read;
+``one_of_each`` keeps them, whatever their names.  Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,11 +38,15 @@ from pyspark.sql import functions as F
 
 from .chunk_encoder import by_text
 from .components import connected_components
-from .shared import shared_dir, stored, text_of
-from .shingles import shingle_set
+from .shared import fresh_name, release_memory, shared_dir, stored, text_of
+from .shingles import shingle_sets
 
 SIGNATURES = "doc_id long, text_hash long, class_id long, n_shingles long, zone_size int, zone array<long>, extra array<long>"
 FANOUT = 8
+#: A task notes the classes of so many rows, to send their shingles once.
+MAX_SEEN = 200_000
+#: A block's sets take about so many bytes at most (a single larger set is a block of its own).
+BLOCK_BYTES = 16_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -52,8 +60,7 @@ def _signatures(n_words: int, percent: int):
         seen: set[int] = set()
         for batch in (part for whole in batches for part in by_text(whole, 2)):
             classes, sizes, in_zone, zones, extras = [], [], [], [], []
-            for text in batch.column(2):
-                tokens = shingle_set(text.as_py(), n_words)
+            for tokens in shingle_sets(batch.column(2), n_words):
                 n = len(tokens)
                 class_id = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if n else None
                 split = int(np.searchsorted(tokens, limit))
@@ -65,7 +72,7 @@ def _signatures(n_words: int, percent: int):
                 zones.append(tokens[:split].view(np.int64) if fresh else np.zeros(0, np.int64))
                 lack = max(0, prefix_length(n, percent) - split) if fresh else 0
                 extras.append(tokens[split : split + lack].view(np.int64))
-                if fresh and len(seen) < 1_000_000:
+                if fresh and len(seen) < MAX_SEEN:
                     seen.add(class_id)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(in_zone, pa.int32()), _lists(zones), _lists(extras)],
@@ -83,7 +90,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in by_text(whole, 1)):
-            data = [shingle_set(t.as_py(), n_words).tobytes() for t in batch.column(1)]
+            data = [tokens.tobytes() for tokens in shingle_sets(batch.column(1), n_words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["class_id", "tokens"])
 
     return run
@@ -120,8 +127,11 @@ def may_link(a: tuple, b: tuple, percent: int) -> bool:
     return (100 + percent) * most >= percent * (a[1] + b[1])
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (i of left, j of right or, without right, of left) that connect all that is linked."""
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i of left, j of right or, without right, of left) that connect all that is linked.
+
+    Sets of equal ``labels`` (of left, then right) are known to be connected.
+    """
     n = len(left)
     every = left + (right or [])
     mean = sum(map(len, every)) / len(every)
@@ -129,7 +139,8 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     a = SignatureTree(left, n_bits)
     b = SignatureTree(right, n_bits) if right is not None else a
     members: list[set[int] | None] = [None] * len(every)
-    parent = list(range(len(every)))
+    first_of: dict[int, int] = {}
+    parent = [first_of.setdefault(x, i) for i, x in enumerate(labels)] if labels else list(range(len(every)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -166,23 +177,78 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     return out
 
 
-def _meet(percent: int):
+def _settle(percent: int):
+    """class_id and label of all classes of one block; classes of one label are connected."""
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("class_id").to_pylist()
-        first = table.column("first").to_pylist()
         sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
-        same = table.column("same")[0].as_py()
-        left = [k for k in range(len(ids)) if same or first[k]]
-        right = None if same else [k for k in range(len(ids)) if not first[k]]
+        label = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for i, j in tree_links(sets, None, percent):
+            i, j = find(i), find(j)
+            label[max(i, j, key=ids.__getitem__)] = min(i, j, key=ids.__getitem__)
+        release_memory()
+        return pa.table([table.column("class_id"), pa.array([ids[find(i)] for i in range(len(ids))], pa.int64())], ["class_id", "label"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Links between the labels of two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        labels, first = table.column("label").to_pylist(), table.column("first").to_pylist()
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+        sides = [[k for k in range(len(first)) if first[k] == side] for side in (True, False)]
         found = []
-        if left and (same or right):
-            found = tree_links([sets[k] for k in left], None if same else [sets[k] for k in right], percent)
-        other = left if same else right
-        return pa.table([pa.array([ids[left[i]] for i, _ in found], pa.int64()), pa.array([ids[other[j]] for _, j in found], pa.int64())], ["a", "b"])
+        if all(sides):
+            found = tree_links(*([sets[k] for k in side] for side in sides), percent, [labels[k] for side in sides for k in side])
+        release_memory()
+        return pa.table([pa.array([labels[sides[0][i]] for i, _ in found], pa.int64()), pa.array([labels[sides[1][j]] for _, j in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _blocks(of_group: DataFrame, group: str, block_classes: int) -> DataFrame:
+    """class_id and block: a part of its group, bounded in classes and in bytes of their sets."""
+    size = F.greatest(F.count("*") / block_classes, F.sum("n_shingles") * 8 / BLOCK_BYTES)
+    parts = of_group.groupBy(group).agg(F.ceil(size).cast("int").alias("parts"))
+    # A group is a row for each of its classes here: the join may be split, and nothing else gathers a group.
+    block = F.xxhash64(F.col(group), F.pmod(F.xxhash64("class_id"), F.col("parts")))
+    return of_group.join(parts, group).select("class_id", group, "n_shingles", block.alias("block"))
+
+
+def _labels(homes: DataFrame, sets: DataFrame, percent: int, block_classes: int, work: str) -> DataFrame:
+    """class_id, label, block of all classes: linked within their blocks, then one class of each label with those
+    of the other blocks of the group, until a group's labels fit into one block or no longer grow fewer."""
+    settled = homes.join(sets, "class_id").groupBy("block").applyInArrow(_settle(percent), "class_id long, label long")
+    labels = stored(settled.join(homes, "class_id").select("class_id", "label", "home", "n_shingles", "block"), "labels", f"{work}/labels-0")
+    n, step = labels.filter("class_id = label").count(), 0
+    while True:
+        heads = labels.filter("class_id = label").select("class_id", "home", "n_shingles")
+        wide = labels.groupBy("home").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x <> y").select("home")
+        step += 1
+        again = stored(_blocks(heads.join(stored(wide, "wide", f"{work}/wide-{step}"), "home"), "home", block_classes), "again", f"{work}/again-{step}")
+        if again.isEmpty():
+            return labels
+        merged = again.join(sets, "class_id").groupBy("block").applyInArrow(_settle(percent), "class_id long, label long").filter("class_id <> label")
+        merged = stored(merged.toDF("label", "new"), "merged", f"{work}/merged-{step}")
+        labels = stored(
+            labels.join(merged, "label", "left").select("class_id", F.coalesce("new", "label").alias("label"), "home", "n_shingles", "block"),
+            "labels", f"{work}/labels-{step}",
+        )
+        before, n = n, labels.filter("class_id = label").count()
+        if 2 * n > before or again.groupBy("home").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x <> y").isEmpty():
+            return labels
+
+
 def shared_keys(signatures: DataFrame, percent: int) -> DataFrame:
     """(class_id, n_shingles, keys): the prefix's shingles that more than one class has, none left out."""
     tokens = signatures.select("class_id", F.explode("zone").alias("token"))
@@ -208,23 +274,16 @@ def jaccard_components(
     signatures = stored(rows.mapInArrow(_signatures(n_words, percent), SIGNATURES), "signatures", f"{work}/signatures")
 
     keyed = shared_keys(signatures, percent)
-    postings = stored(keyed.select("class_id", F.explode("keys").alias("key")), "postings", f"{work}/postings")
+    postings = stored(keyed.select("class_id", "n_shingles", F.explode("keys").alias("key")), "postings", f"{work}/postings")
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     live = postings.join(sizes, "key")
     # A class belongs with its most frequent key, or with that of a class it shares a key with, if more
     # frequent: a large family gathers under one key.  Its block is a part of that group.
     own = live.groupBy("class_id").agg(F.max(F.struct("m", "key")).alias("own"))
     of_key = live.join(own, "class_id").groupBy("key").agg(F.max("own").alias("best"))
-    home = stored(live.join(of_key, "key").groupBy("class_id").agg(F.max("best").alias("home")), "home", f"{work}/home")
-    groups = home.groupBy("home").agg(F.ceil(F.count("*") / block_classes).cast("int").alias("parts"))
-    block = F.xxhash64("home.key", F.pmod(F.xxhash64("class_id"), F.col("parts")))
-    homes = stored(home.join(groups, "home").select("class_id", block.alias("block")), "homes", f"{work}/homes")
-    # Blocks meet where a key joins them: (lesser, greater), each with itself too.
-    at = postings.join(homes, "class_id").select("key", "block").distinct()
-    meetings = at.alias("x").join(at.alias("y"), "key").filter("x.block <= y.block").select(F.col("x.block").alias("block"), F.col("y.block").alias("other")).distinct()
-    meetings = stored(meetings, "meetings", f"{work}/meetings")
-    sides = meetings.select("block", "block", "other", F.lit(True).alias("first")).toDF("side", "block", "other", "first")
-    sides = sides.unionByName(meetings.filter("block <> other").select(F.col("other").alias("side"), "block", "other", F.lit(False).alias("first")))
+    home = live.join(of_key, "key").groupBy("class_id").agg(F.max("best").alias("best"), F.first("n_shingles").alias("n_shingles"))
+    home = stored(home.select("class_id", F.col("best.key").alias("home"), "n_shingles"), "home", f"{work}/home")
+    homes = stored(_blocks(home, "home", block_classes), "homes", f"{work}/homes")
 
     # Whole sets of the classes in question are computed again from one text of each.
     chosen = signatures.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
@@ -232,14 +291,28 @@ def jaccard_components(
     texts = rows.alias("r").join(wanted.alias("w"), (F.col("r.text_hash") == F.col("w.text_hash")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))).select("class_id", "text")
     sets = stored(texts.dropDuplicates(["class_id"]).mapInArrow(_sets(n_words), "class_id long, tokens binary"), "sets", f"{work}/sets")
 
-    guests = sides.join(homes, F.col("side") == homes["block"]).select(sides["block"], "other", "first", "class_id", (sides["block"] == F.col("other")).alias("same"))
-    met = guests.join(sets, "class_id").groupBy("block", "other").applyInArrow(_meet(percent), "a long, b long")
+    labels = _labels(homes, sets, percent, block_classes, work).select("class_id", "label", "block")
+    # What may still be linked has another label, another block and a key in common.
+    at = stored(postings.join(labels, "class_id").select("key", "class_id", "label", "block"), "at", f"{work}/at")
+    mixed = at.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("block").alias("x"), F.max("block").alias("y")).filter("l <> h AND x <> y")
+    mixed = stored(mixed.select("key"), "mixed", f"{work}/mixed")
+    open_at = stored(at.join(mixed, "key").select("key", "block", "class_id", "label"), "open", f"{work}/open")
+    blocks = open_at.groupBy("key", "block").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+    x, y = (blocks.withColumnsRenamed({c: f"{c}_{k}" for c in ("block", "l", "h")}) for k in "xy")
+    meetings = x.join(y, "key").filter("block_x < block_y AND NOT (l_x = h_x AND l_y = h_y AND l_x = l_y)").select("key", "block_x", "block_y")
+    sides = meetings.select("key", "block_x", "block_y", F.col("block_x").alias("block"), F.lit(True).alias("first"))
+    sides = sides.unionByName(meetings.select("key", "block_x", "block_y", F.col("block_y").alias("block"), F.lit(False).alias("first")))
+    guests = stored(sides.join(open_at, ["key", "block"]).select("block_x", "block_y", "first", "class_id", "label").distinct(), "guests", f"{work}/guests")
+    met = guests.join(sets, "class_id").groupBy("block_x", "block_y").applyInArrow(_meet(percent), "a long, b long")
     links = stored(met, "links", f"{work}/links")
 
-    components = connected_components(links).withColumnsRenamed({"node": "class_id"})
+    components = connected_components(links).withColumnsRenamed({"node": "label"})
+    of_label = labels.join(components, "label", "left").select("class_id", F.coalesce("component", "label").alias("component"))
     least = signatures.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    of_component = components.join(least, "class_id").groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = least.join(components, "class_id", "left").join(of_component, "component", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id"))
+    grouped = stored(least.join(of_label, "class_id", "left").select("class_id", "least", F.coalesce("component", "class_id").alias("component")), "grouped", f"{work}/grouped")
+    several = grouped.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first")
+    several = stored(several, "several", f"{work}/several")
+    of_class = grouped.join(several, "component", "left").select("class_id", F.coalesce("first", "least").alias("component_id"))
     return signatures.join(of_class, "class_id", "left").select("doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -249,5 +322,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows without an identifier stay, and so do repeated rows (same identifier and text).
     """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left_anti")
+    key, text_hash = fresh_name("id", docs), fresh_name("hash", docs)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash))
+    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(text_hash)), "left_anti")
