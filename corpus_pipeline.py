@@ -3,6 +3,11 @@
 Language ID drops documents without a language; exact deduplication keeps the row with the largest
 doc_id of equal texts; the n-gram join keeps the smallest doc_id of each group of near copies (five words,
 similarity 0.8); the secret scan masks secrets in the text; packing cuts what is left into sequences.
+
+Defined results: null and empty texts have no language and go with the first stage; of repeated rows
+(same doc_id and text) one stays; of ties in doc_id with different texts each is judged on its own; an
+empty table gives no pieces; very long texts are worked on whole; all columns of ``docs``, whatever
+their names, pass every stage but the last.
 """
 
 from __future__ import annotations
@@ -14,9 +19,6 @@ from pyspark.sql import functions as F
 from docquarry.llm import exact_dedup, language_id, ngram_join, packing, secret_scan
 from docquarry.llm.shared import shared_dir, stored
 
-#: A worker that serves all stages keeps their tables side by side, so this one is smaller.
-MAX_CHUNKS = 100_000
-
 #: The first stage, cross-parsing with suffix automata, has no equivalent in SQL.
 ORACLE_SQL = None
 
@@ -38,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_chunks=MAX_CHUNKS)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
