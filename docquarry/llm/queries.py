@@ -135,7 +135,7 @@ def _rule_sql(column: int) -> str:
 
 
 OP9_SQL = f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '{url_filter.URL}', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
              regexp_extract(url, '{url_filter.URL}', 2) AS path FROM u),
 f AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS decided,
@@ -143,18 +143,19 @@ f AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS decided,
           CASE WHEN regexp_matches(s, '{url_filter.HEX}') AND NOT regexp_matches(s, '^[0-9]+$') THEN '{{h}}'
                ELSE regexp_replace(s, '{url_filter.NUMBER}', '{{n}}') END) AS raw FROM h),
 p AS (SELECT host, raw, count(decided) AS labelled, count(*) FILTER (decided = 'block') AS blocked FROM f GROUP BY ALL),
-s AS (SELECT host, raw, labelled, blocked, depth, raw[depth] AS segment, raw[1:depth - 1] AS parent
-      FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS depth FROM p)),
-b AS (SELECT host, parent, segment, sum(labelled) AS lab, sum(blocked) AS bad FROM s GROUP BY ALL),
-n AS (SELECT host, parent, count(*) AS n_children, sum(lab) AS all_lab, sum(bad) AS all_bad FROM b GROUP BY ALL),
-j AS (SELECT host, parent, segment, CASE WHEN
-        CASE WHEN n_children = 1 THEN false WHEN n_children > {url_filter.MAX_CHILDREN} THEN true WHEN all_lab = 0 THEN true
-             WHEN lab = 0 OR all_lab = lab THEN false
-             ELSE abs(bad / lab - (all_bad - bad) / (all_lab - lab))
-                  <= {url_filter.Z} * sqrt(all_bad / all_lab * (1 - all_bad / all_lab) * (1 / lab + 1 / (all_lab - lab))) END
-        THEN '*' ELSE segment END AS shown FROM b JOIN n USING (host, parent)),
-t AS (SELECT p.host, p.raw, p.labelled, p.blocked, coalesce(x.template, '') AS template FROM p LEFT JOIN (
-        SELECT host, raw, string_agg(shown, '/' ORDER BY depth) AS template FROM s JOIN j USING (host, parent, segment) GROUP BY ALL) AS x USING (host, raw)),
+w AS (
+  SELECT host, raw, labelled, blocked, 0 AS depth, '' AS template FROM p
+  UNION ALL
+  SELECT host, raw, labelled, blocked, depth + 1, template || '/' || CASE WHEN
+      CASE WHEN n_children = 1 THEN false WHEN all_lab = 0 THEN true WHEN lab = 0 OR all_lab = lab THEN false
+           ELSE abs(bad / lab - (all_bad - bad) / (all_lab - lab))
+                <= {url_filter.Z} * sqrt(all_bad / all_lab * (1 - all_bad / all_lab) * (1 / lab + 1 / (all_lab - lab))) END
+      THEN '*' ELSE segment END
+  FROM (SELECT *, count(DISTINCT segment) OVER n AS n_children, sum(labelled) OVER n AS all_lab, sum(blocked) OVER n AS all_bad,
+               sum(labelled) OVER b AS lab, sum(blocked) OVER b AS bad
+        FROM (SELECT *, raw[depth + 1] AS segment FROM w WHERE depth < len(raw))
+        WINDOW n AS (PARTITION BY host, template), b AS (PARTITION BY host, template, segment))),
+t AS (SELECT host, raw, labelled, blocked, template FROM w WHERE depth = len(raw)),
 r AS (SELECT host, template FROM t GROUP BY ALL HAVING (sum(blocked) + 1) / (sum(labelled) + 2) > {url_filter.REJECT})
 SELECT page_id, f.host, path, rule, coalesce(decided, CASE WHEN r.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM f LEFT JOIN t ON t.host = f.host AND t.raw = f.raw LEFT JOIN r ON r.host = t.host AND r.template = t.template

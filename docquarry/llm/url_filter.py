@@ -6,7 +6,8 @@ words become wildcards at once.  A branch also becomes a wildcard if its share o
 not differ from that of its siblings with labels (two-proportion z test; without any labels below the
 parent nothing tells them apart).  A branch without labels beside labelled ones stands for itself, and
 the number of branches decides nothing, so no verdict depends on how many siblings a branch has.
-A path's template keeps the branches that stand for themselves.  A template is rejected when the
+Branches that became the wildcard of a node are one branch from there on: what lies below them is
+counted and judged together.  A path's template keeps the branches that stand for themselves.  A template is rejected when the
 smoothed share of blocked among its labelled pages, (blocked + 1) / (labelled + 2), exceeds ``reject``.
 Labelled pages are those that a rule decides.
 
@@ -26,14 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_name, stored
+from .shared import fresh_name, shared_dir, stored
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMBER, HEX = r"^[0-9]+", r"^[0-9a-f]{8,}$"
 Z, REJECT = 1.96, 0.8
-#: Only OP9_SQL merges by this count; the two agree where no parent with labels has more branches.
-MAX_CHILDREN = 20
 
 Rule = tuple[str, str]  # verdict, host/path
 
@@ -68,24 +67,58 @@ def generalised(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(HEX) & ~s.rlike(r"^[0-9]+$"), F.lit("{h}")).otherwise(F.regexp_replace(s, NUMBER, "{n}")))
 
 
+def _same_first(lo: Column, hi: Column) -> Column:
+    """How many segments two paths have in common at their beginning."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(acc: Column, same: Column) -> Column:
+        on = acc["on"] & same
+        return F.struct((acc["n"] + on.cast("int")).alias("n"), on.alias("on"))
+
+    return F.aggregate(F.zip_with(lo, hi, lambda x, y: F.coalesce(x == y, F.lit(False))), start, step, lambda acc: acc["n"])
+
+
 def templates(pages: DataFrame, z: float) -> DataFrame:
-    """host, raw, template, labelled, blocked of each distinct (host, generalised path)."""
+    """host, raw, template, labelled, blocked of each distinct (host, generalised path).
+
+    The tree is built from the root: at each node all paths move on over the segments that they share,
+    then the branches are judged, and those that became wildcards go on as one node.
+    """
+    work, step = shared_dir(pages.sparkSession, "templates"), 0
     paths = pages.groupBy("host", "raw").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    steps = paths.select("host", "raw", "labelled", "blocked", F.posexplode("raw").alias("depth", "segment")).withColumn("parent", F.slice("raw", F.lit(1), F.col("depth")))
-    branch = steps.groupBy("host", "parent", "segment").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
-    node = branch.groupBy("host", "parent").agg(F.count("*").alias("n_children"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+    active = stored(paths.select("*", F.lit("").alias("template"), F.col("raw").alias("rest")), "paths", f"{work}/active-0")
+    done = []
+    while not active.isEmpty():
+        step += 1
+        ends = active.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        ends = stored(ends.select("host", "template", _same_first(F.col("lo"), F.col("hi")).alias("n")), "ends", f"{work}/ends-{step}")
+        shared = F.concat(F.col("template"), F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("n")), lambda s: F.concat(F.lit("/"), s)), ""))
+        rest = F.slice("rest", F.col("n") + 1, F.size("rest"))
+        moved = active.join(ends, ["host", "template"]).select("host", "raw", "labelled", "blocked", shared.alias("template"), rest.alias("rest"))
+        moved = stored(moved.withColumn("segment", F.get("rest", F.lit(0))), "moved", f"{work}/moved-{step}")
+        done.append(moved.filter("segment IS NULL").select("host", "raw", "template", "labelled", "blocked"))
+        branch = moved.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
+        branch = stored(branch, "branch", f"{work}/branch-{step}")
+        node = branch.groupBy("host", "template").agg(F.count("*").alias("n_children"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+        judged = branch.join(node, ["host", "template"]).select("host", "template", "segment", F.when(_wild(z), F.lit("*")).otherwise(F.col("segment")).alias("shown"))
+        judged = stored(judged, "judged", f"{work}/judged-{step}")
+        further = moved.join(judged, ["host", "template", "segment"]).select(
+            "host", "raw", "labelled", "blocked", F.concat_ws("/", "template", "shown").alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")
+        )
+        active = stored(further, "paths", f"{work}/active-{step}")
+    return reduce(DataFrame.unionByName, done, active.select("host", "raw", "template", "labelled", "blocked"))
+
+
+def _wild(z: float) -> Column:
+    """Whether a branch (lab, bad) of a node (n_children, all_lab, all_bad) becomes a wildcard."""
     lab, bad = F.col("lab"), F.col("bad")
     rest = F.col("all_lab") - lab
     pooled = F.col("all_bad") / F.col("all_lab")
     apart = F.abs(bad / lab - (F.col("all_bad") - bad) / rest) > z * F.sqrt(pooled * (1 - pooled) * (1 / lab + 1 / rest))
-    wild = (
+    return (
         F.when(F.col("n_children") == 1, F.lit(False))
         .when(F.col("all_lab") == 0, F.lit(True)).when((lab == 0) | (rest == 0), F.lit(False)).otherwise(~apart)
     )
-    judged = branch.join(node, ["host", "parent"]).select("host", "parent", "segment", F.when(wild, F.lit("*")).otherwise(F.col("segment")).alias("shown"))
-    shown = steps.join(judged, ["host", "parent", "segment"]).groupBy("host", "raw").agg(F.array_sort(F.collect_list(F.struct("depth", "shown"))).alias("shown"))
-    template = F.array_join(F.transform("shown", lambda s: s["shown"]), "/")
-    return paths.join(shown, ["host", "raw"], "left").select("host", "raw", F.coalesce(template, F.lit("")).alias("template"), "labelled", "blocked")
 
 
 def judge_urls(
@@ -97,9 +130,9 @@ def judge_urls(
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     found = rows.withColumn("found", match_rule(rules, F.col("host"), F.col("path")))
     found = found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), generalised(F.col("path")).alias("raw"))
-    trees = templates(found, z)
+    trees = stored(templates(found, z), "url-templates")
     bad = trees.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).filter((F.col("b") + 1) / (F.col("n") + 2) > reject)
-    rejected = trees.join(bad, ["host", "template"], "left_semi").select("host", "raw", F.lit(True).alias("rejected"))
+    rejected = stored(trees.join(bad, ["host", "template"], "left_semi").select("host", "raw", F.lit(True).alias("rejected")), "url-rejected")
     judged = found.join(rejected, ["host", "raw"], "left")
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("rejected", F.lit(False)).alias("template_rejected"))

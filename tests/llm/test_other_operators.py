@@ -211,3 +211,37 @@ def test_pipeline(spark):
         assert p["offset"] + p["length"] <= 2048
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert docs.columns == stage(spark, docs, "").columns, name
+
+
+def test_merged_branches_pool_what_lies_below(spark):
+    """Each user has one labelled page of a kind, too few to judge by; together they tell."""
+    rules = [("block", f"h.com/user/u{i}/offer/1") for i in range(6)] + [("allow", f"h.com/user/u{i}/diary/1") for i in range(6)]
+    urls = [f"http://h.com/user/u{i}/{kind}/{n}" for i in range(6) for kind in ("offer", "diary") for n in (1, 2)] + ["http://h.com/user/u9/offer/2"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge_urls(frame, rules).collect()}
+    assert {url for url, verdict in got.items() if verdict == "block"} == {url for url in urls if "/offer/" in url and "u9" not in url}
+
+
+def test_url_trees_against_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    words = ["en", "de", "fr", "shop", "a", "b", "12", "77", "0123456789abcdef", "*", ""]
+    hosts = ["example.net", "x.example.net", "example.com", "www.example.com", "q.org"]
+    urls = ["/".join([f"http://{hosts[rng.integers(5)]}", *(words[i] for i in rng.integers(0, len(words), rng.integers(0, 6)))]) for _ in range(1500)]
+    deep = "http://example.com/" + "s/" * 3000
+    urls += [deep, deep + "t", deep + "u", urls[0], urls[0], None, "http://example.com/de/" + "x" * 100_000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = frame.filter("length(url) < 1000 OR url IS NULL").toPandas()  # noqa: F841
+    want = sorted(map(str, duckdb.sql(queries.OP9_SQL).fetchall()))
+    got = url_filter.judge_urls(frame, queries.URL_RULES).drop("template_rejected").collect()
+    assert len(got) == len(urls)
+    assert sorted(str(tuple(r)) for r in got if len(urls[r["page_id"]] or "") < 1000) == want
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in got)
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/y")], "page_id long, url string")
+    frame = frame.withColumns({c: F.lit(1) for c in ("_host", "_path", "host", "path", "rule", "verdict", "raw")})
+    kept = url_filter.keep_allowed(frame, queries.URL_RULES)
+    assert kept.columns == frame.columns and [r["page_id"] for r in kept.collect()] == [2]
