@@ -4,20 +4,25 @@ A bounded number of vectors, chosen by a hash, become pivots; every vector joins
 nearest pivot.  A cell's summary holds its size, its radius and its ``k + 1`` members nearest to the pivot.
 With ``r = |x - p|`` a score ``q.x`` lies within ``q.p -+ |q| r``.  So summaries alone give each query
 a bound that its k-th best score reaches, and a cell whose ``q.p + |q| radius`` stays below it cannot
-contribute.  Queries are grouped by their own cell; a block of a cell is replicated to exactly those
-groups with a query that may need it, and each (group, cell, block) is solved on its own with one
-matrix product.  The best k of each are merged.
+contribute.  The queries of neighbouring cells are joined into groups of about ``group_queries``, those of a
+crowded cell are cut into such groups; a block of a cell is replicated to exactly those groups with a
+query that may need it, and each (group, cell, block) is solved on its own with one matrix product.  The
+best k of each are merged.  So a row is copied at most queries / ``group_queries`` times (and a few), and
+less the more the bounds tell.
 
-Vectors are floor(scale * x) in doubles, so products are exact integers below 2**53.
+Vectors are floor(scale * x) in doubles, so products are exact integers below 2**53; vectors so long that
+a product may reach that raise a ValueError.
 
 Defined results: rows with null identifier, null vector or a null or non-finite component take no
 part; neither do vectors of another length than the most common one.  A query's own rows (same
 identifier) are not its candidates; repeated rows of others are candidates each; a repeated query
-counts once.  Fewer than k candidates give fewer ranks; ties go to the smaller identifier.
+counts once.  Fewer than k candidates give fewer ranks; ties go to the smaller identifier; an empty table
+gives no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +37,35 @@ CELLS = "vec_id long, v binary, norm double, cell int, r double"
 SLACK = 1e-9
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(vec_id, v as array<double> of whole numbers) of the rows that take part."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> tuple[DataFrame, int]:
+    """(vec_id, v as array<double> of whole numbers) of the rows that take part, and their number."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & (F.size("v") > 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = common[0]["d"] if common else 0
-    return rows.filter(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    same = rows.filter(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return same, common[0]["count"] if common else 0
+
+
+def number_of_pivots(n_rows: int) -> int:
+    """64 for small tables, growing with the square root of the rows up to 1024."""
+    return min(1024, max(64, math.isqrt(n_rows) // 4))
+
+
+def query_groups(pivots: np.ndarray, counts: np.ndarray, group_queries: int) -> list[tuple[int, int]]:
+    """(group, parts) of each cell: cells next to each other along the pivots' main direction share a group
+    until it has ``group_queries`` queries; a cell with more makes a group of its own, dealt into parts."""
+    spread = pivots - pivots.mean(0)
+    along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
+    out, group, held = [(0, 1)] * len(pivots), -1, group_queries
+    for cell in np.argsort(along, kind="stable").tolist():
+        n = int(counts[cell])
+        if held + n > group_queries:
+            group, held = group + 1, 0
+        out[cell] = (group, max(1, -(-n // group_queries)))
+        held += n
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -113,13 +139,16 @@ def _solve(k: int):
 
 def knn_join(
     vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0,
-    n_pivots: int = 64, block_rows: int = 8192, group_queries: int = 512,
+    n_pivots: int | None = None, block_rows: int = 8192, group_queries: int = 512,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``vec_id``."""
+    """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``vec_id``.
+
+    The number of pivots follows the table's size unless it is given (``number_of_pivots``).
+    """
     spark, work = vectors.sparkSession, shared_dir(vectors.sparkSession, "knn-join")
     result = "query_id long, rank int, vec_id long, score long"
-    rows = usable(vectors, id_col, vector_col, scale)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()  # n_pivots rows
+    rows, n_rows = usable(vectors, id_col, vector_col, scale)
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots or number_of_pivots(n_rows)).collect()  # so many rows
     if not chosen:
         return spark.createDataFrame([], result)
     pivots = np.unique(np.array([r["v"] for r in chosen]), axis=0)
@@ -127,8 +156,10 @@ def knn_join(
 
     # Summaries: one row per cell, and k + 1 members of each.
     size, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -1.0)
-    for s in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).collect():
+    for s in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"), F.max("norm").alias("norm")).collect():
         size[s["cell"]], radius[s["cell"]] = s["n"], s["radius"]
+        if s["norm"] ** 2 >= 2**53:
+            raise ValueError("vectors are too long for exact products in doubles; use a smaller scale")
     by_r = Window.partitionBy("cell").orderBy("r", "vec_id")
     near = cells.select("cell", "vec_id", "r").withColumn("place", F.row_number().over(by_r)).filter(F.col("place") <= k + 1).collect()
     members = [(s["cell"], s["vec_id"], s["r"]) for s in near]
@@ -136,10 +167,12 @@ def knn_join(
     n_blocks = F.element_at(F.array(*[F.lit(int(-(-n // block_rows)) or 1) for n in size]), F.col("cell") + 1)
     data = cells.select("cell", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"), "vec_id", "v")
     asked = cells.filter(is_query).dropDuplicates(["vec_id"])
-    per_cell = asked.groupBy("cell").count().withColumnRenamed("count", "n")
-    asked = asked.join(F.broadcast(per_cell), "cell")  # one row per pivot
-    group = F.struct("cell", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / group_queries)).alias("part"))
-    asked = asked.select("vec_id", "v", "norm", F.xxhash64(group).alias("grp"))
+    counts = np.zeros(len(pivots), np.int64)
+    for s in asked.groupBy("cell").count().collect():  # one row per pivot
+        counts[s["cell"]] = s["count"]
+    groups = query_groups(pivots, counts, group_queries)
+    of_cell = lambda k: F.element_at(F.array(*[F.lit(g[k]) for g in groups]), F.col("cell") + 1)
+    asked = asked.select("vec_id", "v", "norm", F.xxhash64(of_cell(0), F.pmod(F.xxhash64("vec_id"), of_cell(1))).alias("grp"))
     asked = stored(asked.mapInArrow(_needs(pivots, radius, members, k), "vec_id long, v binary, norm double, grp long, needs array<int>"), "queries", f"{work}/queries")
     routed = asked.select("grp", "vec_id", "v", F.explode("needs").alias("cell"))
     routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
