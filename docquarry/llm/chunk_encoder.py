@@ -25,7 +25,7 @@ from .shared import release_memory
 
 MAX_CHUNKS = 600_000
 #: Texts of about so many bytes are worked on together.
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 4_000_000
 
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
@@ -267,12 +267,12 @@ def in_order(found: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) ->
     return out
 
 
-def by_size(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    """(from, to) of runs of texts with about BYTES_AT_ONCE bytes (or characters)."""
+def by_size(lengths: list[int], most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with about ``most`` bytes (or characters)."""
     start = n = 0
     for i, length in enumerate(lengths):
         n += length
-        if n >= BYTES_AT_ONCE:
+        if n >= most:
             yield start, i + 1
             start, n = i + 1, 0
     if start < len(lengths):

@@ -36,6 +36,8 @@ from .chunk_encoder import by_size
 from .shared import fresh_name, release_memory
 
 SEGMENT = 512
+#: Texts of about so many characters are parsed side by side.
+CHARS_AT_ONCE = 1_000_000
 PREFER_LENGTHS = (100, 20_000)
 #: A letter to Java; what its Unicode version does not know yet is left for Python to decide.
 _LETTER = r"\p{L}\p{Cn}"
@@ -245,7 +247,7 @@ def predictor(spark, model: CrossParser):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             every = texts.tolist()
-            parts = [held.value.predict(every[a:b]) for a, b in by_size([len(t or '') for t in every])]
+            parts = [held.value.predict(every[a:b]) for a, b in by_size([len(t or '') for t in every], CHARS_AT_ONCE)]
             release_memory()
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 

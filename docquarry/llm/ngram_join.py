@@ -265,6 +265,23 @@ def shared_keys(signatures: DataFrame, percent: int) -> DataFrame:
     return joined.select("class_id", "n_shingles", keys.alias("keys")).filter(F.size("keys") > 0)
 
 
+def _guests(at: DataFrame) -> DataFrame:
+    """block_x, block_y, first, class_id, label: the classes that take part in the meeting of two blocks.
+
+    ``at`` has key, block, class_id and label.  Of a key's most frequent label, classes meet only the blocks
+    that have another label under the key; classes of other labels meet all of the key's blocks.
+    """
+    counts = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+    major = counts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"))
+    marked = at.join(major, "key").withColumn("odd", F.col("label") != F.col("major"))
+    of_key = marked.groupBy("key").agg(F.collect_set("block").alias("every"), F.collect_set(F.when(F.col("odd"), F.col("block"))).alias("odd_ones"))
+    places = marked.join(of_key, "key").select("class_id", "label", "block", F.when(F.col("odd"), F.col("every")).otherwise(F.col("odd_ones")).alias("others"))
+    # A class has the same blocks under most of its keys: sets of them are joined before they become rows.
+    visits = places.groupBy("class_id", "label", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    pairs = visits.select("class_id", "label", "block", F.explode("others").alias("other")).filter("block <> other")
+    return pairs.select(F.least("block", "other").alias("block_x"), F.greatest("block", "other").alias("block_y"), (F.col("block") < F.col("other")).alias("first"), "class_id", "label")
+
+
 def jaccard_components(
     docs: DataFrame, *, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_classes: int = 512,
 ) -> DataFrame:
@@ -297,12 +314,7 @@ def jaccard_components(
     mixed = at.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("block").alias("x"), F.max("block").alias("y")).filter("l <> h AND x <> y")
     mixed = stored(mixed.select("key"), "mixed", f"{work}/mixed")
     open_at = stored(at.join(mixed, "key").select("key", "block", "class_id", "label"), "open", f"{work}/open")
-    blocks = open_at.groupBy("key", "block").agg(F.min("label").alias("l"), F.max("label").alias("h"))
-    x, y = (blocks.withColumnsRenamed({c: f"{c}_{k}" for c in ("block", "l", "h")}) for k in "xy")
-    meetings = x.join(y, "key").filter("block_x < block_y AND NOT (l_x = h_x AND l_y = h_y AND l_x = l_y)").select("key", "block_x", "block_y")
-    sides = meetings.select("key", "block_x", "block_y", F.col("block_x").alias("block"), F.lit(True).alias("first"))
-    sides = sides.unionByName(meetings.select("key", "block_x", "block_y", F.col("block_y").alias("block"), F.lit(False).alias("first")))
-    guests = stored(sides.join(open_at, ["key", "block"]).select("block_x", "block_y", "first", "class_id", "label").distinct(), "guests", f"{work}/guests")
+    guests = stored(_guests(open_at), "guests", f"{work}/guests")
     met = guests.join(sets, "class_id").groupBy("block_x", "block_y").applyInArrow(_meet(percent), "a long, b long")
     links = stored(met, "links", f"{work}/links")
 
