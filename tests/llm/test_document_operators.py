@@ -38,6 +38,31 @@ def test_exact_dedup_of_nothing_and_all_columns(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == len(by_text(texts()))
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda text: F.lit("same")])
+def test_deliveries_meet_the_state_of_those_before(spark, tmp_path, digest):
+    """Three deliveries, with a true digest and with one under which all texts collide."""
+    rows = [(i, f"text {i % 4}" if i % 5 else None, "en") for i in range(24)]
+    frames = [documents(spark, tmp_path / f"in{k}", rows=rows[8 * k : 8 * k + 8]) for k in range(3)]
+    before, seen = None, []
+    for k, frame in enumerate(frames):
+        got = exact_dedup.exact_dedup(frame, state_dir=f"file://{tmp_path}/state", earlier=before, digest=digest).collect()
+        seen += rows[8 * k : 8 * k + 8]
+        for r in got:
+            group = [i for i, t, _ in seen if (t or "") == (rows[r["doc_id"]][1] or "")]
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (max(group), len(group), r["doc_id"] == max(group))
+        before = frame if before is None else spark.read.parquet(*[str(tmp_path / f"in{j}") for j in range(k + 1)])
+
+
+def test_earlier_rows_are_asked_for(spark, tmp_path):
+    for k in range(2):
+        frame = documents(spark, tmp_path / f"d{k}", rows=[(1 - k, "the same", "en")])
+        if k:
+            with pytest.raises(Exception, match="earlier deliveries"):
+                exact_dedup.exact_dedup(frame, state_dir=f"file://{tmp_path}/s").collect()
+        else:
+            assert exact_dedup.exact_dedup(frame, state_dir=f"file://{tmp_path}/s").count() == 1
+
+
 def jaccard_groups(rows, n_words, percent):
     sets = []
     for key, text, _ in rows:
