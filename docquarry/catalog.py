@@ -73,7 +73,7 @@ bm AS (SELECT id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg
 sparse AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 10)"""
 _DENSE = """
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-sc AS (SELECT vec_id AS id, label, round(list_dot_product(list_transform(embedding, lambda z: z::DOUBLE), list_transform(q, lambda z: z::DOUBLE)), 6) AS score FROM embeddings, q),
+sc AS (SELECT vec_id AS id, label, round(list_cosine_similarity(list_transform(embedding, lambda z: z::DOUBLE), list_transform(q, lambda z: z::DOUBLE)), 6) AS score FROM embeddings, q),
 dense AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 5)"""
 
 
@@ -85,7 +85,7 @@ def tokenize_stats(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT id, score, rank::INTEGER AS rank FROM sparse")
 def bm25_topk(spark, sf_dir):
-    return retrieval.lexical_topk(_t(spark, sf_dir, "documents"), TERMS, 10)
+    return retrieval.lexical_topk(_t(spark, sf_dir, "documents"), TERMS, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -98,13 +98,13 @@ def overlap_topk(spark, sf_dir):
 
 @query(f"WITH {_DENSE} SELECT id, score, rank::INTEGER AS rank FROM dense")
 def dense_topk(spark, sf_dir):
-    return retrieval.dense_topk(_t(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 5)
+    return retrieval.dense_topk(_t(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_DENSE} SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM sc WHERE label IN (1, 2, 3) QUALIFY rank <= 5")
 def dense_filtered_topk(spark, sf_dir):
     scoped = _t(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 2, 3))
-    return retrieval.dense_topk(scoped, _query_vector(spark, sf_dir), 5)
+    return retrieval.dense_topk(scoped, _query_vector(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -114,7 +114,7 @@ def child_parent_rollup(spark, sf_dir):
     vectors = _t(spark, sf_dir, "embeddings")
     hits = retrieval.dense_topk(vectors, _query_vector(spark, sf_dir), 20).join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("parent_id")), "id")
     parents = vectors.groupBy(F.col("label").alias("parent_id")).agg(F.count("*").alias("n_children"))
-    return retrieval.roll_up(hits, parents)
+    return retrieval.roll_up(hits, parents).withColumn("score", F.round("score", 6))
 
 
 _FUSED = """
@@ -280,6 +280,105 @@ def stage_progress(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", metadata.stage_progress(stage, (F.col("event_id") % 2) / 2.0, jobs.STAGES).alias("progress"))
 
 
+@query(f"""
+WITH {_DENSE}, c AS (SELECT sc.id, sc.label, sc.score FROM sc WHERE sc.id % 3 = 0 ORDER BY score DESC, id LIMIT 20)
+SELECT label AS parent_id, label % 4 AS document_id, max(score) AS score FROM c WHERE label % 4 <> 2 GROUP BY label""")
+def scoped_retrieval(spark, sf_dir):
+    """From a vector to contexts in one call; every fourth document is deleted."""
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("parent_id"))
+    chunks = vectors.withColumns({"kind": F.when(F.col("chunk_id") % 3 == 0, "child").otherwise("parent"), "pipeline_version": F.lit("v1")})
+    parents = vectors.select("parent_id", (F.col("parent_id") % 4).alias("document_id")).distinct()
+    gone = F.when(F.col("document_id") == 2, F.lit("2024-01-01")).cast("timestamp")
+    documents = parents.select("document_id").distinct().withColumns({"deleted_at": gone, "delete_requested_at": gone})
+    found = retrieval.retrieve(chunks, parents, documents, _query_vector(spark, sf_dir), 20, version="v1")
+    return found.select("parent_id", "document_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH {_DENSE}, a AS (SELECT id AS key, rank FROM dense), b AS (SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id < 12 OR vec_id IN (SELECT id FROM dense)),
+u AS (SELECT key, 0 AS src, rank FROM a UNION ALL SELECT key, 1, rank FROM b),
+f AS (SELECT key, min(src * 100000 + rank) AS place FROM u GROUP BY key)
+SELECT key, row_number() OVER (ORDER BY place, key)::INTEGER AS rank FROM f""")
+def candidate_union(spark, sf_dir):
+    vectors = _t(spark, sf_dir, "embeddings")
+    dense = retrieval.dense_topk(vectors, _query_vector(spark, sf_dir), 5).select(F.col("id").alias("key"), "rank")
+    second = vectors.select(F.col("vec_id").alias("key")).join(F.broadcast(dense.select("key", F.lit(True).alias("d"))), "key", "left").filter("key < 12 OR d")
+    second = second.select("key", F.row_number().over(Window.orderBy("key")).alias("rank"))  # a few rows
+    return retrieval.union_candidates([dense, second])
+
+
+@query("""
+SELECT doc_id, source FROM documents WHERE source IS NULL OR source <> 'src0'""")
+def delete_document(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumnRenamed("source", "document_id")
+    return mutate.delete_document(docs, "src0").select("doc_id", F.col("document_id").alias("source"))
+
+
+@query("""
+SELECT doc_id AS document_id, CASE WHEN doc_id % 10 = 0 THEN 'new-' || doc_id ELSE source END AS filename, CASE WHEN doc_id % 10 = 0 THEN 'h' || doc_id ELSE 'old' END AS content_hash,
+  (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS queued, (SELECT count(*) FROM labels WHERE doc_id % 10 <> 0) AS chunks FROM documents""")
+def replace_document(spark, sf_dir):
+    never = F.lit(None).cast("timestamp")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.lit("old").alias("content_hash"), never.alias("deleted_at"), never.alias("delete_requested_at"))
+    uploads = docs.filter("document_id % 10 = 0").select("document_id", F.concat(F.lit("new-"), "document_id").alias("filename"), F.concat(F.lit("h"), "document_id").alias("content_hash"), F.col("document_id").alias("job_id"))
+    jobs_before = spark.createDataFrame([], "job_id long, document_id long, status string")
+    chunks = _t(spark, sf_dir, "labels").withColumnRenamed("doc_id", "document_id")
+    replaced, queued, left = mutate.replace_document(docs, jobs_before, chunks, uploads)
+    return replaced.select("document_id", "filename", "content_hash", F.lit(queued.count()).alias("queued"), F.lit(left.count()).alias("chunks"))
+
+
+@query("""
+SELECT o_custkey AS document_id, o_orderpriority AS sheet_name, count(*) AS n, max(o_orderstatus = 'F') AS again FROM orders
+WHERE NOT (o_orderstatus <> 'F' AND (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'F')) GROUP BY ALL""")
+def reingest_sheets(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("sheet_name"), (F.col("o_orderstatus") == "F").alias("again"))
+    out = mutate.reingest_sheets(rows.filter("NOT again"), rows.filter("again"))
+    return out.groupBy("document_id", "sheet_name").agg(F.count("*").alias("n"), F.max("again").alias("again"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def tables_of_user(spark, sf_dir):
+    """The user has no row in the catalogue, so those of the user's documents count."""
+    catalogue = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id"), F.lit(-1).alias("user_id"))
+    documents = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("owner_id"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return metadata.tables_of(catalogue, documents, 3).select("o_orderkey")
+
+
+@query("""
+SELECT coalesce(p.d, c.d) AS document_id, coalesce(pages, 0) AS pages, coalesce(chunks, 0) AS chunks, coalesce(n, 0)::BIGINT AS "rows" FROM
+  (SELECT o_custkey AS d, count(*) AS pages, sum(o_orderkey % 7) AS n FROM orders GROUP BY 1) AS p FULL JOIN (SELECT c_custkey AS d, count(*) AS chunks FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) AS c ON p.d = c.d""")
+def job_totals(spark, sf_dir):
+    pages = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 7).alias("n_rows"))
+    return metadata.job_totals(pages, _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("document_id")))
+
+
+@query("SELECT sum(c_custkey % 2 + c_nationkey) = 0 AS idle FROM customer")
+def queue_idle(spark, sf_dir):
+    return metadata.queue_is_idle(_t(spark, sf_dir, "customer").select((F.col("c_custkey") % 2).alias("active"), F.col("c_nationkey").alias("reserved")))
+
+
+@query("""
+SELECT user_id AS job_id, event_type AS stage, count(*) AS n_events, sum(coalesce(floor((epoch_us(after) - epoch_us(ts)) / 1000), 0))::BIGINT AS total_ms FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) GROUP BY ALL""")
+def stage_durations(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumnsRenamed({"user_id": "job_id", "event_type": "stage"})
+    return metadata.stage_durations(events).select("job_id", "stage", "n_events", F.col("total_ms").cast("long").alias("total_ms"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+  AND o_orderdate + INTERVAL 1000 DAY > TIMESTAMP '1999-06-01'""")
+def valid_codes(spark, sf_dir):
+    codes = _t(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    found = metadata.valid_codes(codes, 1000 * 1440, F.lit("1999-06-01").cast("timestamp"), user="o_custkey", created="o_orderdate", key="o_orderkey")
+    return found.select("o_custkey", "o_orderkey", metadata.iso_time(F.col("o_orderdate")).alias("at"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%9%' OR c_mktsegment ILIKE '%build%'")
+def interface_filter(spark, sf_dir):
+    return metadata.matching(_t(spark, sf_dir, "customer"), " BUILD", "c_mktsegment").unionByName(metadata.matching(_t(spark, sf_dir, "customer").filter("NOT c_mktsegment ILIKE '%build%'"), "9", "c_name")).select("c_custkey", "c_name")
+
+
 # ── table questions ─────────────────────────────────────────────────────────
 
 
@@ -310,6 +409,13 @@ def extreme_row(spark, sf_dir):
     return table_qa.extreme(table, _PART[4], "desc").select("p_partkey", "p_retailprice")
 
 
+@query("SELECT round(sum(p_retailprice), 2) AS sum_p_retailprice, sum(p_size)::BIGINT AS sum_p_size FROM part WHERE p_size >= 10")
+def aggregate_named(spark, sf_dir):
+    held = table_qa.filters_to_condition(_PART, [{"field": "p_size", "op": "gte", "value": "10"}])
+    found = table_qa.aggregate_named(_t(spark, sf_dir, "part"), _PART, "total of p retailprice and of p size", "sum", held)
+    return found.withColumn("sum_p_retailprice", F.round("sum_p_retailprice", 2))
+
+
 _SEARCH = "concat_ws(' ', p_name, p_brand, p_type)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,9 +43,35 @@ def hash_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embed(text: Column, embedder: Embedder | None = None, batch: int = 32) -> Column:
-    """Vectors of texts by a pluggable embedder, ``batch`` texts a call, in Arrow batches."""
-    model = embedder or hash_embedder()
+class HttpError(Exception):
+    """An answer with a status other than success; embedders that call a service raise it."""
+
+    def __init__(self, status: int) -> None:
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+def retried(call: Callable[[list[str]], list[list[float]]], retries: int = 2, sleep: Callable[[float], None] = time.sleep) -> Embedder:
+    """The call, again after server errors (5xx), time-outs and broken connections, at most ``retries`` times.
+
+    It waits a quarter of a second more each time, one second at most; other errors end it at once.
+    """
+    def run(texts: list[str]) -> list[list[float]]:
+        for attempt in range(1, retries + 2):
+            try:
+                return call(texts)
+            except (HttpError, TimeoutError, ConnectionError) as e:
+                if attempt > retries or isinstance(e, HttpError) and e.status < 500:
+                    raise
+                sleep(min(0.25 * attempt, 1.0))
+        raise AssertionError
+
+    return run
+
+
+def embed(text: Column, embedder: Embedder | None = None, batch: int = 32, retries: int = 2) -> Column:
+    """Vectors of texts by a pluggable embedder, ``batch`` texts a call, in Arrow batches; calls are retried."""
+    model = retried(embedder, retries) if embedder else hash_embedder()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

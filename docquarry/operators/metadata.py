@@ -144,3 +144,76 @@ def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
 def latest_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each group in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def tables_of(tables: DataFrame, documents: DataFrame, user_id: int) -> DataFrame:
+    """The user's rows of the table catalogue; without any, those of the user's documents."""
+    own = tables.filter(F.col("user_id") == user_id)
+    if not own.isEmpty():
+        return own
+    mine = documents.filter((F.col("owner_id") == user_id) & F.col("deleted_at").isNull()).select("document_id")
+    return tables.join(mine, "document_id", "left_semi")
+
+
+def job_totals(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id, pages, chunks, rows (of tabular pages): what a job reports."""
+    of_pages = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum("n_rows").alias("rows"))
+    of_chunks = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
+    both = of_pages.join(of_chunks, "document_id", "full")
+    return both.select("document_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "chunks", "rows")])
+
+
+def queue_is_idle(workers: DataFrame) -> DataFrame:
+    """One row: whether no worker has active or reserved tasks (true without workers)."""
+    return workers.agg((F.coalesce(F.sum(F.col("active") + F.col("reserved")), F.lit(0)) == 0).alias("idle"))
+
+
+def listed(rows: DataFrame, created: str, key: str) -> DataFrame:
+    """Newest first; of one time, by key."""
+    return rows.orderBy(F.desc_nulls_last(created), key)
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ``2024-01-02T03:04:05``, with microseconds where there are any."""
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000)
+
+
+def stage_durations(events: DataFrame, *, job: str = "job_id", stage: str = "stage", at: str = "ts", order: str = "event_id") -> DataFrame:
+    """job, stage, n_events, total_ms: the time from each event of a job to its next one, added up by stage."""
+    after = F.lead(at).over(Window.partitionBy(job).orderBy(at, order))
+    spans = events.withColumn("ms", F.coalesce(elapsed_ms(F.col(at), after), F.lit(0)))
+    return spans.groupBy(job, stage).agg(F.count("*").alias("n_events"), F.sum("ms").alias("total_ms"))
+
+
+def valid_codes(codes: DataFrame, minutes: int, now: Column, *, user: str = "user_id", created: str = "created_at", key: str = "code_id") -> DataFrame:
+    """Each user's latest code, if it has not expired."""
+    latest = latest_n(codes, [user], 1, F.desc(created), F.desc(key))
+    return latest.filter(F.col(created) + F.make_dt_interval(mins=F.lit(minutes)) > now)
+
+
+def matching(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows with the needle in any of the columns, or in any element of a list, whatever the case; all for an empty one."""
+    if not needle.strip():
+        return rows
+    kinds, low = dict(rows.dtypes), F.lit(needle.strip().lower())
+    hit = F.lit(False)
+    for c in columns:
+        one = F.exists(c, lambda x: F.contains(F.lower(x), low)) if kinds[c].startswith("array") else F.contains(F.lower(F.col(c).cast("string")), low)
+        hit = hit | F.coalesce(one, F.lit(False))
+    return rows.filter(hit)
+
+
+def visible_choice(chosen: Column, visible: Column) -> Column:
+    """The chosen sources that are visible."""
+    return F.array_intersect(chosen, visible)
+
+
+def mine_and_shared(notebooks: DataFrame, user_id: int) -> tuple[DataFrame, DataFrame]:
+    """(the user's notebooks, those of others that are shared)."""
+    own = F.col("owner_id") == user_id
+    return notebooks.filter(own), notebooks.filter(~own & F.col("shared"))

@@ -15,7 +15,11 @@ from docquarry.functions.ids import uuid5
 
 
 def swap_in(table: DataFrame, path: str) -> None:
-    """Write ``table`` beside ``path`` and move it there."""
+    """Write ``table`` beside ``path`` and move it there.
+
+    After a crash between the two moves the last state is at ``path``.old and the new one at ``path``.new;
+    ``recover`` puts the new one in place.
+    """
     spark = table.sparkSession
     jvm = spark._jvm
     target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
@@ -28,6 +32,19 @@ def swap_in(table: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a ``swap_in`` that ended between its moves; whether there was one."""
+    jvm = spark._jvm
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.new/_SUCCESS"))
+    if fs.exists(target) or not (whole or fs.exists(old)):
+        return False
+    fs.rename(new if whole else old, target)
+    fs.delete(old, True)
+    return True
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` rows replace those of the same key."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -51,6 +68,57 @@ def delete_version(rows: DataFrame, document_id, version) -> DataFrame:
     return rows.filter(~((F.col("document_id") == document_id) & (F.col("pipeline_version") == version)))
 
 
+def ensure_collection(points: DataFrame, dim: int, payload: tuple[str, ...] = ("document_id", "pipeline_version", "kind"), vector_col: str = "vector") -> DataFrame:
+    """``points``, with an error if a payload column is missing and one at run time for a vector of another length."""
+    if missing := [c for c in (*payload, vector_col) if c not in points.columns]:
+        raise ValueError(f"the collection lacks {', '.join(missing)}")
+    return check_vectors(points, dim, vector_col)
+
+
+def delete_document(rows: DataFrame, document_id) -> DataFrame:
+    """All rows but those of a document, whatever their version."""
+    return rows.filter(~F.coalesce(F.col("document_id") == F.lit(document_id), F.lit(False)))
+
+
+def replace_document(documents: DataFrame, jobs: DataFrame, chunks: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New contents under the same identifiers: (documents, jobs, chunks).
+
+    ``uploads`` has document_id, filename, content_hash and job_id.  Identifier and object key stay, a mark of
+    deletion goes; each gets a queued job; chunks of the old content go.
+    """
+    fresh = uploads.select("document_id", F.col("filename").alias("new_name"), F.col("content_hash").alias("new_hash"))
+    joined = documents.join(fresh, "document_id", "left")
+    hit = F.col("new_hash").isNotNull()
+    replaced = joined.withColumns({
+        "filename": F.when(hit, F.col("new_name")).otherwise(F.col("filename")), "content_hash": F.when(hit, F.col("new_hash")).otherwise(F.col("content_hash")),
+        "deleted_at": F.when(~hit, F.col("deleted_at")), "delete_requested_at": F.when(~hit, F.col("delete_requested_at")),
+    }).drop("new_name", "new_hash")
+    known = uploads.join(documents, "document_id", "left_semi")
+    queued = known.select("job_id", "document_id", F.lit("queued").alias("status"), F.lit("queued").alias("stage"), F.lit(0).alias("progress"))
+    return replaced, jobs.unionByName(queued, allowMissingColumns=True), chunks.join(known.select("document_id"), "document_id", "left_anti")
+
+
+def reingest_sheets(catalogue: DataFrame, new: DataFrame) -> DataFrame:
+    """The catalogue of tables with the rows of ``new``; earlier rows of the same document and sheet go."""
+    return upsert(catalogue, new, ["document_id", "sheet_name"])
+
+
+def copy_notebook(documents: DataFrame, namespace: uuid.UUID, notebook_id: str, owner_id: int) -> tuple[DataFrame, DataFrame]:
+    """(copies of the live documents under new identifiers in the notebook, a queued job for each)."""
+    copies = copy_rows(documents.filter("deleted_at IS NULL"), "document_id", namespace, notebook_id=notebook_id, owner_id=owner_id)
+    job = uuid5(namespace, F.concat(F.lit("job:"), F.col("document_id")))
+    return copies, copies.select(job.alias("job_id"), "document_id", F.lit("queued").alias("status"), F.lit("queued").alias("stage"), F.lit(0).alias("progress"))
+
+
+def required(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows, with NUL characters taken out of texts and an error at run time for an empty required value."""
+    clean = rows.withColumns({c: F.translate(c, "\x00", "") for c, t in rows.dtypes if t == "string"})
+    for c in columns:
+        empty = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+        clean = clean.withColumn(c, F.when(~empty, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is required")).cast(rows.schema[c].dataType)))
+    return clean
+
+
 def replace_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """All rows of the (document, version) pairs that ``new`` has are replaced by its own."""
     return upsert(old, new, ["document_id", "pipeline_version"])
@@ -116,9 +184,16 @@ def with_mean_row(metrics: DataFrame, label: str, label_value: str = "__mean__")
 
 
 def export_markdown(pages: DataFrame, path: str) -> None:
-    """One text per document, its pages in order and joined by a blank line."""
+    """Markdown files in a folder for each document: its pages in order and joined by a blank line."""
     parts = F.array_sort(F.collect_list(F.struct("page", "text")))
-    pages.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("markdown")).write.mode("overwrite").parquet(path)
+    texts = pages.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("value"))
+    texts.write.mode("overwrite").partitionBy("document_id").text(path)
+
+
+def write_metrics(metrics: DataFrame, path: str, label: str) -> None:
+    """One CSV file with a header, the metrics' rows and the row of means last (a row for each question)."""
+    rows = with_mean_row(metrics, label).withColumn("_last", F.col(label) == "__mean__")
+    rows.coalesce(1).sortWithinPartitions("_last", label).drop("_last").write.mode("overwrite").option("header", True).csv(path)
 
 
 def object_bytes(spark: SparkSession, path: str, start: int = 0, length: int | None = None) -> DataFrame:

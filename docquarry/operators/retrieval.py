@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokenize
-from docquarry.functions.vectors import dot
+from docquarry.functions.vectors import cosine
+from docquarry.shared_files import spread, stored
 
 Reranker = Callable[[str, list[str], int], list[int]]
 
@@ -40,12 +42,12 @@ def live(documents: DataFrame) -> DataFrame:
 
 
 def dense_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, score, rank of the ``k`` highest inner products (cosine for unit vectors), ties by id.
+    """id, score, rank of the ``k`` highest cosine similarities, ties by id.
 
     Filters on ``vectors`` run before any product; each task hands on its own best k only.
     """
     literal = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(F.col(id_col).alias("id"), F.round(dot(F.col(vector_col), literal), 6).alias("score"))
+    scored = vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), literal).alias("score"))
     return _ranked(scored.orderBy(F.desc("score"), "id").limit(k), F.desc("score"), F.col("id"))
 
 
@@ -54,50 +56,49 @@ def _ranked(top: DataFrame, *order: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def term_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings: id, dl, term, tf; lengths: id, dl).  One pass over the text for both."""
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words"))
-    lengths = words.select("id", F.size("words").cast("long").alias("dl"))
-    postings = words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    return postings, lengths
-
-
 def bm25_scores(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of the documents that hold a query term; a repeated term counts again.
 
     Okapi BM25; an inverse document frequency below zero is replaced by ``EPSILON`` times the mean over
-    the vocabulary.  Only the document frequencies are shuffled; a document's score needs its own words only.
+    the vocabulary.  One pass over the text stores id, length and term counts of the documents with a
+    query term and observes the statistics of all; the vocabulary is counted, in a second pass, only if
+    some query term is in more than half of the documents.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
-    total = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = float(total["n"]), total["avgdl"] or 1.0
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     wanted = list(dict.fromkeys(terms))
-    # One row: the mean over the vocabulary and each query term's own value.
-    found = df.agg(F.avg(raw), *[F.max(F.when(F.col("term") == t, raw)) for t in wanted]).first()
-    mean = found[0] or 0.0
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
+    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokenize(F.col("text")).alias("words"))
+    count_of = lambda t: F.size(F.filter("words", lambda w: w == t))
+    counted = words.select("id", F.size("words").alias("dl"), F.array(*[count_of(t) for t in wanted]).alias("tf"))
+    seen = Observation()
+    frequencies = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(wanted))]
+    observed = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *frequencies)
+    hits = stored(observed.filter(F.exists("tf", lambda x: x > 0)), "bm25-hits")
+    n, avgdl = seen.get["n"], seen.get["avgdl"] or 1.0
+    values = [math.log(n - df + 0.5) - math.log(df + 0.5) for df in (seen.get[f"df{i}"] for i in range(len(wanted)))]
+    mean = _mean_idf(words, n) if any(v < 0 for v in values) else 0.0
     length = K1 * (1 - B + B * F.col("dl") / avgdl)
-    score, hit = F.lit(0.0), F.lit(False)
-    for t, value in zip(wanted, found[1:]):
-        if value is not None:
-            idf = EPSILON * mean if value < 0 else value
-            score = score + F.lit(idf * terms.count(t)) * tf(t) * (K1 + 1) / (tf(t) + length)
-            hit = hit | F.array_contains("words", t)
-    return words.filter(hit).select("id", score.alias("score"))
+    score = F.lit(0.0)
+    for i, (t, value) in enumerate(zip(wanted, values)):
+        idf, tf = EPSILON * mean if value < 0 else value, F.get("tf", F.lit(i))
+        score = score + F.lit(idf * terms.count(t)) * tf * (K1 + 1) / (tf + length)
+    return hits.select("id", score.alias("score"))
+
+
+def _mean_idf(words: DataFrame, n: int) -> float:
+    """The mean over the vocabulary; only document frequencies are shuffled, added up per task first."""
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
 
 
 def overlap_scores(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score: how many of the document's words are query terms."""
-    hits = F.size(F.filter(tokenize(F.col(text_col)), lambda t: t.isin(terms)))
-    return docs.select(F.col(id_col).alias("id"), hits.cast("double").alias("score")).filter("score > 0")
+    hits = F.size(F.filter(tokenize(F.col("text")), lambda t: t.isin(terms)))
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", hits.cast("double").alias("score")).filter("score > 0")
 
 
 def lexical_topk(docs: DataFrame, query: str | list[str], k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, rank by BM25; where no score is above zero, by overlap."""
     terms = query if isinstance(query, list) else query_terms(docs, query)
-    best = lambda scores: scores.select("id", F.round("score", 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(k).collect()
+    best = lambda scores: scores.filter("score > 0").orderBy(F.desc("score"), "id").limit(k).collect()
     top = best(bm25_scores(docs, terms, id_col=id_col, text_col=text_col)) if terms else []
     top = top or best(overlap_scores(docs, terms or [""], id_col=id_col, text_col=text_col))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, score double, rank int"
@@ -114,19 +115,19 @@ def first_positions(candidates: DataFrame, key: str = "key", rank: str = "rank")
 
 
 def rrf(lists: list[tuple[DataFrame, float]], key: str = "key", k: int = RRF_K) -> DataFrame:
-    """key, rrf, first_list, first_rank: weighted reciprocal rank fusion of (key, rank) lists."""
+    """key, rrf (to eight places), score (as added up), first_list, first_rank: weighted reciprocal rank fusion of (key, rank) lists."""
     parts = [first_positions(frame, key).select(key, "rank", F.lit(float(w)).alias("w"), F.lit(i).alias("src")) for i, (frame, w) in enumerate(lists)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     first = F.min(F.struct("src", "rank"))
-    fused = every.groupBy(key).agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 8).alias("rrf"), first.alias("first"))
-    return fused.select(key, "rrf", F.col("first.src").alias("first_list"), F.col("first.rank").alias("first_rank"))
+    fused = every.groupBy(key).agg(F.sum(F.col("w") / (k + F.col("rank"))).alias("score"), first.alias("first"))
+    return fused.select(key, F.round("score", 8).alias("rrf"), "score", F.col("first.src").alias("first_list"), F.col("first.rank").alias("first_rank"))
 
 
 def top_fused(fused: DataFrame, k: int, key: str = "key") -> DataFrame:
     """The k best, ties by where a key was first seen."""
-    order = [F.desc("rrf"), F.col("first_list"), F.col("first_rank"), F.col(key)]
+    order = [F.desc("score"), F.col("first_list"), F.col("first_rank"), F.col(key)]
     return _ranked(fused.orderBy(*order).limit(k), *order)
 
 
@@ -140,6 +141,16 @@ def hybrid_topk(
     return top_fused(rrf([(dense, dense_weight), (sparse, sparse_weight)]), k)
 
 
+def union_candidates(lists: list[DataFrame], key: str = "key", rank: str = "rank") -> DataFrame:
+    """key, rank: the lists one after another, a key only where it comes first; ranks run through."""
+    every = None
+    for i, frame in enumerate(lists):
+        part = first_positions(frame, key, rank).select(key, F.struct(F.lit(i).alias("src"), F.col(rank).alias("at")).alias("place"))
+        every = part if every is None else every.unionByName(part)
+    first = every.groupBy(key).agg(F.min("place").alias("place"))
+    return first.select(key, F.row_number().over(Window.orderBy("place", key)).alias(rank))  # a few candidates
+
+
 def diversify(candidates: DataFrame, k: int, *, parent: str = "parent", position: str = "position") -> DataFrame:
     """The best child of each parent first, then the other children, ``k`` in all."""
     nth = F.row_number().over(Window.partitionBy(parent).orderBy(position))
@@ -177,6 +188,32 @@ def roll_up(hits: DataFrame, parents: DataFrame, documents: DataFrame | None = N
     return found.orderBy(F.desc_nulls_last("score"), parent)
 
 
+def retrieve(
+    chunks: DataFrame, parents: DataFrame, documents: DataFrame | None, query: list[float], k: int, *, id_col: str = "chunk_id",
+    vector_col: str = "vector", parent: str = "parent_id", ordered: bool = True, **scope,
+) -> DataFrame:
+    """From a question's vector to contexts: the scope's ``k`` best chunks, rolled up to parents of live documents.
+
+    ``scope`` is that of ``in_scope``.  Not ``ordered``, the parents come as a set without scores.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    scoped = in_scope(chunks, **scope)
+    hits = dense_topk(scoped, query, k, id_col=id_col, vector_col=vector_col)
+    with_parent = scoped.select(F.col(id_col).alias("id"), parent).join(F.broadcast(hits), "id")  # k rows
+    found = roll_up(with_parent, parents, documents, parent=parent)
+    return found if ordered else found.drop("score")
+
+
+def choose_retriever(vectors: DataFrame | None, docs: DataFrame | None, *, reranker: Reranker | None = None, hybrid: bool = True) -> str:
+    """``rerank`` where there is a reranker, else ``hybrid`` where it is wanted and there are texts, else ``dense``."""
+    if vectors is None or vectors.isEmpty():
+        raise ValueError("there are no vectors to search")
+    if reranker is not None and docs is not None:
+        return "rerank"
+    return "hybrid" if hybrid and docs is not None else "dense"
+
+
 def context_block(contexts: DataFrame, order: str = "rank") -> DataFrame:
     """One row: ``[Cn] source=… page=… doc_id=… chunk_id=…`` and the text, joined by rules."""
     head = F.concat(

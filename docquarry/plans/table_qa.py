@@ -217,6 +217,21 @@ def aggregate(table: DataFrame, column: ColumnProfile, op: str, condition: Colum
     return rows.agg({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[op](_c(column)).alias(op))
 
 
+def named_columns(schema: list[ColumnProfile], question: str, most: int = 3) -> list[ColumnProfile]:
+    """The numeric columns that the question names, in its order, ``most`` at most."""
+    short = compact(question)
+    places = [(short.find(compact(c.original_name or c.name)), i) for i, c in enumerate(schema) if c.numeric and compact(c.original_name or c.name)]
+    return [schema[i] for place, i in sorted(p for p in places if p[0] >= 0)[:most]]
+
+
+def aggregate_named(table: DataFrame, schema: list[ColumnProfile], question: str, op: str, condition: Column | None = None) -> DataFrame | None:
+    """One row with the aggregate of each column that the question names, or None where it names none."""
+    columns = named_columns(schema, question)
+    rows = table if condition is None else table.filter(condition)
+    f = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[op]
+    return rows.agg(*[f(_c(c)).alias(f"{op}_{c.name}") for c in columns]) if columns else None
+
+
 def group_count(table: DataFrame, column: ColumnProfile | str, condition: Column | None = None) -> DataFrame:
     rows = table if condition is None else table.filter(condition)
     key = _c(column)
@@ -336,11 +351,14 @@ FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate"
 
 
 def fix_sql(sql: str, columns: list[str]) -> str:
-    """Column names in their own case, ILIKE for LIKE, a LIMIT unless something is aggregated."""
-    for c in columns:
-        sql = re.sub(rf"(?<![\w`]){re.escape(c)}(?![\w`])", T.quote_identifier(c), sql, flags=re.I)
-    sql = re.sub(r"\bLIKE\b", "ILIKE", sql, flags=re.I)
-    if not re.search(r"\b(limit\s+\d+|count|sum|avg|min|max)\b", sql, re.I):
+    """Column names in their own case, ILIKE for LIKE, a LIMIT unless something is aggregated; literals stay."""
+    parts = re.split(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")", sql)
+    for i in range(0, len(parts), 2):
+        for c in sorted(columns, key=len, reverse=True):
+            parts[i] = re.sub(rf"(?<![\w`]){re.escape(c)}(?![\w`])", T.quote_identifier(c).replace("\\", r"\\"), parts[i], flags=re.I)
+        parts[i] = re.sub(r"\bLIKE\b", "ILIKE", parts[i], flags=re.I)
+    sql = "".join(parts)
+    if not re.search(r"\blimit\s+\d+|\b(count|sum|avg|min|max)\s*\(", " ".join(parts[::2]), re.I):
         sql = f"{sql.rstrip().rstrip(';')} LIMIT {LIMIT}"
     return sql
 

@@ -35,6 +35,15 @@ def stored(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` dealt anew if it is read in fewer parts than half of the cores, as a small file is.
+
+    For work that costs far more than a shuffle of its few rows; a large table is left as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() * 2 <= cores else frame
+
+
 def fresh_name(wanted: str, *frames: DataFrame) -> str:
     """``wanted``, with underscores before it until no frame has such a column (whatever the case)."""
     taken = {c.lower() for frame in frames for c in frame.columns}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -72,11 +74,13 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, path: str, reader: PdfReader) -> DataFrame:
-    """Page records of PDF files by a pluggable reader, a file per row of a task."""
+    """Page records of PDF files by a pluggable reader, a file per row of a task; what it leaves out is null."""
+    names = re.findall(r"(?:^|, )(\w+) ", PAGES)
+
     def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for source, content in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame([{"source": source, **page} for page in reader(content)], columns=[c.split()[0] for c in PAGES.split(", ")])
+                yield pd.DataFrame([{**dict.fromkeys(names), "source": source, **page} for page in reader(content)], columns=names)
 
     return files(spark, path, "*.pdf").select("path", "content").mapInPandas(pages, PAGES)
 
@@ -136,16 +140,25 @@ def url_is_safe(url: Column, most: int = 2048) -> Column:
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"md": read_markdown, "docx": read_docx}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """source, text by the reader of the path's extension."""
+def read(spark: SparkSession, path: str, pdf_reader: PdfReader | None = None) -> DataFrame:
+    """source, text (and what else the reader gives) by the path's extension."""
     from .html import html_text, read_html
-    from .tabular import pages_of, read_csv
+    from .tabular import pages_of, read_csv, read_xlsx, sheet_table
 
     ext = path.rsplit(".", 1)[-1].lower()
     if ext in ("html", "htm"):
         return read_html(spark, path).select("source", html_text(F.col("html")).alias("text"))
     if ext == "csv":
         return pages_of(read_csv(spark, path), path)
+    if ext == "xlsx":
+        cells = read_xlsx(spark, path)
+        sheets = [r["sheet"] for r in cells.select("sheet").distinct().orderBy("sheet").collect()]  # sheets of a workbook
+        pages = [pages_of(sheet_table(cells, s), path, sheet=s) for s in sheets]
+        return reduce(lambda a, b: a.unionByName(b), pages) if pages else spark.createDataFrame([], "source string, text string")
+    if ext == "pdf":
+        if pdf_reader is None:
+            raise ValueError("reading .pdf takes a reader")
+        return parsed_pages(pdf_pages(spark, path, pdf_reader))
     if ext not in READERS:
         raise ValueError(f"no reader for .{ext}")
     return READERS[ext](spark, path)

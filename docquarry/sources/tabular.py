@@ -110,7 +110,7 @@ def pages_of(table: DataFrame, source: str, *, block: int = BLOCK_ROWS, sheet: s
 
 
 def sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of a workbook; merged ranges repeat their first cell."""
+    """(sheet, row, column, text) of a workbook; merged ranges repeat their first cell, as far as the sheet has cells."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         strings = []
         if "xl/sharedStrings.xml" in book.namelist():
@@ -125,10 +125,12 @@ def sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                 value = c.find(f"{_SHEET}v")
                 text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else value.text if value is not None else ""
                 cells[_place(c.get("r"))] = strings[int(text)] if c.get("t") == "s" and text else text or ""
-            for merged in root.iter(f"{_SHEET}mergeCell"):
-                first, last = (_place(p) for p in merged.get("ref").split(":"))
-                for r in range(first[0], last[0] + 1):
-                    for k in range(first[1], last[1] + 1):
+            height, width = (max((place[i] for place in cells), default=-1) for i in (0, 1))
+            starts = [[_place(p) for p in merged.get("ref").split(":")] for merged in root.iter(f"{_SHEET}mergeCell")]
+            height, width = (max([most, *(first[i] for first, _ in starts)]) for i, most in ((0, height), (1, width)))
+            for first, last in starts:
+                for r in range(first[0], min(last[0], height) + 1):
+                    for k in range(first[1], min(last[1], width) + 1):
                         cells[r, k] = cells.get(first, "")
             yield from ((name, r, k, text) for (r, k), text in sorted(cells.items()))
 

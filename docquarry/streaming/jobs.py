@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docquarry.shared_files import fresh_name
+
 STATUSES = ("queued", "running", "succeeded", "failed", "cancelled")
 FINAL = ("succeeded", "failed", "cancelled")
 STAGES = {"queued": (0, 0), "parsing": (0, 60), "chunking": (60, 70), "embedding": (70, 90), "indexing": (90, 99), "done": (100, 100)}
@@ -51,7 +54,7 @@ def sse(event: Column) -> Column:
 
 
 def parse_sse(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Events of well-formed ``data:`` lines; others are left out, nothing follows a ``final`` event per stream."""
+    """Events of well-formed ``data:`` lines; others are left out (``until_final`` ends each message's events)."""
     body = F.regexp_extract(column, r"^data:\s*(\{.*\})\s*$", 1)
     return lines.withColumn("event", F.from_json(F.nullif(body, F.lit("")), schema, {"mode": "PERMISSIVE"})).filter("event.type IS NOT NULL")
 
@@ -71,3 +74,46 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hou
 
 def unexpired(rows: DataFrame, minutes: int = 15, created: str = "created_at", now: Column | None = None) -> DataFrame:
     return rows.filter(F.col(created) + F.expr(f"INTERVAL {minutes} MINUTES") > (now if now is not None else F.current_timestamp()))
+
+
+def until_final(events: DataFrame, message: str, position: str, kind: str = "type") -> DataFrame:
+    """Events up to the first ``final`` one of each message, that one included."""
+    before = Window.partitionBy(message).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    over = fresh_name("over", events)
+    return events.withColumn(over, F.coalesce(F.max((F.col(kind) == "final").cast("int")).over(before), F.lit(0))).filter(F.col(over) == 0).drop(over)
+
+
+def read_csv_stream(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
+    """CSV files of a folder as a stream of rows, ``files`` a step, with the file each row comes from."""
+    rows = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files).csv(folder)
+    return rows.withColumn("source", F.col("_metadata.file_name"))
+
+
+class Cancelled(Exception):
+    pass
+
+
+def run_batches(stream: DataFrame, path: str, checkpoint: str, cancelled: Callable[[], bool]) -> int:
+    """Write a stream's batches below ``path`` until all is read or ``cancelled`` says so; the number of batches.
+
+    Each batch goes to a folder of its own, which a repeated batch overwrites, so at-least-once delivery
+    writes once.  A cancelled run stops before the next batch and removes what it wrote.
+    """
+    spark, done = stream.sparkSession, []
+
+    def write(batch: DataFrame, n: int) -> None:
+        if cancelled():
+            raise Cancelled
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        done.append(n)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not cancelled():
+            raise
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        raise Cancelled from None
+    return len(done)
