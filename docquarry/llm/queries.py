@@ -108,11 +108,11 @@ _ROLE_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in secret_
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.BASE)}),
-w AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.SQL_WEAK)}),
+w AS ({" UNION ALL ".join(_kind_sql(*x) for x in secret_scan.WEAK)}),
 p AS (SELECT *, {_ROLE_SQL} AS role FROM (FROM b UNION ALL FROM w)),
 l AS (SELECT doc_id, rank, kind, s, e FROM p WHERE rank > 2 AND EXISTS (
-        SELECT 1 FROM p AS o WHERE o.doc_id = p.doc_id AND abs(o.s - p.s) <= {secret_scan.SCOPE}
-          AND CASE WHEN p.role = 'secret' THEN o.role = 'id' ELSE o.role = 'secret' END)),
+        SELECT 1 FROM p AS o WHERE o.doc_id = p.doc_id AND p.s <= o.e + {secret_scan.SCOPE} AND p.e >= o.s - {secret_scan.SCOPE}
+          AND (p.role = 'secret') <> (o.role = 'secret'))),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 2) AS base,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM (FROM b UNION ALL FROM l) GROUP BY doc_id)

@@ -12,9 +12,6 @@ one to the start of the other.  This is an interval join: parts, widened by ``sc
 completes, are keyed by text and by all cells of ``scope`` code points that they touch; per cell two
 bounds of each side are enough, so no pairs are formed.
 
-OP8_SQL is narrower: it measures from start to start, finds weak identifiers without quotes only
-(``SQL_WEAK``), and does not report a weak secret next to an endpoint alone.
-
 Defined results: null text counts as empty; repeated rows get a row each; overlapping spans of
 different kinds all stay; no spans give empty strings (and the hash of the empty string); an empty
 table gives no rows; very long texts are scanned whole.  Other columns of the input are not read;
@@ -48,7 +45,6 @@ WEAK = (
     ("weak_secret", ASSIGN, rf"^(?:{_WORDS}){_GLUE}[A-Za-z0-9+/_.=-]{{6,11}}$"),
     ("endpoint", r"(?:https?|jdbc|postgres|mysql|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?", None),
 )
-SQL_WEAK = (("weak_id", r"(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}|(?:client|account|user)_(?:id|name)\x20*[:=]\x20*[A-Za-z0-9_.@-]{4,}", None), *WEAK[1:])
 ORDER = {k: i for i, k in enumerate(["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"])}
 ROLE = {"assign": "secret", "hex": "secret", "access": "id", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 SCOPE = 256

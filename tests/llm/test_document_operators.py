@@ -167,6 +167,22 @@ def test_secret_spans(spark):
     assert secret_scan.secret_spans(documents(spark, rows=[])).count() == 0
 
 
+def test_secret_links_against_sql(spark):
+    """Parts at all distances around the scope, in both orders, with and without quotes."""
+    import duckdb
+
+    from docquarry.llm import queries
+
+    r = random.Random(4)
+    parts = ["password=short12", '"client_id": "abcd"', "user_name: someone", "https://h.example:80", "AKIA" + "B" * 16, "token='" + "x" * 400 + "'", "0123456789abcdef01", "é"]
+    rows = [(i, "".join(r.choice(parts) + " " * r.choice([1, 3, 255, 256, 257, 258, 300]) for _ in range(r.randint(0, 4))), "en") for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").toPandas()  # noqa: F841
+    want = {r[0]: r[5] for r in duckdb.sql(queries.OP8_SQL).fetchall()}
+    found = secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["spans"] for r in found.select("doc_id", secret_scan.span_text(F.concat("base", "linked")).alias("spans")).collect()}
+    assert got == want and sum("weak_secret" in s for s in got.values()) > 20
+
+
 def test_redaction(spark):
     docs = documents(spark, rows=[(i, t, "en") for i, t in enumerate(SECRETS)])
     clean = secret_scan.redact(docs)
