@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_duckdb, exact_dedup, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
-from .shared import shared_dir, table
+from .shared import shared_dir, spread, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -20,7 +20,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    found = secret_scan.secret_spans(spread(table(spark, sf_dir, "documents")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
@@ -61,11 +61,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.main_text(table(spark, sf_dir, "pages"))
+    return html_main.main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe_duckdb.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe_duckdb.encode_decode(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -73,7 +73,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n_words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.jaccard_components(spread(table(spark, sf_dir, "documents")), n_words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = f"""

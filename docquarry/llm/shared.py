@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.shared_files import fresh_name, shared_dir, stored
+from docquarry.shared_files import fresh_name, shared_dir, spread, stored
 
-__all__ = ["fresh_name", "release_memory", "shared_dir", "stored", "table", "text_of"]
+__all__ = ["fresh_name", "release_memory", "shared_dir", "spread", "stored", "table", "text_of"]
 
 _TRIM: list = []
 
