@@ -17,6 +17,7 @@ from docquarry.functions import ids
 from docquarry.functions import text as T
 from docquarry.operators import chunking, evaluate, metadata, mutate, retrieval
 from docquarry.plans import profile, table_qa
+from docquarry.shared_files import spread
 from docquarry.sources import files, html, tabular
 from docquarry.streaming import jobs
 
@@ -45,7 +46,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of long texts in a small file is dealt to all cores."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in ("documents", "pages") else frame
 
 
 def _one_row(spark: SparkSession, *frames: DataFrame) -> DataFrame:
