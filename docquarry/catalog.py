@@ -428,9 +428,9 @@ def multi_keyword(spark, sf_dir):
     return table_qa.search(table, ["brand", "3"]).select("p_partkey", "search_text")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE lower('%Part 1%') OR lower(p_name) LIKE '%12%' ORDER BY p_partkey LIMIT 200")
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE lower('%RING%') OR lower(p_name) LIKE '%w_dg%' ORDER BY p_partkey LIMIT 200")
 def contains_lookup(spark, sf_dir):
-    hit = T.contains_ignoring_case(F.col("p_name"), "Part 1") | T.contains_ignoring_case(F.col("p_name"), "12")
+    hit = T.contains_ignoring_case(F.col("p_name"), "RING") | T.contains_ignoring_case(F.col("p_name"), "w_dg")
     return _t(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(200).select("p_partkey", "p_name")
 
 
@@ -578,9 +578,18 @@ def range_header(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", ids.range_bounds(header, F.col("n_chars")).alias("r")).select("doc_id", "r.start", "r.end", "r.valid")
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://[^/:?#@]+') AND length(url) <= 2048 AS safe FROM pages")
+_ADDRESSES = ("http://10.1.2.3/a", "http://user@h.com/", "https://localhost:8080", "http://172.20.1.1/x", "http://172.32.1.1/x", "http://[::1]/", "https://a.local", "ftp://x.com/", "http://8.8.8.8?q")
+
+
+@query(f"""
+SELECT page_id, coalesce(host <> '' AND length(u) <= 2048 AND NOT regexp_matches(u, '^https?://[^/]*@')
+  AND NOT regexp_matches(host, '^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(1[6-9]|2\\d|3[01])\\.|.*\\.local$)|^\\['), false) AS safe
+FROM (SELECT page_id, u, lower(regexp_extract(u, '^https?://([^/:?#@]+)', 1)) AS host FROM (
+  SELECT page_id, coalesce({list(_ADDRESSES)}[page_id % 20 + 1], url) AS u FROM pages))""")
 def url_safety(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", files.url_is_safe(F.col("url")).alias("safe"))
+    """Of each 20 pages some have an address of a kind that must not be fetched."""
+    odd = F.get(F.array(*[F.lit(x) for x in _ADDRESSES]), (F.col("page_id") % 20).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", files.url_is_safe(F.coalesce(odd, "url")).alias("safe"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN make_date(2000 + (p_partkey % 20)::BIGINT, 1 + (p_partkey % 12)::BIGINT, 1 + (p_partkey % 28)::BIGINT)::TIMESTAMP END AS parsed FROM part")

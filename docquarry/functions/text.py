@@ -8,6 +8,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The expressions below are part of the expected behaviour.
 WORD = r"[\p{L}\p{N}_]+"
 TRIM = r"^\s+|\s+$"
 DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yy", "dd-MM-yy")
@@ -16,6 +17,16 @@ _DATE_SHAPES = (
     r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{4}/\d{1,2}/\d{1,2}$",
     r"^\d{1,2}/\d{1,2}/\d{2}$", r"^\d{1,2}-\d{1,2}-\d{2}$",
 )
+DIGITS = r"^\d+$"
+DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b"
+YEAR = r"^(?:19|20)\d{2}$"
+COURSE_CODE = r"(?i)^[a-z]{2,}\d{3,}[a-z0-9-]*$"
+GENDERS = ("nam", "nu", "male", "female", "m", "f")
+BULLET, LONE_O = r"(?m)^(\s*)[•▪‣◦]\s+", r"(?m)^(\s*)o\s+"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+PAGE_NUMBER = r"(?mi)^\s*(?:(?:Page|Trang)\s+)?\d+\s*$"
+HEADING_3 = r"(?m)^(\s*)(\d+\.\d+\.\d+)(?!\.\d)[ \t:\.]*(\S.*)$"
+HEADING_2 = r"(?m)^(\s*)(\d+\.\d+)(?!\.\d)[ \t:\.]*(\S.*)$"
 
 
 @lru_cache
@@ -55,15 +66,15 @@ def tokenize(c: Column, min_length: int = 2) -> Column:
 
 def looks_like_person(c: Column) -> Column:
     parts = F.split(normalize_text(c), " ")
-    return F.size(parts).between(2, 6) & ~F.exists(parts, lambda p: p.rlike(r"^\d+$")) & F.forall(parts, lambda p: F.length(p) >= 2)
+    return F.size(parts).between(2, 6) & ~F.exists(parts, lambda p: p.rlike(DIGITS)) & F.forall(parts, lambda p: F.length(p) >= 2)
 
 
 def looks_like_date(c: Column) -> Column:
-    return c.cast("string").rlike(r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b")
+    return c.cast("string").rlike(DATE)
 
 
 def looks_like_year(c: Column) -> Column:
-    return strip(c.cast("string")).rlike(r"^(?:19|20)\d{2}$")
+    return strip(c.cast("string")).rlike(YEAR)
 
 
 def looks_like_age(c: Column) -> Column:
@@ -71,11 +82,11 @@ def looks_like_age(c: Column) -> Column:
 
 
 def looks_like_course_code(c: Column) -> Column:
-    return strip(c.cast("string")).rlike(r"(?i)^[a-z]{2,}\d{3,}[a-z0-9-]*$")
+    return strip(c.cast("string")).rlike(COURSE_CODE)
 
 
 def looks_like_gender(c: Column) -> Column:
-    return normalize_text(c).isin("nam", "nu", "male", "female", "m", "f")
+    return normalize_text(c).isin(*GENDERS)
 
 
 def to_float(c: Column) -> Column:
@@ -104,21 +115,21 @@ def contains_all(c: Column, values: list[str]) -> Column:
 
 
 def clean_bullets(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?m)^(\s*)[•▪‣◦]\s+", "$1- "), r"(?m)^(\s*)o\s+", "$1- ")
+    return F.regexp_replace(F.regexp_replace(c, BULLET, "$1- "), LONE_O, "$1- ")
 
 
 def clean_control(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return F.regexp_replace(c, CONTROL, "")
 
 
 def clean_page_numbers(c: Column) -> Column:
-    return F.regexp_replace(F.replace(c, F.lit("``"), F.lit("")), r"(?mi)^\s*(?:(?:Page|Trang)\s+)?\d+\s*$", "")
+    return F.regexp_replace(F.replace(c, F.lit("``"), F.lit("")), PAGE_NUMBER, "")
 
 
 def numeric_headings(c: Column) -> Column:
     """``1.2 Title`` and ``1.2.3 Title`` lines become headings of level 2 and 3."""
-    three = F.regexp_replace(c, r"(?m)^(\s*)(\d+\.\d+\.\d+)(?!\.\d)[ \t:\.]*(\S.*)$", "$1### $2 $3")
-    return F.regexp_replace(three, r"(?m)^(\s*)(\d+\.\d+)(?!\.\d)[ \t:\.]*(\S.*)$", "$1## $2 $3")
+    three = F.regexp_replace(c, HEADING_3, "$1### $2 $3")
+    return F.regexp_replace(three, HEADING_2, "$1## $2 $3")
 
 
 def join_hard_breaks(c: Column) -> Column:

@@ -6,10 +6,11 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.shared_files import stored
 
 from .vocabulary import ALIASES, NAMED
 
@@ -74,26 +75,43 @@ def sample_values(table: DataFrame, column: str, order: str, limit: int = 12) ->
     return first.select(F.substring("x.value", 1, 120).alias("value"), "x.first_row").orderBy("first_row").limit(limit)
 
 
-def pattern_shares(samples: DataFrame) -> DataFrame:
-    """One row: the share of the sample values that look like a date, year, age, course code, gender or person."""
-    tests = {"date": T.looks_like_date, "year": T.looks_like_year, "age": T.looks_like_age, "code": T.looks_like_course_code, "gender": T.looks_like_gender, "person": T.looks_like_person}
-    return samples.agg(*[F.avg(test(F.col("value")).cast("double")).alias(name) for name, test in tests.items()])
+#: What a sample value may look like.
+LOOKS = {"date": T.looks_like_date, "year": T.looks_like_year, "age": T.looks_like_age, "code": T.looks_like_course_code, "gender": T.looks_like_gender, "person": T.looks_like_person}
+
+
+def samples_and_statistics(table: DataFrame, columns: list[str], order: str, limit: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(statistics as in ``value_statistics``; column, place, value and what it looks like of the first values of
+    each column).  One pass over the table for all columns: its distinct values are stored, both come from them."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _filled(F.col(T.quote_identifier(c))).alias("value")) for c in columns])
+    cells = table.select(F.col(order).alias("at"), F.explode(pairs).alias("p")).select("at", "p.column", "p.value")
+    cells = cells.withColumn("norm", F.when(F.col("value").isNotNull(), T.normalize_text(F.col("value"))))
+    values = stored(cells.groupBy("column", "norm").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.min(F.struct("at", "value")).alias("first")), "values")
+    statistics = values.groupBy("column").agg(F.sum("n").alias("n"), F.sum("filled").alias("non_empty"), F.count("norm").alias("distinct_values"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("first.at", "norm"))  # each task hands on ``limit`` rows a column
+    samples = values.filter("norm IS NOT NULL").withColumn("place", place).filter(F.col("place") <= limit)
+    samples = samples.select("column", "place", F.substring("first.value", 1, 120).alias("value"))
+    return statistics, samples.select("*", *[F.coalesce(test(F.col("value")), F.lit(False)).alias(name) for name, test in LOOKS.items()])
 
 
 def profile_table(table: DataFrame, order: str = "_row_idx", hidden: tuple[str, ...] = ("_row_idx", "search_text"), names: dict[str, str] | None = None) -> list[ColumnProfile]:
     """Profiles of all columns but the hidden ones; the driver gets a few rows per column."""
     columns = [c for c in table.columns if c not in hidden]
-    stats = {r["column"]: r for r in value_statistics(table, columns).collect()}
+    if not columns:
+        return []
+    statistics, sampled = samples_and_statistics(table, columns, order)
+    stats = {r["column"]: r for r in statistics.collect()}
+    samples: dict[str, list] = {}
+    for r in sampled.orderBy("column", "place").collect():
+        samples.setdefault(r["column"], []).append(r)
     out = []
     for c in columns:
-        kind = sql_type(dict(table.dtypes)[c])
-        samples = sample_values(table, c, order)
+        kind, s, rows = sql_type(dict(table.dtypes)[c]), stats.get(c), samples.get(c, [])
         original = (names or {}).get(c, c)
-        s = stats.get(c)
         ratio = s["non_empty"] / s["n"] if s and s["n"] else 0.0
         unique = s["distinct_values"] / s["non_empty"] if s and s["non_empty"] else 0.0
-        semantic, confidence = _by_name(f"{original} {c}") or _by_values(samples, kind, unique)
-        out.append(ColumnProfile(c, original, kind, semantic, confidence, ALIASES[semantic], [r["value"] for r in samples.collect()], round(ratio, 3), round(unique, 3)))
+        share = {name: sum(r[name] for r in rows) / len(rows) if rows else 0.0 for name in LOOKS}
+        semantic, confidence = _by_name(f"{original} {c}") or _by_values(share, kind, unique)
+        out.append(ColumnProfile(c, original, kind, semantic, confidence, ALIASES[semantic], [r["value"] for r in rows], round(ratio, 3), round(unique, 3)))
     return out
 
 
@@ -107,8 +125,7 @@ def _by_name(name: str) -> tuple[str, float] | None:
     return None
 
 
-def _by_values(samples: DataFrame, kind: str, unique: float) -> tuple[str, float]:
-    share = {k: v or 0.0 for k, v in pattern_shares(samples).first().asDict().items()}
+def _by_values(share: dict[str, float], kind: str, unique: float) -> tuple[str, float]:
     tests = (
         ("date_of_birth", 0.75, share["date"] >= 0.6), ("birth_year", 0.7, share["year"] >= 0.8), ("age", 0.65, kind in NUMERIC and share["age"] >= 0.8),
         ("course_code", 0.7, share["code"] >= 0.5), ("gender", 0.75, share["gender"] >= 0.7), ("person_name", 0.65, unique > 0.7 and share["person"] >= 0.6),

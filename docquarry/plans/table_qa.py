@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as T
 
 from .profile import ColumnProfile, compact, normalize, profile_table
-from .vocabulary import FILTER_WORDS, INTENTS, STOPWORDS
+from .vocabulary import ABOUT, BETWEEN_COMPARED, BETWEEN_PARTS, COMPARED, FILTER_WORDS, GOES_ON, INTENTS, KEYWORD, PART_RULES, STOPWORDS
 
 LIMIT, MAX_TASKS, MAX_FILTERS, MAX_ENTITIES, FUZZY_ROWS, FUZZY = 200, 5, 6, 4, 200, 0.82
 OPS = ("contains", "equals", "gt", "lt", "gte", "lte", "between")
@@ -39,32 +39,40 @@ class Task:
 
 
 def keywords(question: str, more_stopwords: frozenset[str] = frozenset()) -> list[str]:
-    words = re.findall(r"[A-Za-z0-9\u00C0-\u1EF9]+", question.lower())
+    words = re.findall(KEYWORD, question.lower())
     return [w for w in words if w not in STOPWORDS and w not in more_stopwords and not re.fullmatch(r"\d{1,2}", w)]
 
 
+def is_code(word: str) -> bool:
+    return any(c.isdigit() for c in word) and any(c.isascii() and c.isalpha() for c in word)
+
+
 def search_keywords(words: list[str]) -> list[str]:
-    """Words with a letter and a digit are codes; if there are any, only they count."""
-    codes = [w for w in words if re.search(r"[a-zA-Z]", w) and re.search(r"\d", w)]
-    return codes or words
+    """Codes, which mix letters and digits, say more than words: where there are any, only they count."""
+    return list(filter(is_code, words)) or words
 
 
 def intent(question: str) -> str:
     return next((name for name, pattern in INTENTS if re.search(pattern, question, re.I)), "LOOKUP" if keywords(question) else "NONE")
 
 
+def before(text: str, stop: str) -> str:
+    """The text up to where ``stop`` begins, all of it where that is nowhere."""
+    end = re.search(stop, text, re.I)
+    return text[: end.start() if end else len(text)].strip()
+
+
 def lookup_entity(part: str) -> str | None:
-    for about in (r"(?:thông\s*tin\s*về|biết\s*về|nói\s*về|về)\s+(.+)$", r"(?:thong\s*tin\s*ve|biet\s*ve|noi\s*ve|ve)\s+(.+)$"):
-        if found := re.search(about, part, re.I):
-            ends = r"\b(?:và|va|đồng thời|dong thoi|còn|con|ai là|ai la|có bao nhiêu|co bao nhieu)\b"
-            return re.split(ends, found[1], maxsplit=1, flags=re.I)[0].strip() or None
-    return None
+    """What the part asks about, if it asks about something by name."""
+    asked = [m[1] for m in (re.search(about, part, re.I) for about in ABOUT) if m]
+    return (before(asked[0], GOES_ON) or None) if asked else None
 
 
 def compare_entities(question: str) -> tuple[str, ...]:
-    found = re.search(r"(?:so\s*sánh|so\s*sanh)\s+(.+)$", question, re.I)
-    parts = re.split(r"\s+(?:và|va|với|voi)\s+", found[1], flags=re.I) if found else []
-    return tuple(p.strip() for p in parts if p.strip())[:MAX_ENTITIES]
+    """The things that the question wants to see next to each other."""
+    _, *named = re.split(COMPARED, question, maxsplit=1, flags=re.I)
+    every = re.split(BETWEEN_COMPARED, named[0], flags=re.I) if named else []
+    return tuple(filter(None, map(str.strip, every)))[:MAX_ENTITIES]
 
 
 def asks_both_genders(question: str) -> bool:
@@ -73,20 +81,12 @@ def asks_both_genders(question: str) -> bool:
     return counts and bool(re.search(r"\b(nu|female)\b", norm)) and bool(re.search(r"\b(nam|male)\b", norm))
 
 
-#: Task and expression over the normalised part of a question; the first that matches decides.
-PART_RULES = (
-    ("oldest", r"\b(?:lon tuoi nhat|cao tuoi nhat|gia nhat)\b"), ("youngest", r"\b(?:nho tuoi nhat|it tuoi nhat|tre nhat)\b"),
-    ("gender", r"\b(?:nam|nu|male|female)\b"), ("count", r"\b(?:bao nhieu|so luong|dem|may)\b"), ("sum", r"\b(?:tong|cong)\b"),
-    ("avg", r"trung binh"), ("max", r"\b(?:cao nhat|lon nhat|nhieu nhat)\b"), ("min", r"\b(?:thap nhat|it nhat|nho nhat)\b"),
-)
-
-
 def plan_by_rule(question: str) -> list[Task]:
     if "so sanh" in normalize(question) and (entities := compare_entities(question)):
         return [Task("compare", question, entities=entities)]
     both = asks_both_genders(question)
     tasks = []
-    for part in (p.strip() for p in re.split(r"\s+(?:và|va|đồng thời|dong thoi)\s+", question)):
+    for part in (p.strip() for p in re.split(BETWEEN_PARTS, question)):
         if not part:
             continue
         if entity := lookup_entity(part):

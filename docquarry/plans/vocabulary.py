@@ -59,3 +59,25 @@ NAMED = (
     ("department", 0.8, ("khoa", "bomon", "donvi", "phongban", "department"), ()),
     ("gender", 0.95, ("gioitinh", "gender", "sex"), ()),
 )
+#: What a question is about follows one of these; with accents before without.
+ABOUT = (
+    r"(?:thông\s*tin\s*về|biết\s*về|nói\s*về|về)\s+(.+)$",
+    r"(?:thong\s*tin\s*ve|biet\s*ve|noi\s*ve|ve)\s+(.+)$",
+)
+#: Words with which a question goes on to something else.
+GOES_ON = r"\b(?:và|va|đồng thời|dong thoi|còn|con|ai là|ai la|có bao nhiêu|co bao nhieu)\b"
+COMPARED = r"(?:so\s*sánh|so\s*sanh)\s+(.+)$"
+BETWEEN_COMPARED = r"\s+(?:và|va|với|voi)\s+"
+BETWEEN_PARTS = r"\s+(?:và|va|đồng thời|dong thoi)\s+"
+KEYWORD = r"[A-Za-z0-9\u00C0-\u1EF9]+"
+#: Task and expression over the normalised part of a question; the first that matches decides.
+PART_RULES = (
+    ("oldest", r"\b(?:lon tuoi nhat|cao tuoi nhat|gia nhat)\b"),
+    ("youngest", r"\b(?:nho tuoi nhat|it tuoi nhat|tre nhat)\b"),
+    ("gender", r"\b(?:nam|nu|male|female)\b"),
+    ("count", r"\b(?:bao nhieu|so luong|dem|may)\b"),
+    ("sum", r"\b(?:tong|cong)\b"),
+    ("avg", r"trung binh"),
+    ("max", r"\b(?:cao nhat|lon nhat|nhieu nhat)\b"),
+    ("min", r"\b(?:thap nhat|it nhat|nho nhat)\b"),
+)
