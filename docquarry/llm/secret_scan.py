@@ -20,6 +20,8 @@ table gives no rows; very long texts are scanned whole.  Other columns of the in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,23 +50,41 @@ WEAK = (
 ORDER = {k: i for i, k in enumerate(["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"])}
 ROLE = {"assign": "secret", "hex": "secret", "access": "id", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 SCOPE = 256
+HITS = 64
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def spans(text: Column, kind: str, pattern: str, keep: str | None = None) -> Column:
     """Array of (start, rank, kind, end) of the matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
-        end = at + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    # No match, nothing to add up: most texts take this way.
-    all_spans = F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+        one = F.struct(at.alias("start"), (at + x["size"]).alias("end"), x["hit"].alias("hit"))
+        return F.struct((at + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    # Sums are carried on within parts of the hits, and from part to part: adding to one long array would
+    # copy it for each hit.
+    def of_parts(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"]))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        one = lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), one))
+
+    def of_steps(steps: Column) -> Column:
+        return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / HITS).cast("int")), lambda k: F.slice(steps, k * HITS + 1, F.lit(HITS))), of_parts)
+
+    def of_hits(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda p: F.length(p)), F.lit(1), F.size(found))
+        steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"), F.length(m).alias("size")))
+        # No match, nothing to add up: most texts take this way.
+        return F.when(F.size(found) > 0, _let(steps, of_steps)).otherwise(none)
+
+    all_spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_hits)
     if keep:
         all_spans = F.filter(all_spans, lambda s: s["hit"].rlike(keep))
     return F.transform(all_spans, lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER[kind]).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
