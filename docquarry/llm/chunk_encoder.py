@@ -92,6 +92,8 @@ def chunk_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of texts without nulls, and where each text begins and the last one ends."""
+    if pa.types.is_large_string(column.type):
+        column = column.cast(pa.string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docquarry.llm import bpe_duckdb, packing, token_files
 from docquarry.llm.chunk_encoder import encoder
@@ -138,3 +139,35 @@ def _duck(made=[]):  # noqa: B006
     if not made:
         made.append(bpe_duckdb.DuckEncoder(RANKS, P.PATTERN))
     return made[0]
+
+
+SCRIPTS = st.text(alphabet=st.sampled_from(list(" \n\t\r'.,-!?sdtéÜß\u00a0\u2003\u3000\u180e\u0085\u0301日ก١²ªx1")), max_size=40)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(SCRIPTS, min_size=1, max_size=5))
+def test_chunks_of_a_crowded_table_encode_as_whole_texts(batch):
+    """A table of 20 chunks forgets all the time."""
+    small = encoder(TOKENIZER, 20)
+    for _ in range(2):
+        ids, counts = small.encode(batch)
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [reference_ids(t) for t in batch]
+
+
+@pytest.mark.parametrize("word", ["o" * 3000, "ha" * 1500, "-" * 2000, "isaac" * 500, "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(3000)), "日本語" * 400, "ab" * 300 + "a" * 700])
+def test_long_words_equal_tiktoken(word):
+    ids, counts, decoded = _duck().encode_and_decode([word, f"x {word}!"])
+    encoding = tiktoken_encoding()
+    assert ids.tolist() == encoding.encode_ordinary(word) + encoding.encode_ordinary(f"x {word}!")
+    assert decoded == [word.encode(), f"x {word}!".encode()]
+
+
+def test_decoding_of_given_ids(spark):
+    rows = [(1, [15496, 995]), (2, []), (3, None), (3, [220]), (None, [10185, 50000])]
+    frame = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("decoded", F.lit("x"))
+    got = sorted(((r["doc_id"] or 0), bytes(r["decoded"])) for r in bpe_duckdb.decode(frame, RANKS, P.PATTERN).collect())
+    encoding = tiktoken_encoding()
+    assert got == sorted((k or 0, encoding.decode_bytes(ids or [])) for k, ids in rows)
+    with pytest.raises(Exception, match="vocabulary"):
+        bpe_duckdb.decode(spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>"), RANKS, P.PATTERN).collect()
