@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, exact_dedup, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
-from .shared import shared_dir, spread, table
+from . import bpe_duckdb, exact_dedup, filter_audit, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
+from .shared import shared_dir, spread, table, text_of
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -167,10 +167,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(docs, filter_audit.text_failures(text_of()), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f
+        WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails, good, toxic
+      FROM (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+                   coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(f) WHERE NOT contains(filter_order, f)),
+s AS (SELECT filter_order, step::INTEGER AS step, filter_order[step:step] AS f, string_split(filter_order[1:step - 1], '') AS before
+      FROM o, unnest(range(1, 6)) AS u(step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, f,
+             sum(n) FILTER (NOT list_contains(fails, f) AND NOT list_has_any(fails, before)) AS kept,
+             sum(n) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS removed,
+             sum(n) FILTER (list_contains(fails, f) AND list_has_any(fails, before)) AS redundant,
+             sum(n) FILTER (fails = [f]) AS unique_fails,
+             sum(g) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS good_lost,
+             sum(x) FILTER (list_contains(fails, f) AND NOT list_has_any(fails, before)) AS toxic_lost
+      FROM cells CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op6_bpe, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing]
+    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op6_bpe, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing, op11_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_knn_join": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_knn_join": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_filter_audit": OP11_SQL}
