@@ -16,7 +16,7 @@ a product may reach that raise a ValueError.
 Defined results: rows with null identifier, null vector or a null or non-finite component take no
 part; neither do vectors of another length than the most common one.  A query's own rows (same
 identifier) are not its candidates; repeated rows of others are candidates each; a repeated query
-counts once.  Fewer than k candidates give fewer ranks; ties go to the smaller identifier; an empty table
+asks once, with the smallest of its vectors.  Fewer than k candidates give fewer ranks; ties go to the smaller identifier; an empty table
 gives no rows.  Other columns are not read, whatever their names.
 """
 
@@ -37,15 +37,21 @@ CELLS = "vec_id long, v binary, norm double, cell int, r double"
 SLACK = 1e-9
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> tuple[DataFrame, int]:
-    """(vec_id, v as array<double> of whole numbers) of the rows that take part, and their number."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool = True) -> tuple[DataFrame, int, int]:
+    """(vec_id, v as array<double>) of the rows that take part, their number and length; without ``zero`` none that is all zero."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & (F.size("v") > 0))
+    if not zero:
+        rows = rows.filter(F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = common[0]["d"] if common else 0
-    same = rows.filter(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    return same, common[0]["count"] if common else 0
+    dim, n_rows = (common[0]["d"], common[0]["count"]) if common else (0, 0)
+    return rows.filter(F.size("v") == dim), n_rows, dim
+
+
+def smallest_vectors(rows: DataFrame, is_query: Column) -> DataFrame:
+    """(vec_id, v) of the queries; an identifier with several vectors asks with the smallest (compared component by component)."""
+    return rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def number_of_pivots(n_rows: int) -> int:
@@ -147,7 +153,8 @@ def knn_join(
     """
     spark, work = vectors.sparkSession, shared_dir(vectors.sparkSession, "knn-join")
     result = "query_id long, rank int, vec_id long, score long"
-    rows, n_rows = usable(vectors, id_col, vector_col, scale)
+    rows, n_rows, _ = usable(vectors, id_col, vector_col)
+    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots or number_of_pivots(n_rows)).collect()  # so many rows
     if not chosen:
         return spark.createDataFrame([], result)
@@ -166,7 +173,7 @@ def knn_join(
 
     n_blocks = F.element_at(F.array(*[F.lit(int(-(-n // block_rows)) or 1) for n in size]), F.col("cell") + 1)
     data = cells.select("cell", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"), "vec_id", "v")
-    asked = cells.filter(is_query).dropDuplicates(["vec_id"])
+    asked = stored(smallest_vectors(rows, is_query).mapInArrow(_assign(pivots), CELLS), "asked", f"{work}/asked")
     counts = np.zeros(len(pivots), np.int64)
     for s in asked.groupBy("cell").count().collect():  # one row per pivot
         counts[s["cell"]] = s["count"]

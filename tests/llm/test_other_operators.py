@@ -25,6 +25,14 @@ def test_knn_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_knn_of_an_identifier_with_several_vectors(spark):
+    rows = [(50, [2.0, 0.0]), (50, [1.0, 3.0]), (50, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (1, [0.5, 0.5])]
+    want = [(50, 1, 2, 256 * 512), (50, 2, 1, 128 * 256 + 128 * 512), (50, 3, 1, 256 * 256)]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, knn_join.knn_join(frame, F.col("vec_id") % 50 == 0, 5).collect())) == want
+
+
 def test_knn_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in knn_join.knn_join(few, F.col("vec_id") % 50 == 0, 5).collect()] == [(0, 1, 1, 256 * 128)]
