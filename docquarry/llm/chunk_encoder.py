@@ -7,13 +7,18 @@ between other characters.  A batch's texts fall there into chunks whose ids do n
 other.  The cuts are found with array operations over the batch's bytes, Arrow tells the batch's
 distinct chunks, and only those go through Python.
 
+Strings of added tokens (``<|endoftext|>``) become the token's id, as the library does unless told otherwise
+(``special=False``: they are plain text); a text falls there into texts of their own.
+
 A worker keeps the ids of about ``max_chunks`` chunks, as a few flat arrays.  When there are more,
 those that no batch has met since the last time go.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +32,7 @@ MAX_CHUNKS = 600_000
 #: Texts of about so many bytes are worked on together.
 BYTES_AT_ONCE = 4_000_000
 
-_ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple[str, int, bool], "ChunkEncoder"] = {}
 
 OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, FEED, HIGH, MAYBE_SPACE, MAYBE_START = range(10)
 
@@ -117,14 +122,39 @@ def runs(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> "ChunkEncoder":
+def encoder(path: str, max_chunks: int = MAX_CHUNKS, special: bool = True) -> "ChunkEncoder":
     """The encoder of this worker process for the tokenizer file at ``path``."""
-    key = (path, max_chunks)
+    key = (path, max_chunks, special)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, max_chunks)
+        _ENCODERS[key] = ChunkEncoder(path, max_chunks, special)
     return _ENCODERS[key]
 
 
+def added_tokens(path: str) -> list[bytes]:
+    """Strings of the tokens added to a tokenizer file; raises if the file does not tokenize as this module assumes."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    before, model, added = parts["pre_tokenizer"] or {}, parts["model"], parts["added_tokens"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not parts["normalizer"]
+    plain = plain and model["type"] == "BPE" and not any(model.get(c) for c in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    odd = [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])]
+    if not plain or odd:
+        raise ValueError(f"{path}: only byte-level BPE with the library's own pattern, without normalizer, and with added tokens that match as they stand")
+    return [t["content"].encode() for t in added]
+
+
+def occurrences(data: np.ndarray, bounds: np.ndarray, pattern: re.Pattern[bytes]) -> tuple[list[int], list[int]]:
+    """Where matches of ``pattern`` begin and end, none of them across the end of a text."""
+    raw, begins, ends, at = data.tobytes(), [], [], 0
+    while hit := pattern.search(raw, at):
+        stop = int(bounds[np.searchsorted(bounds, hit.start(), "right")])
+        if hit := pattern.search(raw, hit.start(), stop):
+            begins.append(hit.start())
+            ends.append(hit.end())
+        at = hit.end() if hit else stop
+    return begins, ends
+
+
 def largest_id(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -143,6 +173,10 @@ class ChunkTable:
         """The ids of all keys, in order, and the number of each key's."""
         raise NotImplementedError
 
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where chunks begin."""
+        return chunk_starts(data, bounds[:-1][np.diff(bounds) > 0])
+
     def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The place in the table of each chunk; new ones are learned."""
         keys, index = distinct(data, starts)
@@ -175,7 +209,7 @@ class ChunkTable:
     def encode(self, column: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
         data, bounds = bytes_of(pa.array(column, pa.string()) if isinstance(column, list) else column)
-        starts = chunk_starts(data, bounds[:-1][np.diff(bounds) > 0])
+        starts = self.starts(data, bounds)
         place = self.places(data, starts)
         n_ids = self.count[place]
         ids = self.pool[runs(self.at[place], n_ids)]
@@ -186,28 +220,49 @@ class ChunkTable:
 
 
 class ChunkEncoder(ChunkTable):
-    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS) -> None:
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, special: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__(max_chunks)
+        added = added_tokens(path)
+        self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if special and added else None
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Each character of a token's name stands for one byte.
+        #: Each character of a token's name stands for one byte; added tokens stand for themselves.
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
-            self.n_bytes[i] = len(token)
+            self.n_bytes[i] = len(token.encode()) if token.encode() in added else len(token)
 
         # A single match of the pattern needs no pattern: line feeds part such words, their bytes named as in tokens.
         self.parted = Tokenizer.from_file(path)
-        self.parted.encode_special_tokens = True
+        self.parted.encode_special_tokens = not special
         self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.named = np.zeros(256, np.uint32)
         self.named[[i for i in range(256) if i not in shown]] = 0x100 + np.arange(256 - len(shown))
         self.named[shown] = shown
 
+    def starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        texts = bounds[:-1][np.diff(bounds) > 0]
+        begins, ends = occurrences(data, bounds, self.special) if self.special else ([], [])
+        if not begins:
+            return chunk_starts(data, texts)
+        begins, ends = np.array(begins), np.array(ends)
+        found = chunk_starts(data, np.unique(np.concatenate([texts, begins, ends[ends < len(data)]])))
+        inside = found > begins[np.maximum(np.searchsorted(begins, found, "right") - 1, 0)]
+        inside &= found < ends[np.maximum(np.searchsorted(begins, found, "right") - 1, 0)]
+        return found[~inside]
+
+    def spelled(self) -> list[bytes]:
+        """The bytes of each id, by id."""
+        byte = {chr(c): b for b, c in enumerate(self.named.tolist())}
+        out = [b""] * len(self.n_bytes)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        return out
+
     def encode_chunks(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Single words, then chunks that may follow one another (each kind as one text), then all others."""
         data = np.frombuffer(b"".join(keys), np.uint8)

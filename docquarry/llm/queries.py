@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, collision_search, exact_dedup, filter_audit, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_files, url_filter
+from . import bpe_duckdb, collision_search, exact_dedup, filter_audit, html_main, knn_join, language_id, ngram_join, packing, secret_scan, token_alignment, token_files, url_filter
 from .shared import shared_dir, spread, table, text_of
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +204,12 @@ def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op6_bpe, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing, op11_filter_audit, op12_collision_search]
+    found = [op1_token_files, op2_language_id, op3_knn_join, op4_exact_dedup, op5_html_main, op6_bpe, op7_ngram_join, op8_secret_scan, op9_url_filter, op10_packing, op11_filter_audit, op12_collision_search, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 

@@ -64,7 +64,6 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     from tokenizers import Tokenizer
 
     code = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    code.encode_special_tokens = True
     pieces = {}
     for r in docs.collect():
         pieces.setdefault(r["doc_id"], []).append(r)

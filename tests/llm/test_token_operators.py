@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docquarry.llm import bpe_duckdb, packing, token_files
 from docquarry.llm.chunk_encoder import encoder
@@ -15,21 +16,38 @@ from .cases import documents, texts
 TOKENIZER, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 
 
+FRESH = Tokenizer.from_file(TOKENIZER)
+
+
 def reference_ids(text):
-    return encoder(TOKENIZER).tokenizer.encode(text or "", add_special_tokens=False).ids
+    """As the library does it, special tokens' strings included."""
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 ODD = st.text(alphabet=st.sampled_from(list(" \n\tab'sé😀1.,!")), max_size=30)
+SPECIAL = st.lists(ODD | st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<", "|>", " ", "word"]), max_size=8).map("".join)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(ODD, min_size=1, max_size=6))
+@given(st.lists(ODD | SPECIAL, min_size=1, max_size=6))
 def test_chunks_encode_as_whole_texts(batch):
     ids, counts = encoder(TOKENIZER).encode(batch)
     ends = np.cumsum(counts)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [reference_ids(t) for t in batch]
 
 
+def test_special_tokens():
+    assert encoder(TOKENIZER).encode(["a <|endoftext|> b", "x<|endof", "text|>"])[0].tolist()[:4] == [64, 220, 50256, 275]
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = True
+    assert encoder(TOKENIZER, special=False).encode(["a <|endoftext|> b"])[0].tolist() == plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        encoder(P.path("word_bpe_49k.json"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=400), st.integers(6, 20))
 def test_huffman_round_trip(ids, max_bits):
