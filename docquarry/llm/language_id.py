@@ -15,6 +15,9 @@ Training reads only text and language of labelled rows with a letter.  Bounds, b
 characters before shorter and longer ones) and ``train_chars`` symbols a language, reached with whole
 rows; only of a longer row no more than that is taken.  So every labelled language is learned.
 
+Rows with one identifier and one text are learned once, rows without identifier like others (by a hash of
+their text), however many they are: the bounds hold for any identifiers.
+
 Defined results: ``und`` with score 0 where the text is null, has no letter or no language could be
 learned; ties go to the language whose name sorts first; repeated rows get a row each; an empty table
 gives no rows; very long texts are parsed whole.  Other columns are not read; ``keep_identified`` keeps
@@ -25,6 +28,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -214,17 +219,17 @@ def training_rows(
 
     Runs of other characters than letters, which are one symbol, become one space before a text is cut.
     """
-    key, lang, text = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    key, lang, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     fit = docs.filter(usable & lang.isNotNull() & text.rlike(f"[{_LETTER}]"))
-    odd = ~F.length(text).between(*prefer_lengths)
-    order = Window.partitionBy("lang").orderBy("odd", "hash", "key")
-    slim = fit.select(lang.alias("lang"), odd.alias("odd"), key.alias("key"), F.xxhash64(key).alias("hash"))
-    ranked = slim.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_rows)
-    keys = [r["key"] for r in ranked.select("key").collect()]  # bounded: train_rows a language
-    if not keys:
-        return {}
     cut = F.substring(F.regexp_replace(text, f"[^{_LETTER}]+", " "), 1, train_chars)
-    rows = fit.filter(key.isin(keys)).select(lang.alias("lang"), odd.alias("odd"), cut.alias("text"), F.xxhash64(key).alias("hash")).collect()
+    names = {"lang": lang, "odd": ~F.length(text).between(*prefer_lengths), "hash": F.xxhash64(F.col(f"`{id_col}`")), "key": key, "text_hash": F.xxhash64(text)}
+    slim = fit.select(*[c.alias(name) for name, c in names.items()]).distinct()  # copies of a row count once
+    order = Window.partitionBy("lang").orderBy("odd", "hash", "key", "text_hash")
+    chosen = slim.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_rows).drop("rank")
+    rows = fit.select(*[c.alias(name) for name, c in names.items()], cut.alias("text"))
+    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in names])
+    picked = rows.alias("r").join(F.broadcast(chosen).alias("c"), same, "left_semi")  # train_rows a language
+    rows = picked.groupBy(*names).agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["odd"], r["hash"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])

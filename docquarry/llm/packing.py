@@ -108,6 +108,8 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, max_chunks: int):
         before = np.cumsum(length) - length
         offset = before - before[np.searchsorted(sequence, sequence)]
         data = ids[runs(doc_at[row] + start, length)].tobytes()
+        if len(data) >= 1 << 31:
+            raise ValueError(f"a group of documents has {len(data) // 4} ids, 2**29 at most: a text is too long, or group_bytes too large")
         ends = pa.py_buffer(np.append(before, len(data) // 4).astype(np.int32) * 4)
         columns = [
             table.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(length),
@@ -125,11 +127,13 @@ def pack(
 ) -> DataFrame:
     """One row per piece with its ids (little-endian unsigned 32-bit), sequence and offset there.
 
-    ``max_chunks`` bounds the table of encoded chunks that each worker keeps.
+    ``docs`` is a stored table (rows are dealt by their place in it, too).  ``max_chunks`` bounds the table of encoded chunks that each worker keeps.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n_groups = max(1, -(-n_bytes // group_bytes))
     row_key = F.xxhash64("doc_id", "text", F.lit(seed))
-    dealt = rows.select(F.pmod(row_key, F.lit(n_groups)).cast("int").alias("pack_group"), "doc_id", row_key.alias("row_key"), "text")
+    # The place keeps copies of a row apart; it is the same again when a lost task reads its part of a stored table again.
+    group = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed), F.monotonically_increasing_id()), F.lit(n_groups)).cast("int")
+    dealt = rows.select(group.alias("pack_group"), "doc_id", row_key.alias("row_key"), "text")
     return dealt.groupBy("pack_group").applyInArrow(_pack(tokenizer_path, end_id, capacity, max_chunks), PIECES)

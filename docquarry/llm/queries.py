@@ -129,8 +129,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("template_rejected")
 
 
-def _rule_sql(column: int) -> str:
-    cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(v, r)[column]}'" for v, r, h, p in url_filter.by_length(URL_RULES)]
+def _rule_sql(column: int, rules: list[url_filter.Rule] = URL_RULES) -> str:
+    cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(v, r)[column]}'" for v, r, h, p in url_filter.by_length(rules)]
     return "CASE " + " ".join(cases) + " END"
 
 

@@ -221,7 +221,9 @@ def write_token_files(
     """
     spark = docs.sparkSession
     width = "<u2" if max(end_id or 0, largest_id(tokenizer_path)) < 1 << 16 else "<u4"
-    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    # Rows that share an identifier are parted by the beginning of their text, equal rows by their place in ``docs``, a stored table.
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
     plain = stored(ordered.mapInArrow(_plain_blocks(tokenizer_path, end_id, block_ids, width), PLAIN), "token-ids")
     counts = plain.select("ids").mapInArrow(_count(width), "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
     # One row per symbol of the vocabulary at most.

@@ -11,6 +11,9 @@ counted and judged together.  A path's template keeps the branches that stand fo
 smoothed share of blocked among its labelled pages, (blocked + 1) / (labelled + 2), exceeds ``reject``.
 Labelled pages are those that a rule decides.
 
+Nodes whose labelled pages have one verdict are settled with all that lies below in one pass, whatever the depth; a
+round a level is needed only below nodes with blocked and allowed pages.
+
 Counting works on (host, generalised path) with partial sums per task, so a host with a third of
 all pages is as small as its distinct paths.  Only rejected paths are joined back to pages.
 
@@ -78,35 +81,85 @@ def _same_first(lo: Column, hi: Column) -> Column:
     return F.aggregate(F.zip_with(lo, hi, lambda x, y: F.coalesce(x == y, F.lit(False))), start, step, lambda acc: acc["n"])
 
 
-def templates(pages: DataFrame, z: float) -> DataFrame:
-    """host, raw, template, labelled, blocked of each distinct (host, generalised path).
+NODE, PURE, MIXED = ["host", "template"], "all_lab > 0 AND (all_bad = 0 OR all_bad = all_lab)", "all_bad > 0 AND all_bad < all_lab"
+
 
-    The tree is built from the root: at each node all paths move on over the segments that they share,
-    then the branches are judged, and those that became wildcards go on as one node.
+def rejections(pages: DataFrame, z: float, reject: float) -> DataFrame:
+    """(host, raw) of the distinct (host, generalised path) for which the verdict is not ``_unknown(reject)``.
+
+    The tree is built from the root, and only where it can matter: in hosts with pages with and without labels.
+    Below a node without labels every template is unknown.  Below a node whose labelled pages are all blocked, or all
+    allowed, branches with labels always become one, so ``_below_pure`` settles all levels at once.  Only
+    nodes with blocked and allowed pages take a round a level.
     """
-    work, step = shared_dir(pages.sparkSession, "templates"), 0
-    paths = pages.groupBy("host", "raw").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    active = stored(paths.select("*", F.lit("").alias("template"), F.col("raw").alias("rest")), "paths", f"{work}/active-0")
-    done = []
+    work, step, found = shared_dir(pages.sparkSession, "templates"), 0, []
+    counts = [F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict").isNull()).alias("open")]
+    paths = stored(pages.groupBy("host", "raw").agg(*counts), "paths", f"{work}/paths")
+    hosts = paths.groupBy("host").agg(F.sum("labelled").alias("all_lab"), F.sum("open").alias("all_open")).filter("all_lab > 0 AND all_open > 0")
+    active = paths.join(stored(hosts.select("host"), "hosts", f"{work}/hosts"), "host", "left_semi")
+    active = stored(active.select("host", "raw", "labelled", "blocked", F.lit("").alias("template"), F.col("raw").alias("rest")), "active", f"{work}/active-0")
     while not active.isEmpty():
         step += 1
-        ends = active.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
-        ends = stored(ends.select("host", "template", _same_first(F.col("lo"), F.col("hi")).alias("n")), "ends", f"{work}/ends-{step}")
-        shared = F.concat(F.col("template"), F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("n")), lambda s: F.concat(F.lit("/"), s)), ""))
-        rest = F.slice("rest", F.col("n") + 1, F.size("rest"))
-        moved = active.join(ends, ["host", "template"]).select("host", "raw", "labelled", "blocked", shared.alias("template"), rest.alias("rest"))
-        moved = stored(moved.withColumn("segment", F.get("rest", F.lit(0))), "moved", f"{work}/moved-{step}")
-        done.append(moved.filter("segment IS NULL").select("host", "raw", "template", "labelled", "blocked"))
-        branch = moved.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
-        branch = stored(branch, "branch", f"{work}/branch-{step}")
-        node = branch.groupBy("host", "template").agg(F.count("*").alias("n_children"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
-        judged = branch.join(node, ["host", "template"]).select("host", "template", "segment", F.when(_wild(z), F.lit("*")).otherwise(F.col("segment")).alias("shown"))
-        judged = stored(judged, "judged", f"{work}/judged-{step}")
-        further = moved.join(judged, ["host", "template", "segment"]).select(
-            "host", "raw", "labelled", "blocked", F.concat_ws("/", "template", "shown").alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")
-        )
-        active = stored(further, "paths", f"{work}/active-{step}")
-    return reduce(DataFrame.unionByName, done, active.select("host", "raw", "template", "labelled", "blocked"))
+        nodes = stored(active.groupBy(*NODE).agg(F.sum("labelled").alias("all_lab"), F.sum("blocked").alias("all_bad")), "nodes", f"{work}/nodes-{step}")
+        below = lambda condition: active.join(nodes.filter(condition).select(*NODE), NODE, "left_semi")  # noqa: B023, E731
+        if not nodes.filter(PURE).isEmpty():
+            found.append(_below_pure(below(PURE), reject, f"{work}/pure-{step}"))
+        if nodes.filter(MIXED).isEmpty():
+            break
+        ended, active = _one_level(below(MIXED), z, f"{work}/mixed-{step}")
+        known = ended.groupBy(*NODE).agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad")).filter(_rejected(reject) != _unknown(reject))
+        found.append(ended.join(known.select(*NODE), NODE, "left_semi").select("host", "raw"))
+    return reduce(DataFrame.unionByName, found, active.limit(0).select("host", "raw"))
+
+
+def _rejected(reject: float) -> Column:
+    """Whether a template with ``lab`` labelled pages, ``bad`` of them blocked, is rejected."""
+    return (F.col("bad") + 1) / (F.col("lab") + 2) > reject
+
+
+def _unknown(reject: float) -> bool:
+    """The same of a template without labelled pages."""
+    return 1 / 2 > reject
+
+
+def _below_pure(active: DataFrame, reject: float, path: str) -> DataFrame:
+    """(host, raw) with another verdict than ``_unknown``, below nodes whose labelled pages have one verdict.
+
+    Two branches with labels have equal shares and become the wildcard, so each level has one branch with
+    labels.  A path stays on it as long as its segments are among those of labelled paths at their depth (or is the
+    wildcard's own name, where there is one), and is judged with the labelled paths that end where it ends.
+    """
+    sized = active.withColumn("n_segments", F.size("rest"))
+    labelled = sized.filter("labelled > 0")
+    ends = labelled.groupBy(*NODE, "n_segments").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad")).filter(_rejected(reject) != _unknown(reject))
+    ends = stored(ends.select(*NODE, "n_segments"), "ends", f"{path}-ends")
+    at = labelled.select(*NODE, F.posexplode("rest").alias("depth", "segment")).distinct()
+    several = at.groupBy(*NODE, "depth").count().filter("count > 1").select(*NODE, "depth", F.lit("*").alias("segment"))
+    known = stored(at.unionByName(several).distinct(), "known", f"{path}-known")
+    wanted = sized.join(ends, [*NODE, "n_segments"], "left_semi")
+    wanted = stored(wanted.withColumn("path_id", F.unhex(F.sha2(F.concat_ws("/", F.col("host"), "raw"), 256))), "wanted", f"{path}-wanted")
+    each = wanted.filter("labelled = 0").select(*NODE, "path_id", F.posexplode("rest").alias("depth", "segment"))
+    lost = stored(each.join(known, [*NODE, "depth", "segment"], "left_anti").select("path_id").distinct(), "lost", f"{path}-lost")
+    return wanted.join(lost, "path_id", "left_anti").select("host", "raw")
+
+
+def _one_level(active: DataFrame, z: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """Paths that end and paths that go on: each node's paths move on over the segments that they share, then its branches are judged."""
+    ends = active.groupBy(*NODE).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    ends = stored(ends.select(*NODE, _same_first(F.col("lo"), F.col("hi")).alias("n")), "ends", f"{path}-ends")
+    shared = F.concat(F.col("template"), F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("n")), lambda s: F.concat(F.lit("/"), s)), ""))
+    rest = F.slice("rest", F.col("n") + 1, F.size("rest"))
+    moved = active.join(ends, NODE).select("host", "raw", "labelled", "blocked", shared.alias("template"), rest.alias("rest"))
+    moved = stored(moved.withColumn("segment", F.get("rest", F.lit(0))), "moved", f"{path}-moved")
+    branch = moved.filter("segment IS NOT NULL").groupBy(*NODE, "segment").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
+    branch = stored(branch, "branch", f"{path}-branch")
+    node = branch.groupBy(*NODE).agg(F.count("*").alias("n_children"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+    judged = branch.join(node, NODE).select(*NODE, "segment", F.when(_wild(z), F.lit("*")).otherwise(F.col("segment")).alias("shown"))
+    judged = stored(judged, "judged", f"{path}-judged")
+    further = moved.join(judged, [*NODE, "segment"]).select(
+        "host", "raw", "labelled", "blocked", F.concat_ws("/", "template", "shown").alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")
+    )
+    return moved.filter("segment IS NULL").select("host", "raw", "template", "labelled", "blocked"), stored(further, "further", f"{path}-further")
 
 
 def _wild(z: float) -> Column:
@@ -125,17 +178,18 @@ def judge_urls(
     pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url",
     z: float = Z, reject: float = REJECT,
 ) -> DataFrame:
-    """One row per row: page_id, host, path, rule (null if none fits), verdict, template_rejected."""
+    """One row per row: page_id, host, path, rule (null if none fits), verdict, template_rejected.
+
+    ``template_rejected`` is told for hosts with pages that no rule decides; elsewhere it is as without labels.
+    """
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     found = rows.withColumn("found", match_rule(rules, F.col("host"), F.col("path")))
     found = found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), generalised(F.col("path")).alias("raw"))
-    trees = stored(templates(found, z), "url-templates")
-    bad = trees.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).filter((F.col("b") + 1) / (F.col("n") + 2) > reject)
-    rejected = stored(trees.join(bad, ["host", "template"], "left_semi").select("host", "raw", F.lit(True).alias("rejected")), "url-rejected")
-    judged = found.join(rejected, ["host", "raw"], "left")
+    other = stored(rejections(found, z, reject).withColumn("rejected", F.lit(not _unknown(reject))), "url-rejected")
+    judged = found.join(other, ["host", "raw"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(_unknown(reject))))
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("rejected", F.lit(False)).alias("template_rejected"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.col("rejected").alias("template_rejected"))
 
 
 def keep_allowed(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", id_col: str = "page_id", **options) -> DataFrame:

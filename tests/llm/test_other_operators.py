@@ -253,3 +253,45 @@ def test_filters_keep_columns_of_any_name(spark):
     frame = frame.withColumns({c: F.lit(1) for c in ("_host", "_path", "host", "path", "rule", "verdict", "raw")})
     kept = url_filter.keep_allowed(frame, queries.URL_RULES)
     assert kept.columns == frame.columns and [r["page_id"] for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("piece", ["<p x=", "<a ", "<!x", "</", "<?x", "<a", '<p x="a>" ', "<p x=\"<p y='", "<p x='\"", "<script></script ", "<textarea>", "<button></x>", "<td><div>", "<p a", "= "])
+def test_reading_takes_time_that_grows_with_the_length(piece):
+    """A square of the length would be minutes."""
+    import time
+
+    for page in (piece * (1_000_000 // len(piece)), piece * (500_000 // len(piece)) + ">" + "</ul></b></button></textarea>" * 20_000, "<table><td>" + "<div>" * 20_000 + piece * 20_000):
+        start = time.process_time()
+        dom.read(page)
+        assert time.process_time() - start < 8
+
+
+def test_deep_url_traps_take_few_rounds(spark):
+    """Each level has a page and a further level; labelled ones are blocked at every level."""
+    import time
+
+    trap = [f"http://example.com/de/{'a/' * d}b{d}" for d in range(400)] + [f"http://example.com/xx/{'a/' * d}b{d}" for d in range(400)] + ["http://q.org/" + "c/" * 400, "http://q.org/fr/x"]
+    frame = spark.createDataFrame(list(enumerate(trap)), "page_id long, url string")
+    start = time.time()
+    got = [r["verdict"] for r in url_filter.judge_urls(frame, queries.URL_RULES).orderBy("page_id").collect()]
+    assert got == ["block"] * 400 + ["allow"] * 402 and time.time() - start < 60
+
+
+@pytest.mark.parametrize("reject", [0.8, 0.4, 0.3])
+def test_url_trees_with_mixed_labels_against_sql(spark, reject):
+    """Blocked and allowed pages below the same nodes, merged ones included."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    urls = ["/".join(["http://h.com", *(str(rng.choice(["u", "v", "w", "*", "x1", "x2"])) for _ in range(rng.integers(0, 6)))]) for _ in range(400)]
+    urls += [f"http://g.com/{a}/{b}/{c}" for a in ("p", "q") for b in "klmn" for c in ("one", "two", "three")]
+    rules = [("block", "h.com/u/v/"), ("block", "h.com/v/u/"), ("allow", "h.com/u/x1/"), ("allow", "h.com/v/w/"), ("block", "h.com/x1/"), ("allow", "h.com/x1/u/")]
+    rules += [("block", f"g.com/{a}/{b}/one") for a in ("p", "q") for b in "klm"] + [("allow", f"g.com/{a}/{b}/two") for a in ("p", "q") for b in "klm"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = frame.toPandas()  # noqa: F841
+    sql = queries.OP9_SQL.replace(f"> {url_filter.REJECT})", f"> {reject})")
+    for column in (0, 1):
+        sql = sql.replace(queries._rule_sql(column), queries._rule_sql(column, rules))
+    want = sorted(map(str, duckdb.sql(sql).fetchall()))
+    got = url_filter.judge_urls(frame, rules, reject=reject).drop("template_rejected").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
