@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import ids
 from docquarry.functions import text as T
-from docquarry.operators import chunking, evaluate, metadata, mutate, retrieval
+from docquarry.operators import chunking, evaluate, index, metadata, mutate, retrieval, versioned
 from docquarry.plans import profile, table_qa
-from docquarry.shared_files import spread
+from docquarry.shared_files import shared_dir, spread, stored
 from docquarry.sources import files, html, tabular
 from docquarry.streaming import jobs
 
@@ -91,6 +91,28 @@ def bm25_topk(spark, sf_dir):
     return retrieval.lexical_topk(_t(spark, sf_dir, "documents"), TERMS, 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH {_BM25}, t AS (SELECT item_id AS question_id, unnest({_WORDS}) AS term FROM benchmark), a AS (SELECT question_id, term, count(*) AS times FROM t GROUP BY ALL),
+s AS (SELECT question_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM a JOIN p USING (term) JOIN f USING (term), l GROUP BY ALL)
+SELECT question_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
+def bm25_batch(spark, sf_dir):
+    """Every benchmark item is a question to a stored index of the documents."""
+    path = index.build_index(_t(spark, sf_dir, "documents"), shared_dir(spark, "index"))
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), T.tokenize(F.col("text")).alias("terms"))
+    return index.bm25_many(spark, path, questions, 5).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.id AS question_id, v.id, round(list_cosine_similarity(q.v, v.v), 12) AS score FROM v AS q, v WHERE q.id % 50 = 0)
+SELECT question_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5""")
+def dense_batch(spark, sf_dir):
+    """Every vector whose identifier is divisible by 50 is a question to all vectors."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    questions = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_many(vectors, questions, 5).withColumn("score", F.round("score", 6))
+
+
 @query(f"""
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
   SELECT doc_id AS id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'of', 'and')))::DOUBLE AS score FROM documents) WHERE score > 0 QUALIFY rank <= 10""")
@@ -251,17 +273,12 @@ def scope_join_chain(spark, sf_dir):
     return chain.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("""
-SELECT r_regionkey AS user_id, count(DISTINCT n_nationkey) AS n_notebooks, count(c_custkey) AS n_documents
-FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("SELECT o_custkey AS user_id, count(DISTINCT o_orderstatus) AS n_notebooks, count(*) AS n_documents FROM orders GROUP BY 1")
 def library_tree_counts(spark, sf_dir):
-    users = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("user_id"))
-    nation = _t(spark, sf_dir, "nation")
-    notebooks = nation.select(F.col("n_regionkey").alias("user_id"), F.col("n_nationkey").alias("notebook_id"), F.col("n_name").alias("title"))
-    documents = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("n_regionkey").alias("user_id"), F.col("n_nationkey").alias("notebook_id"), F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename")
-    )
-    return metadata.tree_counts(metadata.tree_nodes(users, notebooks, documents))
+    """Customers with a notebook for each status; that of status P is not listed, so its orders are unfiled."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.ascii("o_orderstatus").alias("notebook_id"), F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("filename"), "o_orderstatus")
+    notebooks = orders.filter("o_orderstatus <> 'P'").select("user_id", "notebook_id", F.col("o_orderstatus").alias("title")).distinct()
+    return metadata.tree_counts(metadata.tree_nodes(orders.select("user_id").distinct(), notebooks, orders.drop("o_orderstatus")))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS batch FROM orders")
@@ -620,6 +637,22 @@ def version_replace(spark, sf_dir):
     return mutate.replace_versions(old, new).select(F.col("document_id").alias("doc_id"), "state")
 
 
+@query("""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, n_chars FROM documents), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+SELECT doc_id::VARCHAR AS document_id, 'v1' AS pipeline_version, CASE WHEN doc_id IN (FROM toxic) THEN 'new' ELSE lang END AS state, n_chars FROM t
+UNION ALL SELECT doc_id::VARCHAR, 'v2', lang, n_chars FROM t WHERE doc_id NOT IN (FROM poor)""")
+def versioned_replace(spark, sf_dir):
+    """Two versions of all documents in a table by bucket and version; one version of the toxic ones is replaced, another of the poor ones deleted."""
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels").withColumn("document_id", F.col("doc_id").cast("string"))
+    first = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("v1").alias("pipeline_version"), F.coalesce("lang", F.lit("")).alias("state"), "n_chars")
+    path = shared_dir(spark, "versions")
+    versioned.create(first.unionByName(first.withColumn("pipeline_version", F.lit("v2"))), path, n_buckets=32)
+    new = first.join(labels.filter("toxic = 1").select("document_id").distinct(), "document_id", "left_semi").withColumn("state", F.lit("new"))
+    versioned.replace_versions(spark, path, new)
+    versioned.delete_versions(spark, path, labels.filter("quality = 0").select("document_id", F.lit("v2").alias("pipeline_version")).distinct())
+    return versioned.read(spark, path)
+
+
 @query("SELECT count(*) AS customers, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)) AS orders FROM customer WHERE c_nationkey >= 5")
 def cascade_delete(spark, sf_dir):
     tables = {"customer": _t(spark, sf_dir, "customer"), "orders": _t(spark, sf_dir, "orders")}
@@ -655,6 +688,27 @@ def token_stream(spark, sf_dir):
     return jobs.token_events(_t(spark, sf_dir, "conversations")).groupBy("conv_id", "turn").agg(F.count("*").alias("n_events"))
 
 
+_STAGE = {"view": "parsing", "click": "chunking", "signup": "embedding", "purchase": "indexing"}
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'view' THEN 30 WHEN 'click' THEN 65 WHEN 'signup' THEN 80 WHEN 'purchase' THEN 94 ELSE 0 END AS reached FROM events),
+g AS (SELECT *, sum(CASE WHEN gap >= 28800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS part FROM (
+  SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM e)),
+s AS (SELECT user_id AS job_id, max(reached)::INTEGER AS progress, count(*) AS n_events, max(ms) + 28800000 AS silent_at FROM g GROUP BY user_id, part)
+SELECT * FROM s WHERE silent_at <= (SELECT max(ms) FROM e)""")
+def stalled_jobs(spark, sf_dir):
+    """A stream of events by user as a job's; a row for each time that one is silent for eight hours."""
+    kinds = F.create_map(*[F.lit(x) for pair in _STAGE.items() for x in pair])
+    work = shared_dir(spark, "stalled-jobs")
+    landed = stored(_t(spark, sf_dir, "events"), "events", f"{work}/in")
+    events = spark.readStream.schema(landed.schema).parquet(f"{work}/in").select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("running").alias("status"), F.coalesce(kinds[F.col("event_type")], F.lit("none")).alias("stage"), F.lit(0.5).alias("ratio"), F.lit(False).alias("start"))
+    write = lambda batch, n: batch.filter("kind = 'stalled'").write.mode("overwrite").parquet(f"{work}/out/batch={n}")
+    with jobs.rocks_db(spark):
+        jobs.watch_jobs(events, 8 * 3600).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.WATCHED).parquet(f"{work}/out").select("job_id", "progress", "n_events", F.unix_millis("at").alias("silent_at"))
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_events(spark, sf_dir):
     counts = jobs.windowed_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

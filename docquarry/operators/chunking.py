@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.ids import uuid5
@@ -32,7 +33,7 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     else:
         parts = list(text)
     out: list[str] = []
-    window: list[str] = []
+    window: deque[str] = deque()
     length = 0
 
     def emit() -> None:
@@ -43,13 +44,13 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     for part in parts:
         if len(part) > size:
             emit()
-            window, length = [], 0
+            window, length = deque(), 0
             out += split_text(part, size, overlap, separators[at + 1 :])
             continue
         if length + len(part) > size:
             emit()
             while window and (length > overlap or length + len(part) > size):
-                length -= len(window.pop(0))
+                length -= len(window.popleft())
         window.append(part)
         length += len(part)
     emit()
@@ -66,6 +67,19 @@ def splitter(size: int, overlap: int):
     return run
 
 
+@F.udtf(returnType="position int, piece string")
+class SplitChunks:
+    """A row for each piece of a text, for SQL: ``FROM docs, LATERAL split_chunks(text, 500, 100)``."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_text(text or "", size, overlap))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``split_chunks`` known to the session's SQL."""
+    spark.udtf.register("split_chunks", SplitChunks)
+
+
 def split_headings(markdown: str) -> list[tuple[str, dict[str, str]]]:
     """(text, heading chain) of the sections under each heading; headings stay in the text.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.ids import uuid5
+from docquarry.operators.metadata import latest_per_group
 
 
 def swap_in(table: DataFrame, path: str) -> None:
@@ -27,11 +28,17 @@ def swap_in(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(f"{path}.new")
     fs.delete(old, True)
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
+        _moved(fs, target, old)
+    _moved(fs, new, target)
     fs.delete(old, True)
 
 
+def _moved(fs, source, target) -> None:
+    """Some file systems only say no."""
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def recover(spark: SparkSession, path: str) -> bool:
     """Finish a ``swap_in`` that ended between its moves; whether there was one."""
     jvm = spark._jvm
@@ -40,7 +47,7 @@ def recover(spark: SparkSession, path: str) -> bool:
     whole = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.new/_SUCCESS"))
     if fs.exists(target) or not (whole or fs.exists(old)):
         return False
-    fs.rename(new if whole else old, target)
+    _moved(fs, new if whole else old, target)
     fs.delete(old, True)
     return True
 
@@ -83,9 +90,11 @@ def delete_document(rows: DataFrame, document_id) -> DataFrame:
 def replace_document(documents: DataFrame, jobs: DataFrame, chunks: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New contents under the same identifiers: (documents, jobs, chunks).
 
-    ``uploads`` has document_id, filename, content_hash and job_id.  Identifier and object key stay, a mark of
+    ``uploads`` has document_id, filename, content_hash and job_id; of several for one document the one with the
+    largest job_id counts.  Identifier and object key stay, a mark of
     deletion goes; each gets a queued job; chunks of the old content go.
     """
+    uploads = latest_per_group(uploads, ["document_id"], F.desc("job_id"))
     fresh = uploads.select("document_id", F.col("filename").alias("new_name"), F.col("content_hash").alias("new_hash"))
     joined = documents.join(fresh, "document_id", "left")
     hit = F.col("new_hash").isNotNull()
@@ -164,8 +173,10 @@ def rename_file(documents: DataFrame, document_id: str, name: str) -> DataFrame:
 
 
 def new_contents(uploads: DataFrame, documents: DataFrame) -> DataFrame:
-    """Uploads whose content hash the notebook does not have yet."""
-    return uploads.withColumn("content_hash", F.sha2("content", 256)).join(documents.filter("deleted_at IS NULL"), ["notebook_id", "content_hash"], "left_anti")
+    """Uploads whose content hash the notebook does not have yet; of equal ones of one call the one with the smallest name."""
+    hashed = uploads.withColumn("content_hash", F.sha2("content", 256))
+    fresh = hashed.join(documents.filter("deleted_at IS NULL"), ["notebook_id", "content_hash"], "left_anti")
+    return latest_per_group(fresh, ["notebook_id", "content_hash"], F.col("filename")) if "filename" in uploads.columns else fresh.dropDuplicates(["notebook_id", "content_hash"])
 
 
 def unique_insert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:

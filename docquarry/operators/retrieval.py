@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,64 @@ def dense_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str =
     return _ranked(scored.orderBy(F.desc("score"), "id").limit(k), F.desc("score"), F.col("id"))
 
 
+def dense_many(vectors: DataFrame, questions: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 8_000_000) -> DataFrame:
+    """question_id, id, score, rank: the k highest cosine similarities of each (question_id, vector), ties by id.
+
+    Questions go to all tasks in blocks of ``block_bytes``, a pass over the vectors each; a task hands on its best k
+    of each question, so k rows a question and task are merged.  Scores are rounded to twelve places, so that equal
+    vectors tie.  Vectors of another length than the question's, null or all zero are not found.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    found = None
+    for block in _blocks(questions.select(F.col("question_id").cast("long"), F.col("vector").cast("array<double>")).orderBy("question_id"), block_bytes):
+        held = spark.sparkContext.broadcast(block)
+        part = rows.mapInArrow(_best_of_task(held, k), "question_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "question_id long, id long, score double")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _blocks(questions: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(identifiers, unit vectors) of questions that follow one another and have one length, ``block_bytes`` at most."""
+    ids, vectors = [], []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        v = np.array(vectors)
+        return np.array(ids, np.int64), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    for q in questions.toLocalIterator():
+        if q["vector"] and any(q["vector"]):
+            if ids and (len(q["vector"]) != len(vectors[0]) or 8 * len(vectors[0]) * (len(ids) + 1) > block_bytes):
+                yield block()
+                ids, vectors = [], []
+            ids.append(q["question_id"])
+            vectors.append(q["vector"])
+    if ids:
+        yield block()
+
+
+def _best_of_task(held, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = held.value
+        scores, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            column = batch.column(1).filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
+            keys = batch.column(0).filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])).to_numpy()
+            x = np.array(column.flatten().fill_null(np.nan), float).reshape(-1, q.shape[1])
+            norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(norm) & (norm > 0)
+            got = np.round(q @ (x[good] / norm[good, None]).T, 12)
+            scores, ids = np.concatenate([scores, got], 1), np.concatenate([ids, np.broadcast_to(keys[good], got.shape)], 1)
+            order = np.lexsort((ids, -scores))[:, :k]
+            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, scores.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["question_id", "id", "score"])
+
+    return run
+
+
 def _ranked(top: DataFrame, *order: Column) -> DataFrame:
     """Numbers the rows of a result that has k rows at most."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

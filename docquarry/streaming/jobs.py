@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docquarry.shared_files import fresh_name
 
@@ -89,31 +92,175 @@ def read_csv_stream(spark: SparkSession, folder: str, schema: str, files: int =
     return rows.withColumn("source", F.col("_metadata.file_name"))
 
 
+WATCHED = "job_id long, kind string, status string, stage string, progress int, n_events long, at timestamp"
+
+
+class JobWatch(StatefulProcessor):
+    """One job: its state after each batch of events, and a ``stalled`` row for each time it is silent for too long.
+
+    The state lives as long as the job does: a timer in event time follows the last event; when it fires, a job
+    that has not ended is reported, and either way its state goes.  An event that comes later begins anew.
+    """
+
+    def __init__(self, silent_seconds: int) -> None:
+        self.silent = silent_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "status string, stage string, progress int, n long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = ("queued", "queued", 0, 0)
+        *state, last = self.state.get() if self.state.exists() else (*fresh, None)
+        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            at = int(e.ts.timestamp() * 1000)
+            if last is not None and at - last >= self.silent:  # the timer has not fired yet, as both events are of one batch
+                if state[0] not in FINAL:
+                    yield self._row(key, "stalled", state, last + self.silent)
+                state, last = fresh, at
+            state, last = advance(tuple(state), e.status, e.stage, e.ratio, bool(e.start)), max(last or at, at)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update((*state, last))
+        self.handle.registerTimer(last + self.silent)
+        yield self._row(key, "state", state, last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.state.exists():
+            return
+        *state, _ = self.state.get()
+        self.state.clear()
+        if state[0] not in FINAL:
+            yield self._row(key, "stalled", state, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _row(self, key, kind: str, state, at: int) -> pd.DataFrame:
+        status, stage, progress, n = state
+        return pd.DataFrame({"job_id": [key[0]], "kind": [kind], "status": [status], "stage": [stage], "progress": [progress], "n_events": [n], "at": [pd.Timestamp(at, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def watch_jobs(events: DataFrame, silent_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """A stream of events (job_id, event_id, ts, status, stage, ratio, start) as a stream of WATCHED rows.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    keyed = events.withWatermark("ts", late).groupBy("job_id")
+    return keyed.transformWithStateInPandas(JobWatch(silent_seconds), outputStructType=WATCHED, outputMode="Update", timeMode="EventTime")
+
+
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB, which keyed state with timers needs."""
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class CodeCheck(StatefulProcessor):
+    """Reset codes of one address: only the latest counts, and it is forgotten ``minutes`` after it was issued."""
+
+    def __init__(self, minutes: int) -> None:
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.code = handle.getValueState("code", "code string", ttlDurationMs=self.minutes * 60_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for r in pd.concat(list(rows)).sort_values("event_id").itertuples():
+            if r.issue:
+                self.code.update((r.code,))
+                continue
+            good = self.code.exists() and self.code.get()[0] == r.code
+            if good:
+                self.code.clear()
+            out.append((key[0], r.event_id, good))
+        yield pd.DataFrame(out, columns=["email", "event_id", "accepted"]).astype({"event_id": "int64", "accepted": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def check_codes(events: DataFrame, minutes: int = 15) -> DataFrame:
+    """A stream of (email, event_id, code, issue) as a stream of attempts (email, event_id, accepted); a code works once, for some minutes of processing time."""
+    return events.groupBy("email").transformWithStateInPandas(CodeCheck(minutes), outputStructType="email string, event_id long, accepted boolean", outputMode="Update", timeMode="ProcessingTime")
+
+
 class Cancelled(Exception):
     pass
 
 
-def run_batches(stream: DataFrame, path: str, checkpoint: str, cancelled: Callable[[], bool]) -> int:
-    """Write a stream's batches below ``path`` until all is read or ``cancelled`` says so; the number of batches.
+def run_batches(
+    stream: DataFrame, path: str, checkpoint: str, cancelled: Callable[[], bool], *, compensate: bool = True,
+    retry_on: tuple[type[Exception], ...] = (), retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep,
+    emit: Callable[[DataFrame, str], None] | None = None,
+) -> int:
+    """Write a stream's batches below ``path`` until all is read or ``cancelled`` says so; the number of batches written.
 
-    Each batch goes to a folder of its own, which a repeated batch overwrites, so at-least-once delivery
-    writes once.  A cancelled run stops before the next batch and removes what it wrote.
+    A batch is data and a commit record beside it.  Spark delivers a batch again if it did not finish: without its
+    record it is written anew, with it it is left alone.  So after a crash at any place, or a cancel, another
+    call goes on where this one stopped, and ``read_batches`` gives each row once.  A cancelled run stops before the
+    next batch, undoes the whole work (output and checkpoint, so that another call begins anew) and raises
+    ``Cancelled``; without ``compensate`` it keeps what is committed.  Errors of the kinds ``retry_on`` are tried
+    again after ``wait`` seconds, doubled each time; others end the run.  ``emit`` writes a batch to a folder.
     """
-    spark, done = stream.sparkSession, []
+    spark, done, stopped = stream.sparkSession, [], []
+    emit = emit or (lambda batch, to: batch.write.mode("overwrite").parquet(to))
+    fs, at = _files(spark, path)
+    if fs.exists(at("_undo")):  # a crash while work was undone
+        _undo(spark, path, checkpoint)
 
     def write(batch: DataFrame, n: int) -> None:
+        if fs.exists(at(f"_commits/{n}")):
+            return
         if cancelled():
+            stopped.append(n)
             raise Cancelled
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        for attempt in range(retries + 1):
+            try:
+                emit(batch, f"{path}/batch={n}")
+                break
+            except retry_on:
+                if attempt == retries:
+                    raise
+                sleep(wait * 2**attempt)
+        fs.create(at(f"_commits/{n}"), True).close()
         done.append(n)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     except StreamingQueryException:
-        if not cancelled():
+        if not stopped:
             raise
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if compensate:
+            fs.create(at("_undo"), True).close()
+            _undo(spark, path, checkpoint)
         raise Cancelled from None
     return len(done)
+
+
+def _undo(spark: SparkSession, path: str, checkpoint: str) -> None:
+    for folder in (checkpoint, path):  # the note that this goes on is in the last one
+        files, inside = _files(spark, folder)
+        files.delete(inside(), True)
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, function from a name below the path to Hadoop's path)."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda name="": make(f"{path}/{name}" if name else path)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the committed batches below ``path``."""
+    fs, at = _files(spark, path)
+    records = fs.listStatus(at("_commits")) if fs.exists(at("_commits")) else []
+    committed = [f"{path}/batch={r.getPath().getName()}" for r in records]
+    return spark.read.schema(schema).parquet(*committed) if committed else spark.createDataFrame([], schema)
