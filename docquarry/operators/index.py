@@ -14,8 +14,11 @@ logarithms); their parts are added in the order of the question's terms, so equa
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docquarry.functions.text import tokenize
 from docquarry.operators.retrieval import EPSILON, K1, B
@@ -41,7 +44,7 @@ def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     words = words.select("id", "words", F.size("words").alias("dl")).observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
     counts = words.select("id", "dl", F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     counts = stored(counts, "term-counts")
-    n, mean = seen.get["n"], seen.get["mean"] or 1.0
+    n, mean = (0, 1.0) if docs.isEmpty() else (seen.get["n"], seen.get["mean"] or 1.0)  # of an empty table nothing is observed
     n_blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl"))
@@ -51,8 +54,8 @@ def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     placed.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     mean_idf = df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
-    row = [(n, float(mean), float(mean_idf), n_blocks, n_buckets)]
-    spark.createDataFrame(row, "n long, mean double, mean_idf double, n_blocks int, n_buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    row = [(n, float(mean), float(mean_idf), n_blocks, n_buckets, placed.schema.json())]
+    spark.createDataFrame(row, "n long, mean double, mean_idf double, n_blocks int, n_buckets int, postings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     return path
 
 
@@ -60,7 +63,7 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int, *, q
     """question_id, id, score, rank: for each (question_id, terms) the k documents with the highest scores above zero, ties by id."""
     work = shared_dir(spark, "bm25-many")
     about = spark.read.parquet(f"{path}/statistics").first()
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.schema(StructType.fromJson(json.loads(about["postings"]))).parquet(f"{path}/postings")
     term = questions.select(F.col(question_col).alias("question_id"), F.posexplode(terms_col).alias("pos", "term"))
     term = term.groupBy("question_id", "term").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))
     asked = stored(term.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(about["n_buckets"])).cast("int")), "asked", f"{work}/asked")

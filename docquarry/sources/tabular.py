@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import unicodedata
@@ -10,11 +11,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import quote_identifier, strip
-from docquarry.operators.metadata import numbered
+from docquarry.shared_files import stored
 
 BLOCK_ROWS, WIDE, HEADER_ROWS, HEADER_SHARE, ROW_SHARE, NUMERIC_SHARE = 15, 15, 20, 0.5, 0.3, 0.8
 NUMBER = r"^\d+(\.\d+)?$"
@@ -38,12 +39,89 @@ def table_name(document_id: str, sheet: str, prefix: str = "etbl", longest: int
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, under safe names, with ``_row_idx`` by file and place in it (a file is one task's)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """All columns as text, under safe names, with ``_row_idx`` by file and place in it.
+
+    Files are read as Spark splits them, in many tasks, whatever stands in quotes: see ``csv_records``.  Rows of one line are
+    parsed where they are read; only records of several lines are put together by a shuffle.
+    """
+    records = csv_records(spark, path)
+    first = records.filter("record = 0").orderBy("file").first()
+    if first is None:
+        return spark.createDataFrame([], "_row_idx long")
+    options = {"escape": '"', "quote": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    names = _header(first["text"])
     taken: set[str] = {"_row_idx", "_file", "_at", "row_idx", "batch"}
-    named = raw.select(*[F.col(quote_identifier(c)).alias(safe_name(c, taken)) for c in raw.columns], F.col("_metadata.file_path").alias("_file"))
-    placed = named.withColumn("_at", F.monotonically_increasing_id())
-    return numbered(placed, ["_file", "_at"], BLOCK_ROWS).withColumnRenamed("row_idx", "_row_idx").drop("_file", "_at", "batch")
+    safe = [safe_name(n, taken) for n in names]
+    sizes = records.groupBy("file").agg((F.count("*") - 1).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("file", before.alias("before"))  # one row per file
+    schema = ", ".join(f"c{i} string" for i in range(len(safe)))
+    parsed = records.filter("record > 0").join(F.broadcast(offsets), "file").select((F.col("before") + F.col("record") - 1).alias("_row_idx"), F.from_csv("text", schema, options).alias("row"))
+    return parsed.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(safe)], "_row_idx")
+
+
+def _header(line: str) -> list[str]:
+    """The names of the columns; one without a name is called by its place."""
+    return [name or f"_c{i}" for i, name in enumerate(next(csv.reader([line])))]
+
+
+#: A field in quotes that ends (a quote in it is doubled), at the beginning of a line or behind a comma.
+_QUOTED = r'(?s)(^|,)"(?:[^"]|"")*"(?=,|$)'
+_OPEN = r'(?s)(^|,)"'
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record (from 0 in each file, the header included), text of the records of CSV files, read in parallel.
+
+    Spark cuts files into splits and those into lines, some of which begin inside of quotes.  What a line does is a
+    function of two values: whether quotes are open behind it if they are closed before it, and if they are open.
+    The functions of a split's lines are put together, those of a file's splits (a row each) in a second step; then
+    every line knows how it begins.  Empty lines outside of quotes are no records.  A quote inside a field
+    that does not begin with one is a character like others.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"), F.col("value").alias("whole"),
+    )
+    ends_open = lambda text: F.regexp_replace(text, _QUOTED, "$1").rlike(_OPEN)
+    quoted = F.col("line").contains('"')
+    lines = lines.withColumn("closed", F.when(quoted, ends_open(F.col("line"))).otherwise(F.lit(False))).withColumn("open", F.when(quoted, ends_open(F.concat(F.lit('"'), "line"))).otherwise(F.lit(True)))
+    lines = stored(lines, "csv-lines")
+
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    lines = _starts(lines, inside)
+    filled = F.col("line") != ""
+    counts = lambda began: F.count_if(filled & ~F.col(began)).alias(f"n_{began}")
+    last = lambda c: F.max_by(F.when(F.col(c), F.col("open")).otherwise(F.col("closed")), "at")
+    splits = lines.groupBy("file", "split").agg(counts("if_closed"), counts("if_open"), last("if_closed").alias("closed"), last("if_open").alias("open"))
+    by_file = Window.partitionBy("file").orderBy("split")
+    splits = _starts(splits, by_file).withColumn("n", F.when(F.col("if_closed"), F.col("n_if_open")).otherwise(F.col("n_if_closed")))
+    ahead = F.coalesce(F.sum("n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", F.col("if_closed").alias("begins_open"), ahead.alias("ahead"))  # a row for each split
+
+    lines = lines.join(F.broadcast(splits), ["file", "split"])
+    began_open = F.when(F.col("begins_open"), F.col("if_open")).otherwise(F.col("if_closed"))
+    lines = lines.withColumn("began_open", began_open).withColumn("ended_open", F.when(began_open, F.col("open")).otherwise(F.col("closed")))
+    starts = ~F.col("began_open") & filled
+    number = F.col("ahead") + F.sum(starts.cast("long")).over(inside) - 1
+    lines = lines.filter(starts | F.col("began_open")).select("file", number.alias("record"), "split", "at", "line", "whole", "began_open", "ended_open")
+    alone = lines.filter(~F.col("began_open") & ~F.col("ended_open")).select("file", "record", F.col("line").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("split", "at", "whole")))
+    joined = lines.filter("began_open OR ended_open").groupBy("file", "record").agg(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["whole"]), "\n"), "^\ufeff|\r$", "").alias("text"))
+    return alone.unionByName(joined)
+
+
+def _starts(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """With if_closed, if_open: whether quotes are open before a row, if they were closed (open) before the first row of its window.
+
+    A row that ends alike however it begins (``closed`` = ``open``) settles what comes behind it, but for rows that turn
+    one into the other; all others change nothing.
+    """
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("turns", F.sum((F.col("closed") & ~F.col("open")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.when(F.col("closed") == F.col("open"), F.struct(F.col("closed").cast("int").alias("value"), "turns"))
+    rows = rows.withColumns({"settled": F.last(same, True).over(before), "turned": F.coalesce(F.max("turns").over(before), F.lit(0))})
+    now = lambda first: (F.coalesce(F.col("settled.value") + F.col("turned") - F.col("settled.turns"), F.col("turned") + first) % 2) == 1
+    return rows.withColumns({"if_closed": now(0), "if_open": now(1)}).drop("turns", "settled", "turned")
 
 
 def filled(c: Column) -> Column:

@@ -1,5 +1,7 @@
 """Many questions at once equal each question on its own."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def test_questions_read_their_terms_only(spark, tmp_path):
     path = index.build_index(docs, f"{tmp_path}/index", n_buckets=8)
     questions = spark.createDataFrame([(1, ["rare3"])], "question_id long, terms array<string>")
     plan = index.bm25_many(spark, path, questions, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "doc_id" not in plan
+    assert re.search(r"PartitionFilters: \[[^\n]*bucket", plan) and "doc_id" not in plan
 
 
 def test_index_of_nothing(spark, tmp_path):

@@ -107,7 +107,7 @@ def test_silent_jobs_are_reported_and_forgotten(rocks, tmp_path):
     spark = rocks
     batches = [
         [(1, 1, 0, "running", "parsing", 0.5, False), (2, 2, 5, "succeeded", "done", 1.0, False), (3, 3, 100, "running", "chunking", 0.0, False)],
-        [(3, 4, 160, "running", "embedding", 0.5, False), (1, 5, 170, "running", "parsing", 0.0, False)],
+        [(3, 4, 150, "running", "embedding", 0.5, False), (1, 5, 170, "running", "parsing", 0.0, False)],
         [(4, 6, 900, "queued", "queued", 0.0, False)], [(4, 7, 901, "running", "parsing", 1.0, False)],
     ]
     for k, batch in enumerate(batches):
@@ -117,7 +117,7 @@ def test_silent_jobs_are_reported_and_forgotten(rocks, tmp_path):
     events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
     found = run(jobs.watch_jobs(events, 60), tmp_path, "watched").select("job_id", "kind", "progress", "n_events", F.unix_timestamp("at").alias("at")).collect()
     stalled = sorted(tuple(r) for r in found if r["kind"] == "stalled")
-    assert stalled == [(1, "stalled", 0, 1, 230), (1, "stalled", 30, 1, 60), (3, "stalled", 80, 2, 220)]
+    assert stalled == [(1, "stalled", 0, 1, 230), (1, "stalled", 30, 1, 60), (3, "stalled", 80, 2, 210)]
     assert {(r["job_id"], r["n_events"]) for r in found if r["kind"] == "state"} == {(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2)}
 
 
