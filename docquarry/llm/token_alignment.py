@@ -40,6 +40,8 @@ from .shared import shared_dir, stored, text_of
 MAX_CHUNKS = 300_000
 #: B encodes about so many bytes of new chunks in one call.
 CHARS_AT_ONCE = 200_000
+#: A side of a group with more ids is counted before it is paired.
+FEW = 8
 #: Pairs that are broadcast: 24 bytes each.
 MOST_BROADCAST = 500_000
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>"
@@ -80,18 +82,27 @@ class Transducer:
 
     def groups(self, a: list[int], b: list[int]) -> list[Group] | None:
         """(from, to) among ``a`` and (from, to) among ``b`` of each group; None if the bytes differ."""
-        tokens, read, state, start, found = (a, b), [0, 0], 0, (0, 0), []
+        moves, states, found = self.moves, self.states, []
+        state = i = j = a0 = b0 = 0
         while True:
-            behind = 1 - self.states[state][0]
-            if read[behind] == len(tokens[behind]):
-                return found if state == 0 and read == [len(a), len(b)] else None
-            state = self.move(state, tokens[behind][read[behind]])
-            read[behind] += 1
-            if state == 0:
-                found.append((start[0], read[0], start[1], read[1]))
-                start = (read[0], read[1])
+            if states[state][0]:  # B leads, or neither
+                if i == len(a):
+                    break
+                token = a[i]
+                i += 1
+            else:
+                if j == len(b):
+                    break
+                token = b[j]
+                j += 1
+            after = moves.get((state, token))
+            state = self.move(state, token) if after is None else after
+            if not state:
+                found.append((a0, i, b0, j))
+                a0, b0 = i, j
             elif state < 0:
                 return None
+        return None if state or j < len(b) else found
 
 
 class Pieces:
@@ -206,23 +217,32 @@ class AlignedChunks:
             a, b = a_ids[i : i + n], b_ids[j : j + m]
             i, j = i + n, j + m
             groups = self.transducer.groups(a, b) if fine else None
-            joint: Counter[int] = Counter()
+            joint: dict[int, int] = {}
             if groups is None:
                 numbers[row, 4] = 1
-                texts.append(b"")
+                texts.append("")
             else:
+                named, n_links = [], 0
                 for a0, a1, b0, b1 in groups:
-                    in_b = Counter(b[b0:b1]).items()
-                    for x, times in Counter(a[a0:a1]).items():
-                        for y, times_b in in_b:
-                            joint[x * self.n_b + y] += times * times_b
-                numbers[row, :4] = n, m, len(groups), sum((g[1] - g[0]) * (g[3] - g[2]) for g in groups)
-                texts.append("".join(f"{','.join(map(str, a[g[0] : g[1]]))}|{','.join(map(str, b[g[2] : g[3]]))};" for g in groups).encode())
+                    one = a1 - a0 == 1 == b1 - b0
+                    named.append(f"{a[a0]}|{b[b0]};" if one else f"{str(a[a0:a1])[1:-1]}|{str(b[b0:b1])[1:-1]};")
+                    n_links += (a1 - a0) * (b1 - b0)
+                    if one:
+                        pair = a[a0] * self.n_b + b[b0]
+                        joint[pair] = joint.get(pair, 0) + 1
+                    else:
+                        in_b = Counter(b[b0:b1]).items() if b1 - b0 > FEW else [(y, 1) for y in b[b0:b1]]
+                        for x, times in Counter(a[a0:a1]).items() if a1 - a0 > FEW else [(x, 1) for x in a[a0:a1]]:
+                            for y, times_b in in_b:
+                                pair = x * self.n_b + y
+                                joint[pair] = joint.get(pair, 0) + times * times_b
+                numbers[row, :4] = n, m, len(groups), n_links
+                texts.append("".join(named).replace(" ", ""))
             pairs.extend(joint.keys())
             links.extend(joint.values())
             n_pairs.append(len(joint))
         n_text, n_pairs = np.fromiter(map(len, texts), np.int32, len(texts)), np.array(n_pairs, np.int32)
-        return numbers, (np.frombuffer(b"".join(texts), np.uint8), n_text), (np.array(pairs, np.int64), n_pairs), (np.array(links, np.int64), n_pairs)
+        return numbers, (np.frombuffer("".join(texts).encode(), np.uint8), n_text), (np.array(pairs, np.int64), n_pairs), (np.array(links, np.int64), n_pairs)
 
     def documents(self, texts: pa.Array) -> list[pa.Array]:
         """The columns of DOCUMENT from the second on, a row for each text."""
