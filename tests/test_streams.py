@@ -111,11 +111,11 @@ def test_silent_jobs_are_reported_and_forgotten(rocks, tmp_path):
         [(4, 6, 900, "queued", "queued", 0.0, False)], [(4, 7, 901, "running", "parsing", 1.0, False)],
     ]
     for k, batch in enumerate(batches):
-        frame = spark.createDataFrame([(j, e, t, *rest) for j, e, t, *rest in batch], EVENT.replace("timestamp", "long")).withColumn("ts", F.timestamp_seconds("ts"))
+        frame = spark.createDataFrame([(j, e, t, *rest) for j, e, t, *rest in batch], EVENT.replace("timestamp", "long")).withColumn("ts", F.timestamp_seconds(F.col("ts") + 1000))
         frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
         time.sleep(0.02)
     events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
-    found = run(jobs.watch_jobs(events, 60), tmp_path, "watched").select("job_id", "kind", "progress", "n_events", F.unix_timestamp("at").alias("at")).collect()
+    found = run(jobs.watch_jobs(events, 60), tmp_path, "watched").select("job_id", "kind", "progress", "n_events", (F.unix_timestamp("at") - 1000).alias("at")).collect()
     stalled = sorted(tuple(r) for r in found if r["kind"] == "stalled")
     assert stalled == [(1, "stalled", 0, 1, 230), (1, "stalled", 30, 1, 60), (3, "stalled", 80, 2, 210)]
     assert {(r["job_id"], r["n_events"]) for r in found if r["kind"] == "state"} == {(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2)}
