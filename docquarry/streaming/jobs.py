@@ -163,33 +163,46 @@ def rocks_db(spark: SparkSession) -> Iterator[None]:
 
 
 class CodeCheck(StatefulProcessor):
-    """Reset codes of one address: only the latest counts, and it is forgotten ``minutes`` after it was issued."""
+    """Reset codes of one address: only the latest counts, it works once, and it is forgotten ``minutes`` after it was issued."""
 
     def __init__(self, minutes: int) -> None:
-        self.minutes = minutes
+        self.life = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.code = handle.getValueState("code", "code string", ttlDurationMs=self.minutes * 60_000)
+        self.handle = handle
+        self.state = handle.getValueState("code", "code string, issued long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for r in pd.concat(list(rows)).sort_values("event_id").itertuples():
+        out, held = [], tuple(self.state.get()) if self.state.exists() else None
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            at = int(r.ts.timestamp() * 1000)
             if r.issue:
-                self.code.update((r.code,))
+                held = (r.code, at)
                 continue
-            good = self.code.exists() and self.code.get()[0] == r.code
-            if good:
-                self.code.clear()
+            good = held is not None and held[0] == r.code and at - held[1] < self.life
+            held = None if good else held
             out.append((key[0], r.event_id, good))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held is None:
+            self.state.clear()
+        else:
+            self.state.update(held)
+            self.handle.registerTimer(held[1] + self.life)
         yield pd.DataFrame(out, columns=["email", "event_id", "accepted"]).astype({"event_id": "int64", "accepted": bool})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def check_codes(events: DataFrame, minutes: int = 15) -> DataFrame:
-    """A stream of (email, event_id, code, issue) as a stream of attempts (email, event_id, accepted); a code works once, for some minutes of processing time."""
-    return events.groupBy("email").transformWithStateInPandas(CodeCheck(minutes), outputStructType="email string, event_id long, accepted boolean", outputMode="Update", timeMode="ProcessingTime")
+def check_codes(events: DataFrame, minutes: int = 15, late: str = "0 seconds") -> DataFrame:
+    """A stream of (email, event_id, ts, code, issue) as a stream of attempts (email, event_id, accepted)."""
+    keyed = events.withWatermark("ts", late).groupBy("email")
+    return keyed.transformWithStateInPandas(CodeCheck(minutes), outputStructType="email string, event_id long, accepted boolean", outputMode="Update", timeMode="EventTime")
 
 
 class Cancelled(Exception):

@@ -123,18 +123,15 @@ def test_silent_jobs_are_reported_and_forgotten(rocks, tmp_path):
 
 def test_codes_expire_and_work_once(rocks, tmp_path):
     spark = rocks
-    schema = "email string, event_id long, code string, issue boolean"
-
-    def add(*events):
-        spark.createDataFrame(list(events), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/codes")
-
-    def go(minutes, name):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/codes")
-        return {r["event_id"]: r["accepted"] for r in run(jobs.check_codes(stream, minutes), tmp_path, name).collect()}
-
-    add(("a", 1, "11", True), ("b", 2, "22", True), ("a", 3, "33", True))
-    time.sleep(0.05)
-    add(("a", 4, "11", False), ("a", 5, "33", False), ("a", 6, "33", False), ("c", 7, "22", False))
-    assert go(15, "codes_a") == {4: False, 5: True, 6: False, 7: False}
-    add(("b", 8, "22", False))
-    assert go(0.0001, "codes_b")[8] is False
+    schema = "email string, event_id long, ts long, code string, issue boolean"
+    batches = [
+        [("a", 1, 1, "11", True), ("b", 2, 2, "22", True), ("a", 3, 3, "33", True), ("d", 10, 4, "44", True)],
+        [("a", 4, 60, "11", False), ("a", 5, 61, "33", False), ("a", 6, 62, "33", False), ("c", 7, 63, "22", False), ("d", 11, 903, "44", False)],
+        [("b", 8, 902, "22", False), ("e", 12, 2000, "55", True)], [("e", 13, 2001, "55", False)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/codes")
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema.replace("ts long", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/codes")
+    found = {r["event_id"]: r["accepted"] for r in run(jobs.check_codes(stream, 15, "100 seconds"), tmp_path, "checked").collect()}
+    assert found == {4: False, 5: True, 6: False, 7: False, 8: False, 11: True, 13: True}
