@@ -8,14 +8,20 @@
 
 ``bm25_many`` reads the partitions of its terms only and no text.  The most that each block can give a question
 is the sum over its terms.  The blocks that promise most are scored first; their k-th score is a bound that
-others must reach to be scored at all.  Scores are those of ``retrieval.bm25_scores`` (but for the rounding of
+others must reach to be scored at all.  A task adds up the posting lists of one block and hands on k rows a
+question.  Scores are those of ``retrieval.bm25_scores`` (but for the rounding of
 logarithms); their parts are added in the order of the question's terms, so equal documents tie.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +32,8 @@ from docquarry.shared_files import shared_dir, spread, stored
 
 #: Blocks of each question that are scored before the others are judged.
 PROBED = 4
+#: Weighted terms of questions that a task holds next to a block's posting lists.
+SLICE_ROWS = 50_000
 
 
 def _length(mean: float):
@@ -37,22 +45,65 @@ def _impact(mean: float):
     return F.col("tf") * (K1 + 1) / (F.col("tf") + _length(mean))
 
 
+def _score_block(mean: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block's posting lists and the weighted terms of questions: each question's k best documents of the block."""
+
+    def run(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        ids = lists["id"].combine_chunks()
+        coded = ids.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))  # documents are numbered in the order of their identifiers
+        at = place[coded.indices.to_numpy()]
+        tf, dl = (lists[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("tf", "dl"))
+        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+        span = {term: (end - n, end) for term, end, n in zip(lists["term"].to_pylist(), ends.tolist(), ids.value_lengths().to_pylist())}
+        below = tf + K1 * (1 - B + B * dl / mean)
+        terms = sorted(zip(wanted["question_id"].to_pylist(), wanted["pos"].to_pylist(), wanted["term"].to_pylist(), wanted["w"].to_pylist()))
+        questions, found, scores = [], [], []
+        for question, of_question in groupby(terms, key=lambda t: t[0]):
+            total = np.zeros(len(order))
+            for _, _, term, w in of_question:
+                if term in span:
+                    a, b = span[term]
+                    total[at[a:b]] += w * tf[a:b] * (K1 + 1) / below[a:b]
+            good = np.flatnonzero(total > 0)
+            if len(good) > k:
+                good = good[total[good] >= np.partition(total[good], -k)[-k]]
+            good = good[np.argsort(-total[good], kind="stable")][:k]
+            questions += [question] * len(good)
+            found.append(good)
+            scores.append(total[good])
+        best = np.concatenate(found) if found else np.zeros(0, np.int64)
+        id_column = coded.dictionary.take(order).take(pa.array(best))
+        score_column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        return pa.table([pa.array(questions, wanted.schema.field("question_id").type), id_column, score_column], ["question_id", "id", "score"])
+
+    return run
+
+
 def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 1024, n_buckets: int = 32) -> str:
     """Write the index of ``docs`` (identifiers are unique) to ``path``."""
     spark, seen = docs.sparkSession, Observation()
-    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokenize(F.col("text")).alias("words"))
-    words = words.select("id", "words", F.size("words").alias("dl")).observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    counts = words.select("id", "dl", F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    counts = stored(counts, "term-counts")
+    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.sort_array(tokenize(F.col("text"))).alias("words"))
+    # A document's equal words lie next to each other: they are counted where they are, without a shuffle.
+    begins = lambda w, i: (i == 0) | (w != F.get("words", i - 1))
+    runs = F.filter(F.transform("words", lambda w, i: F.when(begins(w, i), F.struct(w.alias("term"), i.alias("at")))), lambda r: r.isNotNull())
+    counts = words.select("id", F.size("words").alias("dl"), runs.alias("runs"))
+    until = lambda i: F.coalesce(F.get("runs", i + 1)["at"], F.col("dl"))
+    counts = counts.select("id", "dl", F.transform("runs", lambda r, i: F.struct(r["term"].alias("term"), (until(i) - r["at"]).alias("tf"))).alias("terms"))
+    counts = stored(counts.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")), "term-counts")
     n, mean = (0, 1.0) if docs.isEmpty() else (seen.get["n"], seen.get["mean"] or 1.0)  # of an empty table nothing is observed
     n_blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    posting = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl"))
-    postings = counts.groupBy("term", block.alias("block")).agg(F.collect_list(posting).alias("postings"), F.count("*").alias("n"), F.max(_impact(mean)).alias("most"))
-    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int"))
-    # A term of nearly all documents has a row for each block: a bucket is dealt to several tasks.
-    placed.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
+    each = counts.select("id", "dl", F.inline("terms")).select("term", "id", "tf", "dl", block.alias("block"), bucket.alias("bucket"))
+    # A term of nearly all documents has a row for each block: a bucket is dealt to several tasks.  Grouping keeps that partitioning.
+    dealt = each.withColumn("part", F.col("block") % 8).repartition("bucket", "part")
+    postings = dealt.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings"), F.count("*").alias("n"), F.max(_impact(mean)).alias("most"))
+    placed = postings.select("term", "block", "postings", "n", "most", "bucket")
+    placed.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    df = spark.read.schema(placed.schema).parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"))
     mean_idf = df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
     row = [(n, float(mean), float(mean_idf), n_blocks, n_buckets, placed.schema.json())]
     spark.createDataFrame(row, "n long, mean double, mean_idf double, n_blocks int, n_buckets int, postings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
@@ -78,14 +129,19 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int, *, q
     by_bound = Window.partitionBy("question_id").orderBy(F.desc("bound"), "block")
     bounds = stored(bounds.withColumn("place", F.row_number().over(by_bound)), "bounds", f"{work}/bounds")
 
+    slices = -(-weights.count() // SLICE_ROWS) or 1
+    part = F.pmod(F.xxhash64("question_id"), F.lit(slices)).cast("int")
+    asked_postings = postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    asked_postings = asked_postings.select("block", "term", *[F.col(f"postings.{c}").alias(c) for c in ("id", "tf", "dl")])
+    id_type, question_type = asked_postings.schema["id"].dataType.elementType, weights.schema["question_id"].dataType
+    result = f"question_id {question_type.simpleString()}, id {id_type.simpleString()}, score double"
+
     def scored(blocks: DataFrame) -> DataFrame:
-        """question_id, id, score of all documents of some (question_id, block)."""
-        wanted = blocks.select("question_id", "block").join(weights, "question_id").select("question_id", "bucket", "term", "block", "pos", "w")
-        each = postings.join(wanted, ["bucket", "term", "block"]).select("question_id", "pos", "w", F.inline("postings"))
-        part = F.struct("pos", (F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + _length(about["mean"]))).alias("x"))
-        parts = each.groupBy("question_id", "id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        score = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["x"])
-        return parts.select("question_id", "id", score.alias("score")).filter("score > 0")
+        """question_id, id, score of the k best documents of each of some (question_id, block)."""
+        wanted = blocks.select("question_id", "block").join(weights, "question_id").select("block", part.alias("part"), "question_id", "term", "pos", "w")
+        lists = asked_postings.join(wanted.select("block", "part").distinct(), "block")
+        lists = lists.toDF(*lists.columns)  # columns of its own, as both sides come from the same questions
+        return lists.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(_score_block(about["mean"], k), result)
 
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
