@@ -451,6 +451,29 @@ def contains_lookup(spark, sf_dir):
     return _t(spark, sf_dir, "part").filter(hit).orderBy("p_partkey").limit(200).select("p_partkey", "p_name")
 
 
+@query("""
+WITH v AS (SELECT 'p_brand' AS c, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS v FROM part UNION ALL SELECT 'p_name', trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) FROM part)
+SELECT count(*) AS n FROM v WHERE v <> '' AND contains(' bao nhieu brand 23 ', ' ' || v || ' ') GROUP BY c, v ORDER BY len(string_split(v, ' ')) DESC, c = 'p_name', v LIMIT 1""")
+def value_count(spark, sf_dir):
+    """How many parts have the value that the question names."""
+    return table_qa.value_count(_t(spark, sf_dir, "part"), _PART, "bao nhieu Brand#23")
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%customer#000000012%' ORDER BY c_custkey LIMIT 1""")
+def fuzzy_lookup(spark, sf_dir):
+    """The customer whose name is most like a misspelt one; the whole table is looked at."""
+    table = _t(spark, sf_dir, "customer").withColumn("_row_idx", F.col("c_custkey"))
+    return table_qa.most_similar(table, F.col("c_name"), "Custmer#000000012").select("c_custkey", "c_name")
+
+
+@query("SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part WHERE p_type ILIKE '%eco%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 200")
+def model_sql(spark, sf_dir):
+    """SQL as a model would write it: names in another case, LIKE, no limit."""
+    sql = "SELECT P_BRAND, count(*) AS n, max(P_Size) AS largest FROM {t} WHERE p_type LIKE '%ECO%' GROUP BY p_brand ORDER BY n DESC, p_brand;"
+    return table_qa.run_sql(_t(spark, sf_dir, "part"), sql)
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02 AND lower(l_returnflag) = 'r'")
 def filter_ops(spark, sf_dir):
     schema = [profile.ColumnProfile("l_quantity", "l_quantity", "REAL"), profile.ColumnProfile("l_discount", "l_discount", "REAL"), profile.ColumnProfile("l_returnflag", "l_returnflag", "TEXT")]

@@ -9,17 +9,26 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.shared_files import fresh_name
 
-from .profile import ColumnProfile, compact, normalize, profile_table
-from .vocabulary import ABOUT, BETWEEN_COMPARED, BETWEEN_PARTS, COMPARED, FILTER_WORDS, GOES_ON, INTENTS, KEYWORD, PART_RULES, STOPWORDS
+from .profile import ColumnProfile, compact, normalize, profile_table, unpivoted
+from .vocabulary import (
+    ABOUT, AGE_WORDS, ALIASES, BETWEEN_COMPARED, BETWEEN_PARTS, COMPARED, FILTER_WORDS, GOES_ON, GROUP, HOW_MANY, INTENTS, KEYWORD, MEN,
+    PART_RULES, STOPWORDS, TITLE, TITLES, WOMEN,
+)
 
 LIMIT, MAX_TASKS, MAX_FILTERS, MAX_ENTITIES, FUZZY_ROWS, FUZZY = 200, 5, 6, 4, 200, 0.82
+MAX_COLUMNS, MAX_SAMPLES, ATTEMPTS = 60, 8, 2
 OPS = ("contains", "equals", "gt", "lt", "gte", "lte", "between")
 Planner = Callable[[str, list[ColumnProfile]], "str | dict | None"]
+#: A language model: a prompt gives a text.
+Model = Callable[[str], str]
 
 
 @dataclass(frozen=True)
@@ -76,9 +85,9 @@ def compare_entities(question: str) -> tuple[str, ...]:
 
 
 def asks_both_genders(question: str) -> bool:
-    norm = normalize(question)
-    counts = any(w in norm for w in ("bao nhieu", "so luong", "dem"))
-    return counts and bool(re.search(r"\b(nu|female)\b", norm)) and bool(re.search(r"\b(nam|male)\b", norm))
+    """Whether the question wants numbers of women and of men."""
+    asked = normalize(question)
+    return all(re.search(p, asked) for p in (WOMEN, MEN)) and any(map(asked.__contains__, HOW_MANY))
 
 
 def plan_by_rule(question: str) -> list[Task]:
@@ -100,6 +109,26 @@ def plan_by_rule(question: str) -> list[Task]:
     return tasks + ([Task("gender_count", question)] if both else [])
 
 
+def schema_summary(schema: list[ColumnProfile]) -> list[dict]:
+    """What a model is told about a table: MAX_COLUMNS columns at most, MAX_SAMPLES values of each."""
+    about = lambda c: {"name": c.name, "title": c.original_name, "type": c.dtype, "meaning": c.semantic_type, "samples": c.samples[:MAX_SAMPLES]}
+    return [about(c) for c in schema[:MAX_COLUMNS]]
+
+
+def planner_prompt(question: str, schema: list[ColumnProfile]) -> str:
+    """A prompt for a model's plan, as ``plan_by_model`` reads it."""
+    shapes = [
+        {"type": "lookup", "entity": "..."}, {"type": "count", "filters": [{"field": "...", "op": "|".join(OPS), "value": "..."}]}, {"type": "group_count", "group_by": "..."},
+        {"type": "aggregate", "op": "sum|avg|min|max|count", "target": "...", "filters": []}, {"type": "extreme", "direction": "asc|desc", "target": "...", "filters": []},
+        {"type": "compare", "entities": ["..."]},
+    ]
+    return (
+        "Turn the question about a table into a JSON plan, without SQL and without explanations. Name columns by the question's own words. "
+        f"Use a task for each thing asked, in the question's order, {MAX_TASKS} at most, of these types:\n" + json.dumps({"tasks": shapes}, ensure_ascii=False)
+        + f"\n\nColumns:\n{json.dumps(schema_summary(schema), ensure_ascii=False)}\n\nQuestion: {question}\n"
+    )
+
+
 def plan_by_model(answer: str | dict | None, question: str) -> list[Task]:
     """A model's plan, checked: unknown tasks, operators and surplus entries are left out."""
     if isinstance(answer, str):
@@ -141,6 +170,18 @@ def best_column(schema: list[ColumnProfile], question: str, kinds=(), *, numeric
     return schema[ranked[0][1]] if ranked and -ranked[0][0] >= least else None
 
 
+def resolve_hint(schema: list[ColumnProfile], hint: str | None, *, numeric: bool = False, least: int = 45) -> ColumnProfile | None:
+    """The column that a plan's words mean: by its name, aliases and values, else by the name of a meaning in the words."""
+    hint = (hint or "").strip()
+    if not hint:
+        return None
+    if found := best_column(schema, hint, numeric=numeric, least=least):
+        return found
+    norm = normalize(hint)
+    meant = (best_column(schema, hint, {kind}, numeric=numeric, least=50) for kind in ALIASES if not kind.startswith("generic") and normalize(kind) in norm)
+    return next(filter(None, meant), None)
+
+
 def column_of(schema: list[ColumnProfile], kinds: tuple[str, ...]) -> ColumnProfile | None:
     return next((c for k in kinds for c in schema if c.semantic_type == k), None)
 
@@ -187,8 +228,8 @@ def search(table: DataFrame, words: list[str]) -> DataFrame:
     return table.filter(T.contains_all(F.col("search_text"), words)).orderBy("_row_idx").limit(LIMIT)
 
 
-def lookup(table: DataFrame, schema: list[ColumnProfile], entity: str) -> DataFrame:
-    """Rows whose name or text contains the entity; else those whose name is most like it."""
+def lookup(table: DataFrame, schema: list[ColumnProfile], entity: str, *, rows: int | None = FUZZY_ROWS) -> DataFrame:
+    """Rows whose name or text contains the entity; else the row whose name is most like it (of the first ``rows``, of all if None)."""
     person = column_of(schema, ("person_name", "teacher"))
     hit = T.contains_ignoring_case(F.col("search_text"), entity)
     if person:
@@ -196,9 +237,30 @@ def lookup(table: DataFrame, schema: list[ColumnProfile], entity: str) -> DataFr
     found = table.filter(hit).orderBy("_row_idx").limit(LIMIT)
     if not found.isEmpty() or person is None:
         return found
-    rows = table.orderBy("_row_idx").limit(FUZZY_ROWS).select("_row_idx", _c(person).cast("string").alias("name")).collect()
-    best = max(((similarity(entity, r["name"]), -r["_row_idx"]) for r in rows), default=(0.0, 0))
-    return table.filter(F.col("_row_idx") == -best[1]) if best[0] >= FUZZY else table.limit(0)
+    return most_similar(table if rows is None else table.orderBy("_row_idx").limit(rows), _c(person), entity)
+
+
+def most_similar(table: DataFrame, name: Column, entity: str, *, least: float = FUZZY) -> DataFrame:
+    """The row whose name is most like the entity (``similarity``), if it is like enough; of equals, the first.
+
+    A ratio is 2 m / (length + length), m being characters in common order; the characters in common in any order, which
+    built-in functions count, are never fewer.  Only names that can reach ``least`` by that are compared in Python.
+    """
+    asked, score = normalize(entity), fresh_name("similarity", table)
+    if not asked:
+        return table.limit(0)
+    norm = T.normalize_text(name)
+    times = lambda c: F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit("")))
+    common = reduce(lambda x, y: x + y, [F.least(times(c), F.lit(asked.count(c))) for c in sorted(set(asked))])
+    within = (norm != "") & (norm.contains(F.lit(asked)) | F.lit(asked).contains(norm))
+    hopeful = within | (2.0 * common >= F.lit(least - 1e-9) * (F.length(norm) + len(asked)))
+
+    @F.pandas_udf("double")
+    def ratio(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: similarity(entity, n))
+
+    scored = table.filter(hopeful).withColumn(score, ratio(name.cast("string"))).filter(F.col(score) >= least)
+    return scored.orderBy(F.desc(score), "_row_idx").limit(1).drop(score)
 
 
 def similarity(left: str | None, right: str | None) -> float:
@@ -245,16 +307,19 @@ def gender_count(table: DataFrame, column: ColumnProfile) -> DataFrame:
 
 
 def value_count(table: DataFrame, schema: list[ColumnProfile], question: str) -> DataFrame | None:
-    """The count of the value (of a text column) that the question names."""
-    norm = f" {normalize(question)} "
-    best = None
-    for i, column in enumerate(c for c in schema if c.dtype == "TEXT"):
-        for r in group_count(table, column).collect():  # LIMIT rows a column
-            value = normalize(str(r["value"]))
-            if value and f" {value} " in norm:
-                rank = (len(value.split()), score(column, question), -i)
-                best = max(best or (rank, column, value), (rank, column, value), key=lambda x: x[0])
-    return None if best is None else count_rows(table, T.normalize_text(_c(best[1])) == best[2])
+    """The count of the value (of a text column) that the question names: of several the one of most words, then of the
+    column that fits the question best.  One pass over the table; only values in the question are grouped."""
+    columns = [c.name for c in schema if c.dtype == "TEXT"]
+    if not columns:
+        return None
+    order = sorted(range(len(columns)), key=lambda i: (-score(next(c for c in schema if c.name == columns[i]), question), i))
+    place = F.create_map(*[F.lit(x) for at, i in enumerate(order) for x in (columns[i], at)])
+    norm = T.normalize_text(F.col("value"))
+    asked = F.lit(f" {normalize(question)} ")
+    cells = unpivoted(table, columns).select("column", norm.alias("norm")).filter((F.col("norm") != "") & asked.contains(F.concat(F.lit(" "), "norm", F.lit(" "))))
+    counts = cells.groupBy("column", "norm").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.desc(F.size(F.split("norm", " "))), place[F.col("column")], "norm").limit(1).select("n")
+    return None if best.isEmpty() else best
 
 
 def by_age(table: DataFrame, schema: list[ColumnProfile], oldest: bool, condition: Column | None = None) -> DataFrame | None:
@@ -294,8 +359,8 @@ def analysis(table: DataFrame, schema: list[ColumnProfile]) -> dict[str, DataFra
 
 def run(table: DataFrame, schema: list[ColumnProfile], task: Task) -> DataFrame | None:
     condition = filters_to_condition(schema, task.filters) if task.filters else None
-    if task.kind == "lookup" and task.entity:
-        return lookup(table, schema, task.entity)
+    if task.kind == "lookup":
+        return lookup(table, schema, task.entity or task.text)
     if task.kind == "compare":
         parts = [lookup(table, schema, e) for e in task.entities]
         return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
@@ -306,42 +371,99 @@ def run(table: DataFrame, schema: list[ColumnProfile], task: Task) -> DataFrame
     if task.kind == "gender_count":
         column = column_of(schema, ("gender",))
         return gender_count(table, column) if column else None
+    words = search_keywords(keywords(task.text, FILTER_WORDS))
+    codes = [w for w in words if is_code(w)]
     if task.kind == "count":
-        return (value_count(table, schema, task.text) if condition is None else None) or count_rows(table, condition)
+        if condition is not None:
+            return count_rows(table, condition)
+        found = value_count(table, schema, task.text)
+        if found is not None or (words and not codes):  # words that name no value: nobody knows what to count
+            return found
+        return count_rows(table, T.contains_all(F.col("search_text"), codes) if codes else None)
     if task.kind == "group_count":
-        column = best_column(schema, task.group_by or task.text, least=50)
+        column = resolve_hint(schema, task.group_by) or best_column(schema, task.text, least=50)
         return group_count(table, column, condition) if column else None
+    if task.kind == "extreme" and any(word in normalize(task.target) for word in AGE_WORDS):
+        return by_age(table, schema, (task.direction or "desc") == "desc", condition)
     if task.kind in ("aggregate", "extreme"):
-        column = best_column(schema, task.target or task.text, ("credit", "quantity", "generic_number"), numeric=True)
+        column = resolve_hint(schema, task.target, numeric=True) or best_column(schema, task.target or task.text, ("age", "credit", "quantity", "generic_number"), numeric=True)
         if column is None:
             return None
-        return aggregate(table, column, task.op or "sum", condition) if task.kind == "aggregate" else extreme(table, column, task.direction or "desc", condition)
+        if task.kind == "extreme":
+            return extreme(table, column, task.direction or "desc", condition)
+        if condition is None and codes:
+            condition = T.contains_all(F.col("search_text"), codes)
+        return aggregate(table, column, task.op or "sum", condition)
     return None
 
 
-def answer(table: DataFrame, question: str, schema: list[ColumnProfile] | None = None, planner: Planner | None = None) -> str | None:
-    """Markdown of all tasks' results, or None where nothing was found."""
+def title(task: Task) -> str:
+    """What stands above a task's result."""
+    about = task.entity or task.text if task.kind == "lookup" else task.group_by or GROUP
+    return TITLES.get(task.kind, TITLE).format(about)
+
+
+def by_intent(table: DataFrame, schema: list[ColumnProfile], question: str, kind: str) -> DataFrame | None:
+    """The question's words looked up, counted, or an aggregate of the columns it names in the rows that hold its codes."""
+    words = search_keywords(keywords(question))
+    held = T.contains_all(F.col("search_text"), words) if words else None
+    if kind == "LOOKUP":
+        return search(table, words) if words else None
+    if kind == "COUNT":
+        return count_rows(table, held).filter("n > 0")
+    if kind in ("SUM", "AVG", "MIN", "MAX"):
+        codes = [w for w in words if is_code(w)]
+        return aggregate_named(table, schema, question, kind.lower(), T.contains_all(F.col("search_text"), codes) if codes else None)
+    return None
+
+
+def answer(
+    table: DataFrame, question: str, schema: list[ColumnProfile] | None = None, planner: Planner | None = None, sql_model: Model | None = None,
+) -> str | None:
+    """Markdown of the answer, or None where nothing was found.
+
+    In this order: an overview, where one is asked for; the plan (a model's, else by rule), each task's result under its
+    title; what the question's intent says (``by_intent``); SQL that a model writes.
+    """
+    kind = intent(question)
+    if kind == "NONE":
+        return None
     schema = schema or profile_table(table)
+    if kind == "ANALYSIS":
+        return "\n\n".join(f"{name}\n{render(frame)}" for name, frame in analysis(table, schema).items())
     tasks = plan_by_model(planner(question, schema), question) if planner else []
-    tasks = tasks or plan_by_rule(question)
-    if not tasks and (words := search_keywords(keywords(question))):
-        found = search(table, words)
-        return None if found.isEmpty() else render(found)
-    parts = [render(frame) for t in tasks if (frame := run(table, schema, t)) is not None and not frame.isEmpty()]
-    return "\n\n".join(parts) or None
+    parts = [f"{title(t)}\n{text}" for t in tasks or plan_by_rule(question) if (text := _shown(run(table, schema, t)))]
+    if parts:
+        return "\n\n".join(parts)
+    found = _shown(by_intent(table, schema, question, kind))
+    if found is None and sql_model and kind not in ("COUNT", "SUM", "AVG", "MIN", "MAX"):
+        found = answer_by_sql(table, question, schema, sql_model)
+    return found
+
+
+def _shown(frame: DataFrame | None) -> str | None:
+    """A result as Markdown; None where there is none, or nothing but nulls."""
+    if frame is None:
+        return None
+    rows = frame.limit(LIMIT).collect()
+    return _markdown(frame.columns, rows) if any(v is not None for r in rows for v in r) else None
 
 
-def answer_any(tables: list[DataFrame], question: str, planner: Planner | None = None) -> str | None:
+def answer_any(tables: list[DataFrame], question: str, planner: Planner | None = None, sql_model: Model | None = None) -> str | None:
     """The first table with an answer wins."""
-    return next((a for t in tables if (a := answer(t, question, planner=planner))), None)
+    return next((a for t in tables if (a := answer(t, question, planner=planner, sql_model=sql_model))), None)
 
 
-def render(frame: DataFrame, most: int = 5000) -> str:
+def render(frame: DataFrame) -> str:
     """A result of at most LIMIT rows as a Markdown table; bookkeeping columns are hidden."""
-    shown = [c for c in frame.columns if c not in ("_row_idx", "search_text")]
+    return _markdown(frame.columns, frame.limit(LIMIT).collect())
+
+
+def _markdown(columns: list[str], rows: list[Row], most: int = 5000) -> str:
+    shown = [i for i, c in enumerate(columns) if c not in ("_row_idx", "search_text")]
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    lines = ["| " + " | ".join(shown) + " |", "| " + " | ".join("---" for _ in shown) + " |"]
-    lines += ["| " + " | ".join(cell(r[c]) for c in shown) + " |" for r in frame.limit(LIMIT).collect()]
+    lines = ["| " + " | ".join(columns[i] for i in shown) + " |", "| " + " | ".join("---" for _ in shown) + " |"]
+    lines += ["| " + " | ".join(cell(r[i]) for i in shown) + " |" for r in rows]
     return "\n".join(lines)[:most]
 
 
@@ -350,25 +472,53 @@ def render(frame: DataFrame, most: int = 5000) -> str:
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "merge", "grant", "revoke")
 
 
+#: Quoted parts of SQL, which are left alone.
+_QUOTED = r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")"
+
+
 def fix_sql(sql: str, columns: list[str]) -> str:
-    """Column names in their own case, ILIKE for LIKE, a LIMIT unless something is aggregated; literals stay."""
-    parts = re.split(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")", sql)
+    """Column names in their own case, ILIKE for LIKE, and a LIMIT but for one row of aggregates; literals stay."""
+    parts = re.split(_QUOTED, sql)
     for i in range(0, len(parts), 2):
         for c in sorted(columns, key=len, reverse=True):
             parts[i] = re.sub(rf"(?<![\w`]){re.escape(c)}(?![\w`])", T.quote_identifier(c).replace("\\", r"\\"), parts[i], flags=re.I)
         parts[i] = re.sub(r"\bLIKE\b", "ILIKE", parts[i], flags=re.I)
-    sql = "".join(parts)
-    if not re.search(r"\blimit\s+\d+|\b(count|sum|avg|min|max)\s*\(", " ".join(parts[::2]), re.I):
-        sql = f"{sql.rstrip().rstrip(';')} LIMIT {LIMIT}"
-    return sql
+    code = " ".join(parts[::2])
+    one_row = re.search(r"\b(count|sum|avg|min|max)\s*\(", code, re.I) and not re.search(r"\bgroup\s+by\b|\bover\s*\(", code, re.I)
+    sql = "".join(parts).strip().rstrip(";")
+    return sql if one_row or re.search(r"\blimit\s+\d+", code, re.I) else f"{sql} LIMIT {LIMIT}"
 
 
 def check_sql(sql: str) -> str:
-    if not re.match(r"\s*(select|with)\b", sql, re.I) or re.search(rf"\b({'|'.join(FORBIDDEN)})\b", sql, re.I):
+    """``sql``, if it is one SELECT; words in literals and quoted names do no harm."""
+    code = " ".join(re.split(_QUOTED, sql)[::2])
+    if not re.match(r"\s*(select|with)\b", sql, re.I) or re.search(rf"\b({'|'.join(FORBIDDEN)})\b|;\s*\S", code, re.I):
         raise ValueError("only a single SELECT may run")
     return sql
 
 
 def run_sql(table: DataFrame, sql: str, name: str = "t") -> DataFrame:
-    """Run a checked SELECT in which ``{t}`` stands for the table."""
+    """The result of a checked SELECT in which ``{t}`` stands for the table; Spark analyses it here and runs it when asked for rows."""
     return table.sparkSession.sql(check_sql(fix_sql(sql, table.columns)), **{name: table})
+
+
+def sql_prompt(question: str, schema: list[ColumnProfile]) -> str:
+    """A prompt for SQL, as ``run_sql`` runs it."""
+    columns = "\n".join(f"{T.quote_identifier(c.name)} {c.dtype}, such as {', '.join(c.samples[:3])}" for c in schema[:MAX_COLUMNS])
+    return (
+        "Write one Spark SQL SELECT that answers the question, and nothing else. The table is {t}; its columns are\n"
+        f"`_row_idx` INTEGER, the place of a row\n{columns}\n`search_text` TEXT, all cells of a row\n"
+        f"Compare texts with ILIKE '%...%', order single rows by `_row_idx`, and give {LIMIT} rows at most.\n\nQuestion: {question}\nSQL:"
+    )
+
+
+def answer_by_sql(table: DataFrame, question: str, schema: list[ColumnProfile], model: Model, attempts: int = ATTEMPTS) -> str | None:
+    """What the SQL of a model finds.  SQL that Spark cannot analyse or run goes back to the model with the error, ``attempts`` times in all."""
+    prompt = sql_prompt(question, schema)
+    for _ in range(attempts):
+        try:
+            sql = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", model(prompt))
+            return _shown(run_sql(table, sql))
+        except (PySparkException, ValueError, KeyError, IndexError) as failed:  # the last two: braces that name nothing
+            prompt += f"\n\nThis SQL failed:\n{sql}\n{str(failed)[:200]}\nCorrect it.\nSQL:"
+    return None

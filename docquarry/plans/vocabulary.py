@@ -81,3 +81,25 @@ PART_RULES = (
     ("max", r"\b(?:cao nhat|lon nhat|nhieu nhat)\b"),
     ("min", r"\b(?:thap nhat|it nhat|nho nhat)\b"),
 )
+#: Words of a question for how many, and expressions for women and men.
+HOW_MANY = ("bao nhieu", "so luong", "dem")
+WOMEN, MEN = r"\b(nu|female)\b", r"\b(nam|male)\b"
+#: What a measure is called where it means age.
+AGE_WORDS = ("tuoi", "sinh", "birth", "age")
+#: What stands above the result of a task; ``{}`` is what the task is about.
+TITLES = {
+    "lookup": "Thông tin về {}:",
+    "compare": "Kết quả so sánh:",
+    "oldest": "Người lớn tuổi nhất phù hợp điều kiện:",
+    "youngest": "Người nhỏ tuổi nhất phù hợp điều kiện:",
+    "group_count": "Thống kê theo {}:",
+    "aggregate": "Kết quả tính toán:",
+    "extreme": "Kết quả tìm giá trị phù hợp:",
+    "count": "Kết quả đếm:",
+    "gender_count": "Thống kê giới tính:",
+    "sum": "Kết quả tính tổng:",
+    "avg": "Kết quả trung bình:",
+    "max": "Giá trị cao nhất:",
+    "min": "Giá trị thấp nhất:",
+}
+TITLE, GROUP = "Kết quả:", "nhóm"
