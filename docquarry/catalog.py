@@ -567,6 +567,13 @@ def strip_tags_text(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", html.raw_text(F.col("html")).alias("text"))
 
 
+@query()
+def main_content(spark, sf_dir):
+    """The main content of all pages, else the next tier of the cascade."""
+    pages = html.with_main_content(_t(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.col("main").isNotNull().alias("has_main"), html.html_text(F.col("html"), main=F.col("main")).alias("text"))
+
+
 @query()
 def html_to_markdown(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", html.html_to_markdown(F.col("html")).alias("markdown"))

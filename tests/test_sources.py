@@ -180,3 +180,36 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared_files.shared_dir(Cluster, "x")
+
+
+def _page(paragraphs, link="<a href='/x'>a link of the menu with many words, commas, and more</a>"):
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<html><head><title>t</title></head><body><div id='top'>{link * 6}</div><div><h2>Title</h2>{body}</div><div class='comments'><p>A short remark, by a reader, of some words.</p></div></body></html>"
+
+
+def test_main_content(spark):
+    long = ["The first paragraph has a number of words, commas, and clauses, " * 3, "The second &amp; last one is as long as the first, or longer, " * 3]
+    rows = [(1, _page(long)), (2, None), (3, ""), (4, "<p>short"), (5, _page(long)), (6, "<div>" * 3000 + "x, " * 100), (7, "plain text without any tags, " * 10)]
+    pages = spark.createDataFrame(rows, "row long, html string").repartition(3)
+    got = {r["row"]: r["main"] for r in html.with_main_content(pages).collect()}
+    assert got[1] == got[5] == "## Title\n\n" + "\n\n".join(p.strip().replace("&amp;", "&") for p in long)
+    assert got[2] is got[3] is got[4] is None and got[6] == ("x, " * 100).strip() and got[7] == ("plain text without any tags, " * 10).strip()
+    assert html.with_main_content(pages.limit(0)).count() == 0
+
+
+def test_main_content_of_sections_and_lists(spark):
+    section = lambda n: f"<section><h3>Part {n}</h3><ul><li>An entry of the list, which is long, number {n}<li>Another entry, as long as the one before</ul><blockquote>Quoted words, {n}, of somebody, at some length</blockquote></section>"
+    page = f"<body><nav>menu, menu</nav><article>{section(1)}{section(2)}{section(3)}</article><aside>{'advert, ' * 50}</aside><form>{'field, ' * 50}</form></body>"
+    main = html.with_main_content(spark.createDataFrame([(page, "old")], "html string, MAIN string")).first()["main"]
+    assert main.startswith("### Part 1\n\n- An entry of the list, which is long, number 1\n\n- Another") and main.endswith("> Quoted words, 3, of somebody, at some length")
+    assert "menu" not in main and "advert" not in main and "field" not in main
+
+
+def test_tiers_and_error(spark):
+    page = _page(["The first paragraph has a number of words, commas, and clauses, " * 3])
+    pages = html.with_main_content(spark.createDataFrame([("a", page), ("b", "<p></p>")], "source string, html string"))
+    of = lambda **more: html.html_text(F.col("html"), main=F.col("main"), **more).alias("t")
+    got = {r["source"]: r["t"] for r in pages.select("source", of()).collect()}
+    assert got["a"].startswith("## Title") and "remark" not in got["a"] and got["b"] is None
+    with pytest.raises(Exception, match="no text in the HTML page b"):
+        pages.select(of(source=F.col("source"))).collect()
