@@ -99,7 +99,7 @@ def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
     each = counts.select("id", "dl", F.inline("terms")).select("term", "id", "tf", "dl", block.alias("block"), bucket.alias("bucket"))
     # A term of nearly all documents has a row for each block: a bucket is dealt to several tasks.  Grouping keeps that partitioning.
-    dealt = each.withColumn("part", F.col("block") % 8).repartition("bucket", "part")
+    dealt = each.withColumn("part", F.col("block") % 32).repartition("bucket", "part")
     postings = dealt.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings"), F.count("*").alias("n"), F.max(_impact(mean)).alias("most"))
     placed = postings.select("term", "block", "postings", "n", "most", "bucket")
     placed.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
