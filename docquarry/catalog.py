@@ -452,11 +452,12 @@ def contains_lookup(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT 'p_brand' AS c, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS v FROM part UNION ALL SELECT 'p_name', trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) FROM part)
-SELECT count(*) AS n FROM v WHERE v <> '' AND contains(' bao nhieu brand 23 ', ' ' || v || ' ') GROUP BY c, v ORDER BY len(string_split(v, ' ')) DESC, c = 'p_name', v LIMIT 1""")
+WITH v AS (SELECT 'lang' AS c, trim(regexp_replace(lower(lang), '[^a-z0-9]+', ' ', 'g')) AS v FROM documents UNION ALL SELECT 'source', trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) FROM documents)
+SELECT count(*) AS n FROM v WHERE v <> '' AND contains(' bao nhieu en ', ' ' || v || ' ') GROUP BY c, v ORDER BY len(string_split(v, ' ')) DESC, c, v LIMIT 1""")
 def value_count(spark, sf_dir):
-    """How many parts have the value that the question names."""
-    return table_qa.value_count(_t(spark, sf_dir, "part"), _PART, "bao nhieu Brand#23")
+    """How many documents have the value that the question names."""
+    schema = [profile.ColumnProfile("lang", "lang", "TEXT"), profile.ColumnProfile("source", "source", "TEXT")]
+    return table_qa.value_count(_t(spark, sf_dir, "documents"), schema, "bao nhieu en")
 
 
 @query("""
@@ -467,11 +468,11 @@ def fuzzy_lookup(spark, sf_dir):
     return table_qa.most_similar(table, F.col("c_name"), "Custmer#000000012").select("c_custkey", "c_name")
 
 
-@query("SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part WHERE p_type ILIKE '%eco%' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 200")
+@query("SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents WHERE text ILIKE '%the%' GROUP BY lang ORDER BY n DESC, lang LIMIT 200")
 def model_sql(spark, sf_dir):
     """SQL as a model would write it: names in another case, LIKE, no limit."""
-    sql = "SELECT P_BRAND, count(*) AS n, max(P_Size) AS largest FROM {t} WHERE p_type LIKE '%ECO%' GROUP BY p_brand ORDER BY n DESC, p_brand;"
-    return table_qa.run_sql(_t(spark, sf_dir, "part"), sql)
+    sql = "SELECT LANG, count(*) AS n, max(N_Chars) AS longest FROM {t} WHERE text LIKE '%THE%' GROUP BY lang ORDER BY n DESC, lang;"
+    return table_qa.run_sql(_t(spark, sf_dir, "documents"), sql)
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02 AND lower(l_returnflag) = 'r'")
