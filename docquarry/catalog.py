@@ -18,7 +18,7 @@ from docquarry.functions import text as T
 from docquarry.operators import chunking, evaluate, index, metadata, mutate, retrieval, versioned
 from docquarry.plans import profile, table_qa
 from docquarry.shared_files import shared_dir, spread, stored
-from docquarry.sources import files, html, tabular
+from docquarry.sources import files, html, ranges, tabular
 from docquarry.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +521,33 @@ def row_range_pages(spark, sf_dir):
     return tabular.pages_of(table, "customer").select("page", "row_range", "text")
 
 
+@query("""
+SELECT lang AS sheet_name, doc_id // 15 + 1 AS page, min(doc_id) + 1 || '-' || max(doc_id) + 1 AS row_range,
+  '| doc_id | origin | length |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || doc_id || ' | ' || replace(coalesce(source, ''), '|', '\\|') || ' | ' || coalesce(n_chars::VARCHAR, '') || ' |', chr(10) ORDER BY doc_id) AS text
+FROM (SELECT doc_id, coalesce(lang, '') AS lang, source, n_chars FROM documents) GROUP BY ALL""")
+def sheet_pages(spark, sf_dir):
+    """A workbook with a sheet for each language, whose rows are its documents: text pages of all sheets at once."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("sheet"), "source", "n_chars")
+    cells = lambda row, *values: F.array(*[F.struct(row.cast("int").alias("row"), F.lit(i).alias("column"), v.cast("string").alias("value")) for i, v in enumerate(values)])
+    rows = docs.select("sheet", cells(F.col("doc_id") + 1, F.col("doc_id"), F.col("source"), F.col("n_chars")).alias("cells"))
+    heads = docs.select("sheet").distinct().select("sheet", cells(F.lit(0), F.lit("doc_id"), F.lit("origin"), F.lit("length")).alias("cells"))
+    every = rows.unionByName(heads).select(F.lit("documents.xlsx").alias("source"), "sheet", F.inline("cells"))
+    return tabular.sheet_pages(every).select("sheet_name", "page", "row_range", "text")
+
+
+@query("""
+SELECT sum(octet_length(encode(t)) + 1)::BIGINT AS n_bytes, count(*) AS n_lines, sum(length(regexp_replace(t, '[^0-9]', '', 'g')))::BIGINT AS n_digits, sum(length(regexp_replace(t, '[^a-z]', '', 'g')))::BIGINT AS n_small
+FROM (SELECT coalesce(text, '') AS t FROM documents)""")
+def byte_blocks(spark, sf_dir):
+    """All texts, a line each, in files that are read back in blocks of 256 KB by separate tasks."""
+    path = shared_dir(spark, "lines")
+    _t(spark, sf_dir, "documents").select(F.translate(F.coalesce("text", F.lit("")), "\n", " ").alias("value")).write.text(path)
+    plain = F.decode("content", "ISO-8859-1")
+    count = lambda pattern: F.sum(F.regexp_count(plain, F.lit(pattern))).cast("long")
+    blocks = ranges.byte_blocks(spark, path, block=256 * 1024)
+    return blocks.agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"), count("\n").alias("n_lines"), count("[0-9]").alias("n_digits"), count("[a-z]").alias("n_small"))
+
+
 @query("SELECT CASE WHEN avg(CASE WHEN regexp_matches(k, '^\\d+(\\.\\d+)?$') THEN 1 ELSE 0 END) > 0.8 THEN 'bigint' ELSE 'string' END AS key_type, 'string' AS name_type FROM (SELECT c_custkey::VARCHAR AS k FROM customer)")
 def inferred_types(spark, sf_dir):
     table = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"))

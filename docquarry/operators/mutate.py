@@ -205,10 +205,3 @@ def write_metrics(metrics: DataFrame, path: str, label: str) -> None:
     """One CSV file with a header, the metrics' rows and the row of means last (a row for each question)."""
     rows = with_mean_row(metrics, label).withColumn("_last", F.col(label) == "__mean__")
     rows.coalesce(1).sortWithinPartitions("_last", label).drop("_last").write.mode("overwrite").option("header", True).csv(path)
-
-
-def object_bytes(spark: SparkSession, path: str, start: int = 0, length: int | None = None) -> DataFrame:
-    """path, content of files, or a range of their bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    part = F.substring("content", start + 1, length if length is not None else 2**31 - 1)
-    return files.select("path", "length", part.alias("content"))

@@ -6,7 +6,6 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -143,7 +142,8 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"md": read_markd
 def read(spark: SparkSession, path: str, pdf_reader: PdfReader | None = None) -> DataFrame:
     """source, text (and what else the reader gives) by the path's extension."""
     from .html import html_text, read_html
-    from .tabular import pages_of, read_csv, read_xlsx, sheet_table
+    from .ranges import read_xlsx
+    from .tabular import pages_of, read_csv, sheet_pages
 
     ext = path.rsplit(".", 1)[-1].lower()
     if ext in ("html", "htm"):
@@ -151,10 +151,7 @@ def read(spark: SparkSession, path: str, pdf_reader: PdfReader | None = None) ->
     if ext == "csv":
         return pages_of(read_csv(spark, path), path)
     if ext == "xlsx":
-        cells = read_xlsx(spark, path)
-        sheets = [r["sheet"] for r in cells.select("sheet").distinct().orderBy("sheet").collect()]  # sheets of a workbook
-        pages = [pages_of(sheet_table(cells, s), path, sheet=s) for s in sheets]
-        return reduce(lambda a, b: a.unionByName(b), pages) if pages else spark.createDataFrame([], "source string, text string")
+        return sheet_pages(read_xlsx(spark, path))
     if ext == "pdf":
         if pdf_reader is None:
             raise ValueError("reading .pdf takes a reader")

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import csv
-import io
 import re
 import unicodedata
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -19,7 +16,6 @@ from docquarry.shared_files import stored
 
 BLOCK_ROWS, WIDE, HEADER_ROWS, HEADER_SHARE, ROW_SHARE, NUMERIC_SHARE = 15, 15, 20, 0.5, 0.3, 0.8
 NUMBER = r"^\d+(\.\d+)?$"
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def safe_name(name: str, taken: set[str] | None = None) -> str:
@@ -187,48 +183,47 @@ def pages_of(table: DataFrame, source: str, *, block: int = BLOCK_ROWS, sheet: s
     )
 
 
-def sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of a workbook; merged ranges repeat their first cell, as far as the sheet has cells."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        strings = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            strings = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in root.iter(f"{_SHEET}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
-        files = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        for name, file in zip(names, files):
-            root = ElementTree.fromstring(book.read(file))
-            cells = {}
-            for c in root.iter(f"{_SHEET}c"):
-                value = c.find(f"{_SHEET}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else value.text if value is not None else ""
-                cells[_place(c.get("r"))] = strings[int(text)] if c.get("t") == "s" and text else text or ""
-            height, width = (max((place[i] for place in cells), default=-1) for i in (0, 1))
-            starts = [[_place(p) for p in merged.get("ref").split(":")] for merged in root.iter(f"{_SHEET}mergeCell")]
-            height, width = (max([most, *(first[i] for first, _ in starts)]) for i, most in ((0, height), (1, width)))
-            for first, last in starts:
-                for r in range(first[0], min(last[0], height) + 1):
-                    for k in range(first[1], min(last[1], width) + 1):
-                        cells[r, k] = cells.get(first, "")
-            yield from ((name, r, k, text) for (r, k), text in sorted(cells.items()))
-
-
-def _place(ref: str) -> tuple[int, int]:
-    letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", ref).groups()
-    column = 0
-    for c in letters:
-        column = column * 26 + ord(c) - 64
-    return int(digits) - 1, column - 1
-
-
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """source, sheet, row, column, value of all cells of all workbooks; each file is one task's row."""
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for source, content in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame([(source, *c) for c in sheet_cells(content)], columns=["source", "sheet", "row", "column", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "source string, sheet string, row int, column int, value string")
+def sheet_pages(cells: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Text pages of all sheets of all workbooks in one job: those that ``pages_of`` gives for each ``sheet_table``.
+
+    ``cells`` has source, sheet, row, column and value.  Sheets differ in their columns, so a row is an array beside its
+    sheet's names; a block of rows is one group, and only names of sheets go through Python.
+    """
+    by_row = cells.groupBy("source", "sheet", "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("m"), F.count_if(filled(F.col("value"))).alias("n"), F.max("column").alias("last"),
+    )
+    leading = F.collect_list(F.when(F.col("row") < HEADER_ROWS, F.struct("row", "n", "m")))
+    sheets = by_row.groupBy("source", "sheet").agg((F.max("last") + 1).alias("width"), F.array_sort(leading, lambda a, b: a["row"] - b["row"]).alias("leading"))
+    fit = F.get(F.filter("leading", lambda x: x["n"] >= F.col("width") * HEADER_SHARE), F.lit(0))
+    head = F.coalesce(fit["row"], F.lit(0))
+    titles = F.get(F.filter("leading", lambda x: x["row"] == F.col("head")), F.lit(0))["m"]
+    places = F.sequence(F.lit(0), F.col("width") - 1)
+    sheets = sheets.withColumn("head", head).select("source", "sheet", "head", "width", F.transform(places, lambda k: F.get(F.filter(F.map_entries(titles), lambda e: e["key"] == k), F.lit(0))["value"]).alias("titles"))
+    sheets = sheets.mapInPandas(_named, "source string, sheet string, head int, width int, names array<string>")
+
+    plain = lambda c: F.coalesce(F.regexp_replace(F.replace(c, F.lit("|"), F.lit(r"\|")), r"\s*\n\s*", " "), F.lit(""))
+    rows = by_row.join(sheets, ["source", "sheet"]).filter("row > head").withColumn("cells", F.transform(places, lambda k: F.try_element_at("m", k)))
+    wide = F.col("width") > WIDE
+    named = F.zip_with("names", "cells", lambda n, c: F.when(filled(c), F.concat(n, F.lit(": "), plain(c))))
+    line = F.when(wide, F.concat(F.lit("- "), F.array_join(named, " | "))).otherwise(F.concat(F.lit("| "), F.array_join(F.transform("cells", plain), " | "), F.lit(" |")))
+    rows = rows.select("source", "sheet", "names", wide.alias("wide"), (F.col("row") - F.col("head") - 1).cast("long").alias("r"), line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
+    bar = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |\n"))
+    top = F.when(F.col("wide"), F.lit("")).otherwise(F.concat(bar(F.col("names")), bar(F.transform("names", lambda n: F.lit("---")))))
+    blocks = rows.groupBy("source", "sheet", F.floor(F.col("r") / block).alias("b")).agg(F.concat(F.first(top), text).alias("text"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    return blocks.select(
+        "source", (F.col("b") + 1).alias("page"), "text", F.col("sheet").alias("sheet_name"), F.lit(True).alias("is_tabular"), F.concat_ws("-", F.col("lo") + 1, F.col("hi") + 1).alias("row_range"),
+    )
+
+
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``titles``, a sheet a row, as safe names that differ."""
+    def names(titles) -> list[str]:
+        taken: set[str] = set()
+        return [safe_name(t or f"col_{k}", taken) for k, t in enumerate(titles)]
+
+    for frame in frames:
+        yield frame.assign(names=frame["titles"].map(names)).drop(columns="titles")
 
 
 def sheet_table(cells: DataFrame, sheet: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.sources import files, html, tabular
+from docquarry.sources import files, html, ranges, tabular
 from docquarry.streaming import jobs
 
 
@@ -59,7 +59,7 @@ def sheet(cells, merged=""):
 def test_xlsx(spark, tmp_path):
     data = sheet([[("A1", "")], [("A2", "Name"), ("B2", "Note")], [("A3", "x"), ("B3", "1")], [("A4", "y"), ("B4", "2")]], '<mergeCells><mergeCell ref="A3:A4"/></mergeCells>')
     (tmp_path / "b.xlsx").write_bytes(data)
-    table = tabular.sheet_table(tabular.read_xlsx(spark, str(tmp_path)), "S1")
+    table = tabular.sheet_table(ranges.read_xlsx(spark, str(tmp_path)), "S1")
     assert [tuple(r) for r in table.orderBy("_row_idx").collect()] == [(0, "x", "1"), (1, "x", "2")]
 
 
