@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_name, stored, text_of
@@ -51,6 +51,8 @@ ORDER = {k: i for i, k in enumerate(["assign", "access", "hex", "weak_id", "weak
 ROLE = {"assign": "secret", "hex": "secret", "access": "id", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 SCOPE = 256
 HITS = 64
+#: ``redact`` cuts texts into parts of so many code points.
+PART = 4096
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -134,32 +136,47 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return joined.unionByName(found.filter(~paired).select("doc_id", "text_key", "base", none.alias("linked")))
 
 
+def _gaps(found: DataFrame) -> DataFrame:
+    """text_key, gaps (array of from, to) of what lies before, between and behind the spans; the last one has no end."""
+    order = Window.partitionBy("text_key").orderBy("start", "end")
+    rows = found.select("text_key", F.inline("spans")).select("text_key", "start", "end")
+    before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gap = F.struct(F.col("before").alias("from"), F.col("start").alias("to"))
+    rest = F.struct(F.max("end").alias("from"), F.lit(None).cast("int").alias("to"))
+    gaps = F.array_append(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("before"), gap))), rest)
+    return rows.withColumn("before", before).groupBy("text_key").agg(gaps.alias("gaps"))
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to before ``end`` (null: all) of a text that was cut into parts of ``PART``."""
+    first = F.floor(start / PART).cast("int")
+    head = lambda n: F.substring(F.get(parts, first), start - first * PART + 1, n)
+    last = F.coalesce(F.floor(end / PART).cast("int"), F.size(parts))
+    tail = F.coalesce(F.substring(F.get(parts, last), F.lit(1), end - last * PART), F.lit(""))
+    far = F.concat(F.coalesce(head(F.lit(PART)), F.lit("")), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+    return F.when(first == last, F.coalesce(head(end - start), F.lit(""))).otherwise(far)
+
+
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with the base and linked spans of the text replaced by ``mask``; all columns and rows stay.
 
     Overlapping spans become one mask.  A column ``n_chars`` follows the new text.
     """
-    key, all_spans, changed = (fresh_name(n, docs) for n in ("text_key", "spans", "clean"))
-    found = secret_spans(docs, id_col=id_col, text_col=text_col, scope=scope).select("text_key", F.array_sort(F.concat("base", "linked")).alias(all_spans))
-    found = found.filter(F.size(all_spans) > 0).dropDuplicates(["text_key"]).toDF(key, all_spans)
+    key, gaps, changed = (fresh_name(n, docs) for n in ("text_key", "gaps", "clean"))
+    found = secret_spans(docs, id_col=id_col, text_col=text_col, scope=scope).select("text_key", F.concat("base", "linked").alias("spans"))
+    found = _gaps(found.filter(F.size("spans") > 0).dropDuplicates(["text_key"])).toDF(key, gaps)
     text = text_of(text_col)
     joined = docs.withColumn(key, F.sha2(text, 256)).join(found, key, "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(all_spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col(all_spans).isNull(), F.col(f"`{text_col}`")).otherwise(clean)
+    # A part of a text is looked for from its beginning, so the text is cut into parts first.
+    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda parts: F.array_join(F.transform(gaps, lambda g: _between(parts, g["from"], g["to"])), mask))
+    new = F.when(F.col(gaps).isNull(), F.col(f"`{text_col}`")).otherwise(clean)
     out = joined.withColumn(changed, new)
     columns = []
     for c in docs.columns:
         if c == text_col:
             columns.append(F.col(changed).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col(all_spans).isNull(), F.col("n_chars")).otherwise(F.length(changed).cast(docs.schema[c].dataType)).alias(c))
+            columns.append(F.when(F.col(gaps).isNull(), F.col("n_chars")).otherwise(F.length(changed).cast(docs.schema[c].dataType)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -192,6 +193,31 @@ def test_redaction(spark):
     assert got[7]["text"] == "[SECRET] [SECRET]" and got[8]["text"] == SECRETS[8]
 
 
+def test_redaction_equals_brute_force(spark, monkeypatch):
+    """Spans that overlap, touch and lie in several parts of a text."""
+    monkeypatch.setattr(secret_scan, "PART", 16)
+    r = random.Random(8)
+    pieces = ["AKIA" + "Q7" * 9, "0123456789abcdef", "password=" + "a1" * 9, "token:0123456789abcdef01", "é😀", "\n", " ", "x" * 40, "user_id=someone", "https://h.example", "passwd=short1"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 12))) for _ in range(120)]
+    docs = documents(spark, rows=[(i, t, "en") for i, t in enumerate(texts)])
+    spans = {s["doc_id"]: sorted((x["start"], x["end"]) for x in s["base"] + s["linked"]) for s in secret_scan.secret_spans(docs).collect()}
+    for row in secret_scan.redact(docs).collect():
+        text, at, out = texts[row["doc_id"]], 0, ""
+        for start, end in spans[row["doc_id"]]:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert row["text"] == out + text[at:]
+
+
+def test_redaction_of_very_many_hits(spark):
+    """Time and memory grow with the text, not with hits times text."""
+    text = "é 0123456789abcdef " * 100_000
+    started = time.monotonic()
+    assert secret_scan.redact(documents(spark, rows=[(0, text, "en")])).first()["text"] == "é [SECRET] " * 100_000
+    assert time.monotonic() - started < 60
+
+
 def linked_kinds(spark, cases):
     found = secret_scan.secret_spans(documents(spark, rows=[(i, t, "en") for i, t in enumerate(cases)])).collect()
     return [sorted(s["kind"] for s in r["linked"]) for r in sorted(found, key=lambda r: r["doc_id"])]
