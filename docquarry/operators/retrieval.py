@@ -18,6 +18,8 @@ from docquarry.shared_files import spread, stored
 Reranker = Callable[[str, list[str], int], list[int]]
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Scores of questions and vectors that a task holds at a time in ``dense_many``.
+TILE = 500_000
 
 
 def in_scope(
@@ -58,8 +60,9 @@ def dense_many(vectors: DataFrame, questions: DataFrame, k: int, *, id_col: str
     """question_id, id, score, rank: the k highest cosine similarities of each (question_id, vector), ties by id.
 
     Questions go to all tasks in blocks of ``block_bytes``, a pass over the vectors each; a task hands on its best k
-    of each question, so k rows a question and task are merged.  Scores are rounded to twelve places, so that equal
-    vectors tie.  Vectors of another length than the question's, null or all zero are not found.
+    of each question, so k rows a question and task are merged.  Products are made in tiles of ``TILE`` cells, so a
+    task's memory does not grow with the questions or rows.  Scores are rounded to twelve places, so that equal
+    vectors tie.  Vectors of another length than the question's, null, all zero or not finite are not found.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
@@ -96,22 +99,47 @@ def _blocks(questions: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray
 def _best_of_task(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = held.value
-        scores, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
-        for batch in batches:
-            column = batch.column(1).filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
-            keys = batch.column(0).filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])).to_numpy()
-            x = np.array(column.flatten().fill_null(np.nan), float).reshape(-1, q.shape[1])
-            norm = np.sqrt((x * x).sum(1))
-            good = np.isfinite(norm) & (norm > 0)
-            got = np.round(q @ (x[good] / norm[good, None]).T, 12)
-            scores, ids = np.concatenate([scores, got], 1), np.concatenate([ids, np.broadcast_to(keys[good], got.shape)], 1)
-            order = np.lexsort((ids, -scores))[:, :k]
-            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, scores.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["question_id", "id", "score"])
+        scores, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        n_rows = max(1, min(1000, TILE // q.shape[1]))
+        n_questions = TILE // n_rows
+        for batch in batches if k > 0 else ():
+            for start in range(0, batch.num_rows, n_rows):
+                keys, x = _unit_rows(batch.slice(start, n_rows), q.shape[1])
+                for at in range(0, len(q), n_questions):
+                    some = slice(at, at + n_questions)
+                    _keep_best(scores[some], ids[some], q[some] @ x.T, keys)
+        found = np.isfinite(scores)
+        columns = [np.repeat(q_ids, found.sum(1)), ids[found], scores[found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["question_id", "id", "score"])
 
     return run
 
 
+def _unit_rows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(identifiers, unit vectors) of the rows with a vector of that length that has a direction."""
+    batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), length))
+    x = np.array(batch.column(1).flatten().fill_null(np.nan), float).reshape(-1, length)
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return batch.column(0).to_numpy()[good], x[good] / norm[good, None]
+
+
+def _keep_best(scores: np.ndarray, ids: np.ndarray, got: np.ndarray, keys: np.ndarray) -> None:
+    """Take those of ``got`` (question x row) that belong there into each question's best so far, in place."""
+    k = scores.shape[1]
+    least = scores[:, -1]
+    if got.shape[1] > k and not np.isfinite(least).all():
+        least = np.maximum(least, np.partition(got, -k, 1)[:, -k])
+    question, row = np.nonzero(got >= least[:, None] - 1e-11)  # rounding moves a score by less
+    touched = np.unique(question)
+    s = np.concatenate([np.round(got[question, row], 12), scores[touched].ravel()])
+    i = np.concatenate([keys[row], ids[touched].ravel()])
+    of = np.concatenate([question, np.repeat(touched, k)])
+    order = np.lexsort((i, -s, of))
+    best = order[np.searchsorted(of[order], touched)[:, None] + np.arange(k)]
+    scores[touched], ids[touched] = s[best], i[best]
+
+
 def _ranked(top: DataFrame, *order: Column) -> DataFrame:
     """Numbers the rows of a result that has k rows at most."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -1,8 +1,11 @@
 """Many questions at once equal each question on its own."""
 
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,21 @@ def test_dense_questions_equal_one_by_one(spark, block_bytes):
     assert retrieval.dense_many(vectors, questions.limit(0), 3).count() == 0
 
 
+def test_memory_of_dense_questions_does_not_grow_with_them():
+    rng = np.random.default_rng(4)
+    questions, rows = rng.normal(size=(2000, 8)), rng.normal(size=(10_000, 8))
+    questions /= np.linalg.norm(questions, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(rows.tolist())], ["id", "v"])
+    run = retrieval._best_of_task(SimpleNamespace(value=(np.arange(2000), questions)), 3)
+    tracemalloc.start()
+    (found,) = run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000  # the products alone are 160 MB
+    scores = np.round(questions @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 12)
+    assert found.column("id").to_pylist() == np.argsort(-scores, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
 def test_pieces_in_sql(spark):
     chunking.register_functions(spark)
     texts = ["one two three. four five six. " * 20, "", None, "short", "x" * 300]
