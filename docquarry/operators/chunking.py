@@ -7,11 +7,11 @@ import uuid
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.ids import uuid5
+from docquarry.functions.parts import of_text
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 PARENT, CHILD = (2000, 200), (500, 100)
@@ -59,12 +59,7 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 def splitter(size: int, overlap: int):
     """A column function text -> array of pieces."""
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([split_text(t or "", size, overlap) for t in texts], dtype=object)
-
-    return run
+    return of_text(lambda t: split_text(t or "", size, overlap), "array<string>")
 
 
 @F.udtf(returnType="position int, piece string")
@@ -112,11 +107,8 @@ def split_headings(markdown: str) -> list[tuple[str, dict[str, str]]]:
 
 def heading_sections(pages: DataFrame, *, key: str = "document_id", version: str = "v1", text: str = "text", namespace: uuid.UUID = NAMESPACE) -> DataFrame:
     """Sections as pages of their own: doc_id, page (from 1), text, headers; other columns stay."""
-    @F.pandas_udf("array<struct<text:string,headers:map<string,string>>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"text": t, "headers": h} for t, h in split_headings(x or "")] for x in texts], dtype=object)
-
+    sections = lambda x: [{"text": t, "headers": list(h.items())} for t, h in split_headings(x or "")]
+    split = of_text(sections, "array<struct<text:string,headers:map<string,string>>>")
     kept = [c for c in pages.columns if c not in (text, "page", "doc_id", "headers")]
     parts = pages.select(*kept, F.posexplode(split(F.col(text))).alias("pos", "part"))
     doc_id = uuid5(namespace, F.concat_ws("_", F.col(key), F.lit(version), F.col("pos")))
