@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.parts import of_text
 from docquarry.shared_files import fresh_name, stored
 
 MIN_LENGTH = 100
@@ -114,11 +115,7 @@ def markdown_of(page: str | None) -> str:
 
 def html_to_markdown(page: Column) -> Column:
     """Markdown of a page, in Arrow batches."""
-    @F.pandas_udf("string")
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(markdown_of)
-
-    return convert(page)
+    return of_text(markdown_of, "string")(page)
 
 
 class _Blocks(HTMLParser):

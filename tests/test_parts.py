@@ -3,10 +3,12 @@
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from docquarry.functions import parts
 from docquarry.operators import chunking
+from docquarry.sources import html
 
 
 def in_parts(frame) -> int:
@@ -35,3 +37,10 @@ def test_chunks_in_parts(spark):
     pages = spark.createDataFrame([("a", 1, "one two. " * 400), ("b", 2, None)], "source string, page int, text string")
     parents = chunking.parents_of(pages)
     assert in_parts(parents) == 1 and parents.count() == 2
+
+
+def test_headings_in_parts(spark):
+    pages = spark.createDataFrame([("a", "<h1>One</h1><p>text</p><h2>Two</h2><p>more</p>"), ("b", None)], "document_id string, html string")
+    sections = chunking.heading_sections(pages.select("document_id", html.html_to_markdown(F.col("html")).alias("text")))
+    assert in_parts(sections) == 2
+    assert [(r["page"], r["headers"]) for r in sections.orderBy("page").collect()] == [(1, {"Header-1": "One"}), (2, {"Header-1": "One", "Header-2": "Two"})]
