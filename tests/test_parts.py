@@ -44,3 +44,9 @@ def test_headings_in_parts(spark):
     sections = chunking.heading_sections(pages.select("document_id", html.html_to_markdown(F.col("html")).alias("text")))
     assert in_parts(sections) == 2
     assert [(r["page"], r["headers"]) for r in sections.orderBy("page").collect()] == [(1, {"Header-1": "One"}), (2, {"Header-1": "One", "Header-2": "Two"})]
+
+
+def test_children_in_parts(spark):
+    pages = spark.createDataFrame([("a", 1, "one two. " * 400)], "source string, page int, text string")
+    children = chunking.children_of(chunking.parents_of(pages))
+    assert in_parts(children) == 2 and children.agg(F.max(F.length("text"))).first()[0] <= chunking.CHILD[0]
