@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +205,11 @@ def blocks_of(page: str | None) -> list[dict]:
     return reader.done()
 
 
+def read_blocks():
+    """A column function page -> its blocks."""
+    return of_text(blocks_of, BLOCKS)
+
+
 def with_main_content(pages: DataFrame, html_col: str = "html", name: str = "main") -> DataFrame:
     """``pages`` with the text of the element that holds the main content, as blocks; null if it has under 100 characters.
 
@@ -214,12 +218,8 @@ def with_main_content(pages: DataFrame, html_col: str = "html", name: str = "mai
     element, so a page's rows are numbers; the text stays where it was written.  Null and empty pages give null; of elements
     with equal scores the first counts; columns of the same name are replaced.
     """
-    @F.pandas_udf(BLOCKS)
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(blocks_of)
-
     row, blocks = fresh_name("row", pages), fresh_name("blocks", pages)
-    numbered = pages.withColumns({row: F.monotonically_increasing_id(), blocks: read(F.col(f"`{html_col}`"))})
+    numbered = pages.withColumns({row: F.monotonically_increasing_id(), blocks: read_blocks()(F.col(f"`{html_col}`"))})
     parsed = stored(numbered, "html-blocks")  # read twice: the numbers below, the text at the end
     counted = parsed.select(F.col(row).alias("row"), F.explode(blocks).alias("b")).select("row", "b.n_chars", "b.n_links", "b.commas", "b.parent", "b.grand")
     score = F.when(F.col("n_chars") >= MIN_BLOCK, 1 + F.col("commas") + F.least(F.col("n_chars") / 100, F.lit(3.0))).otherwise(0.0)

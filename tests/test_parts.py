@@ -50,3 +50,10 @@ def test_children_in_parts(spark):
     pages = spark.createDataFrame([("a", 1, "one two. " * 400)], "source string, page int, text string")
     children = chunking.children_of(chunking.parents_of(pages))
     assert in_parts(children) == 2 and children.agg(F.max(F.length("text"))).first()[0] <= chunking.CHILD[0]
+
+
+def test_main_content_in_parts(spark):
+    run = html.read_blocks().func
+    pages = pa.array(["<article>" + "<p>Some words, and some more of them.</p>" * 500 + "</article>"] * 500)  # 10 MB
+    outs = [len(out) for out in run(iter([pages]))]
+    assert sum(outs) == 500 and max(outs) * len(pages[0].as_py()) <= 2 * parts.PART_BYTES
