@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -100,6 +100,7 @@ class JobWatch(StatefulProcessor):
 
     The state lives as long as the job does: a timer in event time follows the last event; when it fires, a job
     that has not ended is reported, and either way its state goes.  An event that comes later begins anew.
+    Rows come and go as they are, times as numbers: a frame for each job or report costs many times what a row does.
     """
 
     def __init__(self, silent_seconds: int) -> None:
@@ -109,33 +110,37 @@ class JobWatch(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "status string, stage string, progress int, n long, last long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         fresh = ("queued", "queued", 0, 0)
-        *state, last = self.state.get() if self.state.exists() else (*fresh, None)
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            at = int(e.ts.timestamp() * 1000)
+        held = self.state.get()
+        *state, last = held or (*fresh, None)
+        timer = None if last is None else last + self.silent  # the one that is set, as it follows the last event
+        for e in sorted(rows, key=lambda e: (e["micros"], e["event_id"] is None, e["event_id"])):
+            at = e["micros"] // 1000
             if last is not None and at - last >= self.silent:  # the timer has not fired yet, as both events are of one batch
                 if state[0] not in FINAL:
                     yield self._row(key, "stalled", state, last + self.silent)
                 state, last = fresh, at
-            state, last = advance(tuple(state), e.status, e.stage, e.ratio, bool(e.start)), max(last or at, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+            state, last = advance(tuple(state), e["status"], e["stage"], e["ratio"], bool(e["start"])), at if last is None else max(last, at)
         self.state.update((*state, last))
-        self.handle.registerTimer(last + self.silent)
+        if timer != last + self.silent:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.silent)
         yield self._row(key, "state", state, last)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.state.get()
+        if held is None:
             return
-        *state, _ = self.state.get()
+        *state, _ = held
         self.state.clear()
         if state[0] not in FINAL:
             yield self._row(key, "stalled", state, expiredTimerInfo.getExpiryTimeInMs())
 
-    def _row(self, key, kind: str, state, at: int) -> pd.DataFrame:
+    def _row(self, key, kind: str, state, at: int) -> Row:
         status, stage, progress, n = state
-        return pd.DataFrame({"job_id": [key[0]], "kind": [kind], "status": [status], "stage": [stage], "progress": [progress], "n_events": [n], "at": [pd.Timestamp(at, unit="ms")]})
+        return Row(job_id=key[0], kind=kind, status=status, stage=stage, progress=progress, n_events=n, at=at)
 
     def close(self) -> None:
         pass
@@ -144,10 +149,13 @@ class JobWatch(StatefulProcessor):
 def watch_jobs(events: DataFrame, silent_seconds: int, late: str = "0 seconds") -> DataFrame:
     """A stream of events (job_id, event_id, ts, status, stage, ratio, start) as a stream of WATCHED rows.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).  ``silent_seconds`` stays the
+    same as long as a checkpoint is used.
     """
-    keyed = events.withWatermark("ts", late).groupBy("job_id")
-    return keyed.transformWithStateInPandas(JobWatch(silent_seconds), outputStructType=WATCHED, outputMode="Update", timeMode="EventTime")
+    used = events.select("job_id", "event_id", "ts", "status", "stage", "ratio", "start", F.unix_micros("ts").alias("micros"))
+    keyed = used.withWatermark("ts", late).groupBy("job_id")
+    watched = keyed.transformWithState(JobWatch(silent_seconds), outputStructType=WATCHED.replace("at timestamp", "at long"), outputMode="Update", timeMode="EventTime")
+    return watched.withColumn("at", F.timestamp_millis("at"))
 
 
 @contextmanager

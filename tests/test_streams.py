@@ -1,8 +1,10 @@
 """Streams that are stopped, fail and come back; keyed state with timers and expiry."""
 
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docquarry.streaming import jobs
@@ -135,3 +137,19 @@ def test_codes_expire_and_work_once(rocks, tmp_path):
     stream = spark.readStream.schema(schema.replace("ts long", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/codes")
     found = {r["event_id"]: r["accepted"] for r in run(jobs.check_codes(stream, 15, "100 seconds"), tmp_path, "checked").collect()}
     assert found == {4: False, 5: True, 6: False, 7: False, 8: False, 11: True, 13: True}
+
+
+def test_a_job_costs_a_call_for_each_change_and_no_frames():
+    calls, held = [], {}
+    note = lambda name: lambda *args: calls.append((name, *args))
+    state = SimpleNamespace(get=lambda: held.get("state"), update=lambda v: held.update(state=v), clear=held.clear)
+    watch = jobs.JobWatch(60)
+    watch.init(SimpleNamespace(getValueState=lambda *_: state, registerTimer=note("set"), deleteTimer=note("unset")))
+    event = lambda at, n: Row(event_id=n, micros=at * 1_000_000, status="running", stage="parsing", ratio=None, start=None)
+    rows = list(watch.handleInputRows((7,), iter([event(200, 3), event(0, 1), event(100, 2)]), None))
+    assert [(r["kind"], r["n_events"], r["at"]) for r in rows] == [("stalled", 1, 60_000), ("stalled", 1, 160_000), ("state", 1, 200_000)]
+    assert all(isinstance(r, Row) for r in rows) and calls == [("set", 260_000)]
+    list(watch.handleInputRows((7,), iter([event(200, 4)]), None))
+    assert calls == [("set", 260_000)]  # the timer stays where it is
+    list(watch.handleInputRows((7,), iter([event(210, 5)]), None))
+    assert calls[1:] == [("unset", 260_000), ("set", 270_000)] and held["state"][3:] == (3, 210_000)
