@@ -630,9 +630,10 @@ def chunk_children(spark, sf_dir):
 
 @query("SELECT 0::BIGINT AS too_long, 0::BIGINT AS orphans, true AS parents_fit")
 def chunk_invariants(spark, sf_dir):
-    parents = _parents(spark, sf_dir)
-    children = chunking.children_of(parents)
-    long = children.agg(F.count_if(F.length("text") > chunking.CHILD[0]).alias("too_long"))
+    """Parents and children are split once each and written: a core runs one Python worker at a time, not one for each."""
+    parents = stored(_parents(spark, sf_dir), "parents")
+    children = stored(chunking.children_of(parents).select("doc_id", F.length("text").alias("n_chars")), "children")
+    long = children.agg(F.count_if(F.col("n_chars") > chunking.CHILD[0]).alias("too_long"))
     fit = parents.agg((F.max(F.length("text")) <= chunking.PARENT[0]).alias("parents_fit"))
     lost = chunking.orphans(children, parents).agg(F.count("*").alias("orphans"))
     return _one_row(spark, long, lost, fit)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
+from docquarry import catalog
 from docquarry.functions import parts
 from docquarry.operators import chunking
 from docquarry.sources import html
@@ -57,3 +58,16 @@ def test_main_content_in_parts(spark):
     pages = pa.array(["<article>" + "<p>Some words, and some more of them.</p>" * 500 + "</article>"] * 500)  # 10 MB
     outs = [len(out) for out in run(iter([pages]))]
     assert sum(outs) == 500 and max(outs) * len(pages[0].as_py()) <= 2 * parts.PART_BYTES
+
+
+def test_invariants_split_once(spark, monkeypatch):
+    """What the invariants are counted over has been split and written: no Python step is left in its plans."""
+    left = []
+
+    def orphans(children, parents, count=chunking.orphans):
+        left.extend("ArrowEvalPython" in frame._jdf.queryExecution().executedPlan().toString() for frame in (children, parents))
+        return count(children, parents)
+
+    monkeypatch.setattr(chunking, "orphans", orphans)
+    assert catalog.chunk_invariants(spark, "/root/testdata/sf0.001").first().asDict() == {"too_long": 0, "orphans": 0, "parents_fit": True}
+    assert left == [False, False]
