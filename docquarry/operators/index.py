@@ -2,8 +2,8 @@
 
 ``build_index`` reads the texts once.  The index is a folder of
 
-* ``postings``: a row for each term and block of documents (a hash of the identifier), in partitions by a hash of the
-  term: the term's documents of that block with count and length, and the most that the term can add to a score there;
+* ``postings``: a row for each term and block of documents (some that a task read one after another), in partitions by a
+  hash of the term: the term's documents of that block with count and length, and what bounds the term's part of a score there;
 * ``statistics``: one row: documents, mean length, the vocabulary's mean inverse document frequency, layout.
 
 ``bm25_many`` reads the partitions of its terms only and no text.  The most that each block can give a question
@@ -16,12 +16,13 @@ logarithms); their parts are added in the order of the question's terms, so equa
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,13 +37,39 @@ PROBED = 4
 SLICE_ROWS = 50_000
 
 
-def _length(mean: float):
-    return K1 * (1 - B + B * F.col("dl") / F.lit(mean))
+def _most(mean: float):
+    """No less than a term adds to a score in a block, without its inverse document frequency."""
+    return F.lit(K1 + 1) / (1 + K1 * (1 - B) / F.col("most_tf") + F.lit(K1 * B / mean) * F.col("least_dl"))
 
 
-def _impact(mean: float):
-    """What a term adds to a score, without its inverse document frequency."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + _length(mean))
+def _block_postings(docs: pa.RecordBatch, block: int) -> pa.RecordBatch:
+    """The posting list of each term of a block's documents (id, words)."""
+    dl = docs["words"].value_lengths().to_numpy()
+    coded = docs["words"].flatten().dictionary_encode()
+    pairs = coded.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl)
+    pairs.sort()
+    at = np.flatnonzero(np.diff(pairs, prepend=-1))  # equal words of a document lie next to each other
+    tf = np.diff(at, append=len(pairs)).astype(np.int32)
+    term, doc = np.divmod(pairs[at], max(len(dl), 1))
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = pa.array(np.append(first, len(term)), pa.int32())
+    lists = {"id": docs["id"].take(pa.array(doc)), "tf": pa.array(tf), "dl": pa.array(dl[doc].astype(np.int32))}
+    return pa.RecordBatch.from_pydict({
+        "term": coded.dictionary.take(pa.array(term[first])), "block": pa.array(np.full(len(first), block)), **{c: pa.ListArray.from_arrays(ends, v) for c, v in lists.items()},
+        "n": pa.array(np.diff(first, append=len(term))), "most_tf": pa.array(np.maximum.reduceat(tf, first)), "least_dl": pa.array(np.minimum.reduceat(dl[doc] / tf, first)),
+    })
+
+
+def _postings(block_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of documents (id, words): posting lists by block.  A block is at most ``block_docs`` documents of one of Spark's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for start in range(0, len(batch), block_docs):
+                yield _block_postings(batch.slice(start, block_docs), next(blocks))
+
+    return run
 
 
 def _score_block(mean: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -85,28 +112,18 @@ def _score_block(mean: float, k: int) -> Callable[[pa.Table, pa.Table], pa.Table
 def build_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 1024, n_buckets: int = 32) -> str:
     """Write the index of ``docs`` (identifiers are unique) to ``path``."""
     spark, seen = docs.sparkSession, Observation()
-    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.sort_array(tokenize(F.col("text"))).alias("words"))
-    # A document's equal words lie next to each other: they are counted where they are, without a shuffle.
-    begins = lambda w, i: (i == 0) | (w != F.get("words", i - 1))
-    runs = F.filter(F.transform("words", lambda w, i: F.when(begins(w, i), F.struct(w.alias("term"), i.alias("at")))), lambda r: r.isNotNull())
-    counts = words.select("id", F.size("words").alias("dl"), runs.alias("runs"))
-    until = lambda i: F.coalesce(F.get("runs", i + 1)["at"], F.col("dl"))
-    counts = counts.select("id", "dl", F.transform("runs", lambda r, i: F.struct(r["term"].alias("term"), (until(i) - r["at"]).alias("tf"))).alias("terms"))
-    counts = stored(counts.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")), "term-counts")
+    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokenize(F.col("text")).alias("words"))
+    words = words.observe(seen, F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
+    id_type = words.schema["id"].dataType.simpleString()
+    # Posting lists are made where the documents are read: neither texts nor postings are shuffled.
+    postings = words.mapInArrow(_postings(block_docs), f"term string, block long, id array<{id_type}>, tf array<int>, dl array<int>, n long, most_tf int, least_dl double")
+    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int"))
+    placed.sortWithinPartitions("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     n, mean = (0, 1.0) if docs.isEmpty() else (seen.get["n"], seen.get["mean"] or 1.0)  # of an empty table nothing is observed
-    n_blocks = max(1, -(-n // block_docs))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
-    each = counts.select("id", "dl", F.inline("terms")).select("term", "id", "tf", "dl", block.alias("block"), bucket.alias("bucket"))
-    # A term of nearly all documents has a row for each block: a bucket is dealt to several tasks.  Grouping keeps that partitioning.
-    dealt = each.withColumn("part", F.col("block") % 32).repartition("bucket", "part")
-    postings = dealt.groupBy("bucket", "part", "term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings"), F.count("*").alias("n"), F.max(_impact(mean)).alias("most"))
-    placed = postings.select("term", "block", "postings", "n", "most", "bucket")
-    placed.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.schema(placed.schema).parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"))
     mean_idf = df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
-    row = [(n, float(mean), float(mean_idf), n_blocks, n_buckets, placed.schema.json())]
-    spark.createDataFrame(row, "n long, mean double, mean_idf double, n_blocks int, n_buckets int, postings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    row = [(n, float(mean), float(mean_idf), n_buckets, placed.schema.json())]
+    spark.createDataFrame(row, "n long, mean double, mean_idf double, n_buckets int, postings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     return path
 
 
@@ -121,7 +138,8 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int, *, q
     buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # n_buckets at most
     postings = postings.filter(F.col("bucket").isin(buckets))
 
-    heads = stored(postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").select("bucket", "term", "block", "n", "most"), "heads", f"{work}/heads")
+    asked_postings = postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    heads = stored(asked_postings.select("bucket", "term", "block", "n", _most(about["mean"]).alias("most")), "heads", f"{work}/heads")
     raw = F.log(F.lit(float(about["n"])) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = heads.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.when(raw < 0, F.lit(EPSILON * about["mean_idf"])).otherwise(raw).alias("idf"))
     weights = stored(asked.join(idf, "term").withColumn("w", F.col("idf") * F.col("times")), "weights", f"{work}/weights")
@@ -131,8 +149,7 @@ def bm25_many(spark: SparkSession, path: str, questions: DataFrame, k: int, *, q
 
     slices = -(-weights.count() // SLICE_ROWS) or 1
     part = F.pmod(F.xxhash64("question_id"), F.lit(slices)).cast("int")
-    asked_postings = postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    asked_postings = asked_postings.select("block", "term", *[F.col(f"postings.{c}").alias(c) for c in ("id", "tf", "dl")])
+    asked_postings = asked_postings.select("block", "term", "id", "tf", "dl")
     id_type, question_type = asked_postings.schema["id"].dataType.elementType, weights.schema["question_id"].dataType
     result = f"question_id {question_type.simpleString()}, id {id_type.simpleString()}, score double"
 

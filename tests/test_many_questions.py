@@ -2,6 +2,7 @@
 
 import re
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -50,6 +51,33 @@ def test_index_of_nothing(spark, tmp_path):
     assert index.bm25_many(spark, path, questions, 3).count() == 0
 
 
+def test_posting_lists_of_a_block():
+    rng = np.random.default_rng(5)
+    docs = {i: [str(w) for w in rng.choice(["the", "fox", "é", "z9"], rng.integers(0, 9))] for i in range(50, 80)} | {80: [], 81: ["fox"]}
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([0, *docs]), "words": pa.array([["before"], *docs.values()], pa.list_(pa.string()))})
+    got = index._block_postings(batch.slice(1), 7).to_pylist()
+    want = {t: {i: (d.count(t), len(d)) for i, d in docs.items() if t in d} for t in {t for d in docs.values() for t in d}}
+    assert {r["term"]: dict(zip(r["id"], zip(r["tf"], r["dl"]))) for r in got} == want and len(got) == len(want) and {r["block"] for r in got} == {7}
+    for r in got:
+        both = want[r["term"]].values()
+        assert (r["n"], r["most_tf"], r["least_dl"]) == (len(both), max(tf for tf, _ in both), min(dl / tf for tf, dl in both))
+    assert index._block_postings(batch.slice(31, 1), 0).num_rows == index._block_postings(batch.slice(0, 0), 0).num_rows == 0
+
+
+def test_index_is_made_where_documents_are_read(spark, tmp_path):
+    """Building shuffles no postings and writes nothing beside the index; the bound of a block holds for each document."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "docquarry")
+    before = set(shared.glob("*"))
+    docs = spark.createDataFrame(corpus(300), "doc_id long, text string").repartition(6)
+    path = index.build_index(docs, f"{tmp_path}/index", block_docs=16, n_buckets=2)
+    assert set(shared.glob("*")) == before
+    about, postings = spark.read.parquet(f"{path}/statistics").first(), spark.read.parquet(f"{path}/postings")
+    impact = lambda tf, dl: tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * dl / about["mean"]))
+    rows = postings.withColumn("most", index._most(about["mean"])).collect()
+    assert all(len(r["id"]) <= 16 and max(map(impact, r["tf"], r["dl"])) <= r["most"] * (1 + 1e-12) for r in rows)
+    assert about["n"] == 304 and len({r["block"] for r in rows}) >= 304 / 16
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 400])
 def test_dense_questions_equal_one_by_one(spark, block_bytes):
     rng = np.random.default_rng(3)
